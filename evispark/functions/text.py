@@ -124,8 +124,9 @@ def strip_leading_heading(body: Column) -> Column:
 
 
 def before_first_subheading(body: Column) -> Column:
-    at = F.regexp_instr(body, F.lit(r"\n#{2,6}\s+"))
-    return F.when(at > 0, strip(F.left(body, at - 1))).otherwise(body)
+    """The introduction: text before the first heading of level two or deeper, or all of it."""
+    intro = strip(F.regexp_extract(body, r"(?s)^(.*?)\n#{2,6}\s", 1))
+    return F.when(F.rlike(body, F.lit(r"\n#{2,6}\s")), intro).otherwise(body)
 
 
 def citation_labels(source_ids: Column) -> Column:
