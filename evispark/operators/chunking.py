@@ -2,7 +2,8 @@
 
 Everything is a column expression on the document row: one regular expression cuts the text into code,
 table and text segments, array functions walk the headings, pack long segments and merge short ones.
-No shuffle happens; a document becomes chunk rows only at the very end.
+No shuffle happens; a document becomes chunk rows only at the very end. The explosion is an outer one,
+since an inner one makes the optimiser test the array's size first, which works it out a second time.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from evispark.functions import text as T
 from evispark.operators import chunks as C
+from evispark.session import spread
 
 # How the parts of a Markdown text are recognised, line by line.
 H = r"[^\S\n]"
@@ -135,11 +137,9 @@ def packed_text(units: Column, target: int, overlap: int) -> Column:
     )
 
 
-def text_pieces(content: Column, max_size: int, target: int, overlap: int) -> Column:
-    """A long text in pieces; pieces after the first repeat the heading line."""
-    paragraphs = F.filter(F.transform(F.split(content, r"(?U)\n\s*\n", -1), T.strip), lambda p: p != "")
-    units = F.flatten(F.transform(paragraphs, lambda p: small_units(p, F.lit(target))))
-    heading = F.regexp_extract(content, rf"{MODES}\A({HEADING})", 1)
+def text_pieces(x: Column, max_size: int, target: int, overlap: int) -> Column:
+    """A long text in pieces; pieces after the first repeat the heading line. ``x``: units, prefix."""
+    heading = x["prefix"]
     room = F.lit(max_size - 1) - F.length(heading)
 
     def expand(piece: Column, i: Column) -> Column:
@@ -147,7 +147,7 @@ def text_pieces(content: Column, max_size: int, target: int, overlap: int) -> Co
         headed = F.transform(small_units(piece, F.greatest(room, F.lit(1))), lambda s: F.concat(heading, F.lit("\n"), s))
         return F.when(repeat, headed).otherwise(small_units(piece, F.lit(max_size)))
 
-    return F.flatten(F.transform(packed_text(units, target, overlap), expand))
+    return F.flatten(F.transform(packed_text(x["units"], target, overlap), expand))
 
 
 def packed_rows(rows: Column, prefix: Column, suffix: Column, sep: str, max_size: int) -> Column:
@@ -173,68 +173,138 @@ def packed_rows(rows: Column, prefix: Column, suffix: Column, sep: str, max_size
     )
 
 
-def pipe_table_pieces(content: Column, max_size: int) -> Column:
-    header = F.regexp_extract(content, rf"{MODES}\A((?:[^\n]*\n)+?{SEPARATOR})", 1)
-    rest = F.substring(content, F.length(header) + 2, F.length(content))
-    pieces = packed_rows(F.split(rest, "\n", -1), F.concat(header, F.lit("\n")), F.lit(""), "\n", max_size)
-    starts_bare = F.rlike(content, F.lit(rf"{MODES}\A{SEPARATOR}"))
-    return F.when((header == "") | starts_bare | (rest == ""), F.array(content)).otherwise(pieces)
+def _units_of(content: Column, kind: Column, target: int) -> Column:
+    """What a long block is packed from: sentences, table rows, or lines."""
+    paragraphs = F.filter(F.transform(F.split(content, r"(?U)\n\s*\n", -1), T.strip), lambda p: p != "")
+    return (
+        F.when(kind == "text", F.flatten(F.transform(paragraphs, lambda p: small_units(p, F.lit(target)))))
+        .when(kind == "html", F.regexp_extract_all(content, F.lit(HTML_ROW), F.lit(0)))
+        .when(kind == "code", F.split(content, "\n", -1))
+        .otherwise(F.array().cast("array<string>"))
+    )
 
 
-def html_table_pieces(content: Column, max_size: int) -> Column:
-    """By table rows; header rows are repeated and every piece is closed."""
-    rows = F.regexp_extract_all(content, F.lit(HTML_ROW), F.lit(0))
-    is_header = lambda r: F.contains(F.lower(r), F.lit("<th"))
-    heads = F.filter(rows, is_header)
-    body = F.filter(rows, lambda r: ~is_header(r))
-    opening = F.regexp_extract(content, r"(?is)\A(.*?)<tr\b[^>]*>.*?</tr\s*>", 1)
-    closing = F.regexp_extract(content, r"(?is)\A.*<tr\b[^>]*>.*?</tr\s*>(.*)\z", 1)
-    base = F.concat(opening, F.array_join(heads, ""))
+def _header_of(content: Column, kind: Column) -> Column:
+    """What every piece repeats at its start, before the rows that are repeated too."""
+    bare = F.rlike(content, F.lit(rf"{MODES}\A{SEPARATOR}"))
     return (
-        F.when(F.size(rows) == 0, F.array(content))
-        .when(F.size(body) == 0, F.array(F.concat(base, closing)))
-        .otherwise(packed_rows(body, base, closing, "", max_size))
+        F.when(kind == "text", F.regexp_extract(content, rf"{MODES}\A({HEADING})", 1))
+        .when(kind == "html", F.regexp_extract(content, r"(?is)\A(.*?)<tr\b[^>]*>.*?</tr\s*>", 1))
+        .when(kind == "code", F.regexp_extract(content, r"(?d)\A([^\n]*)", 1))
+        .when(bare, F.lit(""))
+        .otherwise(F.regexp_extract(content, rf"{MODES}\A((?:[^\n]*\n)+?{SEPARATOR})", 1))
     )
 
 
-def code_pieces(content: Column, max_size: int) -> Column:
-    """By lines, every piece fenced; a missing closing fence is supplied."""
-    opening = F.regexp_extract(content, r"(?d)\A([^\n]*)", 1)
-    mark = F.regexp_extract(opening, r"(`{3,}|~{3,})", 1)
+def _tail_of(content: Column, kind: Column) -> Column:
+    """What closes every piece."""
     last = F.regexp_extract(content, r"(?d)\n([^\n]*)\z", 1)
-    closes = (
-        F.rlike(last, F.lit(rf"(?U)\A{H}*(?:`{{3,}}|~{{3,}}){H}*\z"))
-        & (F.substring(T.strip(last), 1, 1) == F.substring(mark, 1, 1))
-        & (F.length(T.strip(last)) >= F.length(mark))
-        & F.rlike(T.strip(last), F.lit(r"\A(?:`+|~+)\z"))
+    mark = F.regexp_extract(content, r"\A\s*(`{3,}|~{3,})", 1)
+    bare = T.strip(last)
+    closes = F.rlike(bare, F.lit(r"\A(?:`{3,}|~{3,})\z")) & F.startswith(bare, mark)
+    return (
+        F.when(kind == "html", F.regexp_extract(content, r"(?is)\A.*<tr\b[^>]*>.*?</tr\s*>(.*)\z", 1))
+        .when((kind == "code") & closes, last)
+        .when(kind == "code", mark)
+        .otherwise(F.lit(""))
+    )
+
+
+def _table_pieces(x: Column, max_size: int) -> Column:
+    """By table rows with the header repeated; a table without a header or rows stays whole."""
+    return F.when((x["prefix"] == "") | (F.size(x["units"]) == 0), F.array(x["content"])).otherwise(
+        packed_rows(x["units"], x["prefix"], x["suffix"], "\n", max_size)
     )
-    lines = F.split(content, "\n", -1)
-    body = F.when(closes, F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 2, F.lit(0)))).otherwise(
-        F.slice(lines, F.lit(2), F.greatest(F.size(lines) - 1, F.lit(0)))
+
+
+def _html_pieces(x: Column, max_size: int) -> Column:
+    """By table rows; header rows are repeated and every piece is closed."""
+    return (
+        F.when(x["whole"], F.array(x["content"]))
+        .when(F.size(x["units"]) == 0, F.array(F.concat(x["prefix"], x["suffix"])))
+        .otherwise(packed_rows(x["units"], x["prefix"], x["suffix"], "", max_size))
+    )
+
+
+def _code_pieces(x: Column, max_size: int) -> Column:
+    """By lines, every piece fenced."""
+    return F.when(F.size(x["units"]) == 0, F.array(x["content"])).otherwise(
+        packed_rows(x["units"], x["prefix"], x["suffix"], "\n", max_size)
     )
-    closing = F.concat(F.lit("\n"), F.when(closes, last).otherwise(mark))
-    pieces = packed_rows(body, F.concat(opening, F.lit("\n")), closing, "\n", max_size)
-    return F.when(F.size(body) <= 0, F.array(content)).otherwise(pieces)
 
 
 def refined(blocks: Column, max_size: int, target: int, overlap: int) -> Column:
-    """Every block in pieces no longer than allowed, by the way of its kind."""
+    """Every block in pieces no longer than allowed, by the way of its kind.
+
+    Header, tail and units of a long block are worked out once per block, in two steps, before the
+    packing refers to them for every unit.
+    """
 
-    def one(b: Column) -> Column:
+    def prepare(b: Column) -> Column:
         content, kind = b["content"], b["context_type"]
-        pieces = (
-            F.when(F.length(content) <= max_size, F.array(content))
-            .when(kind == "text", text_pieces(content, max_size, target, overlap))
-            .when(kind == "code", code_pieces(content, max_size))
-            .when(F.contains(F.lower(content), F.lit("<table")), html_table_pieces(content, max_size))
-            .otherwise(pipe_table_pieces(content, max_size))
+        how = (
+            F.when(F.length(content) <= max_size, F.lit("short"))
+            .when(kind != "table", kind)
+            .when(F.contains(F.lower(content), F.lit("<table")), F.lit("html"))
+            .otherwise(F.lit("pipe"))
+        )
+        return F.struct(b.alias("b"), how.alias("how"))
+
+    def take_apart(p: Column) -> Column:
+        content, how = p["b"]["content"], p["how"]
+        none = F.lit("")
+        return F.struct(
+            p["b"].alias("b"),
+            how.alias("how"),
+            F.when(how == "short", none).otherwise(_header_of(content, how)).alias("header"),
+            F.when(how == "short", none).otherwise(_tail_of(content, how)).alias("tail"),
+            _units_of(content, how, target).alias("units"),
         )
+
+    def complete(x: Column) -> Column:
+        content, how, units = x["b"]["content"], x["how"], x["units"]
+        is_head = lambda r: F.contains(F.lower(r), F.lit("<th"))
+        # Data rows equal to a header row go as well, as they hold the same mark.
+        body = F.filter(units, lambda r: ~is_head(r))
+        rest = F.substring(content, F.length(x["header"]) + 2, F.length(content))
+        closed = F.element_at(units, -1) == x["tail"]
+        inner = F.slice(units, F.lit(2), F.greatest(F.size(units) - F.when(closed, 2).otherwise(1), F.lit(0)))
+        return F.struct(
+            content.alias("content"),
+            how.alias("how"),
+            x["b"].alias("b"),
+            F.when(how == "html", F.concat(x["header"], F.array_join(F.filter(units, is_head), "")))
+            .when(how == "code", F.concat(x["header"], F.lit("\n")))
+            .when((how == "pipe") & (x["header"] != ""), F.concat(x["header"], F.lit("\n")))
+            .otherwise(x["header"])
+            .alias("prefix"),
+            F.when(how == "code", F.concat(F.lit("\n"), x["tail"])).otherwise(x["tail"]).alias("suffix"),
+            F.when(how == "html", body)
+            .when(how == "code", inner)
+            .when((how == "pipe") & (rest != ""), F.split(rest, "\n", -1))
+            .otherwise(units)
+            .alias("units"),
+            ((how == "html") & (F.size(units) == 0)).alias("whole"),
+        )
+
+    def pieces(x: Column) -> Column:
+        cut = (
+            F.when(x["how"] == "short", F.array(x["content"]))
+            .when(x["how"] == "text", text_pieces(x, max_size, target, overlap))
+            .when(x["how"] == "code", _code_pieces(x, max_size))
+            .when(x["how"] == "html", _html_pieces(x, max_size))
+            .otherwise(_table_pieces(x, max_size))
+        )
+        b = x["b"]
         return F.transform(
-            pieces,
-            lambda p: F.struct(p.alias("content"), kind.alias("context_type"), b["path"].alias("path"), b["title"].alias("title")),
+            cut,
+            lambda p: F.struct(
+                p.alias("content"), b["context_type"].alias("context_type"), b["path"].alias("path"), b["title"].alias("title")
+            ),
         )
 
-    return F.flatten(F.transform(blocks, one))
+    stages = F.transform(F.transform(F.transform(blocks, prepare), take_apart), complete)
+    return F.flatten(F.transform(stages, pieces))
 
 
 def merged_short(blocks: Column, min_size: int, max_size: int) -> Column:
@@ -282,13 +352,14 @@ def merged_short(blocks: Column, min_size: int, max_size: int) -> Column:
 def heading_sections(docs: DataFrame, text: str = "md_content", title: str = "file_title") -> DataFrame:
     """One row per block of a document before any length rule."""
     rows = (
-        docs.withColumn("_parts", segments(F.col(text)))
+        spread(docs)
+        .withColumn("_parts", segments(F.col(text)))
         .withColumn("_parts", with_captions(F.col("_parts")))
         .withColumn("_blocks", with_paths(F.col("_parts"), F.col(title)))
     )
     return rows.select(
-        *[c for c in docs.columns if c != text], F.posexplode("_blocks").alias("block_index", "_b")
-    ).select(
+        *[c for c in docs.columns if c != text], F.posexplode_outer("_blocks").alias("block_index", "_b")
+    ).where("_b IS NOT NULL").select(
         "*",
         F.col("_b.content").alias("content"),
         F.col("_b.context_type").alias("context_type"),
@@ -310,7 +381,8 @@ def document_blocks(
     if not 0 <= overlap < min_size <= target <= max_size:
         raise ValueError("sizes must satisfy 0 <= overlap < min <= target <= max")
     rows = (
-        docs.withColumn("_parts", segments(F.col(text)))
+        spread(docs)
+        .withColumn("_parts", segments(F.col(text)))
         .withColumn("_parts", with_captions(F.col("_parts")))
         .withColumn("_blocks", with_paths(F.col("_parts"), F.col(title)))
         .withColumn("_blocks", refined(F.col("_blocks"), max_size, min(target, max_size), overlap))
@@ -318,8 +390,8 @@ def document_blocks(
         .withColumn("_blocks", F.filter("_blocks", lambda b: T.strip(b["content"]) != ""))
     )
     return rows.select(
-        *[c for c in docs.columns if c != text], F.posexplode("_blocks").alias("block_index", "_b")
-    ).select(
+        *[c for c in docs.columns if c != text], F.posexplode_outer("_blocks").alias("block_index", "_b")
+    ).where("_b IS NOT NULL").select(
         "*",
         T.strip(F.col("_b.content")).alias("content"),
         F.col("_b.context_type").alias("context_type"),

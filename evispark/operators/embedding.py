@@ -19,10 +19,14 @@ MIN_NORM = 1e-9
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, term, tf). One shuffle by ``key``; later steps per key reuse its partitioning."""
+    """(key, term, tf). The texts are shuffled by ``key`` before they are taken apart, which moves less
+    than the terms would; later steps per key reuse the partitioning."""
     return (
-        df.select(key, F.explode(T.words(F.col(text))).alias("term"))
+        df.select(key, text)
         .repartition(key)
+        # Outer, as the inner form adds a size test that would split every text twice.
+        .select(key, F.explode_outer(T.words(F.col(text))).alias("term"))
+        .where("term IS NOT NULL")
         .groupBy(key, "term")
         .agg(F.count("*").alias("tf"))
     )
