@@ -263,7 +263,7 @@ def gold_documents(spark, sf):
     docs = V.documents_with_metadata(spark, sf)
     runs = docs.select("document_id", words.alias("w")).where(F.size("w") >= SHINGLE).select(
         "document_id",
-        F.explode(
+        F.explode_outer(
             F.array_distinct(
                 F.transform(
                     F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")

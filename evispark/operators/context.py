@@ -111,7 +111,7 @@ def image_urls(df: DataFrame, group: str = "query_id") -> DataFrame:
         F.array().cast("array<string>")
     )
     found = F.concat(F.regexp_extract_all(F.coalesce("content", F.lit("")), F.lit(MARKDOWN_IMAGE), F.lit(1)), own)
-    spots = df.select(group, "rank", F.posexplode(F.transform(found, T.strip)).alias("pos", "image_url"))
+    spots = df.select(group, "rank", F.posexplode_outer(F.transform(found, T.strip)).alias("pos", "image_url"))
     firsts = first_per_key(spots.where("image_url <> ''"), [group, "image_url"], [F.asc("rank"), F.asc("pos")])
     return ranked(firsts, [group], [F.asc("rank"), F.asc("pos")], "image_no").select(group, "image_no", "image_url")
 

@@ -25,7 +25,9 @@ def valid(df: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
 
 def rejects(df: DataFrame, key: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
     """One row per broken rule."""
-    return check(df, rules, "_problems").select(*key, F.explode("_problems").alias("reason"))
+    # Outer, as an inner explosion would first test the size of the array and so judge every rule twice.
+    named = check(df, rules, "_problems").select(*key, F.explode_outer("_problems").alias("reason"))
+    return named.where("reason IS NOT NULL")
 
 
 def fail_fast(df: DataFrame, key: list[str], rules: list[tuple[str, Column]]) -> DataFrame:
