@@ -23,21 +23,27 @@ def referenced_images(docs: DataFrame, images: DataFrame, key: str = "document_i
     join key, so files and references meet in an equi-join.
     """
     marks = F.regexp_extract_all(F.col(text), F.lit(rf"({REFERENCE})"), F.lit(1))
+    whole, mark = F.col(text), F.col("mark")
+    at = F.position(mark, whole)
+    # The surroundings are cut before the join, so the whole text is not carried along with every reference.
     refs = (
         docs.select(key, text, F.posexplode_outer(marks).alias("pos", "mark"))
         .where("mark IS NOT NULL")
-        .withColumn("image_name", base_name(F.regexp_extract("mark", r"\]\(([^\n]*)\)$", 1)))
+        .select(
+            key,
+            "pos",
+            base_name(F.regexp_extract("mark", r"\]\(([^\n]*)\)$", 1)).alias("image_name"),
+            F.substring(
+                whole, F.greatest(at - CONTEXT_CHARS, F.lit(1)), F.least(at - 1, F.lit(CONTEXT_CHARS))
+            ).alias("before"),
+            F.substring(whole, at + F.length(mark), F.lit(CONTEXT_CHARS)).alias("after"),
+        )
     )
-    first = refs.join(supported_images(images), [key, "image_name"]).groupBy(key, "image_name").agg(
-        F.min_by(F.struct("mark", text), "pos").alias("r")
-    )
-    whole = F.col(f"r.{text}")
-    placed = first.withColumn("_at", F.position(F.col("r.mark"), whole))
-    return placed.select(
-        key,
-        "image_name",
-        F.substring(whole, F.greatest(F.col("_at") - CONTEXT_CHARS, F.lit(1)), F.least(F.col("_at") - 1, F.lit(CONTEXT_CHARS))).alias("before"),
-        F.substring(whole, F.col("_at") + F.length("r.mark"), F.lit(CONTEXT_CHARS)).alias("after"),
+    return (
+        refs.join(supported_images(images), [key, "image_name"])
+        .groupBy(key, "image_name")
+        .agg(F.min_by(F.struct("before", "after"), "pos").alias("r"))
+        .select(key, "image_name", "r.before", "r.after")
     )
 
 
