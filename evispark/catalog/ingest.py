@@ -424,3 +424,15 @@ def markdown_chunks(spark, sf):
     return chunk_documents(docs).select(
         "doc_id", "chunk_id", "chunk_index", "context_type", "section_title", "content", "token_count"
     )
+
+
+@query("import_records", "C11,V1,U3,P12,P13")
+def import_records(spark, sf):
+    """The whole import: described, chunked, embedded and validated documents."""
+    from evispark.plans.ingest import chunk_records
+
+    docs = markdown_documents(spark, sf).select(
+        F.concat(F.lit("/in/"), "file_title", F.lit(".md")).alias("path"), "file_title", "md_content"
+    )
+    records, _ = chunk_records(docs)
+    return records.select("chunk_id", "document_id", "chunk_index", "context_type", "token_count", F.size("sparse_vector").alias("n_sparse"))

@@ -1,14 +1,19 @@
 """Text to sparse and dense vectors.
 
 The default encoder needs no model: term weights for the sparse side, signed feature hashing for the
-dense side. ``encode_with`` runs a real model behind the same output columns.
+dense side, either as columns or as a batch encoder. A real model plugs in as another batch encoder.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +21,7 @@ from evispark.functions import text as T
 
 HASH_DIM = 64
 MIN_NORM = 1e-9
+WORD_PATTERN = T.WORD_PATTERN
 
 
 def term_counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -95,30 +101,78 @@ def csr_row(indices: Column, data: Column, start: Column, end: Column) -> Column
     return F.map_from_arrays(F.slice(indices, start + 1, size), F.slice(data, start + 1, size))
 
 
-def encode_with(
-    df: DataFrame, key: str, text: str, load: Callable[[], Callable[[list[str]], tuple[list, list]]], batch: int = 5
-) -> DataFrame:
-    """Run a model over the texts: ``load`` is called once per Python worker and returns a batch encoder.
-
-    The encoder maps a list of texts to (dense vectors, sparse dicts); a count mismatch fails the task.
+def hashing_encoder(dim: int = HASH_DIM) -> Callable[[list[str]], tuple[list, list]]:
+    """The offline encoder for one worker: same vectors as ``sparse_postings`` and ``hashed_dense``."""
+    word = regex.compile(WORD_PATTERN)
+    known: dict[str, tuple[int, int, float]] = {}
+
+    def place(term: str) -> tuple[int, int, float]:
+        found = known.get(term)
+        if found is None:
+            digest = hashlib.sha256(term.encode()).hexdigest()
+            found = (int(digest[:8], 16) % dim, int(digest[:7], 16), -1.0 if int(digest[8], 16) % 2 else 1.0)
+            if len(known) < 200_000:
+                known[term] = found
+        return found
+
+    def encode(texts: list[str]) -> tuple[list, list]:
+        dense, sparse = [], []
+        for text in texts:
+            counts = Counter(word.findall((text or "").lower()))
+            weights = {term: 1.0 + math.log(n) for term, n in counts.items()}
+            length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
+            vector = np.zeros(dim)
+            slots: dict[int, float] = {}
+            for term, weight in weights.items():
+                bucket, slot, sign = place(term)
+                vector[bucket] += sign * weight
+                slots[slot] = slots.get(slot, 0.0) + weight / length
+            size = float(np.linalg.norm(vector))
+            dense.append(vector / size if size >= MIN_NORM else vector)
+            sparse.append(slots)
+        return dense, sparse
+
+    return encode
+
+
+def encoder(load: Callable[[], Callable[[list[str]], tuple[list, list]]] = hashing_encoder, batch: int = 5):
+    """A text encoder as a column function giving struct<dense, slots, weights>.
+
+    ``load`` runs once per Python worker and returns a function from texts to (dense vectors, sparse
+    dicts); it sees ``batch`` texts at a time. Another number of vectors than texts fails the task.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = load()
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                dense, sparse = encoder(part["text"].tolist())
-                if len(dense) != len(part) or len(sparse) != len(part):
+    @F.pandas_udf("dense array<float>, slots array<int>, weights array<float>")
+    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            dense: list = []
+            sparse: list = []
+            for at in range(0, len(texts), batch):
+                part = texts.iloc[at : at + batch].tolist()
+                more_dense, more_sparse = model(part)
+                if len(more_dense) != len(part) or len(more_sparse) != len(part):
                     raise ValueError("encoder returned another number of vectors than texts")
-                yield pd.DataFrame(
-                    {
-                        "key": part["key"].tolist(),
-                        "dense_vector": [list(map(float, v)) for v in dense],
-                        "sparse_vector": [{int(k): float(w) for k, w in v.items()} for v in sparse],
-                    }
-                )
-
-    source = df.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"))
-    schema = "key string, dense_vector array<float>, sparse_vector map<int,float>"
-    return source.mapInPandas(run, schema).withColumnRenamed("key", key)
+                dense.extend(more_dense)
+                sparse.extend(more_sparse)
+            yield pd.DataFrame(
+                {
+                    "dense": [np.asarray(v, dtype=np.float32) for v in dense],
+                    "slots": [np.fromiter(v.keys(), dtype=np.int32, count=len(v)) for v in sparse],
+                    "weights": [np.fromiter(v.values(), dtype=np.float32, count=len(v)) for v in sparse],
+                }
+            )
+
+    # Marked so that no filter above it is pushed down with a second run of the model.
+    return encode.asNondeterministic()
+
+
+def with_vectors(df: DataFrame, text: str, encode=None) -> DataFrame:
+    """Add dense_vector and sparse_vector; a narrow step, so texts never leave their partition."""
+    encode = encode or encoder()
+    rows = df.withColumn("_v", encode(F.col(text)))
+    return (
+        rows.withColumn("dense_vector", F.col("_v.dense"))
+        .withColumn("sparse_vector", F.map_from_arrays("_v.slots", "_v.weights"))
+        .drop("_v")
+    )

@@ -6,13 +6,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.ranking import top_k
 
 SCORE_DIGITS = 9
-QUERY_BLOCK = 512
+QUERY_BLOCK = 50_000
+CELLS = 2_000_000
+PAIR_SLICE = 2_000_000
 NATIONWIDE = "全国"
 
 
@@ -27,38 +30,6 @@ def allowed(filters: Column, document_type: Column, region_names: Column) -> Col
     return type_ok & region_ok
 
 
-def sparse_top_k(
-    query_postings: DataFrame, chunk_postings: DataFrame, k: int, eligible: DataFrame | None = None
-) -> DataFrame:
-    """Inner product over shared terms.
-
-    The term join keeps the partitioning by ``chunk_id`` when the query side is small enough to be
-    broadcast, so the sum needs no further shuffle and only ``k`` rows per query leave a partition.
-    ``eligible`` (query_id, chunk_id) restricts the candidates before the cut.
-    """
-    q = query_postings.select("query_id", "term", F.col("weight").alias("q_weight"))
-    scored = (
-        chunk_postings.join(q, "term")
-        .groupBy("query_id", "chunk_id")
-        .agg(F.round(F.sum(F.col("q_weight") * F.col("weight")), SCORE_DIGITS).alias("score"))
-    )
-    if eligible is not None:
-        scored = scored.join(eligible, ["query_id", "chunk_id"], "left_semi")
-    return top_k(scored, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
-
-
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row per Arrow batch: ids and the vectors laid end to end."""
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        columns = []
-        for column in batch.columns:
-            values = column.flatten() if pa.types.is_list(column.type) else column
-            columns.append(pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values))
-        yield pa.RecordBatch.from_arrays(columns, names=["ids", "groups", "values"])
-
-
 def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int):
     """Keep the k best rows of every query: score first, then the smaller id."""
     order = np.lexsort((chunk, -score, query))
@@ -69,72 +40,201 @@ def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int):
     return query[keep], chunk[keep], score[keep]
 
 
-def _block_scores(k: int):
+def _dense_scores(part: pa.RecordBatch, q_dense: np.ndarray) -> np.ndarray:
+    values = part.column("dense").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return q_dense @ values.reshape(part.num_rows, -1).T
+
+
+def _sparse_scores(part: pa.RecordBatch, q_terms: pa.Array, q_bounds, q_at, q_weights, n_queries: int) -> np.ndarray:
+    """Sum of weight products over shared terms; -inf where a pair shares none."""
+    n = part.num_rows
+    out = np.zeros(n_queries * n)
+    lengths = part.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+    term = pc.index_in(part.column("terms").flatten(), value_set=q_terms).fill_null(-1).to_numpy(zero_copy_only=False)
+    weight = part.column("weights").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    row = np.repeat(np.arange(n), lengths)
+    known = term >= 0
+    term, weight, row = term[known], weight[known], row[known]
+    fan = q_bounds[term + 1] - q_bounds[term]
+    # Each shared term meets all queries that hold it; done in slices of bounded size.
+    ends = np.cumsum(fan)
+    cuts = np.unique(np.r_[0, np.searchsorted(ends, np.arange(PAIR_SLICE, ends[-1], PAIR_SLICE)) if len(ends) else [], len(term)])
+    for lo, hi in zip(cuts[:-1].astype(int), cuts[1:].astype(int)):
+        f = fan[lo:hi]
+        spot = np.arange(f.sum()) - np.repeat(np.cumsum(f) - f, f) + np.repeat(q_bounds[term[lo:hi]], f)
+        cell = q_at[spot] * n + np.repeat(row[lo:hi], f)
+        out += np.bincount(cell, weights=q_weights[spot] * np.repeat(weight[lo:hi], f), minlength=len(out))
+    scores = out.reshape(n_queries, n)
+    scores[scores <= 0] = -np.inf
+    return scores
+
+
+class _QueryBlock:
+    """The queries a partition searches for, in matrix form."""
+
+    def __init__(self, rows: pa.Table, arms: tuple[str, ...]):
+        self.ids = np.asarray(rows.column("id").to_pylist(), dtype=object)
+        self.only = rows.column("only").to_pylist()
+        self.limited = [i for i, groups in enumerate(self.only) if groups is not None]
+        if "dense" in arms:
+            flat = np.asarray([v for row in rows.column("dense").to_pylist() for v in row], dtype=np.float64)
+            self.dense = flat.reshape(len(self.ids), -1)
+        if "sparse" in arms:
+            lists = rows.column("terms").combine_chunks()
+            if isinstance(lists, pa.ChunkedArray):
+                lists = lists.chunk(0)
+            weights = rows.column("weights").combine_chunks()
+            if isinstance(weights, pa.ChunkedArray):
+                weights = weights.chunk(0)
+            flat = lists.flatten()
+            self.terms = pc.unique(flat)
+            term = pc.index_in(flat, value_set=self.terms).to_numpy(zero_copy_only=False)
+            at = np.repeat(np.arange(len(self.ids)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            order = np.argsort(term, kind="stable")
+            self.bounds = np.searchsorted(term[order], np.arange(len(self.terms) + 1))
+            self.at = at[order]
+            self.weights = weights.flatten().to_numpy(zero_copy_only=False).astype(np.float64)[order]
+
+    def scores(self, part: pa.RecordBatch, arm: str) -> np.ndarray:
+        if arm == "dense":
+            found = _dense_scores(part, self.dense)
+        else:
+            found = _sparse_scores(part, self.terms, self.bounds, self.at, self.weights, len(self.ids))
+        if self.limited:
+            group = np.asarray(part.column("group").to_pylist(), dtype=object)
+            for i in self.limited:
+                found[i, ~np.isin(group, self.only[i])] = -np.inf
+        return np.round(found, SCORE_DIGITS)
+
+
+def _search_partition(k: int, arms: tuple[str, ...]):
+    """Rows come as (block, queries first, then chunks); only k rows per query and arm leave."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        block_no, waiting, block, held, floors = None, [], None, {}, {}
+
+        def results():
+            for arm, (query, chunk, score) in held.items():
+                ids = block.ids[query]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([arm] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(chunk, pa.string()), pa.array(score, pa.float64())],
+                    names=["arm", "query_id", "chunk_id", "score"],
+                )
+
         for batch in batches:
-            for row in range(batch.num_rows):
-                ids = np.asarray(batch.column("ids")[row].values.to_pylist(), dtype=object)
-                groups = np.asarray(batch.column("groups")[row].values.to_pylist(), dtype=object)
-                values = batch.column("values")[row].values.to_numpy(zero_copy_only=False)
-                matrix = values.astype(np.float64).reshape(len(ids), -1)
-                queries = batch.column("queries")[row].values
-                q_ids = np.asarray(queries.field("query_id").to_pylist(), dtype=object)
-                q_values = queries.field("vector").flatten().to_numpy(zero_copy_only=False)
-                q_matrix = q_values.astype(np.float64).reshape(len(q_ids), -1)
-                scores = np.round(q_matrix @ matrix.T, SCORE_DIGITS)
-                limits = queries.field("only").to_pylist()
-                if any(limit is not None for limit in limits):
-                    for at, limit in enumerate(limits):
-                        if limit is not None:
-                            scores[at, ~np.isin(groups, limit)] = -np.inf
-                if scores.shape[1] > k:
-                    bar = np.partition(scores, -k, axis=1)[:, -k][:, None]
-                    q_at, c_at = np.nonzero((scores >= bar) & (scores > -np.inf))
-                else:
-                    q_at, c_at = np.nonzero(scores > -np.inf)
-                found = (q_ids[q_at], ids[c_at], scores[q_at, c_at])
-                if held is not None:
-                    found = tuple(np.concatenate(pair) for pair in zip(held, found))
-                if len(found[0]):
-                    held = _best(*found, k)
-        if held is not None and len(held[0]):
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(held[0], pa.string()), pa.array(held[1], pa.string()), pa.array(held[2], pa.float64())],
-                names=["query_id", "chunk_id", "score"],
-            )
+            if not batch.num_rows:
+                continue
+            blk = batch.column("blk").to_numpy(zero_copy_only=False)
+            kind = batch.column("kind").to_numpy(zero_copy_only=False)
+            turns = np.flatnonzero((np.diff(blk) != 0) | (np.diff(kind) != 0)) + 1
+            for lo, hi in zip(np.r_[0, turns], np.r_[turns, batch.num_rows]):
+                part = batch.slice(int(lo), int(hi - lo))
+                if blk[lo] != block_no:
+                    if block is not None:
+                        yield from results()
+                    block_no, waiting, block, held, floors = blk[lo], [], None, {}, {}
+                if kind[lo] == 0:
+                    waiting.append(part)
+                    continue
+                if block is None:
+                    if not waiting:
+                        continue
+                    block = _QueryBlock(pa.Table.from_batches(waiting), arms)
+                    waiting = []
+                    floors = {arm: np.full(len(block.ids), -np.inf) for arm in arms}
+                step = max(1, CELLS // len(block.ids))
+                for start in range(0, part.num_rows, step):
+                    piece = part.slice(start, step)
+                    for arm in arms:
+                        scores = block.scores(piece, arm)
+                        bar = floors[arm][:, None]
+                        if scores.shape[1] > k:
+                            bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k][:, None])
+                        query, at = np.nonzero((scores >= bar) & (scores > -np.inf))
+                        if not len(query):
+                            continue
+                        ids = np.asarray(piece.column("id").take(pa.array(at)).to_pylist(), dtype=object)
+                        found = (query, ids, scores[query, at])
+                        if arm in held:
+                            found = tuple(np.concatenate(pair) for pair in zip(held[arm], found))
+                        held[arm] = _best(*found, k)
+                        query, _, score = held[arm]
+                        full = np.bincount(query, minlength=len(block.ids)) >= k
+                        lowest = np.full(len(block.ids), np.inf)
+                        np.minimum.at(lowest, query, score)
+                        floors[arm] = np.where(full, lowest, -np.inf)
+        if block is not None:
+            yield from results()
 
     return run
 
 
-def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int, block: int = QUERY_BLOCK) -> DataFrame:
-    """Exact inner-product top-k without row pairs.
+def search(queries: DataFrame, chunks: DataFrame, k: int, arms: tuple[str, ...] = ("dense", "sparse")) -> DataFrame:
+    """Exact inner-product top-k per arm for a batch of queries: arm, query_id, chunk_id, score, rank.
 
-    ``queries``: query_id, vector, optional ``only`` (array of chunk groups allowed before the cut).
-    ``chunks``: chunk_id, vector, optional ``group``. Queries are packed into blocks of bounded size,
-    chunk batches meet every block through an equi-join on the block number, and one matrix product per
-    pair keeps ``k`` rows per query. Spark picks the join: broadcast for few blocks, shuffle beyond.
+    ``queries``: query_id, and per arm ``dense`` or ``terms`` and ``weights``; optional ``only``, the chunk
+    groups allowed before the cut. ``chunks``: chunk_id, the same vectors, optional ``group``.
+
+    Chunks are hashed over the partitions and every partition gets a copy of the query vectors, so each
+    chunk is moved once and no (query, chunk) pair ever becomes a row: a partition scores its chunks in
+    blocks and hands on k rows per query. Beyond ``QUERY_BLOCK`` queries the batch is cut into blocks
+    that each partition works off one after the other, which bounds what a task holds.
     """
-    only = F.col("only") if "only" in queries.columns else F.lit(None).cast("array<string>")
-    group = F.col("group").cast("string") if "group" in chunks.columns else F.lit(None).cast("string")
-    q = queries.select(F.col("query_id").cast("string").alias("query_id"), "vector", only.alias("only"))
-    n_blocks = q.select(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("n")).scalar()
-    blocks = (
-        q.withColumn("block", F.pmod(F.xxhash64("query_id"), n_blocks).cast("int"))
-        .groupBy("block")
-        .agg(F.collect_list(F.struct("query_id", "vector", "only")).alias("queries"))
+    spark = queries.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    none = lambda kind: F.lit(None).cast(kind)
+    term_kind = chunks.schema["terms"].dataType.simpleString() if "sparse" in arms else "array<int>"
+
+    def shaped(df: DataFrame, key: str, kind: int) -> DataFrame:
+        has = lambda name, kind: F.col(name).cast(kind).alias(name) if name in df.columns else none(kind).alias(name)
+        return df.select(
+            F.lit(kind).alias("kind"),
+            F.col(key).cast("string").alias("id"),
+            has("group", "string"),
+            has("only", "array<string>"),
+            (has("dense", "array<float>") if "dense" in arms else none("array<float>").alias("dense")),
+            (has("terms", term_kind) if "sparse" in arms else none(term_kind).alias("terms")),
+            (has("weights", "array<double>") if "sparse" in arms else none("array<double>").alias("weights")),
+        )
+
+    n_blocks = queries.select(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("int").alias("n")).scalar()
+    q = (
+        shaped(queries, "query_id", 0)
+        .withColumn("blk", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
+        .withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     )
-    vectors = chunks.select(F.col("chunk_id").cast("string"), group.alias("group"), F.col("vector"))
-    kind = vectors.schema["vector"].dataType.simpleString()
-    packed = vectors.mapInArrow(_pack, f"ids array<string>, groups array<string>, values {kind}")
-    met = (
-        packed.withColumn("n", n_blocks)
-        .withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .join(blocks, "block")
-        .select("ids", "groups", "values", "queries")
+    c = (
+        shaped(chunks, "chunk_id", 1)
+        .withColumn("n", n_blocks)
+        .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+        .withColumn("pid", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int"))
+        .drop("n")
     )
-    partial = met.mapInArrow(_block_scores(k), "query_id string, chunk_id string, score double")
-    return top_k(partial, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    met = q.unionByName(c).repartitionById(width, "pid").sortWithinPartitions("blk", "kind").drop("pid")
+    partial = met.mapInArrow(_search_partition(k, arms), "arm string, query_id string, chunk_id string, score double")
+    return top_k(partial, ["arm", "query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+
+
+def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
+    """``queries``: query_id, vector; ``chunks``: chunk_id, vector."""
+    found = search(
+        queries.withColumnRenamed("vector", "dense"), chunks.withColumnRenamed("vector", "dense"), k, ("dense",)
+    )
+    return found.drop("arm")
+
+
+def gathered(postings: DataFrame, key: str) -> DataFrame:
+    """(key, term, weight) rows as one row per key. The partitioning by key is kept."""
+    cells = F.collect_list(F.struct("term", "weight"))
+    return postings.groupBy(key).agg(cells.alias("_c")).select(
+        key, F.col("_c.term").alias("terms"), F.col("_c.weight").alias("weights")
+    )
+
+
+def sparse_top_k(query_postings: DataFrame, chunk_postings: DataFrame, k: int) -> DataFrame:
+    """Inner product over shared terms, both sides as (id, term, weight) rows."""
+    found = search(gathered(query_postings, "query_id"), gathered(chunk_postings, "chunk_id"), k, ("sparse",))
+    return found.drop("arm")
 
 
 def unit_score(score: Column) -> Column:

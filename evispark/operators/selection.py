@@ -46,7 +46,8 @@ def pair_scorer(load: Callable[[], Callable[[list[str], list[str]], list[float]]
                 raise ValueError("scorer returned another number of scores than pairs")
             yield pd.Series(scores, dtype="float64")
 
-    return score
+    # Marked so that no filter above it is pushed down with a second run of the model.
+    return score.asNondeterministic()
 
 
 def score_ranked(df: DataFrame, score: Column, group: str = "query_id") -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -51,6 +52,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a costly column that is worked out exactly once per row.
+
+    The optimiser copies a plain column into every filter that refers to it; it does not look through
+    an explosion, so the value passes through one of a single element.
+    """
+    return df.select("*", F.explode_outer(F.array(value)).alias(name))
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for row-wise heavy work when the scan has fewer splits than the cluster has cores.
 
