@@ -50,6 +50,16 @@ def _dense_sql(name: str, postings: str, key: str) -> str:
   LEFT JOIN {name}_unit USING ({key}, b) GROUP BY {key})"""
 
 
+# Sparse vectors as stored: hashed terms with single-precision weights.
+SLOTS_SQL = """qunit AS (SELECT query_id, term, (1 + ln(tf)) / sqrt(sum((1 + ln(tf)) * (1 + ln(tf))) OVER (PARTITION BY query_id)) AS w FROM qtoks),
+cslots AS (SELECT chunk_id, ('0x' || substr(sha256(term), 1, 7))::BIGINT AS slot, sum(w)::FLOAT AS w FROM postings GROUP BY ALL),
+qslots AS (SELECT query_id, ('0x' || substr(sha256(term), 1, 7))::BIGINT AS slot, sum(w)::FLOAT AS w FROM qunit GROUP BY ALL),
+sparse AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (
+    SELECT query_id, chunk_id, round(sum(q.w::DOUBLE * c.w::DOUBLE), 9) AS score FROM qslots q JOIN cslots c USING (slot) GROUP BY ALL))
+  WHERE rank <= 20)"""
+QTOKS_SQL = QUERY_WEIGHTS_SQL.split("),\ndfs AS")[0] + ")"
+
 DENSE_SQL = (
     "qplain AS (SELECT query_id, term, (1 + ln(tf)) AS w FROM qtoks), "
     + _dense_sql("qdense", "qplain", "query_id")
@@ -80,7 +90,7 @@ rrf AS (
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen)::INT AS rank FROM fused) WHERE rank <= 12)"""
 
 FULL_SQL = "WITH " + ", ".join(
-    [V.CHUNKS_SQL, POSTINGS_SQL, FORMS_SQL, QUERY_WEIGHTS_SQL, SPARSE_SQL, DENSE_SQL, HYBRID_SQL, RRF_SQL]
+    [V.CHUNKS_SQL, POSTINGS_SQL, FORMS_SQL, QTOKS_SQL, SLOTS_SQL, DENSE_SQL, HYBRID_SQL, RRF_SQL]
 )
 
 
@@ -214,7 +224,8 @@ def sparse_vector_normalisation(spark, sf):
 )
 def weighted_hybrid_fusion(spark, sf):
     arms = V.arm_lists(spark, sf).groupBy("query_id", "chunk_id", "list_no").agg(F.max("score").alias("score"))
-    return R.weighted_hybrid(arms.where("list_no = 0"), arms.where("list_no = 1"), 0.6, 0.4, 10)
+    arm = F.when(F.col("list_no") == 0, F.lit("dense")).otherwise(F.lit("sparse"))
+    return R.weighted_hybrid(arms.withColumn("arm", arm), 0.6, 0.4, 10)
 
 
 RRF_LISTS_SQL = (

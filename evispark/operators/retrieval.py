@@ -183,7 +183,9 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, arms: tuple[str, ...]
     spark = queries.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = lambda kind: F.lit(None).cast(kind)
-    term_kind = chunks.schema["terms"].dataType.simpleString() if "sparse" in arms else "array<int>"
+    term_kind, weight_kind = (
+        chunks.schema[c].dataType.simpleString() if "sparse" in arms else "array<int>" for c in ("terms", "weights")
+    )
 
     def shaped(df: DataFrame, key: str, kind: int) -> DataFrame:
         has = lambda name, kind: F.col(name).cast(kind).alias(name) if name in df.columns else none(kind).alias(name)
@@ -194,7 +196,7 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, arms: tuple[str, ...]
             has("only", "array<string>"),
             (has("dense", "array<float>") if "dense" in arms else none("array<float>").alias("dense")),
             (has("terms", term_kind) if "sparse" in arms else none(term_kind).alias("terms")),
-            (has("weights", "array<double>") if "sparse" in arms else none("array<double>").alias("weights")),
+            (has("weights", weight_kind) if "sparse" in arms else none(weight_kind).alias("weights")),
         )
 
     n_blocks = queries.select(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("int").alias("n")).scalar()
@@ -242,10 +244,10 @@ def unit_score(score: Column) -> Column:
     return 0.5 + F.atan(score) / F.lit(float(np.pi))
 
 
-def weighted_hybrid(dense: DataFrame, sparse: DataFrame, w_dense: float, w_sparse: float, k: int) -> DataFrame:
-    """Weighted sum of both arms; a chunk missing from an arm gets nothing from it."""
-    arms = dense.select("query_id", "chunk_id", (F.lit(w_dense) * unit_score(F.col("score"))).alias("part")).unionByName(
-        sparse.select("query_id", "chunk_id", (F.lit(w_sparse) * unit_score(F.col("score"))).alias("part"))
+def weighted_hybrid(found: DataFrame, w_dense: float, w_sparse: float, k: int) -> DataFrame:
+    """Weighted sum of both arms (arm, query_id, chunk_id, score); a chunk missing from an arm gets nothing from it."""
+    weight = F.when(F.col("arm") == "dense", F.lit(w_dense)).otherwise(F.lit(w_sparse))
+    fused = found.groupBy("query_id", "chunk_id").agg(
+        F.round(F.sum(weight * unit_score(F.col("score"))), SCORE_DIGITS).alias("score")
     )
-    fused = arms.groupBy("query_id", "chunk_id").agg(F.round(F.sum("part"), SCORE_DIGITS).alias("score"))
     return top_k(fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)

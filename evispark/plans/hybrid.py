@@ -9,6 +9,7 @@ from evispark.functions import text as T
 from evispark.operators import embedding as E
 from evispark.operators import retrieval as R
 from evispark.operators.fusion import reciprocal_rank_fusion
+from evispark.session import spread
 
 # The balanced preset.
 BALANCED = {
@@ -46,20 +47,17 @@ def query_forms(queries: DataFrame) -> DataFrame:
     )
 
 
-def search_forms(forms: DataFrame, chunks: DataFrame, config: dict = BALANCED) -> DataFrame:
-    """Both vector arms for every query form: query_id, chunk_id, score, rank."""
-    postings = E.sparse_postings(chunks, "chunk_id", "content")
-    n_chunks = chunks.select(F.count("*").alias("n")).scalar()
-    weights = E.query_postings(forms, "query_id", "text", postings, n_chunks)
-    sparse = R.sparse_top_k(weights, postings, config["ann_limit"])
-    dense = R.dense_top_k(
-        E.hashed_dense(E.sparse_postings(forms, "query_id", "text"), "query_id"),
-        E.hashed_dense(postings, "chunk_id"),
-        config["ann_limit"],
-    )
-    return R.weighted_hybrid(
-        dense, sparse, config["dense_weight"], config["sparse_weight"], config["search_top_k"]
-    )
+def search_forms(forms: DataFrame, chunks: DataFrame, config: dict = BALANCED, encode=None) -> DataFrame:
+    """Both vector arms for every query form: query_id, chunk_id, score, rank.
+
+    ``chunks`` may bring stored vectors (dense, terms, weights); else its content is encoded here, one
+    narrow step in front of the only large shuffle.
+    """
+    stored = {"dense", "terms", "weights"} <= set(chunks.columns)
+    vectors = chunks if stored else E.search_vectors(spread(chunks.select("chunk_id", "content")), "chunk_id", "content", encode)
+    asked = E.search_vectors(forms.select("query_id", "text"), "query_id", "text", encode)
+    found = R.search(asked, vectors, config["ann_limit"])
+    return R.weighted_hybrid(found, config["dense_weight"], config["sparse_weight"], config["search_top_k"])
 
 
 def hybrid_retrieval(queries: DataFrame, chunks: DataFrame, config: dict = BALANCED) -> DataFrame:
