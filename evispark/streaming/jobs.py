@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from evispark.operators.events import WINDOW_SECONDS, micros
 
@@ -36,55 +37,45 @@ def request_rates(requests: DataFrame, slide_seconds: int = 1, seconds: int = WI
     )
 
 
-class TaskProgress(StatefulProcessor):
-    """Running and done nodes and the status of one task."""
+def _advance(ttl_ms: int):
+    """Fold the new events of one task into its running nodes, done nodes and status."""
 
-    STATE = "running array<string>, done array<string>, status string"
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("progress", self.STATE, ttlDurationMs=STATE_TTL_MS)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.state.get() if self.state.exists() else ([], [], "")
-        running, done, status = list(held[0] or []), list(held[1] or []), held[2] or ""
-        cleared = False
-        batch = pd.concat(list(rows)).sort_values("seq")
-        for node, action, new_status in zip(batch["node"], batch["action"], batch["status"]):
+    def advance(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        held = state.get if state.exists else ([], [], "", 0)
+        running, done, status, last = list(held[0]), list(held[1]), held[2], held[3]
+        batch = pd.concat(list(frames)).sort_values("seq")
+        for seq, node, action, said in zip(batch["seq"], batch["node"], batch["action"], batch["status"]):
+            last = int(seq)
             if action == "clear":
-                running, done, status, cleared = [], [], "", True
-                continue
-            cleared = False
-            if action == "start" and node not in running:
+                running, done, status = [], [], ""
+            elif action == "status":
+                status = said
+            elif action == "start" and node not in running:
                 running.append(node)
             elif action == "done":
                 running = [n for n in running if n != node]
-                if node not in done:
-                    done.append(node)
-            elif action == "status":
-                status = new_status
-        if cleared:
-            self.state.clear()
-        else:
-            self.state.update((running, done, status))
+                done = done if node in done else [*done, node]
+        state.update((running, done, status, last))
+        newest = int(batch["ts"].max().timestamp() * 1000)
+        state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(
-            {
-                "task_id": [key[0]],
-                "running_list": [running],
-                "done_list": [done],
-                "status": [status],
-                "last_seq": [int(batch["seq"].max())],
-            }
+            {"task_id": [key[0]], "running_list": [running], "done_list": [done], "status": [status], "last_seq": [last]}
         )
 
-    def close(self) -> None:
-        pass
+    return advance
 
 
-def task_progress(events: DataFrame) -> DataFrame:
-    """One row per task and micro-batch with its state after the batch. Needs the RocksDB state store."""
-    schema = "task_id long, running_list array<string>, done_list array<string>, status string, last_seq long"
-    return events.groupBy("task_id").transformWithStateInPandas(
-        statefulProcessor=TaskProgress(), outputStructType=schema, outputMode="Update", timeMode="ProcessingTime"
+def task_progress(events: DataFrame, ttl_ms: int = STATE_TTL_MS) -> DataFrame:
+    """One row per task and micro-batch with its state after the batch."""
+    out = "task_id long, running_list array<string>, done_list array<string>, status string, last_seq long"
+    held = "running array<string>, done array<string>, status string, last long"
+    timed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", LATENESS)
+    # Event time, as a processing-time timeout would keep an availableNow run going for ever.
+    return timed.groupBy("task_id").applyInPandasWithState(
+        _advance(ttl_ms), out, held, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 

@@ -34,9 +34,9 @@ def test_task_progress_matches_batch(spark, sf, paths):
     bound = events.select(F.percentile("seq", F.lit(0.5))).first()[0]
     events.where(F.col("seq") <= bound).coalesce(1).write.parquet(paths("in"))
     source = J.read_events(spark, paths("in"), events.schema, 1)
-    collect_stream(J.task_progress(source), paths("ck"))
+    collect_stream(J.task_progress(source, 90 * J.STATE_TTL_MS), paths("ck"))
     events.where(F.col("seq") > bound).coalesce(1).write.mode("append").parquet(paths("in"))
-    later = {r.task_id: r for r in collect_stream(J.task_progress(source), paths("ck"))}
+    later = {r.task_id: r for r in collect_stream(J.task_progress(source, 90 * J.STATE_TTL_MS), paths("ck"))}
     want = {r.task_id: r for r in B.task_progress(events).collect()}
     assert later
     for task, row in later.items():
