@@ -11,6 +11,7 @@ MAX_REQUESTS = 3000
 TASK_STATES = ("queued", "running", "succeeded", "failed")
 ALLOWED_STEPS = (("queued", "running"), ("queued", "failed"), ("running", "succeeded"), ("running", "failed"))
 MAX_RETRIES = 3
+SLICE_SECONDS = 86_400
 
 
 def micros(ts: str) -> Column:
@@ -97,13 +98,35 @@ def session_answers(events: DataFrame) -> DataFrame:
     )
 
 
+def with_previous(events: DataFrame, key: list[str], columns: list[str], slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """Add ``previous``, the struct of ``columns`` of the event before, per key by (ts, seq).
+
+    A key may hold a large share of all events, so its history is cut into time slices: the window runs
+    per key and slice, and the last event of the slice before is handed over from an aggregate that has
+    one row per key and slice.
+    """
+    at = [*key, "_slice"]
+    sliced = events.withColumn("_slice", F.floor(micros("ts") / (slice_seconds * 1_000_000)))
+    value = F.struct(*columns)
+    near = F.lag(value).over(Window.partitionBy(*at).orderBy("ts", "seq"))
+    ends = sliced.groupBy(*at).agg(F.max_by(value, F.struct("ts", "seq")).alias("_end"))
+    carried = ends.select(*at, F.lag("_end").over(Window.partitionBy(*key).orderBy("_slice")).alias("_carried"))
+    return (
+        sliced.withColumn("_near", near)
+        .join(carried, at)
+        .withColumn("previous", F.coalesce("_near", "_carried"))
+        .drop("_slice", "_near", "_carried")
+    )
+
+
 def step_durations(events: DataFrame) -> DataFrame:
     """Finish events paired with the start right before them in the same trace and step.
 
     ``events``: trace_id, step, ts, kind (start, finish, fail), seq.
     """
-    w = Window.partitionBy("trace_id", "step").orderBy("ts", "seq")
-    paired = events.withColumn("_kind", F.lag("kind").over(w)).withColumn("_ts", F.lag("ts").over(w))
+    paired = with_previous(events, ["trace_id", "step"], ["kind", "ts"]).select(
+        "*", F.col("previous.kind").alias("_kind"), F.col("previous.ts").alias("_ts")
+    )
     return paired.where(F.col("kind").isin("finish", "fail") & (F.col("_kind") == "start")).select(
         "trace_id",
         "step",
@@ -123,8 +146,9 @@ def latest_status(events: DataFrame, key: str = "task_id") -> DataFrame:
 
 def illegal_transitions(events: DataFrame, key: str = "task_id", allowed=ALLOWED_STEPS, first: str = "queued") -> DataFrame:
     """Status changes outside the allowed pairs; a task must begin in the first state."""
-    w = Window.partitionBy(key).orderBy("ts", "seq")
-    pairs = events.withColumn("from_status", F.coalesce(F.lag("status").over(w), F.lit("")))
+    pairs = with_previous(events, [key], ["status"]).withColumn(
+        "from_status", F.coalesce("previous.status", F.lit(""))
+    )
     legal = (F.col("from_status") == "") & (F.col("status") == first)
     for a, b in allowed:
         legal = legal | ((F.col("from_status") == a) & (F.col("status") == b))
