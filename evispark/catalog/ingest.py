@@ -41,7 +41,7 @@ def markdown_load(spark, sf):
 
 # Raw metadata: word lists cut from the text, so they hold blanks, repeats and over-long items.
 RAW_META_SQL = """raw_meta AS (
-  SELECT doc_id, lang, source, split(replace(text, E'\\n', ' , '), ' ')[1:14] AS words,
+  SELECT doc_id, lang, source, split(replace(text, E'\\n', ' , '), ' ') AS words,
     CASE WHEN doc_id % 9 = 4 THEN repeat('y', 200) ELSE 'k' END AS odd,
     CASE WHEN source = 'src9' THEN '小说' ELSE ' 标准 ' END AS document_type,
     CASE WHEN doc_id % 5 = 0 THEN ['全国', source] WHEN doc_id % 5 = 1 THEN ['不限', ' 不限 '] WHEN doc_id % 5 = 2 THEN [' ', ''] ELSE [source, lang, source] END AS regions
@@ -50,7 +50,7 @@ RAW_META_SQL = """raw_meta AS (
 
 def raw_metadata(spark, sf):
     d, source = F.col("doc_id"), F.col("source")
-    words = F.slice(F.split(F.replace("text", F.lit("\n"), F.lit(" , ")), " "), 1, 14)
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" , ")), " ")
     odd = F.when(d % 9 == 4, F.lit("y" * 200)).otherwise(F.lit("k"))
     regions = (
         F.when(d % 5 == 0, F.array(F.lit("全国"), source))
@@ -61,43 +61,47 @@ def raw_metadata(spark, sf):
     raw = F.struct(
         F.when(source == "src9", F.lit("小说")).otherwise(F.lit(" 标准 ")).alias("document_type"),
         regions.alias("region_names"),
-        F.concat(F.slice(words, 1, 3), F.slice(words, 1, 7)).alias("topics"),
+        F.concat(F.array("lang"), words).alias("topics"),
         F.concat(words, F.array(odd)).alias("keywords"),
     )
     return table(spark, sf, "documents").select("doc_id", raw.alias("raw"))
 
 
-def _unique_sql(values: str, n: int) -> str:
-    """Ordered distinct list: keep an item when no equal item stands before it."""
-    cleaned = f"list_filter(list_transform({values}, lambda x: {collapse('x')}), lambda x: x <> '')"
-    return f"list_filter({cleaned}, lambda x, i: list_position({cleaned}, x) = i)[1:{n}]"
+def _unique_cte(name: str, source: str, values: str, n: int) -> str:
+    """Ordered distinct list: items by their first position, the first ``n`` of them."""
+    return f"""{name} AS (SELECT doc_id, list(x ORDER BY pos) AS v FROM (
+      SELECT doc_id, x, min(pos) AS pos FROM (SELECT doc_id, {collapse('raw')} AS x, pos FROM (
+        SELECT doc_id, unnest({values}) AS raw, unnest(range(len({values}))) AS pos FROM {source})) WHERE x <> '' GROUP BY doc_id, x
+      QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(pos)) <= {n}) GROUP BY doc_id)"""
 
 
-TOPICS = _unique_sql("(words[1:3] || words[1:7])", 5)
-KEYWORDS = _unique_sql("(words || [odd])", 10)
-REGIONS = _unique_sql("regions", 8)
+TOPICS = _unique_cte("t", "raw_meta", "([lang] || words)", 5)
+KEYWORDS = _unique_cte("k", "raw_meta", "(words || [odd])", 10)
+REGIONS = _unique_cte("r", "raw_meta", "regions", 8)
 
 
 @query(
     "ordered_unique_strings",
     "P1,P2",
-    f"WITH {RAW_META_SQL} SELECT doc_id, array_to_string({TOPICS}, '|') AS topics, array_to_string({_unique_sql('words', 10)}, '|') AS words FROM raw_meta",
+    f"""WITH {RAW_META_SQL}, {TOPICS}, {KEYWORDS} SELECT doc_id, array_to_string(coalesce(t.v, []), '|') AS topics, array_to_string(coalesce(k.v, []), '|') AS keywords
+        FROM raw_meta LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id)""",
 )
 def ordered_unique_strings(spark, sf):
     raw = F.col("raw")
     return raw_metadata(spark, sf).select(
         "doc_id",
         A.join(A.ordered_unique(raw["topics"], 5)).alias("topics"),
-        A.join(A.ordered_unique(F.slice(raw["keywords"], 1, F.size(raw["keywords"]) - 1), 10)).alias("words"),
+        A.join(A.ordered_unique(raw["keywords"], 10)).alias("keywords"),
     )
 
 
 @query(
     "metadata_normalisation",
     "P3",
-    f"""WITH {RAW_META_SQL}, n AS (SELECT doc_id, trim(document_type) AS document_type, {REGIONS} AS r, {TOPICS} AS t, {KEYWORDS} AS k FROM raw_meta)
-        SELECT doc_id, document_type, array_to_string(r, '|') AS region_names, array_to_string(t, '|') AS topics,
-               array_to_string(list_filter(k, lambda x: NOT list_contains(t, x)), '|') AS keywords FROM n""",
+    f"""WITH {RAW_META_SQL}, {TOPICS}, {KEYWORDS}, {REGIONS}
+        SELECT doc_id, trim(document_type) AS document_type, array_to_string(coalesce(r.v, []), '|') AS region_names, array_to_string(coalesce(t.v, []), '|') AS topics,
+               array_to_string(list_filter(coalesce(k.v, []), lambda x: NOT list_contains(coalesce(t.v, []), x)), '|') AS keywords
+        FROM raw_meta LEFT JOIN t USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN r USING (doc_id)""",
 )
 def metadata_normalisation(spark, sf):
     out = raw_metadata(spark, sf).select("doc_id", M.normalise_metadata(F.col("raw")).alias("m"))
@@ -109,10 +113,11 @@ def metadata_normalisation(spark, sf):
 @query(
     "metadata_rejects",
     "P3,P4,P1",
-    f"""WITH {RAW_META_SQL}, n AS (SELECT doc_id, source, odd, {REGIONS} AS r, words FROM raw_meta)
+    f"""WITH {RAW_META_SQL}, {REGIONS}, n AS (SELECT doc_id, source, odd, coalesce(r.v, []) AS r, len(list_filter(words, lambda x: len({collapse('x')}) > 128)) > 0 AS long
+              FROM raw_meta LEFT JOIN r USING (doc_id))
         SELECT doc_id, 'document_type_unknown' AS reason FROM n WHERE source = 'src9'
-        UNION ALL SELECT doc_id, 'keywords_item_too_long' FROM n WHERE len(odd) > 128 OR len(list_filter(words, lambda x: len({collapse('x')}) > 128)) > 0
-        UNION ALL SELECT doc_id, 'topics_item_too_long' FROM n WHERE len(list_filter(words[1:7], lambda x: len({collapse('x')}) > 128)) > 0
+        UNION ALL SELECT doc_id, 'keywords_item_too_long' FROM n WHERE len(odd) > 128 OR long
+        UNION ALL SELECT doc_id, 'topics_item_too_long' FROM n WHERE long
         UNION ALL SELECT doc_id, 'region_names_empty' FROM n WHERE len(r) = 0
         UNION ALL SELECT doc_id, 'region_names_exclusive' FROM n WHERE len(r) > 1 AND (list_contains(r, '全国') OR list_contains(r, '不限'))""",
 )
@@ -123,8 +128,8 @@ def metadata_rejects(spark, sf):
 @query(
     "exclusive_regions",
     "P4",
-    f"""WITH {RAW_META_SQL}, n AS (SELECT doc_id, {REGIONS} AS r FROM raw_meta)
-        SELECT doc_id, len(r) > 1 AND (list_contains(r, '全国') OR list_contains(r, '不限')) AS conflict FROM n""",
+    f"""WITH {RAW_META_SQL}, {REGIONS}
+        SELECT doc_id, len(coalesce(r.v, [])) > 1 AND (list_contains(r.v, '全国') OR list_contains(r.v, '不限')) AS conflict FROM raw_meta LEFT JOIN r USING (doc_id)""",
 )
 def exclusive_regions(spark, sf):
     regions = A.ordered_unique(F.col("raw.region_names"), M.REGIONS_MAX)

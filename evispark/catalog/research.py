@@ -84,6 +84,7 @@ def section_writes(spark, sf):
     return table(spark, sf, "part").select(
         p.alias("k"),
         p.alias("seq"),
+        "p_type",
         F.col("p_brand").alias("project_id"),
         dotted(p).alias("dotted"),
         F.when(p % 11 == 0, F.lit("")).otherwise(dotted(p)).alias("section_id"),
@@ -98,11 +99,11 @@ def section_writes(spark, sf):
     )
 
 
-OUTLINE_SQL = "nodes AS (SELECT DISTINCT project_id, dotted AS node_id FROM writes WHERE k % 4 <> 3)"
+OUTLINE_SQL = "nodes AS (SELECT DISTINCT project_id, dotted AS node_id FROM writes WHERE p_type <> 'SMALL')"
 
 
 def outline_of_writes(spark, sf):
-    return section_writes(spark, sf).where("k % 4 <> 3").select("project_id", F.col("dotted").alias("node_id")).distinct()
+    return section_writes(spark, sf).where("p_type <> 'SMALL'").select("project_id", F.col("dotted").alias("node_id")).distinct()
 
 
 @query(

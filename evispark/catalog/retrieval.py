@@ -327,7 +327,7 @@ def candidate_merge(spark, sf):
 @query(
     "retrieval_query_text",
     "V9",
-    """WITH q AS (SELECT conv_id, turn, text, split(lower(left(text, 200)), ' ')[1:3] || ['zz' || (turn % 3)] AS topics,
+    r"""WITH q AS (SELECT conv_id, turn, text, [regexp_extract(lower(text), '([a-z]+)[^a-z]*\z', 1) || 'q', 'zz' || (turn % 3), regexp_extract(text, '([A-Za-z]+)[^A-Za-z]*\z', 1)] AS topics,
                          ['文件' || (conv_id % 4)] AS files FROM conversations WHERE role = 'user'),
        s AS (SELECT conv_id, turn, text, list_filter(topics, lambda x: NOT contains(text, x)) AS t, files FROM q),
        b AS (SELECT conv_id, turn, text, concat_ws(E'\n', text, '文件：' || array_to_string(files, '、'),
@@ -345,9 +345,10 @@ def retrieval_query_text(spark, sf):
         F.array(F.concat(F.lit("文件"), (F.col("conv_id") % 4).cast("string"))).alias("file_titles"),
         F.array().cast("array<string>").alias("region_names"),
         F.array().cast("array<string>").alias("document_types"),
-        F.concat(
-            F.slice(F.split(F.lower(F.substring(text, 1, 200)), " "), 1, 3),
-            F.array(F.concat(F.lit("zz"), (F.col("turn") % 3).cast("string"))),
+        F.array(
+            F.concat(F.regexp_extract(F.lower(text), r"([a-z]+)[^a-z]*\z", 1), F.lit("q")),
+            F.concat(F.lit("zz"), (F.col("turn") % 3).cast("string")),
+            F.regexp_extract(text, r"([A-Za-z]+)[^A-Za-z]*\z", 1),
         ).alias("topics"),
         F.array().cast("array<string>").alias("keywords"),
     )

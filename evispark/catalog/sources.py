@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evispark import schemas
+from evispark.catalog.ingest import _unique_cte
 from evispark.catalog.registry import query
 from evispark.catalog.sqltext import SPACE, collapse, strip
 from evispark.functions import arrays as A
@@ -136,7 +137,7 @@ def page_text(spark, sf):
     return html_pages.read_pages(table(spark, sf, "pages"))
 
 
-MD_IMAGES_SQL = r"""docs AS (SELECT doc_id, text, source, replace(text, E'\n', E'\n![x](img/' || source || E'.png)\n![y](img/none-' || lang || E'.gif "t")\n') AS md FROM documents)"""
+MD_IMAGES_SQL = r"""docs AS (SELECT doc_id, text, source, lang, replace(text, E'\n', E'\n![x](img/' || source || E'.png)\n![y](img/none-' || lang || E'.gif "t")\n') AS md FROM documents)"""
 
 
 def image_documents(spark, sf):
@@ -144,7 +145,7 @@ def image_documents(spark, sf):
         F.lit("\n![x](img/"), "source", F.lit('.png)\n![y](img/none-'), "lang", F.lit('.gif "t")\n')
     )
     return table(spark, sf, "documents").select(
-        "doc_id", "source", F.replace("text", F.lit("\n"), marks).alias("md_content")
+        "doc_id", "source", "lang", F.replace("text", F.lit("\n"), marks).alias("md_content")
     )
 
 
@@ -167,11 +168,11 @@ def image_references(spark, sf):
 @query(
     "image_rewrite",
     "S15",
-    rf"""WITH {MD_IMAGES_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN md ELSE replace(md, '![x](img/' || source || '.png)', '![a $1 of ' || source || '](http://s/' || doc_id || ')') END AS md_content FROM docs""",
+    rf"""WITH {MD_IMAGES_SQL} SELECT doc_id, CASE WHEN lang = 'en' THEN md ELSE replace(md, '![x](img/' || source || '.png)', '![a $1 of ' || source || '](http://s/' || doc_id || ')') END AS md_content FROM docs""",
 )
 def image_rewrite(spark, sf):
     docs = image_documents(spark, sf)
-    uploads = docs.where("doc_id % 3 <> 0").select(
+    uploads = docs.where("lang <> 'en'").select(
         "doc_id",
         F.concat("source", F.lit(".png")).alias("image_name"),
         F.concat(F.lit("http://s/"), F.col("doc_id").cast("string")).alias("url"),
@@ -247,14 +248,16 @@ def gold_case_rejects(spark, sf):
     return rows.select("row_number", F.explode_outer("problems").alias("reason")).where("reason IS NOT NULL")
 
 
-FILTERS_SQL = f"""raw AS (SELECT doc_id, source, lang, split(text, ' ')[1:14] AS w, doc_id % 3 = 0 AS strict FROM documents),
-   f AS (SELECT *, list_filter(list_transform(w, lambda x: {collapse('x')}), lambda x: x <> '') AS c FROM raw),
-   k AS (SELECT *, list_filter(c, lambda x, i: list_position(c, x) = i)[1:10] AS topics FROM f)"""
+FILTERS_SQL = (
+    "raw AS (SELECT doc_id, source, lang, split(text, ' ') AS w, doc_id % 3 = 0 AS strict FROM documents), "
+    + _unique_cte("u", "raw", "w", 10)
+    + ", k AS (SELECT raw.*, coalesce(u.v, []) AS topics FROM raw LEFT JOIN u USING (doc_id))"
+)
 
 
 def raw_filters(spark, sf):
     source = F.col("source")
-    w = F.slice(F.split("text", " "), 1, 14)
+    w = F.split("text", " ")
     return table(spark, sf, "documents").select(
         "doc_id",
         "text",
@@ -432,17 +435,17 @@ def recent_messages_query(spark, sf):
 @query(
     "history_upsert_and_clear",
     "S7",
-    """SELECT conv_id AS session_id, conv_id || '-' || turn AS message_id, CASE WHEN turn % 2 = 0 THEN 'edited' ELSE text END AS text FROM conversations WHERE conv_id % 10 <> 3
-       UNION ALL SELECT conv_id, conv_id || '-n' || turn, 'new' FROM conversations WHERE conv_id % 10 <> 3 AND role = 'system'""",
+    """SELECT conv_id AS session_id, conv_id || '-' || turn AS message_id, CASE WHEN role = 'assistant' THEN 'edited' ELSE text END AS text FROM conversations WHERE conv_id NOT IN (SELECT conv_id FROM conversations WHERE len(text) > 1500)
+       UNION ALL SELECT conv_id, conv_id || '-n' || turn, 'new' FROM conversations WHERE role = 'system' AND conv_id NOT IN (SELECT conv_id FROM conversations WHERE len(text) > 1500)""",
 )
 def history_upsert_and_clear(spark, sf):
     rows = table(spark, sf, "conversations")
     ident = lambda mark: F.concat(F.col("conv_id").cast("string"), F.lit(mark), F.col("turn").cast("string"))
     shape = lambda df, mark, text: df.select(F.col("conv_id").alias("session_id"), ident(mark).alias("message_id"), text.alias("text"))
     history = shape(rows, "-", F.col("text"))
-    edited = shape(rows.where("turn % 2 = 0"), "-", F.lit("edited"))
+    edited = shape(rows.where("role = 'assistant'"), "-", F.lit("edited"))
     new = shape(rows.where("role = 'system'"), "-n", F.lit("new"))
-    gone = rows.where("conv_id % 10 = 3").select(F.col("conv_id").alias("session_id"))
+    gone = rows.where(F.length("text") > 1500).select(F.col("conv_id").alias("session_id"))
     return S.clear_sessions(S.save_messages(S.save_messages(history, edited), new), gone)
 
 
