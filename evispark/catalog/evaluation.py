@@ -252,13 +252,17 @@ def gold_documents(spark, sf):
     """Documents that contain a benchmark item.
 
     A word run from inside the item anchors the pair: it must occur in the document as whole words, so
-    an equi-join on the run finds every candidate, and the text test on the candidates decides.
+    an equi-join on the run finds every candidate, and the text test on the candidates decides. The run
+    leaves out the item's first and last word, which a document may continue; shorter items, down to
+    three words, are found by a single inner word.
     """
     words = T.words(F.col("text"))
+    long = F.size(words) >= SHINGLE + 2
     items = table(spark, sf, "benchmark").select(
         F.col("item_id").cast("string").alias("case_id"),
         F.col("text").alias("item_text"),
-        F.array_join(F.slice(words, 2, SHINGLE), " ").alias("run"),
+        F.when(long, F.array_join(F.slice(words, 2, SHINGLE), " ")).otherwise(F.get(words, F.lit(1))).alias("run"),
+        long.alias("long"),
     )
     docs = V.documents_with_metadata(spark, sf)
     runs = docs.select("document_id", words.alias("w")).where(F.size("w") >= SHINGLE).select(
@@ -271,7 +275,12 @@ def gold_documents(spark, sf):
             )
         ).alias("run"),
     )
-    pairs = runs.join(items, "run").select("document_id", "case_id", "item_text")
+    single = docs.select("document_id", F.explode_outer(F.array_distinct(words)).alias("run"))
+    pairs = (
+        runs.join(items.where("long"), "run")
+        .unionByName(single.join(items.where("NOT long"), "run"))
+        .select("document_id", "case_id", "item_text")
+    )
     return (
         pairs.join(docs.select("document_id", "text"), "document_id")
         .where(F.contains("text", F.col("item_text")))

@@ -134,7 +134,8 @@ def write_replacing(spark: SparkSession, incoming: DataFrame, path: str, n_bucke
     """Rewrite only the buckets the batch touches; a failed job leaves the old files in place.
 
     The table is partitioned by a hash bucket of the document id. Dynamic partition overwrite swaps the
-    touched buckets at commit, so a repeated import gives the same table.
+    touched buckets at commit, so a repeated import gives the same table. ``n_buckets`` belongs to the
+    table: choose it so that a bucket stays near a gigabyte, and keep it.
     """
     batch = with_bucket(incoming, n_buckets).persist()
     try:

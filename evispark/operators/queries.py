@@ -37,7 +37,7 @@ def normalise_filters(raw: Column) -> Column:
     )
     return F.struct(
         *[c.alias(f) for f, c in lists.items()],
-        F.filter(asked, lambda x: F.array_contains(usable, x)).alias("hard_fields"),
+        F.array_intersect(asked, usable).alias("hard_fields"),
         F.coalesce(raw["strict"], F.lit(False)).alias("strict"),
     )
 

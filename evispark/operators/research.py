@@ -134,7 +134,9 @@ def section_rules(in_outline: Column) -> list[tuple[str, Column]]:
         ("source_without_url", any_of(sources, _needs_url)),
         (
             "cited_source_without_url",
-            any_of(sources, lambda s: F.array_contains(cited, s["source_id"]) & _needs_url(s)),
+            F.coalesce(
+                F.arrays_overlap(F.transform(F.filter(sources, _needs_url), lambda s: s["source_id"]), cited), F.lit(False)
+            ),
         ),
         ("risk_description_empty", any_of(risks, lambda r: told(r) == "")),
         ("risk_placeholder", any_of(risks, lambda r: marked(told(r)))),
