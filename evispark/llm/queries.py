@@ -2,28 +2,128 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from evispark.llm.decontamination import contamination
+from evispark.llm.embedding_join import near_duplicates
+from evispark.llm.line_dedup import dedup_lines
 from evispark.llm.ngram_join import ngram_jaccard_join
+from evispark.llm.secrets import KINDS, scan_secrets
+from evispark.llm.sharding import assign_shards
+from evispark.llm.toxicity import score_documents, train
+from evispark.llm.url_filter import judge_urls
+from evispark.llm.warc import round_trip
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    items = F.sha2(F.encode(F.array_join("items", ","), "utf-8"), 256)
+    return found.select("doc_id", "n_words", "n_hit", "n_items", items.alias("items_sha256"), "contaminated")
+
+
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_ngram_jaccard_join,)}
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "pages")).drop("url")
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"), [1.0] * 40)
+
+
+def op7_embedding_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+# The rules of the contract.
+URL_RULES = (
+    ("org", "/", "allow"),
+    ("example.org", "/es/", "block"),
+    ("example.org", "/en/1", "block"),
+    ("com", "/fr/", "allow"),
+    ("com", "/de/", "block"),
+)
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = spark.createDataFrame(list(URL_RULES), "host string, path string, verdict string")
+    return judge_urls(table(spark, sf_dir, "pages"), rules).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document is a repository, its source the owner."""
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+
+    def listed(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    place = F.array(*(F.lit(k) for k in KINDS))
+    # By start, then by kind as listed.
+    both = F.concat("base_spans", "live_spans")
+    ranked = F.array_sort(F.transform(both, lambda s: F.struct(s["start"].alias("start"), F.array_position(place, s["kind"]).alias("rank"), s["kind"].alias("kind"), s["end"].alias("end"))))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(F.encode(listed(F.col("base_spans")), "utf-8"), 256).alias("base_sha256"), listed(ranked).alias("spans")
+    )
+
 
-OP3_SQL = r"""
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_lines, n_removed and kept_sha256, the digest of the text that is left."""
+    kept = dedup_lines(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_lines", "n_removed", F.sha2(F.encode(F.coalesce("text", F.lit("")), "utf-8"), 256).alias("kept_sha256"))
+
+
+_ALL = (
+    op1_toxicity,
+    op2_decontamination,
+    op3_ngram_jaccard_join,
+    op4_warc,
+    op6_sharding,
+    op7_embedding_join,
+    op8_url_filter,
+    op9_secrets,
+    op10_line_dedup,
+)
+QUERIES = {f.__name__: f for f in _ALL}
+
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP2_SQL = rf"""
+WITH doc AS (SELECT doc_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all({_LOW}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, len(w) - least(len(w), 10) + 2)) AS i FROM item WHERE len(w) > 0)),
+runs AS (
+  SELECT doc_id, i, k, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM doc, (SELECT DISTINCT k FROM win) WHERE len(w) >= k)),
+hit AS (SELECT DISTINCT doc_id, item_id, i, runs.k FROM runs JOIN win ON runs.g = win.g AND runs.k = win.k),
+word AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + k)) AS p FROM hit) GROUP BY doc_id),
+found AS (
+  SELECT doc_id, count(*) AS n, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc.doc_id, len(doc.w) AS n_words, coalesce(word.n, 0) AS n_hit, coalesce(found.n, 0) AS n_items,
+  sha256(coalesce(found.ids, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+OP3_SQL = rf"""
 WITH RECURSIVE words AS (
-  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
-  FROM documents),
+  SELECT doc_id, regexp_extract_all({_LOW}, '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i + 4], ' '))) END AS s
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
   FROM words),
 tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
 links AS (
@@ -39,4 +139,69 @@ SELECT s.doc_id, len(s.s) AS n_shingles, r.c AS component_id
 FROM sets s JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = s.doc_id
 """
 
-ORACLES = {"op3_ngram_jaccard_join": OP3_SQL}
+OP4_SQL = """
+WITH page AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages),
+hashed AS (SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM page),
+coded AS (
+  SELECT page_id, n, array_to_string(list_transform(range(32),
+    lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(h, (i // 4) * 5 + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1)::BIGINT, 1)), '') AS d
+  FROM hashed)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+  CASE WHEN page_id = min(page_id) OVER (PARTITION BY d) THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> min(page_id) OVER (PARTITION BY d) THEN min(page_id) OVER (PARTITION BY d) END AS refers_to
+FROM coded
+"""
+
+OP6_SQL = """
+WITH cost AS (
+  SELECT doc_id, s, -ln((('0x' || substr(md5(doc_id || ':' || s), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) AS c
+  FROM documents, range(41) t(s)),
+pick AS (
+  SELECT doc_id, arg_min(s, c) FILTER (s < 40) AS shard, arg_min(s, c) AS grown FROM cost GROUP BY doc_id),
+body AS (SELECT doc_id, text FROM documents)
+SELECT b.doc_id, strlen(coalesce(b.text, '')) + 16 AS size, 'key' AS law, p.shard::INTEGER AS shard,
+  row_number() OVER (PARTITION BY p.shard ORDER BY b.doc_id) - 1 AS slot, p.grown::INTEGER AS grown_shard
+FROM body b JOIN pick p USING (doc_id)
+"""
+
+OP7_SQL = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+reach AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT e.vec_id, coalesce(d.n, 0) AS n_links, r.c AS component_id, e.vec_id = r.c AS kept
+FROM embeddings e JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) r ON r.a = e.vec_id LEFT JOIN degree d ON d.a = e.vec_id
+"""
+
+OP8_SQL = r"""
+WITH rules(h, p, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+  ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+cut AS (
+  SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+part AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path
+  FROM cut)
+SELECT page_id, any_value(host) AS host, any_value(path) AS path, arg_max(h || p, length(h || p)) AS rule,
+  coalesce(arg_max(verdict, length(h || p)), 'allow') AS verdict
+FROM part LEFT JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+GROUP BY page_id
+"""
+
+ORACLES = {
+    "op2_decontamination": OP2_SQL,
+    "op3_ngram_jaccard_join": OP3_SQL,
+    "op4_warc": OP4_SQL,
+    "op7_embedding_join": OP7_SQL,
+    "op8_url_filter": OP8_SQL,
+}
