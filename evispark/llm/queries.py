@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from evispark.llm.decontamination import contamination
 from evispark.llm.embedding_join import near_duplicates
 from evispark.llm.line_dedup import dedup_lines
 from evispark.llm.ngram_join import ngram_jaccard_join
+from evispark.llm.packing import pack_documents
 from evispark.llm.secrets import KINDS, scan_secrets
 from evispark.llm.sharding import assign_shards
 from evispark.llm.toxicity import score_documents, train
@@ -39,6 +41,10 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"), [1.0] * 40)
 
@@ -89,13 +95,14 @@ _ALL = (
     op2_decontamination,
     op3_ngram_jaccard_join,
     op4_warc,
+    op5_packing,
     op6_sharding,
     op7_embedding_join,
     op8_url_filter,
     op9_secrets,
     op10_line_dedup,
 )
-QUERIES = {f.__name__: f for f in _ALL}
+QUERIES = {f.__name__: f for f in _ALL} | {"pipeline": corpus_pipeline.run}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
