@@ -132,7 +132,32 @@ def external_evidence(spark, sf):
     return W.normalised_evidence(rows, aliases, ["page_id"])
 
 
-@query("page_text", "S13")
+_BLANKS = r"[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_NAMED = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&"))
+
+
+def _sql_said(expression):
+    for entity, character in _NAMED:
+        expression = f"replace({expression}, '{entity}', '{character}')"
+    return f"trim(regexp_replace({expression}, '{_BLANKS}', ' ', 'g'))"
+
+
+_SQL_LOUD = "h"
+for _tag in html_pages.SILENT:
+    _SQL_LOUD = rf"regexp_replace({_SQL_LOUD}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'g')"
+
+
+@query(
+    "page_text",
+    "S13",
+    rf"""WITH p AS (SELECT page_id, url, html, regexp_replace(coalesce(html, ''), '(?s)<!--.*?-->', ' ', 'g') AS h FROM pages),
+t AS (SELECT *, {_sql_said(rf"regexp_replace(regexp_replace({_SQL_LOUD}, '(?is)<title\b[^>]*>.*?</title\s*>', ' ', 'g'), '<[A-Za-z/!?][^>]*>', ' ', 'g')")} AS said,
+  list_filter(list_transform(regexp_extract_all(h, '(?is)<title\b[^>]*>(.*?)</title\s*>', 1), lambda x: {_sql_said("x")}), lambda x: x <> '') AS titles FROM p)
+SELECT page_id, url, titles[-1] AS title,
+  coalesce(nullif(regexp_extract(html, '(?i)"datePublished"\s*:\s*"([^"]+)"', 1), ''), nullif(regexp_extract(html, '(?i)"dateModified"\s*:\s*"([^"]+)"', 1), ''),
+    nullif(regexp_extract(html, '(\d{{4}}-\d{{2}}-\d{{2}}(?:[T ][0-9:]+(?:Z|[+-]\d{{2}}:?\d{{2}})?)?)', 1), '')) AS published_at,
+  left(said, 12000) AS content, len(said) > 12000 AS truncated FROM t""",
+)
 def page_text(spark, sf):
     return html_pages.read_pages(table(spark, sf, "pages"))
 
