@@ -3,7 +3,7 @@
 Under any total order of all shingles, two sets with enough in common share a shingle in their prefixes. Candidates come
 from the prefixes in order of rarity; before the sets themselves are compared, they must also share a prefix shingle under
 two more orders. Three things keep groups of copies from becoming all their pairs: equal sets are one node; each node is
-first compared with the smallest node of its most common prefix shingle; after that only pairs of nodes that no chain of
+first compared with the most typical node of its most common prefix shingle; after that only pairs of nodes that no chain of
 found links joins yet are compared. So the links returned are enough for the components, not all links.
 """
 
@@ -28,25 +28,25 @@ def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     x = nodes.select(*(F.col(c).alias(f"x_{c}") for c in cols))
     y = nodes.select(*(F.col(c).alias(f"y_{c}") for c in cols))
     both = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
-    return (
-        both.filter(F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third"))
-        .filter(alike(F.size(F.array_intersect("x_tokens", "y_tokens")), F.col("x_n"), F.col("y_n"), percent))
-        .select("a", "b")
-    )
+    likely = F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")
+    common = F.when(likely, F.size(F.array_intersect("x_tokens", "y_tokens"))).otherwise(0)
+    return both.withColumn("common", common).filter(alike(F.col("common"), F.col("x_n"), F.col("y_n"), percent)).select("a", "b")
 
 
 def postings(nodes: DataFrame) -> DataFrame:
-    """(token, node, n, place): each shared shingle of a node's prefix, with its place among all the node's shingles."""
+    """(token, node, n, unique, place): each shared shingle of a node's prefix, with its place among all the node's."""
     return nodes.select(
         "node", "n", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("place", "token"), "unique"
-    ).select("token", "node", "n", (F.col("place") + F.col("unique")).alias("place"))
+    ).select("token", "node", "n", "unique", (F.col("place") + F.col("unique")).alias("place"))
 
 
 def first_links(index: DataFrame) -> DataFrame:
-    """(a, b): each node with the smallest node of the most common shingle in its prefix."""
+    """(a, b): each node with the head of the most common shingle in its prefix, the node with the fewest shingles of its
+    own: among edited copies that is the original or what is closest to it."""
     heads = durable(
-        index.groupBy("token").agg(F.min("node").alias("head"), F.count("*").alias("many")).filter("many > 1")
-    )
+        index.groupBy("token").agg(F.min(F.struct("unique", "node")).alias("head"), F.count("*").alias("many"))
+        .filter("many > 1").select("token", "many", F.col("head.node").alias("head"))
+    )
     best = index.join(heads, "token").groupBy("node").agg(F.max(F.struct("many", "head")).alias("best"))
     return best.select(F.col("node").alias("a"), F.col("best.head").alias("b")).filter("a <> b")
 

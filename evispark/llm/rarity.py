@@ -4,7 +4,7 @@ Items (whole texts, or their lines) with equal sets are one node. Shingles that
 they only count; of the others, each node gets its own in order of (nodes that have it, hash), a total order that is the
 same for all nodes. A node whose prefix holds no shared shingle can have no partner and drops out here.
 
-The shingles cross the shuffle as packed arrays dealt out by hash, not as rows: about ten bytes for each.
+The shingles cross the shuffle as packed arrays dealt out by hash, not as rows: seven bytes for each, and some for its text.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from evispark.llm.durable import durable
 from evispark.llm.hashing import blocks, mixed, shingle_sets
 
 BLOCK_BYTES = 1 << 20  # of text, hashed at once
-_FIELDS = "bin int, block long, tokens binary, nodes binary, sizes binary, places binary, key binary, item_nodes array<long>, item_sizes array<int>"
-_REPLY = "block long, tokens binary, nodes binary, sizes binary, counts binary, key binary, item_nodes array<long>, item_sizes array<int>"
-_NODE = "node long, n int, unique int, prefix int, tokens array<long>, second array<long>, third array<long>"
+_FIELDS = "bin int, block long, tokens binary, nodes binary, sizes binary, runs binary, key binary, item_nodes array<long>, item_sizes array<int>"
+_REPLY = "block long, tokens binary, nodes binary, sizes binary, runs binary, counts binary, key binary, item_nodes array<long>, item_sizes array<int>"
+_NODE = "node long, n int, unique int, prefix int, tokens array<long>, second array<int>, third array<int>"
 _SECOND, _THIRD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -37,7 +37,7 @@ def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int, by_line
     from pyspark import TaskContext
 
     schema = pa.schema(
-        [("bin", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "places", "key"))]
+        [("bin", pa.int32()), ("block", pa.int64()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "runs", "key"))]
         + [("item_nodes", pa.list_(pa.int64())), ("item_sizes", pa.list_(pa.int32()))]
     )
     block = TaskContext.get().partitionId() << 32
@@ -81,8 +81,8 @@ def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int, by_line
             for b in range(bins):
                 lo, hi = cuts[b], cuts[b + 1]
                 if lo < hi:
-                    there, place = np.unique(item[lo:hi], return_inverse=True)
-                    for column, value in zip(out, (b, tokens[lo:hi].tobytes(), nodes[there].tobytes(), sizes[there].astype(np.int32).tobytes(), place.astype(np.uint16 if len(there) < 65536 else np.uint32).tobytes()), strict=True):
+                    there, runs = np.unique(item[lo:hi], return_counts=True)
+                    for column, value in zip(out, (b, _packed7(tokens[lo:hi] // np.uint64(bins)), nodes[there].tobytes(), sizes[there].astype(np.int32).tobytes(), runs.astype(np.int32).tobytes()), strict=True):
                         column.append(value)
             n = len(out[0])
             if n:
@@ -96,47 +96,73 @@ def _joined(column: pa.ChunkedArray, dtype: type) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype)
 
 
-def _shared(table: pa.Table) -> pa.Table:
+def _packed7(numbers: np.ndarray) -> bytes:
+    """The lower seven bytes of each number."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :7]).tobytes()
+
+
+def _unpacked7(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 7, 8), np.uint8)
+    out[:, :7] = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    return out.view("<u8").ravel()
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Of rows with packed sets: the node of each shingle and the size of the node's set."""
+    runs = _joined(table["runs"], np.int32)
+    return (
+        np.repeat(_joined(table["nodes"], np.int64), runs),
+        np.repeat(_joined(table["sizes"], np.int32), runs),
+    )
+
+
+def _shared(table: pa.Table, *, bins: int) -> pa.Table:
     """Of a bin: the shingles that more than one node has, handed back to the first block of each node."""
-    names = ["block", "tokens", "nodes", "sizes", "counts", "key", "item_nodes", "item_sizes"]
+    schema = pa.schema(
+        [("block", pa.int64()), *((c, pa.binary()) for c in ("tokens", "nodes", "sizes", "runs", "counts", "key"))]
+        + [("item_nodes", pa.list_(pa.int64())), ("item_sizes", pa.list_(pa.int32()))]
+    )
     heads = table.filter(pc.is_null(table["tokens"]))
-    heads = heads.select(["block", "tokens", "nodes", "sizes"]).append_column("counts", pa.nulls(heads.num_rows, pa.binary())).append_column("key", heads["key"]).append_column("item_nodes", heads["item_nodes"]).append_column("item_sizes", heads["item_sizes"])
+    heads = heads.append_column("counts", pa.nulls(heads.num_rows, pa.binary())).select(schema.names).cast(schema)
     packed = table.filter(pc.is_valid(table["tokens"])).sort_by("block")
     if not packed.num_rows:
         return heads
-    tokens = _joined(packed["tokens"], np.uint64)
-    node, size, block = [], [], []
-    for b, t, nodes, sizes, places in zip(*(packed[c].to_pylist() for c in ("block", "tokens", "nodes", "sizes", "places")), strict=True):
-        own = np.frombuffer(nodes, np.int64)
-        place = np.frombuffer(places, np.uint16 if len(own) < 65536 else np.uint32)
-        node.append(own[place])
-        size.append(np.frombuffer(sizes, np.int32)[place])
-        block.append(np.full(len(t) // 8, b))
-    node, size, block = np.concatenate(node), np.concatenate(size), np.concatenate(block)
-    order = np.lexsort((node, tokens))
+    node, size = _unpacked(packed)
+    parts = packed["tokens"].to_pylist()
+    # What a bin holds has the same remainder; the rest loses the bits above its 56th, of 64 in all.
+    tokens = _unpacked7(b"".join(parts)) * np.uint64(bins) + np.uint64(packed["bin"][0].as_py())
+    block = np.repeat(packed["block"].to_numpy(), [len(t) // 7 for t in parts])
+    order = np.lexsort((node, tokens))  # stable: the first block of equal ones comes first
     tokens, node = tokens[order], node[order]
-    first = np.ones(len(tokens), bool)
-    first[1:] = (tokens[1:] != tokens[:-1]) | (node[1:] != node[:-1])
-    order, tokens, node = order[first], tokens[first], node[first]
-    starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    counts = np.repeat(np.diff(np.r_[starts, len(tokens)]), np.diff(np.r_[starts, len(tokens)])).astype(np.uint32)
+    new = np.r_[True, tokens[1:] != tokens[:-1]]
+    first = new.copy()
+    first[1:] |= node[1:] != node[:-1]
+    order, tokens, node, new = order[first], tokens[first], node[first], new[first]
+    starts = np.flatnonzero(new)
+    many = np.diff(np.r_[starts, len(tokens)])
+    counts = np.repeat(many, many).astype(np.uint32)
     more = counts > 1
     order, tokens, node, counts = order[more], tokens[more], node[more], counts[more]
+    if not len(tokens):
+        return heads
     size, block = size[order], block[order]
-    by = np.argsort(block, kind="stable")
+    by = np.lexsort((node, block))
     tokens, node, counts, size, block = tokens[by], node[by], counts[by], size[by], block[by]
+    rows = []
     ids, cuts = np.unique(block, return_index=True)
-    cuts = np.r_[cuts, len(block)]
-    packs = [[a[lo:hi].tobytes() for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)] for a in (tokens, node, size, counts)]
-    n = len(ids)
-    replies = pa.table([pa.array(ids), *(pa.array(c, pa.binary()) for c in packs), pa.nulls(n, pa.binary()), pa.nulls(n, pa.list_(pa.int64())), pa.nulls(n, pa.list_(pa.int32()))], names=names)
-    return pa.concat_tables([heads.cast(replies.schema), replies])
+    for b, lo, hi in zip(ids.tolist(), cuts.tolist(), [*cuts[1:].tolist(), len(block)], strict=True):
+        begin = np.flatnonzero(np.r_[True, node[lo + 1 : hi] != node[lo : hi - 1]])
+        runs = np.diff(np.r_[begin, hi - lo]).astype(np.int32)
+        parts = (tokens[lo:hi], node[lo:hi][begin], size[lo:hi][begin], runs, counts[lo:hi])
+        rows.append({"block": b, **{c: a.tobytes() for c, a in zip(("tokens", "nodes", "sizes", "runs", "counts"), parts, strict=True)}})
+    return pa.concat_tables([heads, pa.Table.from_pylist(rows, schema=schema)])
 
 
 def _nodes(table: pa.Table, *, percent: int) -> pa.Table:
     """Of a block: its nodes with their shared shingles in order of rarity, and the prefixes under two more orders."""
-    tokens, node = _joined(table["tokens"], np.uint64), _joined(table["nodes"], np.int64)
-    size, count = _joined(table["sizes"], np.int32), _joined(table["counts"], np.uint32)
+    tokens = _joined(table["tokens"], np.uint64)
+    node, size = _unpacked(table)
+    count = _joined(table["counts"], np.uint32)
     order = np.lexsort((tokens, count, node))
     tokens, node, size, count = tokens[order], node[order], size[order], count[order]
     starts = np.flatnonzero(np.r_[True, node[1:] != node[:-1]]) if len(node) else np.zeros(0, np.int64)
@@ -152,11 +178,12 @@ def _nodes(table: pa.Table, *, percent: int) -> pa.Table:
         lo, hi, k = starts[i], ends[i], prefix[i]
         own = tokens[lo:hi].view(np.int64)
         lists[0].append(own)
-        lists[1].append(own[np.lexsort((second[lo:hi], count[lo:hi]))[:k]])
-        lists[2].append(own[np.lexsort((third[lo:hi], grade[lo:hi]))[:k]])
+        brief = own.astype(np.int32)
+        lists[1].append(brief[np.lexsort((second[lo:hi], count[lo:hi]))[:k]])
+        lists[2].append(brief[np.lexsort((third[lo:hi], grade[lo:hi]))[:k]])
     return pa.table(
         [pa.array(node[starts[at]]), pa.array(n[at], pa.int32()), pa.array(unique[at], pa.int32()), pa.array(prefix[at], pa.int32())]
-        + [pa.array(c, pa.list_(pa.int64())) for c in lists],
+        + [pa.array(c, pa.list_(kind)) for c, kind in zip(lists, (pa.int64(), pa.int32(), pa.int32()), strict=True)],
         names=["node", "n", "unique", "prefix", "tokens", "second", "third"],
     )
 
@@ -167,16 +194,20 @@ def rarity_index(texts: DataFrame, key: str, text: str, *, shingle: int, percent
     ``items``: ``key`` (binary) of each row with the arrays ``item_nodes`` and ``item_sizes``, one element for the text
     or one for each of its lines; a size of 0 has no words and node 0. ``nodes``: those that may have a partner, with the
     size n of the set, how many shingles only they have, the length of the rest of the prefix (unique shingles come first),
-    all shared shingles by rarity, and the prefix under two more orders: equal counts dealt by another hash, and counts
-    graded by powers of two, dealt by a third.
+    all shared shingles by rarity, and the prefix under two more orders, as 32 bits of each hash: equal counts dealt by
+    another hash, and counts graded by powers of two, dealt by a third.
 
     ``bins`` of the shuffle: the session's shuffle partitions, 64 at least, when 0. A text is hashed whole, in one task.
     """
     bins = bins or max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     packed = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(partial(_sets, shingle=shingle, bins=bins, by_line=by_line), _FIELDS)
-    reduced = durable(packed.groupBy("bin").applyInArrow(_shared, _REPLY))
+
+    def shared(table: pa.Table) -> pa.Table:
+        return _shared(table, bins=bins)
+
+    reduced = durable(packed.groupBy("bin").applyInArrow(shared, _REPLY))
     items = reduced.filter(F.col("tokens").isNull()).select("key", "item_nodes", "item_sizes")
-    replies = reduced.filter(F.col("tokens").isNotNull()).select("block", "tokens", "nodes", "sizes", "counts")
+    replies = reduced.filter(F.col("tokens").isNotNull()).select("block", "tokens", "nodes", "sizes", "runs", "counts")
 
     def ordered(table: pa.Table) -> pa.Table:
         return _nodes(table, percent=percent)
