@@ -14,7 +14,7 @@ from evispark.operators import config as C
 from evispark.operators import context as X
 from evispark.operators import rules
 from evispark.operators import selection as S
-from evispark.operators.ranking import top_k
+from evispark.operators.ranking import ranked, top_k
 from evispark.session import table
 
 TOKENS = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+|[^{SPACE}]"
@@ -73,7 +73,7 @@ SCORES_SQL = """scored AS (
   SELECT *, CASE query_id % 3 WHEN 0 THEN 2 WHEN 1 THEN 1 ELSE 6 END AS min_k, CASE query_id % 3 WHEN 0 THEN 6 WHEN 1 THEN 3 ELSE 12 END AS max_k,
     CASE query_id % 3 WHEN 0 THEN 0.2 WHEN 1 THEN 0.1 ELSE 0.35 END::DOUBLE AS gap, CASE query_id % 3 WHEN 2 THEN 3 ELSE 2 END AS per_doc
   FROM (SELECT user_id AS query_id, event_id::VARCHAR AS candidate_id, event_type AS document_id, round(value / 100, 4) AS score,
-          row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS rank FROM events) WHERE rank <= 24)"""
+          row_number() OVER (PARTITION BY user_id ORDER BY value DESC, event_id)::INT AS rank FROM events))"""
 
 SELECT_SQL = (
     SCORES_SQL
@@ -97,7 +97,7 @@ def scored_candidates(spark, sf):
         "value",
         "event_id",
     )
-    best = top_k(hits, ["query_id"], [F.desc("value"), F.asc("event_id")], 24)
+    best = ranked(hits, ["query_id"], [F.desc("value"), F.asc("event_id")])
     return best.withColumn("mode", mode).withColumn("s", C.resolve(F.col("mode"))).select("*", "s.*").drop("s")
 
 
@@ -139,14 +139,14 @@ def rerank_with_fallback(spark, sf):
     )
 
 
-# Ranked evidence: the first chunks of a source are the evidence of one query.
+# Ranked evidence: the chunks of a source are the evidence of one query.
 EVIDENCE_SQL = (
     V.CHUNKS_SQL
     + """, evidence AS (SELECT * FROM (
   SELECT source AS query_id, chunk_id, document_id, file_title, content, document_type, region, lang, doc_id, chunk_index,
     CASE WHEN doc_id % 4 = 0 THEN '' WHEN doc_id % 4 = 1 THEN file_title ELSE lang || '-' || chunk_index END AS section_title,
     CASE WHEN doc_id % 5 = 0 THEN 'web' ELSE 'milvus' END AS kind, CASE WHEN doc_id % 10 = 0 THEN '' ELSE 'https://e.org/' || doc_id END AS url,
-    row_number() OVER (PARTITION BY source ORDER BY chunk_index DESC, doc_id)::INT AS rank FROM chunks) WHERE rank <= 12),
+    row_number() OVER (PARTITION BY source ORDER BY chunk_index DESC, doc_id)::INT AS rank FROM chunks)),
 labelled AS (SELECT *, CASE WHEN kind = 'web' THEN '[网络搜索/' || CASE WHEN url = '' THEN '未提供URL' ELSE url END || ']'
     ELSE '[本地知识库/' || file_title || '/' || CASE WHEN section_title = '' THEN file_title ELSE section_title END || ']' END AS label FROM evidence)"""
 )
@@ -154,11 +154,10 @@ labelled AS (SELECT *, CASE WHEN kind = 'web' THEN '[网络搜索/' || CASE WHEN
 
 def evidence_rows(spark, sf):
     doc = F.col("doc_id")
-    rows = top_k(
+    rows = ranked(
         V.document_chunks(spark, sf).withColumn("query_id", F.col("source")).drop("source"),
         ["query_id"],
         [F.desc("chunk_index"), F.asc("doc_id")],
-        12,
     )
     section = (
         F.when(doc % 4 == 0, F.lit(""))
@@ -205,7 +204,7 @@ def evidence_context(spark, sf):
     "legacy_citation_rewrite",
     "F10",
     f"""WITH {EVIDENCE_SQL}, per AS (SELECT query_id, list(label ORDER BY rank) AS labels FROM labelled GROUP BY query_id)
-        SELECT query_id, 'A' || labels[1] || labels[3] || ' mid ' || '[来源40]' || labels[1] || '[来源0]end' AS answer FROM per""",
+        SELECT query_id, 'A' || labels[1] || labels[3] || ' mid ' || coalesce(labels[40], '[来源40]') || labels[1] || '[来源0]end' AS answer FROM per""",
 )
 def legacy_citation_rewrite(spark, sf):
     label = X.source_label(F.col("source"), F.col("file_title"), F.col("section_title"), F.col("url"))

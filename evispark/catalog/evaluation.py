@@ -180,7 +180,7 @@ def judge_score_summary(spark, sf):
 
 TRACE_SQL = (
     V.LISTS_SQL
-    + """, c AS (SELECT query_id AS case_id, rank, CASE WHEN query_id % 11 = 3 AND rank = 2 THEN '  ' ELSE 'text ' || chunk_id END AS content FROM arm_lists WHERE list_no = 0 AND rank <= 6),
+    + """, c AS (SELECT query_id AS case_id, rank, CASE WHEN query_id % 11 = 3 AND rank = 2 THEN '  ' ELSE 'text ' || chunk_id END AS content FROM arm_lists WHERE list_no = 0),
    i AS (SELECT query_id AS case_id, layer, chunk_id, min(rank) AS rank FROM arm_lists WHERE NOT (query_id % 13 = 5 AND rank = 4) GROUP BY ALL),
    l AS (SELECT case_id, string_agg(chunk_id, ',' ORDER BY rank) FILTER (WHERE layer = 'embedding') AS embedding_ids,
           string_agg(chunk_id, ',' ORDER BY rank) FILTER (WHERE layer = 'hyde') AS hyde_ids FROM i GROUP BY case_id),
@@ -206,7 +206,7 @@ def evaluation_trace(spark, sf):
         F.when((q % 13 == 5) & (F.col("rank") == 4), F.lit(None)).otherwise(F.col("chunk_id")).alias("chunk_id"),
         F.lit("milvus").alias("source"),
     )
-    contexts = lists.where("list_no = 0 AND rank <= 6").select(
+    contexts = lists.where("list_no = 0").select(
         q.alias("case_id"),
         "rank",
         F.when((q % 11 == 3) & (F.col("rank") == 2), F.lit("  "))

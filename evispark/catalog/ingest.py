@@ -235,7 +235,8 @@ def full_chunks(spark, sf, flawed: bool):
     d, i = F.col("doc_id"), F.col("chunk_index")
     bad = lambda cond, value, good: F.when(F.lit(flawed) & cond, value).otherwise(good)
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id"), F.col("embedding"))
-    rows = V.document_chunks(spark, sf).withColumn("vec_id", d % 500).join(vectors, "vec_id")
+    size = vectors.agg(F.count("*").alias("n_vectors"))
+    rows = V.document_chunks(spark, sf).join(F.broadcast(size)).withColumn("vec_id", d % F.col("n_vectors")).join(vectors, "vec_id")
     sparse = F.map_from_arrays(F.array(F.lit(1), F.lit(10)), F.array(F.lit(0.5), F.lit(0.2))).cast("map<int,float>")
     return rows.select(
         bad(d % 50 == 7, F.substring("chunk_id", 1, 63), F.col("chunk_id")).alias("chunk_id"),
@@ -272,7 +273,7 @@ FLAWS = {
 @query(
     "chunk_validation",
     "P12,V2",
-    f"""WITH {V.CHUNKS_SQL}, r AS (SELECT doc_id % 50 AS m, count(*) AS n FROM chunks JOIN embeddings ON vec_id = doc_id % 500 GROUP BY 1)
+    f"""WITH {V.CHUNKS_SQL}, r AS (SELECT doc_id % 50 AS m, count(*) AS n FROM chunks JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings) GROUP BY 1)
         SELECT CASE m {' '.join(f"WHEN {k} THEN '{v}'" for k, v in FLAWS.items())} END AS reason, n FROM r WHERE m BETWEEN 7 AND 16""",
 )
 def chunk_validation(spark, sf):
@@ -284,7 +285,7 @@ def chunk_validation(spark, sf):
     "chunk_contract_projection",
     "P13",
     f"""WITH {V.CHUNKS_SQL} SELECT chunk_id, document_id, chunk_index, file_title, lang AS section_title, {strip("'x' || content")} AS content, 'text' AS context_type,
-          region AS region_names, document_type, source AS topics, lang AS keywords, 64 AS n_dense, 2 AS n_sparse FROM chunks JOIN embeddings ON vec_id = doc_id % 500""",
+          region AS region_names, document_type, source AS topics, lang AS keywords, 64 AS n_dense, 2 AS n_sparse FROM chunks JOIN embeddings ON vec_id = doc_id % (SELECT count(*) FROM embeddings)""",
 )
 def chunk_contract_projection(spark, sf):
     wide = full_chunks(spark, sf, flawed=False).withColumn("embedding_text", F.lit("dropped"))

@@ -65,13 +65,12 @@ LISTS_SQL = """arm_lists AS (
     FROM (SELECT l_suppkey AS query_id, CASE WHEN l_linestatus = 'F' THEN 0 ELSE 1 END AS list_no,
                  CASE WHEN l_linestatus = 'F' THEN 'embedding' ELSE 'hyde' END AS layer,
                  'p' || (l_partkey % 97) AS chunk_id, 'd' || (l_partkey % 7) AS document_id,
-                 round(l_extendedprice / 110000.0::DOUBLE, 3) AS score, l.* FROM lineitem l))
-  WHERE rank <= 20)"""
+                 round(l_extendedprice / 110000.0::DOUBLE, 3) AS score, l.* FROM lineitem l)))"""
 
 
 def arm_lists(spark, sf):
-    """The first 20 hits of each arm per query; parts recur, so lists hold duplicates and ties."""
-    from evispark.operators.ranking import top_k
+    """All hits of each arm per query, ranked; parts recur, so lists hold duplicates and ties."""
+    from evispark.operators.ranking import ranked
 
     first = F.col("l_linestatus") == "F"
     hits = table(spark, sf, "lineitem").select(
@@ -87,7 +86,7 @@ def arm_lists(spark, sf):
         F.asc(c)
         for c in "l_orderkey l_linenumber l_partkey l_quantity l_discount l_tax l_shipdate l_returnflag".split()
     ]
-    return top_k(hits, ["query_id", "list_no"], order, 20)
+    return ranked(hits, ["query_id", "list_no"], order)
 
 
 def as_text(c):
