@@ -304,7 +304,7 @@ def retrieval_evaluation(spark, sf):
     """Document-level recall of the fused ranking for items that occur in some document."""
     chunks = V.document_chunks(spark, sf)
     queries = benchmark_queries(spark, sf)
-    fused = hybrid_retrieval(queries, chunks)
+    fused = hybrid_retrieval(queries, chunks.repartition("chunk_id"))
     got = fused.join(chunks.select("chunk_id", "document_id"), "chunk_id").select(
         F.col("query_id").alias("case_id"), F.lit("rrf").alias("layer"), "rank", F.col("document_id").alias("chunk_id")
     )

@@ -388,7 +388,7 @@ def markdown_documents(spark, sf):
         F.array("source").alias("topics"),
         F.array("lang").alias("keywords"),
         F.concat(F.lit("# "), "source", F.lit("\n"), F.replace("text", F.lit("\n"), heading)).alias("md_content"),
-    )
+    ).repartition("doc_id")
 
 
 @query(
@@ -432,6 +432,32 @@ def markdown_chunks(spark, sf):
     )
 
 
+def import_inputs(spark, sf):
+    """Documents to import; by number, some have a title or a heading that is too long."""
+    d = F.col("doc_id")
+    long = F.array_join(F.array_repeat(F.lit("x"), 600), "")
+    return markdown_documents(spark, sf).select(
+        F.concat(F.lit("/in/"), "file_title", F.lit(".md")).alias("path"),
+        F.when(d % 50 == 7, long).otherwise(F.col("file_title")).alias("file_title"),
+        F.when(d % 50 == 8, F.concat("md_content", F.lit("\n\n# "), long, F.lit("\ntext"))).otherwise(F.col("md_content")).alias("md_content"),
+    )
+
+
+@query(
+    "import_outcome",
+    "S4,P12,P14,T5,U3",
+    """SELECT '/in/' || source || '-' || doc_id || '.md' AS path, doc_id % 50 NOT IN (7, 8) AS accepted,
+         CASE doc_id % 50 WHEN 7 THEN 'file_title_too_long' WHEN 8 THEN 'section_title_too_long' ELSE '' END AS reasons FROM documents""",
+)
+def import_outcome(spark, sf):
+    """Of each document of a batch, whether the import takes it, and why not."""
+    from evispark.plans.ingest import judged_records
+
+    _, outcome = judged_records(import_inputs(spark, sf))
+    title = F.filter("reasons", lambda r: (r == "file_title_too_long") | ~F.array_contains("reasons", "file_title_too_long"))
+    return outcome.select("path", "accepted", F.array_join(title, ",").alias("reasons"))
+
+
 @query("import_records", "C11,V1,U3,P12,P13")
 def import_records(spark, sf):
     """The whole import: described, chunked, embedded and validated documents."""

@@ -100,7 +100,7 @@ def benchmark_queries(spark, sf):
 
 @query("hybrid_retrieval", "V5,V6,V7,V8,F1", FULL_SQL + " SELECT query_id, chunk_id, rank, score, sources FROM rrf")
 def hybrid_retrieval(spark, sf):
-    fused = hybrid.hybrid_retrieval(benchmark_queries(spark, sf), V.document_chunks(spark, sf))
+    fused = hybrid.hybrid_retrieval(benchmark_queries(spark, sf), V.document_chunks(spark, sf).repartition("chunk_id"))
     return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))
 
 

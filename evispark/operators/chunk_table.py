@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as t
@@ -12,6 +13,7 @@ from evispark import schemas
 from evispark.functions import arrays as A
 from evispark.functions import text as T
 from evispark.operators.metadata import DOCUMENT_TYPES, ID_PATTERN
+from evispark.session import cut_lineage
 
 # Fixed values.
 TITLE_MAX, CONTENT_MAX, ITEM_MAX = 512, 65535, 128
@@ -130,39 +132,63 @@ def with_bucket(chunks: DataFrame, n_buckets: int) -> DataFrame:
     return chunks.withColumn("bucket", F.pmod(F.xxhash64("document_id"), F.lit(n_buckets)).cast("int"))
 
 
+def _stored_buckets(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.schema("n_buckets int").json(f"{path}/_layout").first()["n_buckets"]
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def check_target(spark: SparkSession, path: str, n_buckets: int) -> DataFrame | None:
+    """The table at ``path``, None if there is none. Raises where its columns or its bucket count differ."""
+    stored = _stored_buckets(spark, path)
+    if stored is not None and stored != n_buckets:
+        raise ValueError(f"the table has {stored} buckets, not {n_buckets}")
+    try:
+        target = spark.read.parquet(path)
+    except AnalysisException as exc:
+        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    found = schema_problems(target.schema)
+    if found:
+        raise ValueError(f"the table differs from the contract: {', '.join(found)}")
+    return target
+
+
 def write_replacing(spark: SparkSession, incoming: DataFrame, path: str, n_buckets: int = 64) -> None:
-    """Rewrite only the buckets the batch touches; a failed job leaves the old files in place.
+    """Replace the documents of ``incoming`` in the table, rewriting only the buckets that they fall into.
 
-    The table is partitioned by a hash bucket of the document id. Dynamic partition overwrite swaps the
-    touched buckets at commit, so a repeated import gives the same table. ``n_buckets`` belongs to the
-    table: choose it so that a bucket stays near a gigabyte, and keep it.
+    The table is partitioned by a hash bucket of the document id; the touched bucket numbers, no more than ``n_buckets``,
+    prune its scan. Dynamic partition overwrite swaps whole buckets at commit, so a repeated import gives the same table; a
+    job that fails before the commit changes nothing, one that fails within it is repeated. A bucket may be written by many
+    tasks. ``n_buckets`` is kept beside the table and must not change: choose it so that a bucket stays near a gigabyte.
     """
-    batch = with_bucket(incoming, n_buckets).persist()
-    try:
-        try:
-            target = spark.read.parquet(path)
-        except Exception as exc:  # no table yet
-            if "PATH_NOT_FOUND" not in str(exc):
-                raise
-            target = None
-        merged = batch
-        if target is not None:
-            touched = batch.select("bucket").distinct()
-            merged = replaced(target.join(touched, "bucket", "left_semi"), batch)
+    target = check_target(spark, path, n_buckets)
+    if _stored_buckets(spark, path) is None:
+        spark.range(1).select(F.lit(n_buckets).alias("n_buckets")).coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+    batch = cut_lineage(with_bucket(incoming, n_buckets))
+    touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
+    if not touched:
+        return
+    merged = batch
+    if target is not None:
         # The buckets are read and overwritten in one job, so the new rows are made durable first.
-        from evispark.session import cut_lineage
+        merged = cut_lineage(replaced(in_buckets(target, touched), batch))
+    (
+        merged.hint("rebalance", "bucket")
+        .sortWithinPartitions("bucket", "document_id", "chunk_index")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("bucket")
+        .parquet(path)
+    )
 
-        (
-            cut_lineage(merged)
-            .repartition("bucket")
-            .sortWithinPartitions("document_id", "chunk_index")
-            .write.mode("overwrite")
-            .option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket")
-            .parquet(path)
-        )
-    finally:
-        batch.unpersist()
+
+def in_buckets(target: DataFrame, buckets: list[int]) -> DataFrame:
+    return target.where(F.col("bucket").isin(buckets))
 
 
 def schema_problems(actual: t.StructType, contract: t.StructType = schemas.CHUNK) -> list[str]:

@@ -9,7 +9,7 @@ from evispark.functions import text as T
 from evispark.operators import embedding as E
 from evispark.operators import retrieval as R
 from evispark.operators.fusion import reciprocal_rank_fusion
-from evispark.session import spread
+
 
 # The balanced preset.
 BALANCED = {
@@ -54,7 +54,7 @@ def search_forms(forms: DataFrame, chunks: DataFrame, config: dict = BALANCED, e
     narrow step in front of the only large shuffle.
     """
     stored = {"dense", "terms", "weights"} <= set(chunks.columns)
-    vectors = chunks if stored else E.search_vectors(spread(chunks.select("chunk_id", "content")), "chunk_id", "content", encode)
+    vectors = chunks if stored else E.search_vectors(chunks.select("chunk_id", "content"), "chunk_id", "content", encode)
     asked = E.search_vectors(forms.select("query_id", "text"), "query_id", "text", encode)
     found = R.search(asked, vectors, config["ann_limit"])
     return R.weighted_hybrid(found, config["dense_weight"], config["sparse_weight"], config["search_top_k"])

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evispark import schemas
+from evispark.functions import text as T
 from evispark.operators import chunk_table, metadata, models, rules
 from evispark.operators import chunks as C
 from evispark.operators.chunking import chunk_documents
 from evispark.operators.embedding import HASH_DIM, with_vectors
-from evispark.session import once, spread
+from evispark.session import cut_lineage, once
 from evispark.sources.documents import load_markdown, route_by_suffix
 
 
@@ -18,44 +18,79 @@ def described(docs: DataFrame, describe=models.default_metadata) -> DataFrame:
     """Documents with id and metadata. ``docs``: path, file_title, md_content; ``describe`` gives model text."""
     loaded = load_markdown(docs)
     answer = describe(F.col("file_title"), metadata.metadata_context(F.col("md_content")))
-    known = once(spread(loaded), "_raw", metadata.parse_model_json(answer))
+    known = once(loaded, "_raw", metadata.parse_model_json(answer))
     return known.withColumn(
         "document_id", C.document_id(F.lit(None).cast("string"), F.col("path"), F.col("file_title"))
     )
 
 
-def split_described(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(documents with usable metadata, rejects)."""
-    checks = metadata.metadata_rules(F.col("_raw"))
-    named = rules.check(docs, checks)
-    good = named.where(F.size("problems") == 0).withColumn("_m", metadata.normalise_metadata(F.col("_raw")))
-    bad = named.select("document_id", F.explode_outer("problems").alias("reason")).where("reason IS NOT NULL")
-    return good.select("document_id", "path", "file_title", "md_content", "_m.*"), bad
+def judged_records(docs: DataFrame, describe=models.default_metadata, encode=None, dim: int = HASH_DIM) -> tuple[DataFrame, DataFrame]:
+    """(contract rows, outcome) of a batch: a document comes in with all its chunks or not at all.
 
-
-def chunk_records(
-    docs: DataFrame, describe=models.default_metadata, encode=None, dim: int = HASH_DIM
-) -> tuple[DataFrame, DataFrame]:
-    """(contract rows, rejects) for a batch of documents. Both sides are narrow: no shuffle."""
-    good, bad_docs = split_described(described(docs, describe))
+    outcome: document_id, path, accepted and reasons, one row per document. A document is refused for its metadata, for any
+    broken rule of any of its chunks, for repeated chunk ids or ordinals with gaps, for having no text, and where the batch
+    holds it twice. Documents and chunks are each worked out once and made durable, so model, chunker and encoder run once.
+    """
+    named = cut_lineage(rules.check(described(docs, describe), metadata.metadata_rules(F.col("_raw"))))
+    twice = named.groupBy("document_id").agg(F.count("*").alias("n")).where("n > 1").select("document_id")
+    good = named.where(F.size("problems") == 0).join(twice, "document_id", "left_anti")
+    good = good.withColumn("_m", metadata.normalise_metadata(F.col("_raw"))).select("document_id", "path", "file_title", "md_content", "_m.*")
     rows = with_vectors(chunk_documents(good), "embedding_text", encode)
-    checks = chunk_table.chunk_rules(dim)
-    bad_rows = rules.rejects(rows, ["document_id"], checks)
-    return chunk_table.contract_projection(rules.valid(rows, checks)), bad_docs.unionByName(bad_rows)
-
-
-def import_batch(spark: SparkSession, docs: DataFrame, table_path: str, n_buckets: int = 64) -> None:
-    records, _ = chunk_records(docs)
+    tagged = cut_lineage(rules.check(chunk_table.contract_projection(rows), chunk_table.chunk_rules(dim)))
+    batch = chunk_table.batch_problems(tagged)
+    reasons = (
+        named.select("document_id", F.explode("problems").alias("reason"))
+        .unionByName(twice.withColumn("reason", F.lit("document_repeated")))
+        .unionByName(tagged.select("document_id", F.explode("problems").alias("reason")))
+        .unionByName(batch.where("repeated_ids > 0").select("document_id", F.lit("chunk_id_repeated").alias("reason")))
+        .unionByName(batch.where("shared_ids > 0").select(F.col("document_id"), F.lit("chunk_id_shared").alias("reason")))
+        .unionByName(batch.where("index_gap").select("document_id", F.lit("chunk_index_gap").alias("reason")))
+        .unionByName(good.select("document_id").join(tagged, "document_id", "left_anti").withColumn("reason", F.lit("no_chunks")))
+    )
+    refused = cut_lineage(reasons.groupBy("document_id").agg(F.array_sort(F.collect_set("reason")).alias("reasons")))
+    known = named.groupBy("document_id").agg(F.min("path").alias("path"))
+    title = docs.where(T.first_text(F.col("md_content")) == "").select(F.lit(None).cast("string").alias("document_id"), "path")
+    blank = title.select("document_id", "path", F.lit(False).alias("accepted"), F.array(F.lit("blank_document")).alias("reasons"))
+    outcome = known.join(refused, "document_id", "left").select(
+        "document_id", "path", F.col("reasons").isNull().alias("accepted"), F.coalesce("reasons", F.array().cast("array<string>")).alias("reasons")
+    )
+    return tagged.join(refused, "document_id", "left_anti").drop("problems"), outcome.unionByName(blank)
+
+
+def chunk_records(docs: DataFrame, describe=models.default_metadata, encode=None, dim: int = HASH_DIM) -> tuple[DataFrame, DataFrame]:
+    """(contract rows of accepted documents, refused documents with their reasons)."""
+    records, outcome = judged_records(docs, describe, encode, dim)
+    return records, outcome.where("NOT accepted")
+
+
+def rejects_path(table_path: str) -> str:
+    return f"{table_path.rstrip('/')}_rejects"
+
+
+def import_batch(spark: SparkSession, docs: DataFrame, table_path: str, n_buckets: int = 64) -> DataFrame:
+    """Import a batch and return its outcome. Refused documents keep the version that the table holds, and are added with
+    their reasons to a table beside it. A table that differs from the contract stops the import before anything is written.
+    """
+    chunk_table.check_target(spark, table_path, n_buckets)
+    records, outcome = judged_records(docs)
+    outcome = cut_lineage(outcome)
+    refused = outcome.where("NOT accepted").select("document_id", "path", "reasons", F.current_timestamp().alias("refused_at"))
+    refused.write.mode("append").parquet(rejects_path(table_path))
     chunk_table.write_replacing(spark, records, table_path, n_buckets)
+    return outcome
 
 
-def incremental_import(spark: SparkSession, folder: str, table_path: str, checkpoint: str) -> None:
-    """Import the Markdown files that arrived since the last run, each file once."""
+def incremental_import(spark: SparkSession, folder: str, table_path: str, checkpoint: str, files_per_batch: int = 10_000) -> None:
+    """Import the Markdown files that arrived since the last run, each file once. Files that are refused count as taken;
+    the table of rejects names them."""
     from evispark.streaming.jobs import run_available
 
-    files = spark.readStream.format("binaryFile").schema(
-        "path string, modificationTime timestamp, length long, content binary"
-    ).load(folder)
+    files = (
+        spark.readStream.format("binaryFile")
+        .schema("path string, modificationTime timestamp, length long, content binary")
+        .option("maxFilesPerTrigger", files_per_batch)
+        .load(folder)
+    )
 
     def one(batch: DataFrame, _: int) -> None:
         routed = route_by_suffix(batch).where("route = 'markdown'")
@@ -63,6 +98,3 @@ def incremental_import(spark: SparkSession, folder: str, table_path: str, checkp
         import_batch(batch.sparkSession, docs, table_path)
 
     run_available(files, one, checkpoint, mode="append")
-
-
-CONTRACT = schemas.CHUNK

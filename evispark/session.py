@@ -31,11 +31,13 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; a private one is made only where none is configured."""
+    """Return the shared checkpoint folder; only a local session without that setting gets a private one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured is None:
         configured = spark.sparkContext.getCheckpointDir()
     if configured is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         configured = tempfile.mkdtemp(prefix="spark-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
@@ -59,12 +61,3 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     an explosion, so the value passes through one of a single element.
     """
     return df.select("*", F.explode_outer(F.array(value)).alias(name))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise heavy work when the scan has fewer splits than the cluster has cores.
-
-    Tables of real size have more splits than cores and pass unchanged.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -162,6 +162,46 @@ def test_import_is_idempotent_and_drops_stale_chunks(spark, tmp_path):
     assert set(schemas.CHUNK.names) == set(stored.columns)
 
 
+def test_import_takes_a_document_whole_or_not_at_all(spark, tmp_path):
+    from evispark.plans.ingest import import_batch, rejects_path
+
+    def docs(*rows):
+        return spark.createDataFrame(list(rows), "path string, file_title string, md_content string")
+
+    def stored():
+        return sorted((r.document_id, r.chunk_index, r.content) for r in spark.read.parquet(target).collect())
+
+    target = str(tmp_path / "chunks")
+    sections = "".join(f"# Part {i}\n\n" + f"Some words of part {i}. " * 40 + "\n\n" for i in range(12))
+    first = import_batch(spark, docs(("/in/a.md", "a", sections), ("/in/b.md", "b", "# B\n\nbody text")), target, 4)
+    assert {r.accepted for r in first.collect()} == {True}
+    before = stored()
+    # One heading that is too long refuses the whole new version; so does a title, and a blank document is named.
+    flawed = sections.replace("# Part 5\n", "# " + "x" * 600 + "\n")
+    outcome = import_batch(
+        spark, docs(("/in/a.md", "a", flawed), ("/in/c.md", "t" * 600, "# C\n\ntext"), ("/in/d.md", "d", " "), ("/in/e.md", "e", "new text"), ("/in/e.md", "e", "twice")), target, 4
+    )
+    reasons = {r.path: (r.accepted, r.reasons) for r in outcome.collect()}
+    assert reasons["/in/a.md"] == (False, ["section_title_too_long"])
+    assert reasons["/in/c.md"][0] is False and "file_title_too_long" in reasons["/in/c.md"][1]
+    assert reasons["/in/d.md"] == (False, ["blank_document"]) and reasons["/in/e.md"] == (False, ["document_repeated"])
+    assert stored() == before
+    rejects = spark.read.parquet(rejects_path(target))
+    assert {r.path for r in rejects.collect()} == {"/in/a.md", "/in/c.md", "/in/d.md", "/in/e.md"}
+    with pytest.raises(ValueError):
+        import_batch(spark, docs(("/in/b.md", "b", "text")), target, 8)
+
+
+def test_only_touched_buckets_are_scanned(spark, tmp_path):
+    from evispark.plans.ingest import import_batch
+
+    target = str(tmp_path / "chunks")
+    import_batch(spark, spark.createDataFrame([(f"/in/{i}.md", str(i), f"text {i}") for i in range(40)], "path string, file_title string, md_content string"), target, 8)
+    plan = K.in_buckets(spark.read.parquet(target), [1, 3])._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [bucket" in plan.replace("isnotnull(bucket", "[bucket") or "bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert plan.count("Exchange") == 0
+
+
 def test_side_outputs(spark, tmp_path):
     df = spark.createDataFrame([("d", "t", "# x")], "document_id string, file_title string, md_content string")
     documents.write_chunk_copies(df, str(tmp_path / "c"))
