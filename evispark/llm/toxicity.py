@@ -151,6 +151,8 @@ def log_odds(counts: list[tuple[str, int, int]], share: float, *, strength: floa
         word = part.rstrip("$")
         known = beginnings(word)
         above = next((posterior[p] for p in reversed(known[: known.index(part)]) if p in posterior), share)
+        # A beginning's documents include this part's own, so its share may only say so much in advance.
+        above = min(max(above, share / 10), (1 + share) / 2)
         t, c = toxic + strength * above, clean + strength * (1 - above)
         posterior[part] = t / (t + c)
         odds = math.log(t / c) - base
