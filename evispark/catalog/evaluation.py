@@ -245,47 +245,62 @@ def evaluation_case_filter(spark, sf):
     return E.select_cases(cases)
 
 
-SHINGLE = 4
+GRAM = 10
+WORD_START = r"(?<=\s)"
+MAX_BROADCAST_ITEMS = 200_000  # of a few hundred bytes; more items are joined by a shuffle
 
 
-def gold_documents(spark, sf):
-    """Documents that contain a benchmark item.
+def documents_with_items(docs, items):
+    """(case_id, document_id) where a document's text contains an item's text (of one character or more).
 
-    A word run from inside the item anchors the pair: it must occur in the document as whole words, so
-    an equi-join on the run finds every candidate, and the text test on the candidates decides. The run
-    leaves out the item's first and last word, which a document may continue; shorter items, down to
-    three words, are found by a single inner word.
+    An item is anchored by the first ``GRAM`` characters from its second word on, which begin a word in the document as well;
+    an item of one word by its own first characters, which may begin anywhere. Whatever is shorter is taken whole. The
+    document's runs of each such kind and length are looked up as they are made; a hit is then tested in full.
     """
-    words = T.words(F.col("text"))
-    long = F.size(words) >= SHINGLE + 2
-    items = table(spark, sf, "benchmark").select(
-        F.col("item_id").cast("string").alias("case_id"),
-        F.col("text").alias("item_text"),
-        F.when(long, F.array_join(F.slice(words, 2, SHINGLE), " ")).otherwise(F.get(words, F.lit(1))).alias("run"),
-        long.alias("long"),
-    )
-    docs = V.documents_with_metadata(spark, sf)
-    runs = docs.select("document_id", words.alias("w")).where(F.size("w") >= SHINGLE).select(
-        "document_id",
-        F.explode_outer(
-            F.array_distinct(
-                F.transform(
-                    F.sequence(F.lit(1), F.size("w") - SHINGLE + 1), lambda i: F.array_join(F.slice("w", i, SHINGLE), " ")
-                )
-            )
-        ).alias("run"),
-    )
-    single = docs.select("document_id", F.explode_outer(F.array_distinct(words)).alias("run"))
-    pairs = (
-        runs.join(items.where("long"), "run")
-        .unionByName(single.join(items.where("NOT long"), "run"))
-        .select("document_id", "case_id", "item_text")
-    )
-    return (
-        pairs.join(docs.select("document_id", "text"), "document_id")
-        .where(F.contains("text", F.col("item_text")))
-        .select("case_id", F.col("document_id").alias("chunk_id"))
+    later = F.regexp_extract("item_text", r"(?s)\s(\S.*)", 1)
+    anchored = items.where("length(item_text) > 0").select(
+        "case_id", "item_text", (later != "").alias("at_word"), F.left(F.when(later != "", later).otherwise(F.col("item_text")), F.lit(GRAM)).alias("anchor")
+    )
+    stats = anchored.agg(F.count("*").alias("n"), F.collect_set(F.struct("at_word", F.length("anchor").alias("k"))).alias("kinds")).first()
+    table = F.broadcast(anchored) if stats["n"] <= MAX_BROADCAST_ITEMS else anchored
+    kinds = sorted((kind["at_word"], kind["k"]) for kind in stats["kinds"])  # no more than 2 x GRAM
+    runs = [
+        F.struct(F.lit(at_word).alias("at_word"), F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s){at_word * WORD_START}(?=(.{{{k}}}))"), F.lit(1))).alias("grams"))
+        for at_word, k in kinds
+    ]
+    runs = F.array(*runs) if runs else F.array().cast("array<struct<at_word:boolean,grams:array<string>>>")
+    each = docs.select("document_id", "text", F.explode(runs).alias("run"))
+    # The runs are a column of their own, so that the explosion is compiled and does not copy the text for each run.
+    each = each.select("document_id", "text", F.col("run.at_word").alias("own"), F.explode("run.grams").alias("gram"))
+    same = (F.col("gram") == F.col("anchor")) & (F.col("own") == F.col("at_word")) & F.contains("text", F.col("item_text"))
+    return each.join(table, same).select("case_id", "document_id")
+
+
+def gold_documents(spark, sf):
+    """Documents that contain a benchmark item."""
+    items = table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("case_id"), F.col("text").alias("item_text"))
+    docs = V.documents_with_metadata(spark, sf).select("document_id", "text")
+    return documents_with_items(docs, items).select("case_id", F.col("document_id").alias("chunk_id"))
+
+
+@query(
+    "gold_item_documents",
+    "A1,J2",
+    """WITH items AS (
+         SELECT item_id || '-' || k AS case_id, CASE k WHEN 0 THEN text WHEN 1 THEN split_part(text, ' ', 1) ELSE split_part(text, ' ', 1) || ' ' || split_part(text, ' ', 2) END AS item
+         FROM benchmark, range(3) t(k))
+       SELECT case_id, count(d.doc_id) AS n_documents FROM items LEFT JOIN documents d ON contains(d.text, item) GROUP BY case_id""",
+)
+def gold_item_documents(spark, sf):
+    """How many documents contain each benchmark item, its first word and its first two words."""
+    word = F.split_part("text", F.lit(" "), F.lit(1))
+    texts = F.array("text", word, F.concat_ws(" ", word, F.split_part("text", F.lit(" "), F.lit(2))))
+    items = table(spark, sf, "benchmark").select("item_id", F.posexplode(texts).alias("k", "item_text")).select(
+        F.concat_ws("-", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("case_id"), "item_text"
     )
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text").repartition("document_id")
+    found = documents_with_items(docs, items).groupBy("case_id").agg(F.count("*").alias("n"))
+    return items.join(found, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
 @query(
