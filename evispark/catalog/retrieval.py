@@ -104,6 +104,35 @@ def hybrid_retrieval(spark, sf):
     return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))
 
 
+# By item number: no filter, a document type, regions with the nationwide one added, both without it.
+_ITEM = "split_part(query_id, '#', 1)::INT % 4"
+_FILTER_SQL = f"""({_ITEM} <> 1 OR document_type = '政策') AND ({_ITEM} <> 2 OR region IN ('src3', 'src4', '全国'))
+  AND ({_ITEM} <> 3 OR (document_type IN ('标准', '规划') AND region IN ('src5', 'src6', 'src7', 'src8')))"""
+FILTERED_SQL = FULL_SQL.replace("FROM qdense q, cdense c", f"FROM qdense q, cdense c JOIN chunks USING (chunk_id) WHERE {_FILTER_SQL}").replace(
+    "FROM qslots q JOIN cslots c USING (slot)", f"FROM qslots q JOIN cslots c USING (slot) JOIN chunks USING (chunk_id) WHERE {_FILTER_SQL}"
+)
+
+
+@query("filtered_hybrid_retrieval", "P10,J10,V5,V6,V7,V8", FILTERED_SQL + " SELECT query_id, chunk_id, rank, score, sources FROM rrf")
+def filtered_hybrid_retrieval(spark, sf):
+    """Hard filters of each query restrict both arms before their cut."""
+    texts = lambda *values: F.array(*(F.lit(v) for v in values))
+    turn = F.col("query_id").cast("int") % 4
+    none = F.array().cast("array<string>")
+    filters = F.struct(
+        F.when(turn == 1, texts("document_types")).when(turn == 2, texts("region_names"))
+        .when(turn == 3, texts("document_types", "region_names")).otherwise(none).alias("hard_fields"),
+        F.when(turn == 1, texts("政策")).otherwise(texts("标准", "规划")).alias("document_types"),
+        F.when(turn == 2, texts("src3", "src4")).otherwise(texts("src5", "src6", "src7", "src8")).alias("region_names"),
+        (turn == 3).alias("strict"),
+    )
+    types, regions = R.hard_filters(filters)
+    asked = benchmark_queries(spark, sf).withColumns({"document_types": types, "regions": regions})
+    chunks = V.document_chunks(spark, sf).withColumn("region_names", F.array("region")).repartition("chunk_id")
+    fused = hybrid.hybrid_retrieval(asked, chunks)
+    return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))
+
+
 @query(
     "sparse_retrieval",
     "V6,J10",

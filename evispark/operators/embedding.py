@@ -167,11 +167,11 @@ def encoder(load: Callable[[], Callable[[list[str]], tuple[list, list]]] = hashi
     return encode.asNondeterministic()
 
 
-def search_vectors(df: DataFrame, key: str, text: str, encode=None) -> DataFrame:
-    """(key, dense, terms, weights): what a search needs, in one narrow step."""
+def search_vectors(df: DataFrame, key: str, text: str, encode=None, carried: list[str] = ()) -> DataFrame:
+    """(key, carried columns, dense, terms, weights): what a search needs, in one narrow step."""
     encode = encode or encoder()
-    return df.select(key, encode(F.col(text)).alias("_v")).select(
-        key, F.col("_v.dense").alias("dense"), F.col("_v.slots").alias("terms"), F.col("_v.weights").alias("weights")
+    return df.select(key, *carried, encode(F.col(text)).alias("_v")).select(
+        key, *carried, F.col("_v.dense").alias("dense"), F.col("_v.slots").alias("terms"), F.col("_v.weights").alias("weights")
     )
 
 

@@ -11,10 +11,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evispark.operators.ranking import top_k
+from evispark.session import cut_lineage
 
 SCORE_DIGITS = 9
-QUERY_BLOCK = 50_000
+QUERY_BYTES = 64 << 20  # of query vectors that a task gets at once
 CELLS = 2_000_000
+# Filters of a search: by name, the query's column, the chunk's column and the chunk column's type.
+FILTERS = {
+    "only": ("only", "group", "string"),
+    "document_type": ("document_types", "document_type", "string"),
+    "region": ("regions", "region_names", "array<string>"),
+}
 PAIR_SLICE = 2_000_000
 NATIONWIDE = "全国"
 
@@ -30,6 +37,16 @@ def allowed(filters: Column, document_type: Column, region_names: Column) -> Col
     return type_ok & region_ok
 
 
+def hard_filters(filters: Column) -> tuple[Column, Column]:
+    """(document types, regions) that a query's hard fields allow; null where they do not restrict."""
+    hard = filters["hard_fields"]
+    regions = F.when(filters["strict"], filters["region_names"]).otherwise(
+        F.array_union(filters["region_names"], F.array(F.lit(NATIONWIDE)))
+    )
+    types = F.when(F.array_contains(hard, "document_types"), filters["document_types"])
+    return types, F.when(F.array_contains(hard, "region_names"), regions)
+
+
 def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int):
     """Keep the k best rows of every query: score first, then the smaller id."""
     order = np.lexsort((chunk, -score, query))
@@ -74,18 +91,19 @@ class _QueryBlock:
 
     def __init__(self, rows: pa.Table, arms: tuple[str, ...]):
         self.ids = np.asarray(rows.column("id").to_pylist(), dtype=object)
-        self.only = rows.column("only").to_pylist()
-        self.limited = [i for i, groups in enumerate(self.only) if groups is not None]
+        # Of each filter that some query has: the values that occur, and which query allows which (null: all).
+        self.filters = {}
+        for name in FILTERS:
+            lists = rows.column(name).to_pylist()
+            if any(values is not None for values in lists):
+                known = sorted({v for values in lists for v in values or () if v is not None})
+                wanted = np.array([[values is None or v in values for v in known] for values in lists], bool).reshape(len(lists), len(known))
+                self.filters[name] = (pa.array(known, pa.string()), wanted, np.array([values is None for values in lists]))
         if "dense" in arms:
-            flat = np.asarray([v for row in rows.column("dense").to_pylist() for v in row], dtype=np.float64)
-            self.dense = flat.reshape(len(self.ids), -1)
+            flat = rows.column("dense").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+            self.dense = flat.astype(np.float64).reshape(len(self.ids), -1)
         if "sparse" in arms:
-            lists = rows.column("terms").combine_chunks()
-            if isinstance(lists, pa.ChunkedArray):
-                lists = lists.chunk(0)
-            weights = rows.column("weights").combine_chunks()
-            if isinstance(weights, pa.ChunkedArray):
-                weights = weights.chunk(0)
+            lists, weights = (rows.column(c).combine_chunks() for c in ("terms", "weights"))
             flat = lists.flatten()
             self.terms = pc.unique(flat)
             term = pc.index_in(flat, value_set=self.terms).to_numpy(zero_copy_only=False)
@@ -100,71 +118,57 @@ class _QueryBlock:
             found = _dense_scores(part, self.dense)
         else:
             found = _sparse_scores(part, self.terms, self.bounds, self.at, self.weights, len(self.ids))
-        if self.limited:
-            group = np.asarray(part.column("group").to_pylist(), dtype=object)
-            for i in self.limited:
-                found[i, ~np.isin(group, self.only[i])] = -np.inf
+        for name, (known, wanted, free) in self.filters.items():
+            found[~(_members(part.column(name), known) @ wanted.T.astype(np.int32) > 0).T & ~free[:, None]] = -np.inf
         return np.round(found, SCORE_DIGITS)
 
 
-def _search_partition(k: int, arms: tuple[str, ...]):
-    """Rows come as (block, queries first, then chunks); only k rows per query and arm leave."""
+def _members(column: pa.Array, known: pa.Array) -> np.ndarray:
+    """Chunks by known filter values: does the chunk have the value? A column of text or of lists of text."""
+    out = np.zeros((len(column), len(known)), np.int32)
+    rows = np.arange(len(column))
+    if pa.types.is_list(column.type):
+        rows, column = np.asarray(pc.list_parent_indices(column)), column.flatten()
+    at = pc.index_in(column, value_set=known).fill_null(-1).to_numpy(zero_copy_only=False)
+    out[rows[at >= 0], at[at >= 0]] = 1
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block_no, waiting, block, held, floors = None, [], None, {}, {}
 
-        def results():
-            for arm, (query, chunk, score) in held.items():
-                ids = block.ids[query]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([arm] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(chunk, pa.string()), pa.array(score, pa.float64())],
-                    names=["arm", "query_id", "chunk_id", "score"],
-                )
+def _search_partition(queries: pa.Table, k: int, arms: tuple[str, ...]):
+    """Chunks in, no more than k rows for each query and arm out."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = _QueryBlock(queries, arms)
+        held: dict[str, tuple] = {}
+        floors = {arm: np.full(len(block.ids), -np.inf) for arm in arms}
+        step = max(1, CELLS // len(block.ids))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            blk = batch.column("blk").to_numpy(zero_copy_only=False)
-            kind = batch.column("kind").to_numpy(zero_copy_only=False)
-            turns = np.flatnonzero((np.diff(blk) != 0) | (np.diff(kind) != 0)) + 1
-            for lo, hi in zip(np.r_[0, turns], np.r_[turns, batch.num_rows]):
-                part = batch.slice(int(lo), int(hi - lo))
-                if blk[lo] != block_no:
-                    if block is not None:
-                        yield from results()
-                    block_no, waiting, block, held, floors = blk[lo], [], None, {}, {}
-                if kind[lo] == 0:
-                    waiting.append(part)
-                    continue
-                if block is None:
-                    if not waiting:
+            for start in range(0, batch.num_rows, step):
+                piece = batch.slice(start, step)
+                for arm in arms:
+                    scores = block.scores(piece, arm)
+                    bar = floors[arm][:, None]
+                    if scores.shape[1] > k:
+                        bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k][:, None])
+                    query, at = np.nonzero((scores >= bar) & (scores > -np.inf))
+                    if not len(query):
                         continue
-                    block = _QueryBlock(pa.Table.from_batches(waiting), arms)
-                    waiting = []
-                    floors = {arm: np.full(len(block.ids), -np.inf) for arm in arms}
-                step = max(1, CELLS // len(block.ids))
-                for start in range(0, part.num_rows, step):
-                    piece = part.slice(start, step)
-                    for arm in arms:
-                        scores = block.scores(piece, arm)
-                        bar = floors[arm][:, None]
-                        if scores.shape[1] > k:
-                            bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k][:, None])
-                        query, at = np.nonzero((scores >= bar) & (scores > -np.inf))
-                        if not len(query):
-                            continue
-                        ids = np.asarray(piece.column("id").take(pa.array(at)).to_pylist(), dtype=object)
-                        found = (query, ids, scores[query, at])
-                        if arm in held:
-                            found = tuple(np.concatenate(pair) for pair in zip(held[arm], found))
-                        held[arm] = _best(*found, k)
-                        query, _, score = held[arm]
-                        full = np.bincount(query, minlength=len(block.ids)) >= k
-                        lowest = np.full(len(block.ids), np.inf)
-                        np.minimum.at(lowest, query, score)
-                        floors[arm] = np.where(full, lowest, -np.inf)
-        if block is not None:
-            yield from results()
+                    ids = np.asarray(piece.column("id").take(pa.array(at)).to_pylist(), dtype=object)
+                    found = (query, ids, scores[query, at])
+                    if arm in held:
+                        found = tuple(np.concatenate(pair) for pair in zip(held[arm], found))
+                    held[arm] = _best(*found, k)
+                    query, _, score = held[arm]
+                    full = np.bincount(query, minlength=len(block.ids)) >= k
+                    lowest = np.full(len(block.ids), np.inf)
+                    np.minimum.at(lowest, query, score)
+                    floors[arm] = np.where(full, lowest, -np.inf)
+        for arm, (query, chunk, score) in held.items():
+            ids = block.ids[query]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([arm] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(chunk, pa.string()), pa.array(score, pa.float64())],
+                names=["arm", "query_id", "chunk_id", "score"],
+            )
 
     return run
 
@@ -172,48 +176,44 @@ def _search_partition(k: int, arms: tuple[str, ...]):
 def search(queries: DataFrame, chunks: DataFrame, k: int, arms: tuple[str, ...] = ("dense", "sparse")) -> DataFrame:
     """Exact inner-product top-k per arm for a batch of queries: arm, query_id, chunk_id, score, rank.
 
-    ``queries``: query_id, and per arm ``dense`` or ``terms`` and ``weights``; optional ``only``, the chunk
-    groups allowed before the cut. ``chunks``: chunk_id, the same vectors, optional ``group``.
+    ``queries``: query_id, and per arm ``dense`` or ``terms`` and ``weights``; optional the filters ``only``,
+    ``document_types`` and ``regions``, each the values allowed before the cut (null: all). ``chunks``: chunk_id, the same
+    vectors, and what the filters look at: ``group`` and ``document_type`` (text), ``region_names`` (list of text).
 
-    Chunks are hashed over the partitions and every partition gets a copy of the query vectors, so each
-    chunk is moved once and no (query, chunk) pair ever becomes a row: a partition scores its chunks in
-    blocks and hands on k rows per query. Beyond ``QUERY_BLOCK`` queries the batch is cut into blocks
-    that each partition works off one after the other, which bounds what a task holds.
+    Chunks stay where the scan puts them. The query batch is worked out once and cut into blocks of about ``QUERY_BYTES``,
+    each of which is sent to the tasks; a task scores its chunks in pieces and hands on k rows per query and arm, the only
+    rows that are shuffled. A batch of several blocks reads the chunks once for each.
     """
-    spark = queries.sparkSession
-    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     none = lambda kind: F.lit(None).cast(kind)
     term_kind, weight_kind = (
         chunks.schema[c].dataType.simpleString() if "sparse" in arms else "array<int>" for c in ("terms", "weights")
     )
 
-    def shaped(df: DataFrame, key: str, kind: int) -> DataFrame:
-        has = lambda name, kind: F.col(name).cast(kind).alias(name) if name in df.columns else none(kind).alias(name)
+    def shaped(df: DataFrame, key: str, filters: dict[str, tuple[str, str]]) -> DataFrame:
+        has = lambda name, kind, to: (F.col(name).cast(kind) if name in df.columns else none(kind)).alias(to)
         return df.select(
-            F.lit(kind).alias("kind"),
             F.col(key).cast("string").alias("id"),
-            has("group", "string"),
-            has("only", "array<string>"),
-            (has("dense", "array<float>") if "dense" in arms else none("array<float>").alias("dense")),
-            (has("terms", term_kind) if "sparse" in arms else none(term_kind).alias("terms")),
-            (has("weights", weight_kind) if "sparse" in arms else none(weight_kind).alias("weights")),
+            *(has(name, kind, to) for to, (name, kind) in filters.items()),
+            (has("dense", "array<float>", "dense") if "dense" in arms else none("array<float>").alias("dense")),
+            (has("terms", term_kind, "terms") if "sparse" in arms else none(term_kind).alias("terms")),
+            (has("weights", weight_kind, "weights") if "sparse" in arms else none(weight_kind).alias("weights")),
         )
 
-    n_blocks = queries.select(F.greatest(F.lit(1), F.ceil(F.count("*") / QUERY_BLOCK)).cast("int").alias("n")).scalar()
-    q = (
-        shaped(queries, "query_id", 0)
-        .withColumn("blk", F.pmod(F.xxhash64("id"), n_blocks).cast("int"))
-        .withColumn("pid", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
-    )
-    c = (
-        shaped(chunks, "chunk_id", 1)
-        .withColumn("n", n_blocks)
-        .withColumn("blk", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-        .withColumn("pid", F.pmod(F.xxhash64("id"), F.lit(width)).cast("int"))
-        .drop("n")
-    )
-    met = q.unionByName(c).repartitionById(width, "pid").sortWithinPartitions("blk", "kind").drop("pid")
-    partial = met.mapInArrow(_search_partition(k, arms), "arm string, query_id string, chunk_id string, score double")
+    asked = cut_lineage(shaped(queries, "query_id", {to: (own, "array<string>") for to, (own, _, _) in FILTERS.items()}))
+    length = lambda c: F.coalesce(F.size(c), F.lit(0))
+    size = asked.agg(F.sum(200 + 4 * length("dense") + 16 * length("terms"))).first()[0] or 0
+    n_blocks = max(1, -(-size // QUERY_BYTES))
+    looked = shaped(chunks, "chunk_id", {to: (name, kind) for to, (_, name, kind) in FILTERS.items()})
+    partial = None
+    for number in range(n_blocks):
+        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == number).toArrow()
+        if block.nbytes > 8 * QUERY_BYTES:
+            raise ValueError("a block of queries is far above its bound")
+        if block.num_rows:
+            found = looked.mapInArrow(_search_partition(block, k, arms), "arm string, query_id string, chunk_id string, score double")
+            partial = found if partial is None else partial.union(found)
+    if partial is None:
+        partial = queries.sparkSession.createDataFrame([], "arm string, query_id string, chunk_id string, score double")
     return top_k(partial, ["arm", "query_id"], [F.desc("score"), F.asc("chunk_id")], k)
 
 

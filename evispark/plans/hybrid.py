@@ -23,6 +23,8 @@ BALANCED = {
     "rrf_top_k": 12,
 }
 HYDE_MAX_CHARS = 300
+FILTER_COLUMNS = ("only", "document_types", "regions")
+CHUNK_FILTER_COLUMNS = ("group", "document_type", "region_names")
 HYDE_LABEL = "\n相关文档可能表述："
 
 
@@ -42,8 +44,9 @@ def query_forms(queries: DataFrame) -> DataFrame:
         F.concat("text", F.lit(HYDE_LABEL), passage).alias("text"),
     )
     forms = F.when(passage != "", F.array(plain, extended)).otherwise(F.array(plain))
-    return queries.select(F.col("query_id").alias("base_id"), F.explode(forms).alias("f")).select(
-        F.concat_ws("#", "base_id", "f.source").alias("query_id"), "base_id", "f.source", "f.list_no", "f.text"
+    filters = [c for c in FILTER_COLUMNS if c in queries.columns]
+    return queries.select(F.col("query_id").alias("base_id"), F.explode(forms).alias("f"), *filters).select(
+        F.concat_ws("#", "base_id", "f.source").alias("query_id"), "base_id", "f.source", "f.list_no", "f.text", *filters
     )
 
 
@@ -51,11 +54,13 @@ def search_forms(forms: DataFrame, chunks: DataFrame, config: dict = BALANCED, e
     """Both vector arms for every query form: query_id, chunk_id, score, rank.
 
     ``chunks`` may bring stored vectors (dense, terms, weights); else its content is encoded here, one
-    narrow step in front of the only large shuffle.
+    narrow step of the scan. Filters that the queries bring restrict both arms before their cut.
     """
     stored = {"dense", "terms", "weights"} <= set(chunks.columns)
-    vectors = chunks if stored else E.search_vectors(chunks.select("chunk_id", "content"), "chunk_id", "content", encode)
-    asked = E.search_vectors(forms.select("query_id", "text"), "query_id", "text", encode)
+    own = [c for c in CHUNK_FILTER_COLUMNS if c in chunks.columns]
+    vectors = chunks if stored else E.search_vectors(chunks.select("chunk_id", "content", *own), "chunk_id", "content", encode, own)
+    filters = [c for c in FILTER_COLUMNS if c in forms.columns]
+    asked = E.search_vectors(forms.select("query_id", "text", *filters), "query_id", "text", encode, filters)
     found = R.search(asked, vectors, config["ann_limit"])
     return R.weighted_hybrid(found, config["dense_weight"], config["sparse_weight"], config["search_top_k"])
 

@@ -15,9 +15,9 @@ def brute(queries, chunks, k, only=None):
     return out
 
 
-@pytest.mark.parametrize("block", [50_000, 3])
+@pytest.mark.parametrize("block", [64 << 20, 700])
 def test_dense_search_equals_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(R, "QUERY_BLOCK", block)
+    monkeypatch.setattr(R, "QUERY_BYTES", block)
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 8)).round(3)
     # A third of all rows are copies of one vector.
@@ -30,6 +30,29 @@ def test_dense_search_equals_brute_force(spark, monkeypatch, block):
     assert got == brute(queries, chunks, 7, only)
 
 
+def test_chunks_are_not_moved_before_the_cut(spark):
+    q = spark.createDataFrame([("q", [1.0, 0.0])], "query_id string, vector array<float>")
+    c = spark.range(100).selectExpr("string(id) AS chunk_id", "array(float(id), 1f) AS vector")
+    plan = R.dense_top_k(q, c, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Exchange" not in plan[plan.index("MapInArrow") :]
+
+
+def test_search_with_types_and_regions(spark):
+    rng = np.random.default_rng(9)
+    kinds, places = ["a", "b", None], ["x", "y", "z"]
+    chunks = [(f"c{i:02d}", [float(v) for v in rng.normal(size=4).round(2)], kinds[i % 3], list(rng.choice(places, i % 3, replace=False))) for i in range(60)]
+    queries = [("q0", ["a"], None), ("q1", None, ["x", "z"]), ("q2", ["a", "b"], ["y"]), ("q3", [], None), ("q4", None, None), ("q5", ["none"], ["x"])]
+    rows = [(a, [float(v) for v in rng.normal(size=4).round(2)], t, r) for a, t, r in queries]
+    q = spark.createDataFrame(rows, "query_id string, vector array<float>, document_types array<string>, regions array<string>")
+    c = spark.createDataFrame(chunks, "chunk_id string, vector array<float>, document_type string, region_names array<string>")
+    got = {(r.query_id, r.chunk_id, r.rank) for r in R.dense_top_k(q, c, 5).collect()}
+    want = set()
+    for a, v, t, r in rows:
+        fit = {i: (w, None) for i, w, kind, own in chunks if (t is None or kind in t) and (r is None or set(own) & set(r))}
+        want |= brute({a: v}, fit, 5)
+    assert got == want
+
+
 def test_sparse_search_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(R, "PAIR_SLICE", 17)
     monkeypatch.setattr(R, "CELLS", 50)
