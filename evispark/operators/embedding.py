@@ -7,12 +7,11 @@ dense side, either as columns or as a batch encoder. A real model plugs in as an
 from __future__ import annotations
 
 import hashlib
-import math
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,30 +115,34 @@ def hashing_encoder(dim: int = HASH_DIM) -> Callable[[list[str]], tuple[list, li
         return found
 
     def encode(texts: list[str]) -> tuple[list, list]:
-        dense, sparse = [], []
-        for text in texts:
-            counts = Counter(word.findall((text or "").lower()))
-            weights = {term: 1.0 + math.log(n) for term, n in counts.items()}
-            length = math.sqrt(sum(w * w for w in weights.values())) or 1.0
-            vector = np.zeros(dim)
-            slots: dict[int, float] = {}
-            for term, weight in weights.items():
-                bucket, slot, sign = place(term)
-                vector[bucket] += sign * weight
-                slots[slot] = slots.get(slot, 0.0) + weight / length
-            size = float(np.linalg.norm(vector))
-            dense.append(vector / size if size >= MIN_NORM else vector)
-            sparse.append(slots)
-        return dense, sparse
+        found = [word.findall((text or "").lower()) for text in texts]
+        sizes = [len(terms) for terms in found]
+        flat = pa.array([term for terms in found for term in terms], pa.string()).dictionary_encode()
+        places = [place(term) for term in flat.dictionary.to_pylist()]
+        bucket, slot = (np.array([p[i] for p in places], np.int64) for i in (0, 1))
+        sign = np.array([p[2] for p in places])
+        # A cell is a term of a text.
+        n_terms = max(1, len(places))
+        cell, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * n_terms + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        row, term = cell // n_terms, cell % n_terms
+        weight = 1.0 + np.log(count)
+        length = np.sqrt(np.bincount(row, weight * weight, len(texts)))
+        dense = np.bincount(row * dim + bucket[term], sign[term] * weight, len(texts) * dim).reshape(len(texts), dim)
+        size = np.linalg.norm(dense, axis=1, keepdims=True)
+        dense = np.where(size >= MIN_NORM, dense / np.maximum(size, MIN_NORM), dense)
+        spot, at = np.unique(row << 28 | slot[term], return_inverse=True)
+        sums = np.bincount(at, weight / length[row], len(spot))
+        cuts = np.searchsorted(spot, np.arange(1, len(texts)) << 28)
+        return list(dense), list(zip(np.split(spot & ((1 << 28) - 1), cuts), np.split(sums, cuts), strict=True))
 
     return encode
 
 
-def encoder(load: Callable[[], Callable[[list[str]], tuple[list, list]]] = hashing_encoder, batch: int = 5):
+def encoder(load: Callable[[], Callable[[list[str]], tuple[list, list]]] = hashing_encoder, batch: int = 256):
     """A text encoder as a column function giving struct<dense, slots, weights>.
 
     ``load`` runs once per Python worker and returns a function from texts to (dense vectors, sparse
-    dicts); it sees ``batch`` texts at a time. Another number of vectors than texts fails the task.
+    dicts, or pairs of slot and weight arrays); it sees ``batch`` texts at a time. Another number of vectors than texts fails the task.
     """
 
     @F.pandas_udf("dense array<float>, slots array<int>, weights array<float>")
@@ -154,12 +157,12 @@ def encoder(load: Callable[[], Callable[[list[str]], tuple[list, list]]] = hashi
                 if len(more_dense) != len(part) or len(more_sparse) != len(part):
                     raise ValueError("encoder returned another number of vectors than texts")
                 dense.extend(more_dense)
-                sparse.extend(more_sparse)
+                sparse.extend((list(v), list(v.values())) if isinstance(v, dict) else v for v in more_sparse)
             yield pd.DataFrame(
                 {
                     "dense": [np.asarray(v, dtype=np.float32) for v in dense],
-                    "slots": [np.fromiter(v.keys(), dtype=np.int32, count=len(v)) for v in sparse],
-                    "weights": [np.fromiter(v.values(), dtype=np.float32, count=len(v)) for v in sparse],
+                    "slots": [np.asarray(slots, dtype=np.int32) for slots, _ in sparse],
+                    "weights": [np.asarray(weights, dtype=np.float32) for _, weights in sparse],
                 }
             )
 
