@@ -175,7 +175,7 @@ def judge_score_summary(spark, sf):
         (F.col("l_discount") + F.col("l_tax")).alias("context_recall"),
         F.when(q < 0, F.lit(1.0)).alias("answer_correctness"),
     )
-    return E.long_metrics(scores, ["grp"], E.JUDGE_SCORES).groupBy("grp", "metric").agg(*E.statistics(F.col("value")))
+    return E.statistics(E.long_metrics(scores, ["grp"], E.JUDGE_SCORES), ["grp", "metric"])
 
 
 TRACE_SQL = (

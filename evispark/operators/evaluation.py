@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evispark.functions import text as T
+from evispark.session import cut_lineage
 
 # Fixed values.
 LAYERS = ("embedding", "hyde", "rrf", "rerank")
@@ -93,14 +94,45 @@ def layer_metrics(
     )
 
 
-def statistics(value: Column, digits: int = 9) -> list[Column]:
-    """Count, mean, median and interpolated tenth percentile of the non-null values."""
-    return [
-        F.count(value).alias("valid_count"),
-        F.round(F.avg(value), digits).alias("mean"),
-        F.round(F.percentile(value, F.lit(0.5)), digits).alias("median"),
-        F.round(F.percentile(value, F.lit(0.1)), digits).alias("p10"),
-    ]
+# The order statistics of a summary.
+PERCENTILES = {"median": 0.5, "p10": 0.1}
+
+
+def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+    """keys and a column for each of ``points``, interpolated between the two ranks around it; nulls do not count.
+
+    Values are counted, ranges of (keys, value) are numbered apart and then placed by the sums of the ranges before them, so
+    no task holds a group.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    placed = cut_lineage(
+        counted.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_range", F.spark_partition_id())
+    )
+    sums = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
+    group = Window.partitionBy(*keys)
+    earlier = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sums.select(*keys, "_range", F.coalesce(F.sum("_in").over(earlier), F.lit(0)).alias("_before"), F.sum("_in").over(group).alias("_all"))
+    within = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranks = placed.withColumn("_upto", F.sum("_n").over(within)).join(starts, [*keys, "_range"])
+    last, first = F.col("_before") + F.col("_upto") - 1, F.col("_before") + F.col("_upto") - F.col("_n")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank <= last), F.col("_v")))
+
+    columns = []
+    for name, p in points.items():
+        place = (F.col("_all") - 1) * p
+        columns += [at(F.floor(place)).alias(f"_lo_{name}"), at(F.ceil(place)).alias(f"_hi_{name}"), F.max(place - F.floor(place)).alias(f"_part_{name}")]
+    found = ranks.groupBy(*keys).agg(*columns)
+    mixed = [(F.col(f"_lo_{n}") * (1 - F.col(f"_part_{n}")) + F.col(f"_hi_{n}") * F.col(f"_part_{n}")).alias(n) for n in points]
+    return found.select(*keys, *mixed)
+
+
+def statistics(df: DataFrame, keys: list[str], value: str = "value", digits: int = 9) -> DataFrame:
+    """Count, mean, median and interpolated tenth percentile of the non-null values of each group."""
+    plain = df.groupBy(*keys).agg(F.count(value).alias("valid_count"), F.round(F.avg(value), digits).alias("mean"))
+    order = exact_percentiles(df, keys, value, PERCENTILES)
+    return plain.join(order, keys, "left").select(*keys, "valid_count", "mean", *(F.round(n, digits).alias(n) for n in PERCENTILES))
 
 
 def long_metrics(df: DataFrame, keys: list[str], metrics: tuple[str, ...]) -> DataFrame:
@@ -128,7 +160,7 @@ def grouped_summary(metrics: DataFrame, cases: DataFrame) -> DataFrame:
     groups = cases.select(
         "case_id", F.explode(summary_groups(F.col("split"), F.col("answerable"), F.col("notes"))).alias("summary_group")
     )
-    return metrics.join(groups, "case_id").groupBy("summary_group", "layer", "metric").agg(*statistics(F.col("value")))
+    return statistics(metrics.join(groups, "case_id"), ["summary_group", "layer", "metric"])
 
 
 def run_counts(results: DataFrame) -> DataFrame:
