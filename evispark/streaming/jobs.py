@@ -99,8 +99,9 @@ def session_answers(events: DataFrame, gap: str = "30 minutes", ts: str = "ts")
     )
 
 
-def step_durations(starts: DataFrame, finishes: DataFrame, within: str = "10 minutes") -> DataFrame:
-    """Starts joined with their finish of the same trace, step and run inside a time interval."""
+def step_durations(starts: DataFrame, finishes: DataFrame, within: str = "1 day") -> DataFrame:
+    """Starts joined with their finish of the same trace, step and run. A start is kept for ``within``, so that is also the
+    longest step that is found; the batch form has no such bound."""
     a = starts.select("trace_id", "step", "run", F.col("ts").alias("started")).withWatermark("started", LATENESS)
     b = finishes.select(
         F.col("trace_id").alias("t2"), F.col("step").alias("s2"), F.col("run").alias("r2"), F.col("ts").alias("ended"), "failed"
@@ -122,6 +123,7 @@ def step_durations(starts: DataFrame, finishes: DataFrame, within: str = "10 min
 
 
 def latest_status(events: DataFrame) -> DataFrame:
+    """Status by the last event of each task. Keeps one row of state for each task, for as long as the job lives."""
     return events.groupBy("task_id").agg(
         F.max_by("status", F.struct("ts", "seq")).alias("status"), F.count("*").alias("n_events")
     )

@@ -77,13 +77,14 @@ def test_request_rates_and_late_rows(spark, paths):
     assert [r.requests for r in out] == [2]
 
 
-def test_durations_join_within_the_interval(spark, paths):
+@pytest.mark.parametrize("within, found", [("10 minutes", [(1, 1500, False)]), ("1 day", [(1, 1500, False), (2, 1_740_000, True)])])
+def test_durations_join_within_the_interval(spark, paths, within, found):
     s = spark.createDataFrame([("t", "a", 1, "2024-01-01 00:00:00"), ("t", "a", 2, "2024-01-01 00:01:00")], "trace_id string, step string, run int, ts string").withColumn("ts", F.to_timestamp("ts"))
     f = spark.createDataFrame([("t", "a", 1, "2024-01-01 00:00:01.5", False), ("t", "a", 2, "2024-01-01 00:30:00", True)], "trace_id string, step string, run int, ts string, failed boolean").withColumn("ts", F.to_timestamp("ts"))
     s.coalesce(1).write.parquet(paths("s"))
     f.coalesce(1).write.parquet(paths("f"))
-    joined = J.step_durations(J.read_events(spark, paths("s"), s.schema), J.read_events(spark, paths("f"), f.schema))
-    assert [(r.run, r.duration_ms, r.failed) for r in collect_stream(joined, paths("ck"), "append")] == [(1, 1500, False)]
+    joined = J.step_durations(J.read_events(spark, paths("s"), s.schema), J.read_events(spark, paths("f"), f.schema), within)
+    assert sorted((r.run, r.duration_ms, r.failed) for r in collect_stream(joined, paths("ck"), "append")) == found
 
 
 def test_incremental_import_takes_each_file_once(spark, tmp_path, paths):
