@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 # The Unicode white space that Python's str methods recognise, as a regex class body.
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 
+# Patterns of headings, tags and titles.
+HEADING_CLOSING = rf"[{SPACE}]+#+[{SPACE}]*$"
+INLINE_TAG = "<[^>]+>"
+TITLE_ELEMENT = r"(?is)<title[^>]*>(.*?)</title>"
+ANCHOR_OTHER = r"[^\p{L}\p{N}_-]"
+LEADING_HEADING = r"(?d)^#{1,6}\s+.+?(?:\s+#{1,6})?\s*\n"
+SUB_HEADING = r"\n#{2,6}\s"
+
 # Marker texts that betray an unfinished section.
 SECTION_PLACEHOLDERS = ("占位", "待生成", "稍后补充", "待补充", "TODO", "真实内容将在", "尚未接入真实")
 RENDER_PLACEHOLDERS = ("占位", "待生成", "待补充", "真实内容将在", "尚未接入真实")
@@ -52,8 +60,8 @@ def words(c: Column) -> Column:
 
 
 def clean_heading(c: Column) -> Column:
-    no_closing = strip(F.regexp_replace(c, rf"[{SPACE}]+#+[{SPACE}]*$", ""))
-    text = collapse(F.regexp_replace(no_closing, "<[^>]+>", ""))
+    no_closing = strip(F.regexp_replace(c, HEADING_CLOSING, ""))
+    text = collapse(F.regexp_replace(no_closing, INLINE_TAG, ""))
     return F.when(text == "", F.lit(UNTITLED_HEADING)).otherwise(text)
 
 
@@ -97,8 +105,8 @@ def error_summary(message: Column, error_type: Column, detail: Column, limit: in
 
 
 def page_title(html: Column) -> Column:
-    raw = F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1)
-    return collapse(F.regexp_replace(raw, "<[^>]+>", " "))
+    raw = F.regexp_extract(html, TITLE_ELEMENT, 1)
+    return collapse(F.regexp_replace(raw, INLINE_TAG, " "))
 
 
 def page_date(html: Column) -> Column:
@@ -114,19 +122,19 @@ def page_date(html: Column) -> Column:
 
 def section_anchor(section_id: Column, title: Column) -> Column:
     raw = F.coalesce(F.nullif(section_id, F.lit("")), F.nullif(title, F.lit("")), F.lit("section"))
-    return F.concat(F.lit("section-"), F.regexp_replace(collapse(raw), r"[^\p{L}\p{N}_-]", "-"))
+    return F.concat(F.lit("section-"), F.regexp_replace(collapse(raw), ANCHOR_OTHER, "-"))
 
 
 def strip_leading_heading(body: Column) -> Column:
     text = F.regexp_replace(body, r"^\n+", "")
-    rest = F.regexp_replace(text, r"(?d)^#{1,6}\s+.+?(?:\s+#{1,6})?\s*\n", "")
+    rest = F.regexp_replace(text, LEADING_HEADING, "")
     return F.when(rest == text, text).otherwise(F.regexp_replace(rest, r"^\n+", ""))
 
 
 def before_first_subheading(body: Column) -> Column:
     """The introduction: text before the first heading of level two or deeper, or all of it."""
-    intro = strip(F.regexp_extract(body, r"(?s)^(.*?)\n#{2,6}\s", 1))
-    return F.when(F.rlike(body, F.lit(r"\n#{2,6}\s")), intro).otherwise(body)
+    intro = strip(F.regexp_extract(body, rf"(?s)^(.*?){SUB_HEADING}", 1))
+    return F.when(F.rlike(body, F.lit(SUB_HEADING)), intro).otherwise(body)
 
 
 def citation_labels(source_ids: Column) -> Column:

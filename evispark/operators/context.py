@@ -15,6 +15,9 @@ UNNAMED_FILE = "未命名文件"
 UNNAMED_SOURCE = "未命名来源"
 NO_HISTORY = "无历史对话"
 NO_EVIDENCE_ANSWER = "未检索到足以回答该问题的参考内容。"
+WEB_SOURCE, LOCAL_SOURCE = "网络搜索", "本地知识库"
+URL_PART, TYPE_PART, REGION_PART, KIND_PART = "URL：", "文档类型：", "地域：", "内容类型："
+LABEL_LINE, TITLE_LINE, SOURCE_LINE, CONTENT_LINE = "来源标识：", "\n标题：", "\n来源：", "\n内容："
 HISTORY_MESSAGES = 6
 HISTORY_MAX_CHARS = 4000
 HISTORY_TEXT_CHARS = 300
@@ -26,8 +29,8 @@ def source_label(source: Column, file_title: Column, section_title: Column, url:
     address = T.strip(F.coalesce(F.nullif(url, F.lit("")), F.lit(NO_URL)))
     file_part = T.strip(F.coalesce(F.nullif(file_title, F.lit("")), F.lit(UNNAMED_FILE)))
     section_part = T.strip(F.coalesce(F.nullif(section_title, F.lit("")), file_part))
-    return F.when(source == "web", F.concat(F.lit("[网络搜索/"), address, F.lit("]"))).otherwise(
-        F.concat(F.lit("[本地知识库/"), file_part, F.lit("/"), section_part, F.lit("]"))
+    return F.when(source == "web", F.concat(F.lit(f"[{WEB_SOURCE}/"), address, F.lit("]"))).otherwise(
+        F.concat(F.lit(f"[{LOCAL_SOURCE}/"), file_part, F.lit("/"), section_part, F.lit("]"))
     )
 
 
@@ -35,27 +38,27 @@ def evidence_section(d) -> Column:
     """Text of one piece of evidence; ``d`` maps field names to columns."""
     web = d("source") == "web"
     meta = F.when(
-        web, F.coalesce(F.concat(F.lit("URL："), F.nullif(d("url"), F.lit(""))), F.lit(""))
+        web, F.coalesce(F.concat(F.lit(URL_PART), F.nullif(d("url"), F.lit(""))), F.lit(""))
     ).otherwise(
         F.concat_ws(
             "；",
-            F.concat(F.lit("文档类型："), F.nullif(d("document_type"), F.lit(""))),
-            F.concat(F.lit("地域："), F.nullif(F.array_join(d("region_names"), "、"), F.lit(""))),
-            F.concat(F.lit("内容类型："), F.nullif(d("context_type"), F.lit(""))),
+            F.concat(F.lit(TYPE_PART), F.nullif(d("document_type"), F.lit(""))),
+            F.concat(F.lit(REGION_PART), F.nullif(F.array_join(d("region_names"), "、"), F.lit(""))),
+            F.concat(F.lit(KIND_PART), F.nullif(d("context_type"), F.lit(""))),
         )
     )
     label = source_label(d("source"), d("file_title"), d("section_title"), d("url"))
     return T.strip(
         F.concat(
-            F.lit("来源标识："),
+            F.lit(LABEL_LINE),
             label,
-            F.lit("\n标题："),
+            F.lit(TITLE_LINE),
             F.coalesce(F.nullif(d("display_title"), F.lit("")), F.lit(UNNAMED_SOURCE)),
-            F.lit("\n来源："),
-            F.when(web, F.lit("网络搜索")).otherwise(F.lit("本地知识库")),
+            F.lit(SOURCE_LINE),
+            F.when(web, F.lit(WEB_SOURCE)).otherwise(F.lit(LOCAL_SOURCE)),
             F.lit("\n"),
             meta,
-            F.lit("\n内容："),
+            F.lit(CONTENT_LINE),
             F.coalesce(d("content"), F.lit("")),
         )
     )
