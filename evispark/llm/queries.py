@@ -165,11 +165,17 @@ WITH cost AS (
   SELECT doc_id, s, -ln((('0x' || substr(md5(doc_id || ':' || s), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) AS c
   FROM documents, range(41) t(s)),
 pick AS (
-  SELECT doc_id, arg_min(s, c) FILTER (s < 40) AS shard, arg_min(s, c) AS grown FROM cost GROUP BY doc_id),
-body AS (SELECT doc_id, text FROM documents)
-SELECT b.doc_id, strlen(coalesce(b.text, '')) + 16 AS size, 'key' AS law, p.shard::INTEGER AS shard,
-  row_number() OVER (PARTITION BY p.shard ORDER BY b.doc_id) - 1 AS slot, p.grown::INTEGER AS grown_shard
-FROM body b JOIN pick p USING (doc_id)
+  SELECT doc_id, (arg_min(s, c) FILTER (s < 40))::INTEGER AS shard, arg_min(s, c)::INTEGER AS grown_shard FROM cost GROUP BY doc_id),
+steps AS (SELECT list(v ORDER BY n) AS t FROM (
+  SELECT n, list_reduce(list_prepend(n, range(8)), lambda c, k: xor(c >> 1, CASE WHEN c & 1 = 1 THEN 3988292384 ELSE 0 END)) AS v FROM range(256) r(n))),
+body AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+sums AS (
+  SELECT doc_id, len(h) // 2 + 16 AS size,
+    xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]))) AS text_crc32
+  FROM body, steps)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard
+FROM sums JOIN pick USING (doc_id)
 """
 
 OP7_SQL = """
@@ -209,6 +215,7 @@ ORACLES = {
     "op2_decontamination": OP2_SQL,
     "op3_ngram_jaccard_join": OP3_SQL,
     "op4_warc": OP4_SQL,
+    "op6_sharding": OP6_SQL,
     "op7_embedding_join": OP7_SQL,
     "op8_url_filter": OP8_SQL,
 }
