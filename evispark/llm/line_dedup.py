@@ -1,64 +1,50 @@
 """Line dedup: an exact set-similarity join of all lines, after which the later of two alike lines goes.
 
 A line's tokens are its distinct five-word shingles (a shorter line is one token). Tokens are ordered by rarity over all
-distinct lines; two lines meet by a token that both have in their prefix (the first quarter for 75 percent), and length
-and position filters go before the exact comparison. Lines with equal sets are one node
-with many occurrences, so a line that a third of all documents hold costs one row.
+lines; two lines meet by a token that both have in their prefix (the first quarter for 75 percent), and length and position
+filters go before the exact comparison. Lines with equal sets are one node with many occurrences.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from evispark.llm.durable import durable
+from evispark.llm.line_index import line_index, squeezed, token_sets, unsqueezed
 from evispark.llm.ngram_join import alike
-from evispark.llm.rarity import rarity_index
-
-_ORDER = ("_id", "_digest", "_line")
-
+from evispark.llm.pairs import with_sets
 
-def _postings(nodes: DataFrame, firsts: DataFrame) -> DataFrame:
-    """(token, node, n, place, first): the prefix shingles of each node, with its first occurrence."""
-    return (
-        nodes.select(
-            "node", "n", "unique", F.posexplode(F.slice("tokens", F.lit(1), F.col("prefix"))).alias("place", "token")
-        )
-        .select("token", "node", "n", (F.col("place") + F.col("unique")).alias("place"))
-        .join(firsts, "node")
-    )
+_ORDER = ("_doc", "_line")
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of (later, earlier) node pairs, those alike."""
-    x = nodes.select(F.col("node").alias("later"), F.col("n").alias("x_n"), F.col("tokens").alias("x_tokens"))
-    y = nodes.select(F.col("node").alias("earlier"), F.col("n").alias("y_n"), F.col("tokens").alias("y_tokens"))
+    both = with_sets(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")), nodes)
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
-    return (
-        pairs.join(x, "later").join(y, "earlier")
-        .filter(alike(common, F.col("x_n"), F.col("y_n"), percent))
-        .select("later", "earlier")
-    )
+    alike_ = both.withColumn("common", common).filter(alike(F.col("common"), F.col("x_n"), F.col("y_n"), percent))
+    return alike_.select(F.col("a").alias("later"), F.col("b").alias("earlier"))
 
 
-def later_matches(nodes: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
+def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(later, earlier): for each node that is alike to a node with an earlier first occurrence, one or more such nodes.
 
-    Each node first meets the earliest node of its most common prefix shingle. Only nodes without a match there meet
-    all earlier nodes of their shingles, so a group of copies is compared with its head, not with itself.
+    ``index`` has token, node, n, place and first. Each node first meets, of its most common prefix token, the earlier node
+    with the fewest prefix tokens of its own: among edited copies that is the original or what is closest to it. Only nodes
+    without a match there meet all earlier nodes of their tokens, so a group of copies is not compared with itself.
     """
-    index = durable(_postings(nodes, firsts))
-    heads = durable(
-        index.groupBy("token")
-        .agg(F.min(F.struct("first", "node")).alias("head"), F.count("*").alias("many"))
-        .filter("many > 1")
-    )
-    best = (
-        index.join(heads, "token").filter(F.col("head.node") != F.col("node"))
-        .groupBy("node").agg(F.max(F.struct("many", "head")).alias("best"))
-        .select(F.col("node").alias("later"), F.col("best.head.node").alias("earlier"))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    ranked = index.withColumn("own", prefix - F.count("*").over(W.partitionBy("node")))
+    before = W.partitionBy("token").orderBy("first", "node").rowsBetween(W.unboundedPreceding, -1)
+    met = ranked.select(
+        "node", F.min(F.struct("own", "node")).over(before)["node"].alias("head"), F.count("*").over(W.partitionBy("token")).alias("many")
     )
-    found = durable(_compared(best, nodes, percent))
+    best = met.filter("head IS NOT NULL").groupBy("node").agg(F.max(F.struct("many", "head")).alias("best"))
+    found = durable(_compared(best.select(F.col("node").alias("later"), F.col("best.head").alias("earlier")), nodes, percent))
     open_ = index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
     # The position filter leaves no more than the first seventh of the shorter line (for 75 percent).
     n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
@@ -72,45 +58,45 @@ def later_matches(nodes: DataFrame, firsts: DataFrame, percent: int) -> DataFram
     return found.union(_compared(pairs, nodes, percent))
 
 
+def _key(id_col: str, text_col: str) -> Column:
+    """MD5 of the text, then "v" and the id; nothing for a null id."""
+    name = F.when(F.col(id_col).isNull(), F.lit("")).otherwise(F.concat(F.lit("v"), F.col(id_col).cast("string")))
+    return F.encode(F.concat(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")), name), "utf-8")
+
+
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
-    """(_id, _digest, n_lines, removed): of each document with words, its id and text's MD5, its number of lines and the
-    numbers (from 0) of the lines to remove, in order."""
-    digest = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))
-    tag = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    keyed = docs.select(
-        F.encode(F.concat(digest, tag), "utf-8").alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
-    )
-    items, nodes = rarity_index(keyed, "key", "text", shingle=shingle, percent=percent, by_line=True)
+    """(_key, n_lines, removed): of each document its key, its number of lines and the numbers (from 0) of those to remove."""
+    keyed = docs.select(_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    items, postings = line_index(keyed, shingle=shingle, percent=percent)
     key = F.decode("key", "utf-8")
-    name = F.substring(key, 33, 1 << 30)
-    # Rows that repeat both id and text are one document.
+    # Rows that repeat both id and text are one document. Numbered in order, so that lines carry a number, not texts.
+    name = F.when(F.length(key) > 32, F.substring(key, 34, 1 << 30)).cast(docs.schema[id_col].dataType)
     lines = durable(
-        items.select(
-            F.when(F.length(name) > 0, name).cast(docs.schema[id_col].dataType).alias("_id"),
-            F.substring(key, 1, 32).alias("_digest"),
-            "item_nodes",
-            "item_sizes",
-        ).dropDuplicates(["_id", "_digest"])
+        items.dropDuplicates(["key"]).orderBy(name, F.substring(key, 1, 32)).withColumn("_doc", F.monotonically_increasing_id())
     )
-    each = lines.select(
-        "_id", "_digest", F.posexplode(F.arrays_zip("item_nodes", "item_sizes")).alias("_line", "item")
-    ).filter("item.item_sizes > 0").select(F.col("item.item_nodes").alias("node"), *_ORDER)
+    each = (
+        lines.select("key", "_doc", F.posexplode(F.arrays_zip("item_nodes", "item_sizes")).alias("_line", "item"))
+        .filter("item.item_sizes > 0").select("_doc", "_line", F.col("item.item_nodes").alias("node"))
+    )
     firsts = durable(each.groupBy("node").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("many")))
-    gone = later_matches(nodes, firsts.select("node", "first"), percent).select(F.col("later").alias("node")).distinct()
+    index = durable(postings.join(firsts.select("node", "first"), "node"))
+    # The sets are made of each node's first occurrence; a document names no more lines than it has.
+    held = index.select("node", "first").dropDuplicates(["node"])
+    asked = held.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("first._line").alias("_line"), "node")).alias("lines"))
+    wanted = lines.select("key", "_doc").join(asked, "_doc").select("key", "lines")
+    nodes = durable(token_sets(keyed, wanted, shingle=shingle))
+    gone = later_matches(index, nodes, percent).select(F.col("later").alias("node")).distinct()
     marked = durable(
         firsts.join(gone.withColumn("gone", F.lit(True)), "node", "left")
         .filter("gone OR many > 1")
         .select("node", F.when(F.col("gone").isNull(), F.col("first")).alias("stays"))
     )
     doomed = each.join(marked, "node").filter(~F.struct(*_ORDER).eqNullSafe(F.col("stays")))
-    out = doomed.groupBy("_id", "_digest").agg(F.array_sort(F.collect_list("_line")).alias("removed"))
-    own = lines.select("_id", "_digest", F.size("item_nodes").alias("n_lines"))
-    both = own.alias("o").join(
-        out.alias("r"),
-        (F.col("o._digest") == F.col("r._digest")) & F.col("o._id").eqNullSafe(F.col("r._id")),
-        "left",
+    out = doomed.groupBy("_doc").agg(F.array_sort(F.collect_list("_line")).alias("removed"))
+    none = F.array().cast("array<int>")
+    return lines.join(out, "_doc", "left").select(
+        F.col("key").alias("_key"), F.size("item_nodes").alias("n_lines"), F.coalesce("removed", none).alias("removed")
     )
-    return both.select("o._id", "o._digest", "n_lines", F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
 def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
@@ -125,20 +111,26 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     of which all lines go becomes empty. An empty table gives an empty one. Columns of ``docs`` may have any names but
     n_lines and n_removed, which are replaced.
     """
-    removed = removed_lines(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent).select(
-        F.col("_id").alias("_line_id"), F.col("_digest").alias("_line_digest"), F.col("n_lines").alias("_n"), F.col("removed").alias("_gone")
-    )
-    digest = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))
-    joined = docs.withColumn("_text_digest", digest).join(
-        removed, (F.col("_text_digest") == F.col("_line_digest")) & F.col(id_col).eqNullSafe(F.col("_line_id")), "left"
-    )
-    lines = F.split(text_col, "\n", -1)
-    kept = F.array_join(F.filter(lines, lambda line, i: ~F.array_contains("_gone", i)), "\n")
-    text = F.when(F.size("_gone") > 0, kept).otherwise(F.col(text_col))
-    kept_cols = [F.col(c) for c in docs.columns if c not in (text_col, "n_lines", "n_removed")]
-    order = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(
-        *kept_cols, text.alias(text_col),
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.col("_n")).cast("long").alias("n_lines"),
-        F.size("_gone").cast("long").alias("n_removed"),
-    ).select(*order, "n_lines", "n_removed")
+    removed = removed_lines(docs, id_col=id_col, text_col=text_col, shingle=shingle, percent=percent)
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rest = F.struct(*(F.col(c) for c in names if c != text_col)).alias("rest")
+    packed = squeezed(docs.select(_key(id_col, text_col).alias("key"), F.col(text_col).alias("text"), rest))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = unsqueezed(batch.column(1))
+            gone = batch.column(3).to_pylist()
+            for i, numbers in enumerate(gone):
+                if numbers and texts[i] is not None:
+                    out = set(numbers)
+                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in out)
+            count = [0 if t is None else n for t, n in zip(texts, batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array([len(g) for g in gone], pa.int64())], names=["rest", "text", "n_lines", "n_removed"]
+            )
+
+    joined = packed.join(removed, F.col("key") == F.col("_key")).select("rest", "packed", "n_lines", "removed")
+    kind = packed.schema["rest"].dataType.simpleString()
+    left = joined.mapInArrow(cut, f"rest {kind}, text string, n_lines long, n_removed long")
+    columns = [F.col("text").alias(c) if c == text_col else F.col("rest").getField(c).alias(c) for c in names]
+    return left.select(*columns, "n_lines", "n_removed")

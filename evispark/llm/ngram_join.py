@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from evispark.llm.durable import durable
 from evispark.llm.graph import components
+from evispark.llm.pairs import with_sets
 from evispark.llm.rarity import rarity_index
 
 
@@ -24,10 +25,7 @@ def alike(common: Column, n: Column, m: Column, percent: int) -> Column:
 
 def verified(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of (a, b) node pairs those that pass the second and third order and then the exact comparison."""
-    cols = ("node", "n", "tokens", "second", "third")
-    x = nodes.select(*(F.col(c).alias(f"x_{c}") for c in cols))
-    y = nodes.select(*(F.col(c).alias(f"y_{c}") for c in cols))
-    both = pairs.join(x, F.col("a") == F.col("x_node")).join(y, F.col("b") == F.col("y_node"))
+    both = with_sets(pairs, nodes.select("node", "n", "tokens", "second", "third"))
     likely = F.arrays_overlap("x_second", "y_second") & F.arrays_overlap("x_third", "y_third")
     common = F.when(likely, F.size(F.array_intersect("x_tokens", "y_tokens"))).otherwise(0)
     return both.withColumn("common", common).filter(alike(F.col("common"), F.col("x_n"), F.col("y_n"), percent)).select("a", "b")

@@ -1,6 +1,6 @@
-"""Shingle sets in order of rarity, the common ground of the two set-similarity joins.
+"""Shingle sets of whole texts in order of rarity.
 
-Items (whole texts, or their lines) with equal sets are one node. Shingles that only one node has cannot be shared, so
+Texts with equal sets are one node. Shingles that only one node has cannot be shared, so
 they only count; of the others, each node gets its own in order of (nodes that have it, hash), a total order that is the
 same for all nodes. A node whose prefix holds no shared shingle can have no partner and drops out here.
 
@@ -33,7 +33,7 @@ def prefix_length(n: np.ndarray, percent: int) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int, by_line: bool) -> Iterator[pa.RecordBatch]:
+def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     schema = pa.schema(
@@ -47,10 +47,6 @@ def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int, by_line
             block += 1
             part = texts.slice(start, stop - start)
             rows = np.arange(stop - start + 1)
-            if by_line:
-                lines = pc.split_pattern(part.fill_null(""), "\n")
-                rows = np.asarray(lines.offsets) - lines.offsets[0].as_py()
-                part = lines.flatten()
             tokens, bounds = shingle_sets(part, shingle)
             sizes = np.diff(bounds)
             full = np.flatnonzero(sizes)
@@ -188,11 +184,11 @@ def _nodes(table: pa.Table, *, percent: int) -> pa.Table:
     )
 
 
-def rarity_index(texts: DataFrame, key: str, text: str, *, shingle: int, percent: int, by_line: bool = False, bins: int = 0) -> tuple[DataFrame, DataFrame]:
+def rarity_index(texts: DataFrame, key: str, text: str, *, shingle: int, percent: int, bins: int = 0) -> tuple[DataFrame, DataFrame]:
     """(items, nodes) of a text column.
 
-    ``items``: ``key`` (binary) of each row with the arrays ``item_nodes`` and ``item_sizes``, one element for the text
-    or one for each of its lines; a size of 0 has no words and node 0. ``nodes``: those that may have a partner, with the
+    ``items``: ``key`` (binary) of each row with the arrays ``item_nodes`` and ``item_sizes`` of one element; a text of
+    size 0 has no words and node 0. ``nodes``: those that may have a partner, with the
     size n of the set, how many shingles only they have, the length of the rest of the prefix (unique shingles come first),
     all shared shingles by rarity, and the prefix under two more orders, as 32 bits of each hash: equal counts dealt by
     another hash, and counts graded by powers of two, dealt by a third.
@@ -200,7 +196,7 @@ def rarity_index(texts: DataFrame, key: str, text: str, *, shingle: int, percent
     ``bins`` of the shuffle: the session's shuffle partitions, 64 at least, when 0. A text is hashed whole, in one task.
     """
     bins = bins or max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    packed = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(partial(_sets, shingle=shingle, bins=bins, by_line=by_line), _FIELDS)
+    packed = texts.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(partial(_sets, shingle=shingle, bins=bins), _FIELDS)
 
     def shared(table: pa.Table) -> pa.Table:
         return _shared(table, bins=bins)
