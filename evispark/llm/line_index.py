@@ -109,7 +109,9 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(list(zip(names, kinds, strict=True)))
-        turn = 0
+        from pyspark import TaskContext
+
+        turn = TaskContext.get().partitionId()  # so that the tasks' rows of documents do not meet in one bin
         for batch in batches:
             keys, column = batch.column(0), batch.column(1)
             for start, stop in blocks(column, BLOCK_BYTES):

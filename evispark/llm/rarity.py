@@ -58,7 +58,7 @@ def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int) -> Iter
             none = pa.nulls(n, pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.full(n, block % bins), pa.int32()), pa.array(np.full(n, block)), none, none, none, none, keys.slice(start, n),
+                    pa.array(np.full(n, ((block >> 32) + block) % bins), pa.int32()), pa.array(np.full(n, block)), none, none, none, none, keys.slice(start, n),
                     pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(nodes)),
                     pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(sizes.astype(np.int32))),
                 ], schema=schema,
