@@ -310,6 +310,25 @@ def test_secrets(spark, empty):
     assert secrets.scan_secrets(empty).collect() == []
 
 
+def test_secrets_count_repositories_and_copies_of_a_text_once(spark):
+    rng = random.Random(5)
+    example, copied, spread, few = "Zx81kQ0pLm93vT77", "Qp7Hd93kLs0Vb2Xn", "Rt5Yw02mNc84zKq1", "Hb6Jf19xVd37sGa4"
+    rows = [(i, f"{text(rng, 30)} token={example} {text(rng, 10)}", "a") for i in range(20)]  # different texts of one owner
+    rows += [(20 + i, f"{text(rng, 30)} token={few}", "a") for i in range(3)]
+    leak = f"{text(rng, 200)} secret={copied} {text(rng, 200)}"
+    rows += [(30, leak, "a"), (31, leak, "b"), (32, leak + " and a word", "c"), (33, f"{text(rng, 30)} token={copied}", "b")]
+    rows += [(40 + i, leak, "b") for i in range(10)]
+    told = f"{text(rng, 200)} passwd={spread} {text(rng, 200)}"
+    rows += [(60, told, "a"), (61, told, "b"), (62, f"{text(rng, 30)} token={spread}", "c")]
+    docs = spark.createDataFrame([(i, t, s, 1, "k", 1) for i, t, s in rows], SCHEMA).repartition(3)
+    got = secrets.scan_secrets(docs).collect()
+    live = {i for i, t, _ in rows if copied in t or few in t}
+    assert {r.doc_id for r in got if r.live_spans} == live
+    assert {r.doc_id for r in got if r.examples} == {i for i, _, _ in rows} - live
+    more = secrets.scan_secrets(docs, max_live_repos=20).filter("doc_id < 20").collect()
+    assert all(r.live_spans and not r.examples for r in more) and len(more) == 20
+
+
 def test_warc_round_trip(spark, tmp_path):
     rows = [(3, "http://a/\r\nX: y", "<p>é</p>"), (1, None, "<p>é</p>"), (2, "u", None), (4, "u", ""), (5, "v", "x" * 3_000_000), (None, "w", "<p>é</p>"), (1, None, "<p>é</p>"), (6, "q", "\r\n\r\nWARC/1.1")]
     pages = spark.createDataFrame([(i, u, h, 9, "z") for i, u, h in rows], "page_id long, url string, html string, path int, records string").repartition(2)
