@@ -34,10 +34,10 @@ def keep_clean(docs: DataFrame, model) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that match an earlier one; those of which nothing is left go, n_chars counts anew."""
+    """Documents without lines that match an earlier one; those of which no word is left go, n_chars counts anew."""
     kept = dedup_lines(docs)
     changed = F.col("n_removed") > 0
-    left = kept.filter(~changed | (F.trim("text") != ""))
+    left = kept.filter(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return left.withColumn("n_chars", F.when(changed, F.length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

@@ -45,6 +45,14 @@ def test_lines_that_repeat_go(spark, sf):
     assert got[70] == (None, None) and got[71] == ("", 0)
 
 
+def test_copies_of_which_blank_lines_are_left_go(spark, sf):
+    rng = random.Random(8)
+    parts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(20)) for _ in range(3)]
+    rows = [(1, "\n\n".join(parts)), (2, "\n\n".join(parts)), (3, "\n\t\r\n \n".join(parts)), (4, "\n\n\n"), (5, "\n\n".join(parts) + "\n\nnew")]
+    got = {r.doc_id: r.text for r in pipeline.drop_repeated_lines(spark, frame(spark, rows), sf).collect()}
+    assert got == {1: rows[0][1], 4: "\n\n\n", 5: "\n\n\nnew"}
+
+
 def test_contaminated_documents_go_and_clean_ones_stay(spark, sf):
     item = spark.read.parquet(f"{sf}/benchmark.parquet").filter("length(text) > 60").first()["text"]
     rows = [*planted(), (80, "before\n" + item.upper() + " after"), (81, " ".join(item.split()[:3]))]
