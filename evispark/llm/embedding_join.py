@@ -22,6 +22,7 @@ from evispark.llm.graph import components
 
 SAMPLE = 2048  # vectors that pivots are chosen from
 MAX_PIVOTS = 256
+FEW_PIVOTS = 16  # of tables that one cell could hold, or fewer: the square root of their vectors
 CELL_ROWS = 4096  # vectors a cell should hold; also the most rows of a block
 BLOCK_COLUMNS = 16384
 CHUNK = 512  # rows of a matrix product
@@ -46,10 +47,10 @@ def choose_pivots(sample: np.ndarray, k: int) -> np.ndarray:
     return sample[chosen]
 
 
-def _pivots(vectors: DataFrame, n: int) -> dict[int, np.ndarray]:
-    """Of each vector length, the pivots. Vectors are sampled by the order of their hash; a length that the sample
-    misses has one cell."""
-    k = min(MAX_PIVOTS, max(1, math.ceil(n / CELL_ROWS)))
+def _pivots(vectors: DataFrame, n: int, few: int) -> dict[int, np.ndarray]:
+    """Of each vector length, the pivots: one for each CELL_ROWS vectors, but at least the square root of ``n`` or ``few``,
+    whichever is less. Vectors are sampled by the order of their hash; a length that the sample misses has one cell."""
+    k = min(MAX_PIVOTS, max(min(few, math.ceil(math.sqrt(n))), math.ceil(n / CELL_ROWS)))
     sample = vectors.orderBy("node").limit(SAMPLE).select("vec").toArrow()["vec"].to_pylist() if k > 1 else []
     return {
         d: choose_pivots(unit_rows(pa.array([v for v in sample if len(v) == d])), k) for d in {len(v) for v in sample}
@@ -96,11 +97,11 @@ def _joined(table: pa.Table, cosine: float) -> pa.Table:
     return pa.table([pa.array(a), pa.array(b, mask=many > 0), pa.array(many)], names=["a", "b", "many"])
 
 
-def range_join(vectors: DataFrame, *, cosine: float) -> tuple[DataFrame, DataFrame]:
+def range_join(vectors: DataFrame, *, cosine: float, few_pivots: int = FEW_PIVOTS) -> tuple[DataFrame, DataFrame]:
     """Of (node, vec, many): (node, n_links), where a link with a node counts ``many`` times, and (a, b) links that are
     enough to connect whatever is linked."""
     n = vectors.count()
-    pivots = _pivots(vectors, n)
+    pivots = _pivots(vectors, n, few_pivots)
     r = math.sqrt(max(0.0, 2 - 2 * cosine)) + SLACK
 
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -162,7 +163,7 @@ def range_join(vectors: DataFrame, *, cosine: float) -> tuple[DataFrame, DataFra
     return counts, found.filter("b IS NOT NULL").select("a", "b")
 
 
-def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str = "embedding", cosine: float = 0.95, few_pivots: int = FEW_PIVOTS) -> DataFrame:
     """One row per vector: id_col, n_links (long: other vectors linked directly), component_id (long: the smallest id that
     links reach, itself included) and kept (id_col = component_id).
 
@@ -170,7 +171,8 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
     hold null or non-finite components link with nothing, and so do vectors of different lengths with each other. Equal
     vectors are joined once and count as often as they occur. A null id stays null and is never the smallest; repeated rows
     count as so many vectors. An empty table gives an empty result; other columns are not looked at. Equal vectors are
-    recognised by a 64-bit hash.
+    recognised by a 64-bit hash. ``few_pivots`` is the least number of pivots, where the square root of the distinct vectors
+    is not less; it changes the cost only.
     """
     v = F.col(vec_col)
     good = (
@@ -183,7 +185,7 @@ def near_duplicates(vectors: DataFrame, *, id_col: str = "vec_id", vec_col: str
         rows.filter("node IS NOT NULL").groupBy("node")
         .agg(F.first("vec").alias("vec"), F.count("*").alias("many"), F.min("_id").alias("least"))
     )
-    counts, links = range_join(classes.select("node", "vec", "many"), cosine=cosine)
+    counts, links = range_join(classes.select("node", "vec", "many"), cosine=cosine, few_pivots=few_pivots)
     labels = components(links)
     known = durable(
         classes.select("node", "many", "least").join(counts, "node", "left").join(labels, "node", "left")

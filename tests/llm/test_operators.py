@@ -153,6 +153,15 @@ def test_embedding_join_with_pivots(spark, monkeypatch):
     test_embedding_join(spark)
 
 
+def test_embedding_join_has_pivots_in_small_tables(spark, monkeypatch):
+    from evispark.llm import embedding_join
+
+    chosen, choose = [], embedding_join.choose_pivots
+    monkeypatch.setattr(embedding_join, "choose_pivots", lambda sample, k: chosen.append(choose(sample, k)) or chosen[-1])
+    test_embedding_join(spark)
+    assert max(len(p) for p in chosen) > 8
+
+
 def test_url_filter(spark):
     rules = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("a.example.org", "/en/12", "allow"), ("com", "", "block"), (None, "/", "block"), ("org", "/", "allow")]
     urls = [
