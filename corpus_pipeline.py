@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.llm.decontamination import decontaminate
-from evispark.llm.durable import shared_folder
+from evispark.llm.durable import durable, shared_folder
 from evispark.llm.line_dedup import dedup_lines
 from evispark.llm.ngram_join import ngram_jaccard_join
 from evispark.llm.packing import pack_documents
@@ -42,9 +42,23 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id; rows that repeat its id stay with it."""
-    kept = ngram_jaccard_join(docs).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_anti").select(*docs.columns)
+    """Of each group of linked documents one row, the first by (id, MD5 of the text), null ids last; rows without words stay.
+
+    Rows that share an id but not the text are judged one by one. Rows that repeat id and text are told by a 64-bit hash.
+    """
+    body = F.coalesce("text", F.lit(""))
+    named = docs.withColumn("_name", F.xxhash64("doc_id", body))
+    found = ngram_jaccard_join(named, id_col="_name").filter("n_shingles > 0")
+    groups = durable(found.groupBy("_name").agg(F.min("component_id").alias("group"), F.count("*").alias("many")))
+    names = named.select("_name", "doc_id", F.md5(F.encode(body, "utf-8")).alias("digest")).join(groups, "_name")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_name")
+    first = names.groupBy("group").agg(F.min(order)["_name"].alias("_name")).select("_name", F.lit(True).alias("stays"))
+    marks = durable(groups.join(first, "_name", "left").filter("stays IS NULL OR many > 1").select("_name", "stays"))
+    left = named.join(marks.select("_name"), "_name", "left_anti").select(*docs.columns)
+    repeated = marks.filter("stays").select("_name")
+    if repeated.isEmpty():
+        return left
+    return left.union(named.join(repeated, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import corpus_pipeline as pipeline
 from tests.llm.brute import alike, dedup, shingles, words
@@ -33,6 +34,16 @@ def test_near_duplicates_leave_one_of_each_group(spark, sf):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _ in rows if i not in (51, 52, 53))
 
 
+def test_near_duplicates_are_rows_not_ids(spark, sf):
+    rng = random.Random(9)
+    a, b, c, clean = (" ".join(f"v{rng.randrange(10**6)}" for _ in range(60)) for _ in range(4))
+    rows = [(None, a), (None, a), (None, a + " x"), (None, b), (7, b + " y"), (1, c), (2, c + " z"), (2, clean), (None, None), (None, "")]
+    rows += [(9, "one two"), (9, "one two")]
+    got = Counter((r.doc_id, r.text) for r in pipeline.drop_near_duplicates(spark, frame(spark, rows).repartition(3), sf).collect())
+    first = min((a, a + " x"), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    assert got == Counter([(None, first), (7, b + " y"), (1, c), (2, clean), (None, None), (None, ""), (9, "one two")])
+
+
 def test_lines_that_repeat_go(spark, sf):
     rows = planted()
     left = {k[0]: v for k, v in dedup({(i, hashlib.md5((t or "").encode()).hexdigest(), t) for i, t in rows}).items()}
