@@ -5,6 +5,9 @@ import random
 from collections import Counter
 
 import corpus_pipeline as pipeline
+from pyspark.sql import functions as F
+
+from evispark.llm.toxicity import score_documents, train
 from tests.llm.brute import alike, dedup, shingles, words
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -81,6 +84,51 @@ def test_toxic_documents_go(spark, sf):
     assert sum(i in ids for i in clean) >= 0.98 * len(clean)
 
 
+def test_toxic_documents_are_those_the_model_calls_so(spark, tmp_path):
+    rng = random.Random(2)
+    rows, labels = [], []
+    for i in range(600):
+        body = ["".join(rng.choice("abcdefghi") for _ in range(2)) for _ in range(rng.randrange(20, 200))]
+        if i % 5 == 0:
+            for _ in range(4):
+                body.insert(rng.randrange(len(body)), rng.choice(["Vilewordly", "grimslur!", "badterm"]))
+        rows.append((i, " ".join(body)))
+        labels.append((i, int(i % 5 == 0)))
+    docs = frame(spark, [*rows, (1000, None), (None, "badterm grimslur"), (0, "a plain text of the same id")])
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    model = train(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"))
+    whole = docs.select(F.struct("doc_id", "text").alias("row"), "text")
+    scored = [(r.row.doc_id, r.row.text, r.predicted) for r in score_documents(whole, model, id_col="row").select("row", "predicted").collect()]
+    kept = Counter((r.doc_id, r.text) for r in pipeline.drop_toxic(spark, docs, str(tmp_path)).collect())
+    assert kept == Counter((i, t) for i, t, p in scored if p == 0)
+    gone = Counter((r.doc_id, r.text) for r in docs.collect()) - kept
+    toxic = {i for i, t in labels if t}
+    assert gone and sum(i in toxic for i, _ in gone) >= 0.95 * len(toxic) and (None, "badterm grimslur") in gone
+    assert (0, "a plain text of the same id") in kept and (1000, None) in kept
+
+
+def test_packed_pieces_make_whole_texts_without_conflicts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    assert len({r.doc_id for r in rows}) == len(rows)
+    pieces, bins = {}, {}
+    for r in pipeline.pack(spark, docs, sf).collect():
+        pieces.setdefault(r.doc_id, {})[r.piece] = r
+        if r.n_words:
+            bins.setdefault(r.bin_id, []).append(r)
+    by = {r.doc_id: r for r in rows}
+    assert set(pieces) == set(by) and any(len(p) > 1 for p in pieces.values())
+    for i, p in pieces.items():
+        whole = "".join(p[k].text for k in range(len(p)))
+        assert whole == ((by[i].text or "") if len(p) == 1 else by[i].text.lstrip(" \t\n\v\f\r"))
+    for held in bins.values():
+        held.sort(key=lambda r: r.bin_offset)
+        assert held[0].bin_offset == 0 and held[-1].bin_offset + held[-1].n_words <= 2048
+        assert all(x.bin_offset + x.n_words == y.bin_offset for x, y in zip(held, held[1:], strict=False))
+        for value in ([by[r.doc_id].source for r in held if by[r.doc_id].source is not None], [by[r.doc_id].text for r in held]):
+            assert len(set(value)) == len(value)
+
+
 def test_run(spark, sf):
     out = pipeline.run(spark, sf).collect()
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
