@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,3 +25,13 @@ def durable(df: DataFrame) -> DataFrame:
     """A reliable checkpoint: worked out once, and it outlives any executor."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:
+    """Written once to the shared folder, in buckets of ``column``: grouping by it later moves none of these rows."""
+    spark = df.sparkSession
+    name = f"bucketed_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", f"{shared_folder(spark)}/{name}").saveAsTable(name, format="parquet")
+    found = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # of the catalog only; the files stay
+    return found

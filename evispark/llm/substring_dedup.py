@@ -4,10 +4,11 @@ Documents are packed into blocks of bounded size. A block hashes its windows of
 count-min sketch: of each sketch row the counters that it raises, as gaps, by slices of the counters. One task per slice
 merges the shares of all blocks and answers each of them which of its counters stand at two or more. A counter never reads
 less than the number of documents that hold a window, so the windows left out are certain not to repeat. Only those
-estimated repeated are grouped exactly, by a 128-bit hash, for the smallest document that holds them.
+estimated repeated are grouped exactly, by a 96-bit hash, for the smallest document that holds them. Blocks lie in a bucketed
+table, so that the answers go to the texts and the texts stay where they are.
 
 The sketch's width follows the number of windows, while slices and blocks keep their size; a window of any number of documents
-goes into the exact pass at most once for each block. The driver sees one number, the count of windows.
+goes into the exact pass at most once for each block. The driver sees two numbers, the bytes of text and the count of windows.
 """
 
 from __future__ import annotations
@@ -22,13 +23,14 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evispark.llm.durable import durable
+from evispark.llm.durable import bucketed, durable
 from evispark.llm.hashing import blocks, mixed, string_buffers
 
 WINDOW = 50
 SLICE_BITS = 22  # counters of one slice, as a power of two
 COUNTERS_PER_WINDOW = 8
 BLOCK_BYTES = 4 << 20
+BUCKET_BLOCKS = 4
 
 _RANDOM = np.random.default_rng(20240711)
 _PERIOD = 1 << 12
@@ -142,6 +144,16 @@ def joined(values: pa.ChunkedArray | pa.Array, dtype: str) -> tuple[np.ndarray,
     return data[bounds[0] : bounds[-1]].view(dtype), np.diff(bounds) // np.dtype(dtype).itemsize
 
 
+def bits_of(marks: np.ndarray, begin: np.ndarray) -> pa.Array:
+    """Marks that start at the given items of one array, as bits, each row filled up to a whole byte."""
+    many = np.diff(np.append(begin, len(marks)))
+    filled = -(-many // 8)
+    ends = np.cumsum(filled)
+    out = np.zeros(8 * int(filled.sum()), bool)
+    out[np.arange(len(marks)) + np.repeat(8 * (ends - filled) - begin, many)] = marks
+    return binaries(np.packbits(out), ends - filled)
+
+
 def packed_blocks(docs: DataFrame, size: int) -> DataFrame:
     """(docs: binary, windows: long): documents of about BLOCK_BYTES as a compressed Arrow batch, and their number of windows."""
 
@@ -212,7 +224,7 @@ def shares(packed: DataFrame, size: int, bits: int) -> DataFrame:
 
 
 def merge_slice(rows: pa.Table) -> pa.Table:
-    """Of one slice, the counters that stand at two or more: a byte for each counter of a share, in its order."""
+    """Of one slice, the counters that stand at two or more: a bit for each counter of a share, in its order."""
     low, many = joined(rows["low"], "<u2")
     high, _ = joined(rows["high"], "<u2")
     gaps = low.astype(np.int64) + (high.astype(np.int64) << 16)
@@ -223,14 +235,14 @@ def merge_slice(rows: pa.Table) -> pa.Table:
     fresh = np.ones(len(at), bool)
     fresh[1:] = at[1:] != at[:-1]
     fresh[begin] = True
-    marks = (counts[at[fresh]] >= 2).view(np.uint8)
-    return pa.table({"slice": rows["slice"], "block": rows["block"], "marks": binaries(marks, (np.cumsum(fresh) - fresh)[begin])})
+    marks = bits_of(counts[at[fresh]] >= 2, (np.cumsum(fresh) - fresh)[begin])
+    return pa.table({"slice": rows["slice"], "block": rows["block"], "marks": marks})
 
 
 def merge_exact(rows: pa.Table) -> pa.Table:
-    """Of one slice of windows, whether another block has a smaller document with it: a byte for each window, in its order."""
+    """Of one slice of windows, whether another block has a smaller document with it: a bit for each window, in its order."""
     one, many = joined(rows["first"], "<u8")
-    two, _ = joined(rows["second"], "<u8")
+    two, _ = joined(rows["second"], "<u4")
     lowest, _ = joined(rows["lowest"], "<i8")
     order = np.lexsort((two, one))
     a, b = one[order], two[order]
@@ -238,27 +250,29 @@ def merge_exact(rows: pa.Table) -> pa.Table:
     fresh[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
     begin = np.flatnonzero(fresh)
     least = np.minimum.reduceat(lowest[order], begin)
-    marks = np.zeros(len(a), np.uint8)
+    marks = np.zeros(len(a), bool)
     marks[order] = lowest[order] > least[np.cumsum(fresh) - 1]
-    return pa.table({"slice": rows["slice"], "block": rows["block"], "marks": binaries(marks, np.cumsum(many) - many)})
+    return pa.table({"slice": rows["slice"], "block": rows["block"], "marks": bits_of(marks, np.cumsum(many) - many)})
 
 
-def marks_from(answers: pa.Table, low: int, high: int) -> np.ndarray:
-    """The answers of the slices from ``low`` up to ``high``, one after another."""
-    part = answers.filter((pc.field("slice") >= low) & (pc.field("slice") < high)).sort_by("slice")
-    return joined(part["marks"], "u1")[0].astype(bool)
+def marks_from(answers: pa.Table, low: int, keys: np.ndarray, bits: int) -> np.ndarray:
+    """The answers to a block's ascending counters, those of its first slice under the number ``low``."""
+    part = answers.filter((pc.field("slice") >= low) & (pc.field("slice") < low + (1 << (bits - SLICE_BITS)))).sort_by("slice")
+    data, filled = joined(part["marks"], "u1")
+    slices = keys >> SLICE_BITS
+    begin = np.flatnonzero(np.diff(slices, prepend=-1))
+    if not np.array_equal(slices[begin] + low, part["slice"].to_numpy()):
+        raise ValueError("answers do not fit the block")
+    shift = 8 * (np.cumsum(filled) - filled) - begin
+    return np.unpackbits(data)[np.arange(len(keys)) + np.repeat(shift, np.diff(np.append(begin, len(keys))))].astype(bool)
 
 
 def estimated_repeated(found: Windows, answers: pa.Table, bits: int) -> np.ndarray:
     """Groups whose counters stand at two or more in every row of the sketch."""
-    slices = 1 << (bits - SLICE_BITS)
     kept = np.ones(len(found.first), bool)
     for row, keys in enumerate(found.keys(bits)):
-        marks = marks_from(answers, row * slices, (row + 1) * slices)
         distinct, place = np.unique(keys, return_inverse=True)
-        if len(distinct) != len(marks):
-            raise ValueError("answers do not fit the block")
-        kept &= marks[place]
+        kept &= marks_from(answers, row << (bits - SLICE_BITS), distinct, bits)[place]
     return np.flatnonzero(kept)
 
 
@@ -275,7 +289,9 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
     empty result; other columns are not looked at.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    packed = durable(packed_blocks(rows, window).withColumn("block", F.monotonically_increasing_id()))
+    held = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), held // (BUCKET_BLOCKS * BLOCK_BYTES))
+    packed = bucketed(packed_blocks(rows, window).withColumn("block", F.monotonically_increasing_id()), "block", buckets)
     total = packed.agg(F.sum("windows")).first()[0] or 0
     bits = max(SLICE_BITS, (COUNTERS_PER_WINDOW * total).bit_length())
     slices = 1 << (bits - SLICE_BITS)
@@ -286,10 +302,11 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         first = found.first[kept]
         part = (first >> np.uint64(64 - bits)).astype(np.int64) >> SLICE_BITS
         begin = np.flatnonzero(np.diff(part, prepend=-1))
+        second = (found.second[kept] >> np.uint64(32)).astype("<u4")
         return pa.table(
             {
                 "slice": part[begin] + 2 * slices, "block": np.full(len(begin), own["block"][0].as_py()), "first": binaries(first, begin),
-                "second": binaries(found.second[kept], begin), "lowest": binaries(found.lowest[kept], begin),
+                "second": binaries(second, begin), "lowest": binaries(found.lowest[kept], begin),
             }
         )
 
@@ -298,7 +315,7 @@ def drop_repeated_passages(docs: DataFrame, *, id_col: str = "doc_id", text_col:
         found = windows_of(docs, window)
         elsewhere = np.zeros(len(found.first), bool)
         kept = estimated_repeated(found, answers, bits)
-        elsewhere[kept] = marks_from(answers, 2 * slices, 3 * slices)
+        elsewhere[kept] = marks_from(answers, 2 * slices, (found.first[kept] >> np.uint64(64 - bits)).astype(np.int64), bits)
         gone = found.start[elsewhere[found.group] | (found.ids[found.doc] > found.lowest[found.group])]
         steps = np.zeros(found.bounds[-1] + 1, np.int64)
         steps[gone] += 1
