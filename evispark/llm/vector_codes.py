@@ -16,11 +16,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.durable import durable
+from evispark.llm.hashing import mixed
 
 SCALE = 4096
 LIMIT = 1 << 26  # components beyond are held to it, so that squared distances stay exact in 64 bits
 REMEMBERED = 1 << 16  # cells of a part that a task keeps
 CHUNK = 4096  # vectors worked on at once
+_FACTOR = np.random.default_rng(20240815).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Codebook:
@@ -28,7 +30,13 @@ class Codebook:
 
     def __init__(self, entries: np.ndarray, bits: int):
         self.entries, self.bits = entries, bits
-        self.memo: dict[bytes, np.ndarray] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        """The memo: hashes of cells, ascending, the cells, and their candidates."""
+        self.hashes = np.zeros(0, np.uint64)
+        self.cells = np.zeros((0, self.entries.shape[1]), np.int64)
+        self.kept = np.zeros((0, len(self.entries)), bool)
 
     def undominated(self, cells: np.ndarray) -> np.ndarray:
         """Of each cell, the entries that may be nearest to something in its box."""
@@ -39,28 +47,38 @@ class Codebook:
         return (near**2).sum(2) <= (far**2).sum(2).min(1, keepdims=True)
 
     def candidates(self, parts: np.ndarray) -> np.ndarray:
-        cells = np.ascontiguousarray(parts >> self.bits)
-        names = cells.view(np.dtype((np.void, cells.itemsize * cells.shape[1])))[:, 0] if cells.shape[1] else np.zeros(len(cells), "V1")
-        _, index, inverse = np.unique(names, return_index=True, return_inverse=True)
-        keys = [names[i].tobytes() for i in index]
-        fresh = [k for k, key in enumerate(keys) if key not in self.memo]
-        known = {key: self.memo[key] for key in keys if key in self.memo}
-        if fresh:
-            known |= zip((keys[k] for k in fresh), self.undominated(cells[index[fresh]]), strict=True)
-            if len(self.memo) + len(fresh) > REMEMBERED:
-                self.memo = {}
-            self.memo |= ((keys[k], known[keys[k]]) for k in fresh)
-        return np.array([known[key] for key in keys])[inverse]
+        """A row of marks for each part: the entries not dominated across its cell."""
+        cells = parts >> self.bits
+        hashes = mixed((cells.astype(np.uint64) * _FACTOR[np.arange(cells.shape[1]) % len(_FACTOR)]).sum(1, dtype=np.uint64))
+        place = np.searchsorted(self.hashes, hashes)
+        known = place < len(self.hashes)
+        known[known] = self.hashes[place[known]] == hashes[known]
+        fresh, index = np.unique(hashes[~known], return_index=True)
+        if len(fresh):
+            if len(self.hashes) + len(fresh) > REMEMBERED:
+                self.forget()
+                fresh, index, known = *np.unique(hashes, return_index=True), np.zeros(len(hashes), bool)
+            new = cells[~known][index]
+            order = np.argsort(np.concatenate([self.hashes, fresh]))
+            self.hashes = np.concatenate([self.hashes, fresh])[order]
+            self.cells = np.concatenate([self.cells, new])[order]
+            self.kept = np.concatenate([self.kept, self.undominated(new)])[order]
+            place = np.searchsorted(self.hashes, hashes)
+        # A cell that only shares its hash with the remembered one keeps all entries.
+        return self.kept[place] | (self.cells[place] != cells).any(1)[:, None]
 
     def nearest(self, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest entry of each part, the lower of equals, and its squared distance."""
-        if not len(parts):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        row, entry = np.nonzero(self.candidates(parts))
-        distance = np.full((len(parts), len(self.entries)), np.iinfo(np.int64).max)
-        distance[row, entry] = ((parts[row] - self.entries[entry]) ** 2).sum(1)
-        best = distance.argmin(1)
-        return best, distance[np.arange(len(parts)), best]
+        marks = self.candidates(parts)
+        best = np.zeros(len(parts), np.int64)
+        least = np.full(len(parts), np.iinfo(np.int64).max)
+        for entry in range(len(self.entries)):
+            row = np.flatnonzero(marks[:, entry])
+            distance = ((parts[row] - self.entries[entry]) ** 2).sum(1)
+            closer = distance < least[row]
+            row = row[closer]
+            best[row], least[row] = entry, distance[closer]
+        return best, least
 
 
 def cell_bits(entries: np.ndarray) -> int:
