@@ -408,30 +408,6 @@ def heading_sections(spark, sf):
     )
 
 
-@query("markdown_chunks", "C2,C3,C4,C5,C6,C7,C8,C9,C10,C11,U8")
-def markdown_chunks(spark, sf):
-    """Documents with headings, a pipe table, an HTML table and a code fence, chunked in full."""
-    from evispark.operators.chunking import chunk_documents
-
-    lines = F.split("md_content", "\n")
-    rows = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("| "), F.replace(x, F.lit("|"), F.lit("/")), F.lit(" | 1 |"))), "\n")
-    cells = F.array_join(F.transform(lines, lambda x: F.concat(F.lit("<tr><td>"), x, F.lit("</td></tr>"))), "")
-    mixed = F.concat(
-        "md_content",
-        F.lit("\n\nTable 1 lines\n\n| line | n |\n|---|---|\n"),
-        rows,
-        F.lit("\n\n<table><tr><th>line</th></tr>"),
-        cells,
-        F.lit("</table>\n\n```text\n"),
-        "md_content",
-        F.lit("\n```\n"),
-    )
-    docs = markdown_documents(spark, sf).withColumn("md_content", mixed)
-    return chunk_documents(docs).select(
-        "doc_id", "chunk_id", "chunk_index", "context_type", "section_title", "content", "token_count"
-    )
-
-
 def import_inputs(spark, sf):
     """Documents to import; by number, some have a title or a heading that is too long."""
     d = F.col("doc_id")
@@ -456,15 +432,3 @@ def import_outcome(spark, sf):
     _, outcome = judged_records(import_inputs(spark, sf))
     title = F.filter("reasons", lambda r: (r == "file_title_too_long") | ~F.array_contains("reasons", "file_title_too_long"))
     return outcome.select("path", "accepted", F.array_join(title, ",").alias("reasons"))
-
-
-@query("import_records", "C11,V1,U3,P12,P13")
-def import_records(spark, sf):
-    """The whole import: described, chunked, embedded and validated documents."""
-    from evispark.plans.ingest import chunk_records
-
-    docs = markdown_documents(spark, sf).select(
-        F.concat(F.lit("/in/"), "file_title", F.lit(".md")).alias("path"), "file_title", "md_content"
-    )
-    records, _ = chunk_records(docs)
-    return records.select("chunk_id", "document_id", "chunk_index", "context_type", "token_count", F.size("sparse_vector").alias("n_sparse"))

@@ -8,9 +8,12 @@ since an inner one makes the optimiser test the array's size first, which works
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.functions import arrays as A
 from evispark.functions import text as T
 from evispark.operators import chunks as C
 
@@ -56,52 +59,46 @@ def segments(text: Column) -> Column:
 def with_captions(parts: Column) -> Column:
     """A caption line right before a table moves into the table; headings give level and title."""
 
-    def one(x: Column, i: Column) -> Column:
-        before, after = F.get(parts, i - 1), F.get(parts, i + 1)
+    def one(own: Column, x: Column, i: Column) -> Column:
+        before, after = F.get(own, i - 1), F.get(own, i + 1)
         caption = F.when(
             (x["kind"] == "table") & (before["kind"] == "text"),
             F.nullif(T.strip(F.regexp_extract(before["raw"], CAPTION_TAIL, 1)), F.lit("")),
         )
         gives = (x["kind"] == "text") & F.coalesce(after["kind"] == "table", F.lit(False))
-        own = F.when(gives, F.regexp_replace(x["raw"], CAPTION_TAIL, "")).otherwise(x["raw"])
+        body = F.when(gives, F.regexp_replace(x["raw"], CAPTION_TAIL, "")).otherwise(x["raw"])
         is_heading = (x["kind"] == "text") & F.rlike(x["raw"], F.lit(rf"{MODES}\A{HEADING}"))
         marks = F.regexp_extract(x["raw"], rf"{MODES}\A{H}*(#{{1,6}})", 1)
         title = F.regexp_extract(x["raw"], rf"{MODES}\A{H}*#{{1,6}}{H}([^\n]*)", 1)
         return F.struct(
-            T.strip(F.concat_ws("\n", caption, own)).alias("content"),
+            T.strip(F.concat_ws("\n", caption, body)).alias("content"),
             x["kind"].alias("kind"),
             caption.alias("caption"),
             F.when(is_heading, F.length(marks)).otherwise(F.lit(0)).alias("level"),
             F.when(is_heading, T.clean_heading(title)).otherwise(F.lit("")).alias("heading"),
         )
 
-    return F.transform(parts, one)
+    return A.let(parts, lambda own: F.transform(own, lambda x, i: one(own, x, i)))
 
 
 def with_paths(parts: Column, file_title: Column) -> Column:
     """Blocks with section path and title: a heading replaces its own and all deeper levels."""
-    start = F.struct(
-        F.array().cast("array<string>").alias("path"),
-        file_title.alias("title"),
-        F.array().cast(f"array<{BLOCK_TYPE}>").alias("blocks"),
-    )
+    start = F.struct(F.array().cast("array<string>").alias("path"), file_title.alias("title"))
 
     def step(acc: Column, x: Column) -> Column:
         opens = x["level"] > 0
-        path = F.when(
-            opens, F.concat(F.slice(acc["path"], F.lit(1), F.greatest(x["level"] - 1, F.lit(0))), F.array(x["heading"]))
-        ).otherwise(acc["path"])
-        title = F.when(opens, x["heading"]).otherwise(acc["title"])
-        block = F.struct(
-            x["content"].alias("content"),
-            x["kind"].alias("context_type"),
-            path.alias("path"),
-            F.coalesce(x["caption"], title).alias("title"),
+        parents = F.slice(acc["path"], F.lit(1), F.greatest(x["level"] - 1, F.lit(0)))
+        return F.struct(
+            F.when(opens, F.array_append(parents, x["heading"])).otherwise(acc["path"]).alias("path"),
+            F.when(opens, x["heading"]).otherwise(acc["title"]).alias("title"),
         )
-        return F.struct(path.alias("path"), title.alias("title"), F.array_append(acc["blocks"], block).alias("blocks"))
 
-    folded = F.aggregate(parts, start, step, lambda acc: acc["blocks"])
-    return F.filter(folded, lambda b: b["content"] != "")
+    def block(x: Column, at: Column) -> Column:
+        return F.struct(
+            x["content"].alias("content"), x["kind"].alias("context_type"), at["path"].alias("path"), F.coalesce(x["caption"], at["title"]).alias("title")
+        )
+
+    return F.filter(A.let(parts, lambda own: F.zip_with(own, A.scan(own, start, step), block)), lambda b: b["content"] != "")
 
 
 def sliced(text: Column, size: Column) -> Column:
@@ -118,23 +115,53 @@ def small_units(text: Column, size: Column) -> Column:
     )
 
 
+def cut(units: Column, states: Column, piece: Callable[[Column, Column, Column], Column]) -> Column:
+    """Pieces of consecutive units, one from each unit whose state ``opens`` up to the next one.
+
+    ``piece`` takes the state at the cut, the number of the piece and its units.
+    """
+
+    def marked(x: Column) -> Column:
+        places = F.filter(F.transform(x["states"], lambda s, i: F.when(s["opens"], i)), lambda i: i.isNotNull())
+        return F.struct(x["units"].alias("units"), x["states"].alias("states"), places.alias("cuts"))
+
+    def pieces(x: Column) -> Column:
+        def one(at: Column, k: Column) -> Column:
+            end = F.coalesce(F.get(x["cuts"], k + 1), F.size(x["units"]))
+            return piece(F.get(x["states"], at), k, F.slice(x["units"], at + 1, end - at))
+
+        return F.transform(x["cuts"], one)
+
+    return A.let(F.struct(units.alias("units"), states.alias("states")), lambda x: A.let(marked(x), pieces))
+
+
 def packed_text(units: Column, target: int, overlap: int) -> Column:
-    """Fill pieces up to the target; each further piece starts with the tail of the one before."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
+    """Fill pieces up to the target; each further piece starts with the tail of the one before.
+
+    Only lengths and the tail of the piece so far are carried along the units; texts are joined once the cuts are known.
+    """
+    start = F.struct(F.lit(0).alias("size"), F.lit("").alias("tail"), F.lit("").alias("lead"), F.lit(False).alias("opens"))
+
+    def led(lead: Column, unit: Column) -> Column:
+        return T.strip(F.concat(lead, F.lit("\n"), unit)) if overlap > 0 else unit
 
     def step(acc: Column, unit: Column) -> Column:
-        cur = acc["cur"]
-        longer = F.when(cur == "", unit).otherwise(F.concat(cur, F.lit("\n\n"), unit))
-        flush = (cur != "") & (F.length(longer) > target)
-        opened = T.strip(F.concat(F.right(cur, F.lit(overlap)), F.lit("\n"), unit)) if overlap > 0 else unit
+        n = F.length(unit)
+        first = acc["size"] == 0
+        flush = ~first & (acc["size"] + 2 + n > target)
+        more = F.when(first | (n >= overlap), unit).otherwise(F.concat(acc["tail"], F.lit("\n\n"), unit))
         return F.struct(
-            F.when(flush, F.array_append(acc["done"], cur)).otherwise(acc["done"]).alias("done"),
-            F.when(flush, opened).otherwise(longer).alias("cur"),
+            F.when(flush, F.length(led(acc["tail"], unit))).when(first, n).otherwise(acc["size"] + 2 + n).alias("size"),
+            F.right(F.when(flush, led(acc["tail"], unit)).otherwise(more), F.lit(overlap)).alias("tail"),
+            F.when(flush, acc["tail"]).otherwise(F.lit("")).alias("lead"),
+            (first | flush).alias("opens"),
         )
 
-    return F.aggregate(
-        units, start, step, lambda acc: F.when(acc["cur"] != "", F.array_append(acc["done"], acc["cur"])).otherwise(acc["done"])
-    )
+    def piece(state: Column, k: Column, own: Column) -> Column:
+        head = F.when(k > 0, led(state["lead"], F.get(own, F.lit(0)))).otherwise(F.get(own, F.lit(0)))
+        return F.array_join(F.concat(F.array(head), F.slice(own, F.lit(2), F.size(own))), "\n\n")
+
+    return cut(units, A.scan(units, start, step), piece)
 
 
 def text_pieces(x: Column, max_size: int, target: int, overlap: int) -> Column:
@@ -152,25 +179,17 @@ def text_pieces(x: Column, max_size: int, target: int, overlap: int) -> Column:
 
 def packed_rows(rows: Column, prefix: Column, suffix: Column, sep: str, max_size: int) -> Column:
     """Whole rows per piece, each piece between ``prefix`` and ``suffix``; an over-long row stays whole."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+    start = F.struct(F.lit(None).cast("int").alias("size"), F.lit(False).alias("opens"))
 
-    def step(acc: Column, row: Column) -> Column:
-        cur = acc["cur"]
-        longer = F.when(cur.isNull(), row).otherwise(F.concat(cur, F.lit(sep), row))
-        flush = cur.isNotNull() & (F.length(prefix) + F.length(longer) + F.length(suffix) > max_size)
-        return F.struct(
-            F.when(flush, F.array_append(acc["done"], F.concat(prefix, cur, suffix))).otherwise(acc["done"]).alias("done"),
-            F.when(flush, row).otherwise(longer).alias("cur"),
-        )
+    def step(acc: Column, n: Column) -> Column:
+        longer = acc["size"] + len(sep) + n
+        opens = F.coalesce(longer > max_size, F.lit(True))
+        return F.struct(F.when(opens, n + F.length(prefix) + F.length(suffix)).otherwise(longer).alias("size"), opens.alias("opens"))
 
-    return F.aggregate(
-        rows,
-        start,
-        step,
-        lambda acc: F.when(
-            acc["cur"].isNotNull(), F.array_append(acc["done"], F.concat(prefix, acc["cur"], suffix))
-        ).otherwise(acc["done"]),
-    )
+    def piece(_: Column, __: Column, own: Column) -> Column:
+        return F.concat(prefix, F.array_join(own, sep), suffix)
+
+    return cut(rows, A.scan(F.transform(rows, F.length), start, step), piece)
 
 
 def _units_of(content: Column, kind: Column, target: int) -> Column:
@@ -309,44 +328,39 @@ def refined(blocks: Column, max_size: int, target: int, overlap: int) -> Column:
 
 def merged_short(blocks: Column, min_size: int, max_size: int) -> Column:
     """Join neighbouring texts of one section, and short neighbours below one top heading."""
-    start = F.struct(
-        F.array().cast(f"array<{BLOCK_TYPE}>").alias("done"), F.lit(None).cast(BLOCK_TYPE).alias("last")
-    )
+    start = F.lit(None).cast(f"{BLOCK_TYPE[:-1]},opens:boolean>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = acc["last"]
-        both = T.strip(F.concat(last["content"], F.lit("\n\n"), x["content"]))
+    def step(last: Column, x: Column) -> Column:
         short = (F.length(last["content"]) < min_size) & (F.length(x["content"]) < min_size)
         same_top = F.get(last["path"], F.lit(0)).eqNullSafe(F.get(x["path"], F.lit(0)))
-        joins = (
+        may = (
             last.isNotNull()
             & (last["context_type"] == "text")
             & (x["context_type"] == "text")
             & ((last["path"] == x["path"]) | (short & same_top))
-            & (F.length(both) <= max_size)
         )
-        differ = last["title"] != x["title"]
-        titles = F.concat_ws(TITLE_JOINER, F.nullif(last["title"], F.lit("")), F.nullif(x["title"], F.lit("")))
-        joined = F.struct(
-            both.alias("content"),
-            F.lit("text").alias("context_type"),
-            F.when(differ, F.slice(last["path"], F.lit(1), F.greatest(F.size(last["path"]) - 1, F.lit(0))))
-            .otherwise(last["path"])
-            .alias("path"),
-            F.when(differ, titles).otherwise(last["title"]).alias("title"),
-        )
-        join = F.coalesce(joins, F.lit(False))
-        return F.struct(
-            F.when(join | last.isNull(), acc["done"]).otherwise(F.array_append(acc["done"], last)).alias("done"),
-            F.when(join, joined).otherwise(x).alias("last"),
-        )
-
-    return F.aggregate(
-        blocks,
-        start,
-        step,
-        lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.array_append(acc["done"], acc["last"])),
-    )
+        both = F.when(F.coalesce(may, F.lit(False)), T.strip(F.concat(last["content"], F.lit("\n\n"), x["content"])))
+
+        def joined(text: Column) -> Column:
+            joins = F.coalesce(F.length(text) <= max_size, F.lit(False))
+            differ = joins & (last["title"] != x["title"])
+            titles = F.concat_ws(TITLE_JOINER, F.nullif(last["title"], F.lit("")), F.nullif(x["title"], F.lit("")))
+            shorter = F.slice(last["path"], F.lit(1), F.greatest(F.size(last["path"]) - 1, F.lit(0)))
+            return F.struct(
+                F.when(joins, text).otherwise(x["content"]).alias("content"),
+                x["context_type"].alias("context_type"),
+                F.when(differ, shorter).when(joins, last["path"]).otherwise(x["path"]).alias("path"),
+                F.when(differ, titles).otherwise(x["title"]).alias("title"),
+                (~joins).alias("opens"),
+            )
+
+        return A.let(both, joined)
+
+    def last_ones(states: Column) -> Column:
+        ends = F.filter(states, lambda s, i: F.coalesce(F.get(states, i + 1)["opens"], F.lit(True)))
+        return F.transform(ends, lambda s: F.struct(*(s[c].alias(c) for c in ("content", "context_type", "path", "title"))))
+
+    return A.let(A.scan(blocks, start, step), last_ones)
 
 
 def heading_sections(docs: DataFrame, text: str = "md_content", title: str = "file_title") -> DataFrame:

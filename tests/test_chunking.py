@@ -144,3 +144,48 @@ def test_chunking_needs_no_shuffle_of_large_input(spark):
     many = docs(spark, *[MIXED] * 8).repartition(4)
     plan = K.chunk_documents(many)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") <= 1
+
+
+def test_scan_keeps_every_state(spark):
+    from evispark.functions import arrays as A
+
+    sizes = [0, 1, 31, 32, 33, 1023, 1024, 1025, 3000]
+    rows = spark.createDataFrame([(n, list(range(1, n + 1))) for n in sizes], "n int, v array<int>")
+    sums = A.scan(F.filter("v", lambda x: x > 0), F.lit(0), lambda acc, x: acc + x)
+    for r in rows.select("n", sums.alias("s")).collect():
+        assert r.s == [k * (k + 1) // 2 for k in range(1, r.n + 1)]
+
+
+def test_time_grows_with_the_headings(spark):
+    import time
+
+    def seconds(n):
+        text = "\n\n".join(f"# h{i}\n\ntext of it that is. {'word ' * 30}" for i in range(n))
+        df = docs(spark, text)
+        assert K.document_blocks(df).count() == n  # compiles
+        started = time.perf_counter()
+        K.document_blocks(df).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - started
+
+    seconds(500)
+    assert seconds(12_000) < 4 * seconds(3_000) * 1.3 + 1
+
+
+def test_pieces_agree_with_a_plain_walk(spark):
+    """Greedy packing with the tail carried over, over random units and sizes."""
+    import random
+
+    rng = random.Random(4)
+    for target, overlap in ((40, 5), (60, 0), (25, 24)):
+        lists = [["x" * rng.randrange(1, 30) + rng.choice(["", " y"]) for _ in range(rng.randrange(0, 90))] for _ in range(20)]
+        df = spark.createDataFrame([(i, u) for i, u in enumerate(lists)], "i int, u array<string>")
+        for r in df.select("u", K.packed_text(F.col("u"), target, overlap).alias("p")).collect():
+            want, current = [], ""
+            for unit in r.u:
+                longer = f"{current}\n\n{unit}" if current else unit
+                if current and len(longer) > target:
+                    want.append(current)
+                    current = f"{current[-overlap:]}\n{unit}".strip() if overlap else unit
+                else:
+                    current = longer
+            assert r.p == want + [current] * bool(current)
