@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from evispark.catalog import views as V
 from evispark.catalog.registry import query
+from evispark.operators import config as S
 from evispark.operators import embedding as E
 from evispark.operators import fusion
 from evispark.operators import retrieval as R
@@ -133,6 +134,51 @@ def filtered_hybrid_retrieval(spark, sf):
     return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))
 
 
+# Settings by item number: the three presets, and options that differ from item to item.
+SETTINGS_SQL = """settings AS (
+  SELECT item_id::VARCHAR AS item, CASE WHEN m = 3 THEN least(greatest(2 * c, 10), 50) ELSE [20, 12, 40][m + 1] END AS ann_limit,
+    CASE WHEN m = 3 THEN c ELSE [10, 6, 20][m + 1] END AS search_top_k,
+    CASE WHEN m = 3 THEN [0.35, 0.6, 0.8][item_id % 3 + 1] ELSE 0.6 END::DOUBLE AS wd, CASE WHEN m = 3 THEN [0.65, 0.4, 0.2][item_id % 3 + 1] ELSE 0.4 END::DOUBLE AS ws,
+    m <> 3 OR item_id % 8 = 3 AS hyde, CASE WHEN m = 1 THEN 40 ELSE 60 END AS rrf_k,
+    CASE WHEN m = 3 THEN [0.4, 0.8, 1.0][item_id // 4 % 3 + 1] ELSE [0.8, 0.4, 1.0][m + 1] END::DOUBLE AS wh,
+    CASE WHEN m = 3 THEN least(greatest(r, ceil(c * 6 / 5.0), 5), 30) ELSE [12, 8, 24][m + 1] END AS rrf_top_k
+  FROM (SELECT item_id, item_id % 4 AS m, 5 + item_id % 21 AS c, 1 + item_id % 12 AS r FROM benchmark))"""
+BY_MODE_SQL = "WITH " + ", ".join(
+    [
+        V.CHUNKS_SQL, POSTINGS_SQL, SETTINGS_SQL,
+        FORMS_SQL.replace("WHERE passage <> ''", "JOIN settings ON item = item_id::VARCHAR WHERE passage <> '' AND hyde"),
+        QTOKS_SQL, SLOTS_SQL.replace("rank <= 20", "rank <= 50"), DENSE_SQL.replace("rank <= 20", "rank <= 50"),
+        """parts AS (
+  SELECT query_id, chunk_id, wd * (0.5 + atan(score) / pi()) AS part FROM dense JOIN settings ON item = split_part(query_id, '#', 1) WHERE rank <= ann_limit
+  UNION ALL SELECT query_id, chunk_id, ws * (0.5 + atan(score) / pi()) FROM sparse JOIN settings ON item = split_part(query_id, '#', 1) WHERE rank <= ann_limit),
+hybrid AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id)::INT AS rank FROM (
+    SELECT query_id, chunk_id, round(sum(part), 9) AS score FROM parts GROUP BY ALL)) JOIN settings ON item = split_part(query_id, '#', 1)
+  WHERE rank <= search_top_k)""",
+        RRF_SQL.replace("ELSE 0.8 END::DOUBLE", "ELSE wh END::DOUBLE").replace("AS weight FROM hybrid", "AS weight, rrf_k, rrf_top_k FROM hybrid")
+        .replace("(60 + rank)", "(rrf_k + rank)").replace("min(list_no * 1000 + rank) AS seen,", "min(list_no * 1000 + rank) AS seen, any_value(rrf_top_k) AS top,")
+        .replace("SELECT query_id, chunk_id, score, sources,", "SELECT query_id, chunk_id, score, sources, top,").replace("rank <= 12", "rank <= top")
+        .replace("FROM lists GROUP BY ALL", "FROM lists GROUP BY query_id, chunk_id"),
+    ]
+)
+
+
+@query("hybrid_retrieval_by_mode", "P16,V5,V6,V7,V8,F1", BY_MODE_SQL + " SELECT query_id, chunk_id, rank, score, sources FROM rrf")
+def hybrid_retrieval_by_mode(spark, sf):
+    """Balanced, precision, recall and custom queries in one batch; some custom ones without the second form."""
+    item = F.col("query_id").cast("int")
+    of = lambda values, at: F.get(F.array(*(F.lit(v) for v in values)), at)
+    options = F.struct(
+        (5 + item % 21).alias("candidate_top_k"), (1 + item % 12).alias("max_reference_count"),
+        of(("keyword", "balanced", "semantic"), item % 3).alias("matching_preference"), (item % 8 == 3).alias("hyde_enabled"),
+        of(("low", "medium", "high"), F.floor(item / 4).cast("int") % 3).alias("hyde_influence"), F.lit(True).alias("web_enabled"),
+    )
+    mode = of(("balanced", "precision", "recall", "custom"), item % 4)
+    asked = benchmark_queries(spark, sf).withColumn("settings", S.resolve(mode, options))
+    fused = hybrid.hybrid_retrieval(asked, V.document_chunks(spark, sf).repartition("chunk_id"))
+    return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))
+
+
 @query(
     "sparse_retrieval",
     "V6,J10",

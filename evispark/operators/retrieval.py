@@ -10,11 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evispark.operators.ranking import top_k
+from evispark.operators.ranking import ranked, top_k
 from evispark.session import cut_lineage
 
 SCORE_DIGITS = 9
-QUERY_BYTES = 64 << 20  # of query vectors that a task gets at once
+QUERY_BYTES = 64 << 20  # of queries that a task gets at once
+CHUNK_ROWS = 50_000  # chunks of one block where many queries meet them
 CELLS = 2_000_000
 # Filters of a search: by name, the query's column, the chunk's column and the chunk column's type.
 FILTERS = {
@@ -47,13 +48,13 @@ def hard_filters(filters: Column) -> tuple[Column, Column]:
     return types, F.when(F.array_contains(hard, "region_names"), regions)
 
 
-def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: int):
-    """Keep the k best rows of every query: score first, then the smaller id."""
+def _best(query: np.ndarray, chunk: np.ndarray, score: np.ndarray, k: np.ndarray):
+    """Keep the k best rows of every query, each with its own k: score first, then the smaller id."""
     order = np.lexsort((chunk, -score, query))
     query, chunk, score = query[order], chunk[order], score[order]
     starts = np.flatnonzero(np.r_[True, query[1:] != query[:-1]])
     place = np.arange(len(query)) - np.repeat(starts, np.diff(np.r_[starts, len(query)]))
-    keep = place < k
+    keep = place < k[query]
     return query[keep], chunk[keep], score[keep]
 
 
@@ -91,6 +92,7 @@ class _QueryBlock:
 
     def __init__(self, rows: pa.Table, arms: tuple[str, ...]):
         self.ids = np.asarray(rows.column("id").to_pylist(), dtype=object)
+        self.k = rows.column("k").to_numpy()
         # Of each filter that some query has: the values that occur, and which query allows which (null: all).
         self.filters = {}
         for name in FILTERS:
@@ -134,62 +136,88 @@ def _members(column: pa.Array, known: pa.Array) -> np.ndarray:
     return out
 
 
-def _search_partition(queries: pa.Table, k: int, arms: tuple[str, ...]):
-    """Chunks in, no more than k rows for each query and arm out."""
+FOUND = "arm string, query_id string, chunk_id string, score double, k int"
+
+
+def _found(block: _QueryBlock, batches: Iterator[pa.RecordBatch], arms: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
+    """Chunks in, no more than its k rows for each query and arm out."""
+    most = int(block.k.max())
+    held: dict[str, tuple] = {}
+    floors = {arm: np.full(len(block.ids), -np.inf) for arm in arms}
+    step = max(1, CELLS // len(block.ids))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            piece = batch.slice(start, step)
+            for arm in arms:
+                scores = block.scores(piece, arm)
+                bar = floors[arm][:, None]
+                if scores.shape[1] > most:
+                    bar = np.maximum(bar, np.partition(scores, -most, axis=1)[:, -most][:, None])
+                query, at = np.nonzero((scores >= bar) & (scores > -np.inf))
+                if not len(query):
+                    continue
+                ids = np.asarray(piece.column("id").take(pa.array(at)).to_pylist(), dtype=object)
+                found = (query, ids, scores[query, at])
+                if arm in held:
+                    found = tuple(np.concatenate(pair) for pair in zip(held[arm], found))
+                held[arm] = _best(*found, block.k)
+                query, _, score = held[arm]
+                full = np.bincount(query, minlength=len(block.ids)) >= block.k
+                lowest = np.full(len(block.ids), np.inf)
+                np.minimum.at(lowest, query, score)
+                floors[arm] = np.where(full, lowest, -np.inf)
+    for arm, (query, chunk, score) in held.items():
+        ids = block.ids[query]
+        columns = [pa.array([arm] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(chunk, pa.string()), pa.array(score, pa.float64())]
+        yield pa.RecordBatch.from_arrays([*columns, pa.array(block.k[query], pa.int32())], names=["arm", "query_id", "chunk_id", "score", "k"])
+
+
+def _in_place(asked: DataFrame, looked: DataFrame, arms: tuple[str, ...]) -> DataFrame:
+    """A batch of bounded size goes to all tasks; chunks stay where the scan puts them."""
+    queries = asked.toArrow()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = _QueryBlock(queries, arms)
-        held: dict[str, tuple] = {}
-        floors = {arm: np.full(len(block.ids), -np.inf) for arm in arms}
-        step = max(1, CELLS // len(block.ids))
-        for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                piece = batch.slice(start, step)
-                for arm in arms:
-                    scores = block.scores(piece, arm)
-                    bar = floors[arm][:, None]
-                    if scores.shape[1] > k:
-                        bar = np.maximum(bar, np.partition(scores, -k, axis=1)[:, -k][:, None])
-                    query, at = np.nonzero((scores >= bar) & (scores > -np.inf))
-                    if not len(query):
-                        continue
-                    ids = np.asarray(piece.column("id").take(pa.array(at)).to_pylist(), dtype=object)
-                    found = (query, ids, scores[query, at])
-                    if arm in held:
-                        found = tuple(np.concatenate(pair) for pair in zip(held[arm], found))
-                    held[arm] = _best(*found, k)
-                    query, _, score = held[arm]
-                    full = np.bincount(query, minlength=len(block.ids)) >= k
-                    lowest = np.full(len(block.ids), np.inf)
-                    np.minimum.at(lowest, query, score)
-                    floors[arm] = np.where(full, lowest, -np.inf)
-        for arm, (query, chunk, score) in held.items():
-            ids = block.ids[query]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([arm] * len(ids), pa.string()), pa.array(ids, pa.string()), pa.array(chunk, pa.string()), pa.array(score, pa.float64())],
-                names=["arm", "query_id", "chunk_id", "score"],
-            )
-
-    return run
+        if queries.num_rows:
+            yield from _found(_QueryBlock(queries, arms), batches, arms)
+
+    return looked.mapInArrow(run, FOUND)
+
+
+def _on_a_grid(asked: DataFrame, looked: DataFrame, arms: tuple[str, ...], size: int) -> DataFrame:
+    """A batch of any size: blocks of queries and blocks of chunks, each pair of which meets in a task of its own."""
+    n_queries = -(-size // QUERY_BYTES)
+    n_chunks = max(1, -(-looked.count() // CHUNK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")
+    rows = asked.withColumn("_q", dealt(n_queries)).withColumn("_c", every(n_chunks)).groupBy("_q", "_c")
+    cells = looked.withColumn("_c", dealt(n_chunks)).withColumn("_q", every(n_queries)).groupBy("_q", "_c")
+
+    def meet(queries: pa.Table, chunks: pa.Table) -> pa.Table:
+        found = _found(_QueryBlock(queries, arms), chunks.to_batches(), arms) if len(queries) and len(chunks) else ()
+        schema = pa.schema([("arm", pa.string()), ("query_id", pa.string()), ("chunk_id", pa.string()), ("score", pa.float64()), ("k", pa.int32())])
+        return pa.Table.from_batches(found, schema)
+
+    return rows.cogroup(cells).applyInArrow(meet, FOUND)
 
 
 def search(queries: DataFrame, chunks: DataFrame, k: int, arms: tuple[str, ...] = ("dense", "sparse")) -> DataFrame:
     """Exact inner-product top-k per arm for a batch of queries: arm, query_id, chunk_id, score, rank.
 
-    ``queries``: query_id, and per arm ``dense`` or ``terms`` and ``weights``; optional the filters ``only``,
-    ``document_types`` and ``regions``, each the values allowed before the cut (null: all). ``chunks``: chunk_id, the same
-    vectors, and what the filters look at: ``group`` and ``document_type`` (text), ``region_names`` (list of text).
+    ``queries``: query_id, and per arm ``dense`` or ``terms`` and ``weights``; optional ``k``, the query's own number of hits
+    (at most ``k``), and the filters ``only``, ``document_types`` and ``regions``, each the values allowed before the cut
+    (null: all). ``chunks``: chunk_id, the same vectors, and what the filters look at: ``group`` and ``document_type`` (text),
+    ``region_names`` (list of text).
 
-    Chunks stay where the scan puts them. The query batch is worked out once and cut into blocks of about ``QUERY_BYTES``,
-    each of which is sent to the tasks; a task scores its chunks in pieces and hands on k rows per query and arm, the only
-    rows that are shuffled. A batch of several blocks reads the chunks once for each.
+    The query batch is worked out once and measured. Up to ``QUERY_BYTES`` it goes to all tasks, and chunks stay where the
+    scan puts them. A larger one never leaves the executors: it is cut into blocks, as the chunks are, and a pair of
+    blocks is a group. Either way a task scores chunks in pieces and hands on k rows per query and arm.
     """
     none = lambda kind: F.lit(None).cast(kind)
     term_kind, weight_kind = (
         chunks.schema[c].dataType.simpleString() if "sparse" in arms else "array<int>" for c in ("terms", "weights")
     )
 
-    def shaped(df: DataFrame, key: str, filters: dict[str, tuple[str, str]]) -> DataFrame:
+    def shaped(df: DataFrame, key: str, filters: dict[str, tuple[str, str]], *more: Column) -> DataFrame:
         has = lambda name, kind, to: (F.col(name).cast(kind) if name in df.columns else none(kind)).alias(to)
         return df.select(
             F.col(key).cast("string").alias("id"),
@@ -197,24 +225,21 @@ def search(queries: DataFrame, chunks: DataFrame, k: int, arms: tuple[str, ...]
             (has("dense", "array<float>", "dense") if "dense" in arms else none("array<float>").alias("dense")),
             (has("terms", term_kind, "terms") if "sparse" in arms else none(term_kind).alias("terms")),
             (has("weights", weight_kind, "weights") if "sparse" in arms else none(weight_kind).alias("weights")),
+            *more,
         )
 
-    asked = cut_lineage(shaped(queries, "query_id", {to: (own, "array<string>") for to, (own, _, _) in FILTERS.items()}))
+    own_k = F.least(F.lit(k), F.greatest(F.coalesce("k", F.lit(k)), F.lit(1))) if "k" in queries.columns else F.lit(k)
+    asked = cut_lineage(
+        shaped(queries, "query_id", {to: (own, "array<string>") for to, (own, _, _) in FILTERS.items()}, own_k.cast("int").alias("k"))
+    )
     length = lambda c: F.coalesce(F.size(c), F.lit(0))
-    size = asked.agg(F.sum(200 + 4 * length("dense") + 16 * length("terms"))).first()[0] or 0
-    n_blocks = max(1, -(-size // QUERY_BYTES))
+    letters = lambda c: F.coalesce(F.length(F.array_join(c, "")), F.lit(0)) + 8 * length(c)
+    cost = 200 + 4 * length("dense") + 16 * length("terms") + sum((letters(c) for c in FILTERS), F.lit(0))
+    size = asked.agg(F.sum(cost)).first()[0] or 0
     looked = shaped(chunks, "chunk_id", {to: (name, kind) for to, (_, name, kind) in FILTERS.items()})
-    partial = None
-    for number in range(n_blocks):
-        block = asked.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == number).toArrow()
-        if block.nbytes > 8 * QUERY_BYTES:
-            raise ValueError("a block of queries is far above its bound")
-        if block.num_rows:
-            found = looked.mapInArrow(_search_partition(block, k, arms), "arm string, query_id string, chunk_id string, score double")
-            partial = found if partial is None else partial.union(found)
-    if partial is None:
-        partial = queries.sparkSession.createDataFrame([], "arm string, query_id string, chunk_id string, score double")
-    return top_k(partial, ["arm", "query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    partial = _in_place(asked, looked, arms) if size <= QUERY_BYTES else _on_a_grid(asked, looked, arms, size)
+    cut = top_k(partial, ["arm", "query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+    return cut.where(F.col("rank") <= F.col("k")).drop("k")
 
 
 def dense_top_k(queries: DataFrame, chunks: DataFrame, k: int) -> DataFrame:
@@ -244,10 +269,15 @@ def unit_score(score: Column) -> Column:
     return 0.5 + F.atan(score) / F.lit(float(np.pi))
 
 
-def weighted_hybrid(found: DataFrame, w_dense: float, w_sparse: float, k: int) -> DataFrame:
-    """Weighted sum of both arms (arm, query_id, chunk_id, score); a chunk missing from an arm gets nothing from it."""
-    weight = F.when(F.col("arm") == "dense", F.lit(w_dense)).otherwise(F.lit(w_sparse))
-    fused = found.groupBy("query_id", "chunk_id").agg(
-        F.round(F.sum(weight * unit_score(F.col("score"))), SCORE_DIGITS).alias("score")
-    )
-    return top_k(fused, ["query_id"], [F.desc("score"), F.asc("chunk_id")], k)
+def weighted_hybrid(found: DataFrame, w_dense: float | Column, w_sparse: float | Column, k: int | Column) -> DataFrame:
+    """Weighted sum of both arms (arm, query_id, chunk_id, score); a chunk missing from an arm gets nothing from it.
+
+    Weights and ``k`` are the same for all queries, or columns of ``found``.
+    """
+    weight = F.when(F.col("arm") == "dense", w_dense).otherwise(w_sparse)
+    score = F.round(F.sum(weight * unit_score(F.col("score"))), SCORE_DIGITS).alias("score")
+    order = [F.desc("score"), F.asc("chunk_id")]
+    if isinstance(k, int):
+        return top_k(found.groupBy("query_id", "chunk_id").agg(score), ["query_id"], order, k)
+    fused = found.groupBy("query_id", "chunk_id").agg(score, F.max(k).alias("_k"))
+    return ranked(fused, ["query_id"], order).where(F.col("rank") <= F.col("_k")).drop("_k")

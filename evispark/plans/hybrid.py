@@ -22,6 +22,7 @@ BALANCED = {
     "rrf_hyde_weight": 0.8,
     "rrf_top_k": 12,
 }
+ANN_LIMIT_MAX = 50
 HYDE_MAX_CHARS = 300
 FILTER_COLUMNS = ("only", "document_types", "regions")
 CHUNK_FILTER_COLUMNS = ("group", "document_type", "region_names")
@@ -35,7 +36,8 @@ def hypothetical_passage(text):
 
 
 def query_forms(queries: DataFrame) -> DataFrame:
-    """The plain form of every query, and the form extended by its hypothetical passage unless that is empty."""
+    """The plain form of every query, and the form extended by its hypothetical passage unless that is empty, or unless the
+    query's settings switch it off."""
     passage = hypothetical_passage(F.col("text"))
     plain = F.struct(F.lit("embedding").alias("source"), F.lit(0).alias("list_no"), F.col("text").alias("text"))
     extended = F.struct(
@@ -43,10 +45,11 @@ def query_forms(queries: DataFrame) -> DataFrame:
         F.lit(1).alias("list_no"),
         F.concat("text", F.lit(HYDE_LABEL), passage).alias("text"),
     )
-    forms = F.when(passage != "", F.array(plain, extended)).otherwise(F.array(plain))
-    filters = [c for c in FILTER_COLUMNS if c in queries.columns]
-    return queries.select(F.col("query_id").alias("base_id"), F.explode(forms).alias("f"), *filters).select(
-        F.concat_ws("#", "base_id", "f.source").alias("query_id"), "base_id", "f.source", "f.list_no", "f.text", *filters
+    more = (passage != "") & F.col("settings.hyde_enabled") if "settings" in queries.columns else passage != ""
+    forms = F.when(more, F.array(plain, extended)).otherwise(F.array(plain))
+    own = [c for c in (*FILTER_COLUMNS, "settings") if c in queries.columns]
+    return queries.select(F.col("query_id").alias("base_id"), F.explode(forms).alias("f"), *own).select(
+        F.concat_ws("#", "base_id", "f.source").alias("query_id"), "base_id", "f.source", "f.list_no", "f.text", *own
     )
 
 
@@ -54,21 +57,33 @@ def search_forms(forms: DataFrame, chunks: DataFrame, config: dict = BALANCED, e
     """Both vector arms for every query form: query_id, chunk_id, score, rank.
 
     ``chunks`` may bring stored vectors (dense, terms, weights); else its content is encoded here, one
-    narrow step of the scan. Filters that the queries bring restrict both arms before their cut.
+    narrow step of the scan. Filters that the queries bring restrict both arms before their cut. Queries with ``settings``
+    have their own number of hits and weights, and the result keeps that column.
     """
     stored = {"dense", "terms", "weights"} <= set(chunks.columns)
     own = [c for c in CHUNK_FILTER_COLUMNS if c in chunks.columns]
     vectors = chunks if stored else E.search_vectors(chunks.select("chunk_id", "content", *own), "chunk_id", "content", encode, own)
     filters = [c for c in FILTER_COLUMNS if c in forms.columns]
-    asked = E.search_vectors(forms.select("query_id", "text", *filters), "query_id", "text", encode, filters)
-    found = R.search(asked, vectors, config["ann_limit"])
-    return R.weighted_hybrid(found, config["dense_weight"], config["sparse_weight"], config["search_top_k"])
+    if "settings" not in forms.columns:
+        asked = E.search_vectors(forms.select("query_id", "text", *filters), "query_id", "text", encode, filters)
+        found = R.search(asked, vectors, config["ann_limit"])
+        return R.weighted_hybrid(found, config["dense_weight"], config["sparse_weight"], config["search_top_k"])
+    limit = F.col("settings.ann_limit").alias("k")
+    asked = E.search_vectors(forms.select("query_id", "text", *filters, limit), "query_id", "text", encode, [*filters, "k"])
+    settings = forms.select("query_id", "settings")
+    found = R.search(asked, vectors, ANN_LIMIT_MAX).join(settings, "query_id")
+    weights = (F.col(f"settings.{c}") for c in ("dense_weight", "sparse_weight", "search_top_k"))
+    return R.weighted_hybrid(found, *weights).join(settings, "query_id")
 
 
 def hybrid_retrieval(queries: DataFrame, chunks: DataFrame, config: dict = BALANCED) -> DataFrame:
-    """``queries``: query_id, text. ``chunks``: chunk_id, content. Result: fused ranking per query."""
+    """Fused ranking per query. ``queries``: query_id, text, and optional filters and ``settings``, a struct as
+    ``operators.config.resolve`` gives it, so that one batch serves queries of every mode; ``config`` holds for queries without.
+    ``chunks``: chunk_id, content."""
     forms = query_forms(queries)
     hits = search_forms(forms, chunks, config)
+    own = "settings" in queries.columns
+    setting = lambda name: F.col(f"settings.{name}") if own else F.lit(config[name])
     named = hits.withColumn("base_id", F.substring_index("query_id", "#", 1)).withColumn(
         "source", F.substring_index("query_id", "#", -1)
     )
@@ -80,6 +95,7 @@ def hybrid_retrieval(queries: DataFrame, chunks: DataFrame, config: dict = BALAN
         "chunk_id",
         "source",
         "score",
-        F.when(first, config["rrf_embedding_weight"]).otherwise(config["rrf_hyde_weight"]).alias("weight"),
+        F.when(first, setting("rrf_embedding_weight")).otherwise(setting("rrf_hyde_weight")).alias("weight"),
+        *(["settings"] if own else []),
     )
-    return reciprocal_rank_fusion(lists, F.lit(config["rrf_k"]), F.lit(config["rrf_top_k"]))
+    return reciprocal_rank_fusion(lists, setting("rrf_k"), setting("rrf_top_k"))

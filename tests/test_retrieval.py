@@ -113,3 +113,44 @@ def test_plan_has_no_pairs(spark, sf):
     assert "CartesianProduct" not in plan and "NestedLoopJoin" not in plan
     assert "WindowGroupLimit" in plan
     assert "ReadSchema: struct<doc_id:bigint,text:string,source:string>" in plan.replace("lang:string,", "")
+
+
+def test_a_batch_beyond_one_block_never_reaches_the_driver(spark, monkeypatch):
+    """Blocks of queries meet blocks of chunks in the tasks; each query has its own number of hits."""
+    monkeypatch.setattr(R, "QUERY_BYTES", 2_000)
+    monkeypatch.setattr(R, "CHUNK_ROWS", 70)
+    rng = np.random.default_rng(11)
+    queries = [(f"q{i:03d}", [float(x) for x in rng.normal(size=8).round(3)], int(rng.integers(1, 9)), ["g1", "g2"] if i % 3 == 0 else None) for i in range(200)]
+    chunks = [(f"c{i:03d}", [float(x) for x in rng.normal(size=8).round(3)], f"g{i % 4}") for i in range(300)]
+    q = spark.createDataFrame(queries, "query_id string, dense array<float>, k int, only array<string>").repartition(3)
+    c = spark.createDataFrame(chunks, "chunk_id string, dense array<float>, group string").repartition(3)
+    with monkeypatch.context() as m:
+        m.setattr(type(q), "toArrow", lambda self: pytest.fail("the queries were fetched"))
+        found = R.search(q, c, 8, ("dense",))
+        got = {(r.query_id, r.chunk_id, r.rank) for r in found.collect()}
+    want = set()
+    for a, v, k, only in queries:
+        want |= brute({a: v}, {i: (w, g) for i, w, g in chunks}, k, {a: only})
+    assert got == want
+    assert R.search(q, c.where("false"), 8, ("dense",)).count() == 0
+
+
+def test_queries_of_every_mode_in_one_batch(spark):
+    from evispark.operators import config as S
+    from evispark.plans import hybrid
+
+    texts = [f"alpha beta {w} gamma {w}{i}" for i, w in enumerate(["red", "green", "blue", "white"] * 20)]
+    chunks = spark.createDataFrame([(f"c{i:02d}", t) for i, t in enumerate(texts)], "chunk_id string, content string")
+    options = "struct<candidate_top_k:int,max_reference_count:int,matching_preference:string,hyde_enabled:boolean,hyde_influence:string,web_enabled:boolean>"
+    rows = [("a", "alpha red", "balanced", None), ("b", "alpha red", "precision", None), ("c", "alpha red", "recall", None), ("d", "alpha red", "custom", (25, 12, "keyword", False, "low", None)), ("e", "", "recall", None)]
+    asked = spark.createDataFrame(rows, f"query_id string, text string, mode string, options {options}")
+    out = hybrid.hybrid_retrieval(asked.withColumn("settings", S.resolve(F.col("mode"), F.col("options"))), chunks)
+    by = {}
+    for r in out.collect():
+        by.setdefault(r.query_id, []).append(r)
+    # Two lists of search_top_k hits, fused to at most rrf_top_k; the custom query has one list.
+    for q, least, most in (("a", 10, 12), ("b", 6, 8), ("c", 20, 24), ("d", 25, 25)):
+        assert least <= len(by[q]) <= most
+    assert {tuple(x) for r in by["d"] for x in [r.sources]} == {("embedding",)}
+    alone = hybrid.hybrid_retrieval(asked.where("query_id = 'a'").select("query_id", "text"), chunks)
+    assert {(r.chunk_id, r.rank, r.score) for r in by["a"]} == {(r.chunk_id, r.rank, r.score) for r in alone.collect()}
