@@ -21,6 +21,19 @@ def sliding_request_count(spark, sf):
     return E.sliding_counts(table(spark, sf, "events"), seconds=3600, limit=20)
 
 
+@query(
+    "request_admissions",
+    "T1",
+    """WITH RECURSIVE e AS (SELECT event_id, epoch_us(ts) AS us, row_number() OVER (ORDER BY epoch_us(ts), event_id) - 1 AS i FROM events),
+       a AS (SELECT i, event_id, us, us AS admitted_us FROM e WHERE i < 20
+             UNION ALL SELECT e.i, e.event_id, e.us, greatest(e.us, a.admitted_us + 21600000000) FROM a JOIN e ON e.i = a.i + 20)
+       SELECT event_id, us, admitted_us, admitted_us - us AS waited_us FROM a""",
+)
+def request_admissions(spark, sf):
+    """At most 20 events in six hours, so that many of them wait."""
+    return E.admissions(table(spark, sf, "events"), ["event_id"], seconds=21_600, limit=20)
+
+
 STEPS_SQL = """steps AS (SELECT user_id AS task_id, 'n' || (json_extract_string(props, '$.k')::INT % 6) AS node, event_id AS seq, ts,
    CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'start' WHEN 'purchase' THEN 'done' WHEN 'signup' THEN 'status' ELSE CASE WHEN value > 30 THEN 'clear' ELSE 'done' END END AS action,
    'processing-' || (json_extract_string(props, '$.k')::INT % 3) AS status FROM events)"""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evispark.operators.ranking import row_numbers
+
 # Fixed values.
 WINDOW_SECONDS = 60
 MAX_REQUESTS = 3000
@@ -37,6 +39,29 @@ def sliding_counts(requests: DataFrame, seconds: int = WINDOW_SECONDS, limit: in
     )
 
 
+def admissions(requests: DataFrame, key: list[str], seconds: int = WINDOW_SECONDS, limit: int = MAX_REQUESTS, ts: str = "ts", run: int = 100_000) -> DataFrame:
+    """When a limiter lets each request in: ``key`` columns, us, admitted_us and waited_us (long).
+
+    At most ``limit`` admissions lie within any ``seconds``; a request beyond them waits for the oldest to expire, in order of
+    arrival (then of ``key``). So request i comes in at the later of its arrival and ``seconds`` after request i - limit. Along
+    a chain of requests ``limit`` apart that is a running maximum of arrival - place * seconds. A chain is cut into runs of ``run``
+    requests: each run hands its maximum to the later ones, so a chain of any length is dealt over many tasks.
+    """
+    width = seconds * 1_000_000
+    arrived = requests.select(*key, micros(ts).alias("us"))
+    placed = row_numbers(arrived, ["us", *key], "_i")
+    chain = (F.col("_i") % limit).alias("_chain")
+    place = F.floor(F.col("_i") / limit)
+    rows = placed.select(*key, "us", chain, place.alias("_place"), F.floor(place / run).alias("_run"), (F.col("us") - place * width).alias("_early"))
+    tops = rows.groupBy("_chain", "_run").agg(F.max("_early").alias("_top"))
+    before = Window.partitionBy("_chain").orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tops.select("_chain", "_run", F.max("_top").over(before).alias("_carried"))
+    within = Window.partitionBy("_chain", "_run").orderBy("_place").rowsBetween(Window.unboundedPreceding, 0)
+    latest = F.greatest(F.max("_early").over(within), F.col("_carried"))
+    admitted = rows.join(carried, ["_chain", "_run"]).withColumn("admitted_us", latest + F.col("_place") * width)
+    return admitted.select(*key, "us", "admitted_us", (F.col("admitted_us") - F.col("us")).alias("waited_us"))
+
+
 def task_progress(events: DataFrame) -> DataFrame:
     """State per task after all events: nodes running and done, in order, and the last status.
 

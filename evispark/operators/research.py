@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from evispark.functions import text as T
 from evispark.operators.ranking import first_per_key, ranked, top_k
@@ -236,40 +240,49 @@ def report_sources(project_sources: DataFrame, section_sources: DataFrame) -> Da
     )
 
 
-def outline_nodes(outlines: DataFrame, key: str, outline_json: str) -> DataFrame:
-    """All nodes of nested outlines: id, parent, depth, position path, leaf flag.
+OUTLINE_NODE = t.StructType(
+    [
+        t.StructField("node_id", t.StringType()),
+        t.StructField("parent_id", t.StringType()),
+        t.StructField("depth", t.IntegerType()),
+        t.StructField("path", t.ArrayType(t.IntegerType())),
+        t.StructField("is_leaf", t.BooleanType()),
+    ]
+)
+
+
+def _nodes_of(outline: str | None) -> list[dict]:
+    """Every node of one outline, parents before their children; a text that is no list of nodes has none."""
+    try:
+        top = json.loads(outline or "", parse_int=str, parse_float=str)
+    except ValueError:
+        return []
+    out, waiting = [], [([], None, top if isinstance(top, list) else [])]
+    while waiting:
+        path, parent, level = waiting.pop()
+        for place, node in enumerate(level):
+            fields = node if isinstance(node, dict) else {}
+            given, inner = fields.get("node_id"), fields.get("children")
+            name = given if given is None or isinstance(given, str) else json.dumps(given)
+            inner = inner if isinstance(inner, list) else []
+            here = [*path, place]
+            out.append({"node_id": name, "parent_id": parent, "depth": len(here), "path": here, "is_leaf": not inner})
+            if inner:
+                waiting.append((here, name, inner))
+    return out
+
+
+@F.arrow_udf(t.ArrayType(OUTLINE_NODE))
+def _outline_tree(outlines: pa.Array) -> pa.Array:
+    node = pa.struct([("node_id", pa.string()), ("parent_id", pa.string()), ("depth", pa.int32()), ("path", pa.list_(pa.int32())), ("is_leaf", pa.bool_())])
+    return pa.array([_nodes_of(text) for text in outlines.to_pylist()], pa.list_(node))
 
-    Every level is one narrow step; the loop ends when a level has no nodes left.
-    """
-    shape = "array<struct<node_id:string,title:string,children:string>>"
-    nodes = lambda c: F.from_json(c, shape)
-    level = outlines.select(
-        key,
-        F.lit(None).cast("string").alias("parent_id"),
-        F.lit(1).alias("depth"),
-        F.posexplode(nodes(F.col(outline_json))).alias("pos", "n"),
-    ).select("*", F.array("pos").alias("path"))
-    out = None
-    while True:
-        inner = nodes(F.col("n.children"))
-        rows = level.select(
-            key,
-            F.col("n.node_id").alias("node_id"),
-            "parent_id",
-            "depth",
-            "path",
-            (F.coalesce(F.size(inner), F.lit(0)) <= 0).alias("is_leaf"),
-        )
-        out = rows if out is None else out.unionByName(rows)
-        level = level.select(
-            key,
-            F.col("n.node_id").alias("parent_id"),
-            (F.col("depth") + 1).alias("depth"),
-            "path",
-            F.posexplode(inner).alias("pos", "n"),
-        ).withColumn("path", F.concat("path", F.array("pos")))
-        if level.isEmpty():
-            return out
+
+def outline_nodes(outlines: DataFrame, key: str, outline_json: str) -> DataFrame:
+    """All nodes of nested outlines of any depth: id, parent, depth, position path, leaf flag. One narrow step of the scan."""
+    # An inner explosion would test the size of the tree first, and so walk it twice.
+    nodes = outlines.select(F.col(key), F.explode_outer(_outline_tree(F.col(outline_json))).alias("n"))
+    return nodes.where("n IS NOT NULL").select(key, "n.node_id", "n.parent_id", "n.depth", "n.path", "n.is_leaf")
 
 
 def required_sections(nodes: DataFrame, limit: int | None = MAX_REPORT_SECTIONS) -> DataFrame:

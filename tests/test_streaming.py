@@ -106,3 +106,41 @@ def test_sliding_counts_against_brute_force(spark):
     df = spark.createDataFrame([(u,) for u in us], "u long").select(F.timestamp_micros("u").alias("ts"))
     got = {r.us: (r.requests, r.in_window) for r in B.sliding_counts(df, 60, 3).collect()}
     assert got == {u: (us.count(u), sum(u - 60_000_000 < v <= u for v in us)) for u in us}
+
+
+@pytest.mark.parametrize("run", [3, 100_000])
+def test_admissions_against_a_plain_limiter(spark, run):
+    import random
+
+    rng = random.Random(6)
+    rows = sorted((rng.randrange(0, 400_000_000), i) for i in range(400)) + [(390_000_000, 1000 + i) for i in range(150)]
+    rows.sort()
+    df = spark.createDataFrame([(i, u) for u, i in rows], "id int, u long").select("id", F.timestamp_micros("u").alias("ts")).repartition(3)
+    admitted, want = [], {}
+    for k, (u, i) in enumerate(rows):
+        now = max(u, admitted[k - 7] + 10_000_000) if k >= 7 else u
+        admitted.append(now)
+        want[i] = (u, now, now - u)
+    got = {r.id: (r.us, r.admitted_us, r.waited_us) for r in B.admissions(df, ["id"], 10, 7, run=run).collect()}
+    assert got == want
+    assert all(sum(v - 10_000_000 < x <= v for x in admitted) <= 7 for v in admitted)
+    assert B.admissions(df.where("false"), ["id"], 10, 7).collect() == []
+
+
+def test_outlines_of_any_depth_in_one_scan(spark):
+    import json
+
+    from evispark.operators import research as R
+
+    deep = {"node_id": "0", "children": []}
+    for i in range(1, 60):
+        deep = {"node_id": str(i), "children": [deep, {"node_id": f"{i}b"}]}
+    rows = [("a", json.dumps([deep])), ("b", "[]"), ("c", None), ("d", "no json"), ("e", '[{"node_id": 7, "children": null}, null]'), ("f", '{"node_id": "x"}')]
+    nodes = R.outline_nodes(spark.createDataFrame(rows, "k string, o string"), "k", "o")
+    got = nodes.collect()
+    assert sum(r.k == "a" for r in got) == 119 and max(r.depth for r in got) == 60
+    assert {(r.node_id, r.parent_id, r.is_leaf) for r in got if r.k == "a" and r.depth == 60} == {("0", "1", True), ("1b", "1", True)}
+    assert sorted((str(r.node_id), r.path) for r in got if r.k == "e") == [("7", [0]), ("None", [1])]
+    assert {r.k for r in got} == {"a", "e"}
+    plan = nodes._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
