@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from pyspark.sql import types as t
 from evispark import schemas
 from evispark.functions import arrays as A
 from evispark.functions import text as T
+from evispark.operators import ledger
 from evispark.operators.metadata import DOCUMENT_TYPES, ID_PATTERN
 from evispark.session import cut_lineage
 
@@ -146,11 +148,8 @@ def check_target(spark: SparkSession, path: str, n_buckets: int) -> DataFrame |
     stored = _stored_buckets(spark, path)
     if stored is not None and stored != n_buckets:
         raise ValueError(f"the table has {stored} buckets, not {n_buckets}")
-    try:
-        target = spark.read.parquet(path)
-    except AnalysisException as exc:
-        if exc.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            raise
+    target = ledger.if_there(lambda: spark.read.parquet(path))
+    if target is None:
         return None
     found = schema_problems(target.schema)
     if found:
@@ -158,33 +157,31 @@ def check_target(spark: SparkSession, path: str, n_buckets: int) -> DataFrame |
     return target
 
 
-def write_replacing(spark: SparkSession, incoming: DataFrame, path: str, n_buckets: int = 64) -> None:
+OUTCOME = "document_id string, path string, accepted boolean, reasons array<string>"
+
+
+def write_replacing(
+    spark: SparkSession, incoming: DataFrame, path: str, n_buckets: int = 64, batch_id: str = "", outcome: DataFrame | None = None
+) -> None:
     """Replace the documents of ``incoming`` in the table, rewriting only the buckets that they fall into.
 
     The table is partitioned by a hash bucket of the document id; the touched bucket numbers, no more than ``n_buckets``,
-    prune its scan. Dynamic partition overwrite swaps whole buckets at commit, so a repeated import gives the same table; a
-    job that fails before the commit changes nothing, one that fails within it is repeated. A bucket may be written by many
+    prune its scan. The new buckets are staged and entered in the ledger before they are swapped in, so a job that fails
+    before its entry changes nothing, and one that fails later is completed by the next. A bucket may be written by many
     tasks. ``n_buckets`` is kept beside the table and must not change: choose it so that a bucket stays near a gigabyte.
     """
     target = check_target(spark, path, n_buckets)
     if _stored_buckets(spark, path) is None:
         spark.range(1).select(F.lit(n_buckets).alias("n_buckets")).coalesce(1).write.mode("overwrite").json(f"{path}/_layout")
+    ledger.publish(spark, path)
     batch = cut_lineage(with_bucket(incoming, n_buckets))
     touched = [r.bucket for r in batch.select("bucket").distinct().collect()]
-    if not touched:
-        return
     merged = batch
-    if target is not None:
-        # The buckets are read and overwritten in one job, so the new rows are made durable first.
-        merged = cut_lineage(replaced(in_buckets(target, touched), batch))
-    (
-        merged.hint("rebalance", "bucket")
-        .sortWithinPartitions("bucket", "document_id", "chunk_index")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("bucket")
-        .parquet(path)
-    )
+    if target is not None and touched:
+        merged = replaced(in_buckets(spark.read.parquet(path), touched), batch)
+    if outcome is None:
+        outcome = spark.createDataFrame([], OUTCOME)
+    ledger.commit(spark, path, batch_id or uuid.uuid4().hex, merged, touched, outcome)
 
 
 def in_buckets(target: DataFrame, buckets: list[int]) -> DataFrame:

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evispark.functions import text as T
-from evispark.operators import chunk_table, metadata, models, rules
+from evispark.operators import chunk_table, ledger, metadata, models, rules
 from evispark.operators import chunks as C
 from evispark.operators.chunking import chunk_documents
 from evispark.operators.embedding import HASH_DIM, with_vectors
+from evispark.operators.ledger import if_there, rejects_path  # noqa: F401
 from evispark.session import cut_lineage, once
 from evispark.sources.documents import load_markdown, route_by_suffix
 
@@ -63,20 +64,40 @@ def chunk_records(docs: DataFrame, describe=models.default_metadata, encode=None
     return records, outcome.where("NOT accepted")
 
 
-def rejects_path(table_path: str) -> str:
-    return f"{table_path.rstrip('/')}_rejects"
+def table_for(spark: SparkSession, table_path: str) -> str:
+    """The given table, or its next version where the given one does not fit the contract; raises where neither does."""
+
+    def schema_of(path: str):
+        found = if_there(lambda: spark.read.parquet(path))
+        return None if found is None else found.schema
+
+    return chunk_table.resolve_table(table_path, schema_of)
+
+
+def batch_digest(docs: DataFrame) -> str:
+    """The same for the same documents, in any order."""
+    body = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("path", "file_title", "md_content")]
+    found = docs.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*body).cast("decimal(38,0)")).alias("h")).first()
+    return f"{found.n}-{found.h}"
 
 
 def import_batch(spark: SparkSession, docs: DataFrame, table_path: str, n_buckets: int = 64) -> DataFrame:
     """Import a batch and return its outcome. Refused documents keep the version that the table holds, and are added with
-    their reasons to a table beside it. A table that differs from the contract stops the import before anything is written.
+    their reasons to a table beside it (``rejects_path``).
+
+    The batch is entered in the table's ledger, so that it comes in whole or not at all. The batch imported last, given again
+    after a failure or by a stream that repeats it, is only completed: table and rejects then hold it once. A table of
+    other columns is left alone and the next version of its name is used; another bucket count stops the import.
     """
+    table_path = table_for(spark, table_path)
     chunk_table.check_target(spark, table_path, n_buckets)
+    ledger.publish(spark, table_path)
+    digest, last = batch_digest(docs), ledger.last_entry(spark, table_path)
+    if last and last.batch == digest:
+        return cut_lineage(ledger.outcome_of(spark, table_path, last))
     records, outcome = judged_records(docs)
     outcome = cut_lineage(outcome)
-    refused = outcome.where("NOT accepted").select("document_id", "path", "reasons", F.current_timestamp().alias("refused_at"))
-    refused.write.mode("append").parquet(rejects_path(table_path))
-    chunk_table.write_replacing(spark, records, table_path, n_buckets)
+    chunk_table.write_replacing(spark, records, table_path, n_buckets, digest, outcome)
     return outcome
 
 
