@@ -150,6 +150,23 @@ def document_ids(spark, sf):
     return table(spark, sf, "documents").select("doc_id", C.document_id(explicit, path, title).alias("document_id"))
 
 
+_FOLD_SQL = "replace(replace(replace(lower(replace(replace({}, 'İ', 'i̇'), 'Σ', 'ς')), 'ß', 'ss'), 'ς', 'σ'), 'ﬁ', 'fi')"
+
+
+@query(
+    "folded_document_ids",
+    "P5,X20",
+    f"""WITH t AS (SELECT doc_id, source, {collapse("['STRASSE ', 'Straße ', 'ΣΟΦΟΣ ', 'İZ ', 'oﬁce '][doc_id % 5 + 1] || left(text, 40)")} AS title FROM documents)
+        SELECT doc_id, CASE WHEN source = 'src1' THEN sha256({_FOLD_SQL.format("title")}) ELSE sha256('filename:' || {_FOLD_SQL.format("replace(title, '/', ' ') || '.MD'")}) END AS document_id FROM t""",
+)
+def folded_document_ids(spark, sf):
+    """Ids from titles and file names whose letters fold to several or to other ones than their lower case."""
+    begin = F.get(F.array(*(F.lit(x) for x in ("STRASSE ", "Straße ", "ΣΟΦΟΣ ", "İZ ", "oﬁce "))), (F.col("doc_id") % 5).cast("int"))
+    title = T.collapse(F.concat(begin, F.left("text", F.lit(40))))
+    path = F.when(F.col("source") != "src1", F.concat(F.lit("/in/"), F.replace(title, F.lit("/"), F.lit(" ")), F.lit(".MD")))
+    return table(spark, sf, "documents").select("doc_id", C.document_id(F.lit(None).cast("string"), path, title).alias("document_id"))
+
+
 @query(
     "metadata_context",
     "P6",

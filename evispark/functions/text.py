@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -55,6 +57,24 @@ def token_estimate(c: Column) -> Column:
     return F.size(F.regexp_extract_all(c, F.lit(TOKEN_PATTERN), F.lit(0)))
 
 
+@cache
+def _folds() -> dict[str, str]:
+    """Lower-case characters that case folding still changes, by the Unicode data of the interpreter."""
+    every = (chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    return {c: c.casefold() for c in every if c.casefold() != c and c.lower() == c}
+
+
+def case_folded(c: Column) -> Column:
+    """Full case folding: lower case, then what has no case pair of its own (ß, final sigma, ligatures and the like)."""
+    low = F.lower(c)
+    one = {a: b for a, b in _folds().items() if len(b) == 1}
+    more = {a: b for a, b in _folds().items() if len(b) > 1}
+    single = F.translate(low, "".join(one), "".join(one.values()))
+    table = F.create_map(*(F.lit(x) for pair in more.items() for x in pair))
+    spelled = F.array_join(F.transform(F.split(single, ""), lambda x: F.coalesce(F.element_at(table, x), x)), "")
+    return F.when(F.rlike(single, F.lit(f"[{''.join(more)}]")), spelled).otherwise(single)
+
+
 def words(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_PATTERN), F.lit(0))
 

@@ -15,7 +15,7 @@ CHUNK_MIN = 300
 
 
 def document_id_from_name(file_name: Column) -> Column:
-    return T.sha256_hex(F.concat(F.lit("filename:"), F.lower(file_name)))
+    return T.sha256_hex(F.concat(F.lit("filename:"), T.case_folded(file_name)))
 
 
 def document_id(explicit: Column, path: Column, title: Column) -> Column:
@@ -25,7 +25,7 @@ def document_id(explicit: Column, path: Column, title: Column) -> Column:
     return (
         F.when(given != "", given)
         .when(F.coalesce(path, F.lit("")) != "", document_id_from_name(base_name))
-        .otherwise(T.sha256_hex(F.lower(T.collapse(title))))
+        .otherwise(T.sha256_hex(T.case_folded(T.collapse(title))))
     )
 
 

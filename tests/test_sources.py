@@ -209,3 +209,28 @@ def test_side_outputs(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "m")).first().file_name == "t_new.md"
     assert spark.read.json(str(tmp_path / "c")).count() == 1
     assert df.select(F.lit(1)).count() == 1
+
+
+def test_case_folding_equals_the_interpreter(spark):
+    from evispark.functions import text as T
+
+    words = ["Straße", "ẞ", "ΣΟΦΟΣ", "σοφος", "İstanbul", "oﬁce", "ﬃ", "ŉ", "ᾳ", "Ꭰꭰ", "ſ", "µ", "Ǆ", "plain", ""]
+    words += [chr(i) for i in range(0x20, 0x2500)] + [chr(i) for i in range(0xAB70, 0xABC0)] + [chr(i) for i in range(0xFB00, 0xFB18)]
+    df = spark.createDataFrame([(w,) for w in words], "w string")
+    wrong = [r.w for r in df.select("w", T.case_folded(F.col("w")).alias("f")).collect() if r.f != r.w.casefold()]
+    # Letters that this Java's Unicode version knows and this Python's does not, or the other way round.
+    assert len(wrong) <= 2, wrong
+
+
+def test_named_references_and_nested_silence(spark):
+    nested = "<nav>" * 20_000 + "hidden" + "</nav>" * 20_000
+    pages = {
+        1: "<title>Caf&eacute; &amp;amp; &lt;b&gt;</title><p>&Eacute;t&eacute &notit; &notin; &#x41;&#66 &amp;lt; &unknown; a&nbsp;b</p>",
+        2: f"<p>seen</p>{nested}<p>again</p></nav></nav><nav>out",
+        3: "</nav><footer>x</footer><p>AT&T &copy 2020 &#0; &#55296;</p><meta name=date content='2020&#45;01-02'>",
+    }
+    df = spark.createDataFrame([(i, "u", h) for i, h in pages.items()], "page_id long, url string, html string")
+    got = {r.page_id: r for r in html_pages.read_pages(df).collect()}
+    assert got[1].title == "Café &amp; <b>" and got[1].content == "Été ¬it; ∉ AB &lt; &unknown; a b"
+    assert got[2].content == "seen again"
+    assert got[3].content == "AT&T © 2020 � �" and got[3].published_at == "2020-01-02"
