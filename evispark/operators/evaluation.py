@@ -98,15 +98,20 @@ def layer_metrics(
 PERCENTILES = {"median": 0.5, "p10": 0.1}
 
 
-def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[str, float]) -> DataFrame:
+def counted_values(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, _v and _n: the distinct values of each group, null among them, and how often they occur."""
+    return df.groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+
+
+def exact_percentiles(counted: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
     """keys and a column for each of ``points``, interpolated between the two ranks around it; nulls do not count.
 
-    Values are counted, ranges of (keys, value) are numbered apart and then placed by the sums of the ranges before them, so
-    no task holds a group.
+    ``counted`` is what ``counted_values`` gives. Ranges of (keys, value) are numbered apart and then placed by the sums of
+    the ranges before them, so no task holds a group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    known = counted.where("_v IS NOT NULL")
     placed = cut_lineage(
-        counted.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_range", F.spark_partition_id())
+        known.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_range", F.spark_partition_id())
     )
     sums = placed.groupBy(*keys, "_range").agg(F.sum("_n").alias("_in"))
     group = Window.partitionBy(*keys)
@@ -129,9 +134,15 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, points: dict[s
 
 
 def statistics(df: DataFrame, keys: list[str], value: str = "value", digits: int = 9) -> DataFrame:
-    """Count, mean, median and interpolated tenth percentile of the non-null values of each group."""
-    plain = df.groupBy(*keys).agg(F.count(value).alias("valid_count"), F.round(F.avg(value), digits).alias("mean"))
-    order = exact_percentiles(df, keys, value, PERCENTILES)
+    """Count, mean, median and interpolated tenth percentile of the non-null values of each group.
+
+    The rows are worked out once and counted by value; everything else follows from the counts.
+    """
+    counted = cut_lineage(counted_values(df, keys, value))
+    valid = F.sum(F.when(F.col("_v").isNotNull(), F.col("_n")).otherwise(0))
+    mean = F.sum(F.col("_v") * F.col("_n")) / valid
+    plain = counted.groupBy(*keys).agg(valid.alias("valid_count"), F.round(F.when(valid > 0, mean), digits).alias("mean"))
+    order = exact_percentiles(counted, keys, PERCENTILES)
     return plain.join(order, keys, "left").select(*keys, "valid_count", "mean", *(F.round(n, digits).alias(n) for n in PERCENTILES))
 
 

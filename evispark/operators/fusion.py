@@ -21,15 +21,13 @@ def reciprocal_rank_fusion(candidates: DataFrame, k: Column, limit: Column, payl
     fused = rows.groupBy("query_id", "chunk_id").agg(
         F.sum(F.col("weight") / (k + F.col("rank"))).alias("raw"),
         F.min(first_seen).alias("_first"),
-        F.array_distinct(
-            F.transform(F.array_sort(F.collect_list(F.struct("list_no", "rank", "source"))), lambda s: s["source"])
-        ).alias("sources"),
         F.array_sort(
             F.collect_list(F.struct("list_no", "rank", "source", F.coalesce("score", F.lit(0.0)).alias("score")))
         ).alias("_seen"),
         F.max("_limit").alias("_limit"),
         *[F.min_by(c, first_seen).alias(c) for c in payload or []],
     )
+    fused = fused.withColumn("sources", F.array_distinct(F.transform("_seen", lambda s: s["source"])))
     # The last score seen of a source stands.
     per_source = F.map_from_entries(
         F.transform(
