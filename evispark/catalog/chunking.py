@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evispark.catalog import ingest as I
+from evispark.catalog import retrieval as Q
 from evispark.catalog import views as V
 from evispark.catalog.registry import query
 from evispark.catalog.sqltext import SPACE, strip
@@ -272,3 +273,24 @@ def import_records(spark, sf):
     )
     records, _ = chunk_records(docs)
     return records.select("chunk_id", "document_id", "chunk_index", "context_type", "token_count", F.size("sparse_vector").alias("n_sparse"))
+
+
+STORED_SQL = ", ".join(
+    [
+        IMPORT_RECORDS_SQL.split(",\nslots AS")[0] + ",\nchunks AS (SELECT sha256(document_id || '|' || n) AS chunk_id, e AS content FROM full_text)",
+        Q.POSTINGS_SQL, Q.FORMS_SQL, Q.QTOKS_SQL, Q.SLOTS_SQL, Q.DENSE_SQL, Q.HYBRID_SQL, Q.RRF_SQL,
+    ]
+)
+
+
+@query("stored_table_retrieval", "V5,V6,V7,V8,F1,S4", STORED_SQL + " SELECT query_id, chunk_id, rank, score, sources FROM rrf")
+def stored_table_retrieval(spark, sf):
+    """Search over imported records: their stored vectors, made from title, section, metadata and content, not from content alone."""
+    from evispark.plans.hybrid import hybrid_retrieval, stored_chunks
+    from evispark.plans.ingest import chunk_records
+
+    docs = I.markdown_documents(spark, sf).select(F.concat(F.lit("/in/"), "file_title", F.lit(".md")).alias("path"), "file_title", "md_content")
+    records, _ = chunk_records(docs)
+    chunks = stored_chunks(records).drop("document_type", "region_names")
+    fused = hybrid_retrieval(Q.benchmark_queries(spark, sf), chunks)
+    return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))

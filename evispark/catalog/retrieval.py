@@ -6,11 +6,13 @@ from pyspark.sql import functions as F
 
 from evispark.catalog import views as V
 from evispark.catalog.registry import query
+from evispark.catalog.sqltext import SPACE, strip
 from evispark.operators import config as S
 from evispark.operators import embedding as E
 from evispark.operators import fusion
 from evispark.operators import retrieval as R
-from evispark.plans import hybrid
+from evispark.operators.ranking import ranked
+from evispark.plans import answering, hybrid
 from evispark.session import table
 
 POSTINGS_SQL = r"""toks AS (
@@ -163,9 +165,7 @@ hybrid AS (
 )
 
 
-@query("hybrid_retrieval_by_mode", "P16,V5,V6,V7,V8,F1", BY_MODE_SQL + " SELECT query_id, chunk_id, rank, score, sources FROM rrf")
-def hybrid_retrieval_by_mode(spark, sf):
-    """Balanced, precision, recall and custom queries in one batch; some custom ones without the second form."""
+def queries_of_every_mode(spark, sf):
     item = F.col("query_id").cast("int")
     of = lambda values, at: F.get(F.array(*(F.lit(v) for v in values)), at)
     options = F.struct(
@@ -174,11 +174,70 @@ def hybrid_retrieval_by_mode(spark, sf):
         of(("low", "medium", "high"), F.floor(item / 4).cast("int") % 3).alias("hyde_influence"), F.lit(True).alias("web_enabled"),
     )
     mode = of(("balanced", "precision", "recall", "custom"), item % 4)
-    asked = benchmark_queries(spark, sf).withColumn("settings", S.resolve(mode, options))
-    fused = hybrid.hybrid_retrieval(asked, V.document_chunks(spark, sf).repartition("chunk_id"))
+    return benchmark_queries(spark, sf).withColumn("settings", S.resolve(mode, options))
+
+
+@query("hybrid_retrieval_by_mode", "P16,V5,V6,V7,V8,F1", BY_MODE_SQL + " SELECT query_id, chunk_id, rank, score, sources FROM rrf")
+def hybrid_retrieval_by_mode(spark, sf):
+    """Balanced, precision, recall and custom queries in one batch; some custom ones without the second form."""
+    fused = hybrid.hybrid_retrieval(queries_of_every_mode(spark, sf), V.document_chunks(spark, sf).repartition("chunk_id"))
     return fused.select("query_id", "chunk_id", "rank", "score", F.array_join("sources", "+").alias("sources"))
 
 
+_TOKENS = rf"[\x{{4e00}}-\x{{9fff}}]|[A-Za-z0-9]+|[^{SPACE}]"
+ANSWERS_SQL = BY_MODE_SQL + rf""", chosen AS (
+  SELECT item_id::VARCHAR AS query_id, text AS question, [2, 1, 6, least(2, r)][m + 1] AS min_k, [6, 3, 12, r][m + 1] AS max_k, [0.2, 0.1, 0.35, 0.2][m + 1]::DOUBLE AS gap,
+    CASE WHEN m = 2 THEN 3 ELSE 2 END AS per_doc, [20000, 12000, 30000, least(greatest(r * 2500, 5000), 30000)][m + 1] AS budget, m <> 1 AS web_on, [5, 3, 8, 5][m + 1] AS web_k
+  FROM (SELECT item_id, text, item_id % 4 AS m, 1 + item_id % 12 AS r FROM benchmark)),
+hits AS (
+  SELECT query_id, 0 AS side, rank, chunk_id AS candidate_id, document_id, 'milvus' AS source, file_title, lang AS section_title, file_title || ' / ' || lang AS display_title,
+    {strip("content")} AS content, document_type, region, '' AS url FROM rrf JOIN chunks USING (chunk_id)
+  UNION ALL
+  SELECT query_id, 1, rank, 'web:' || sha256(url), NULL, 'web', NULL, NULL, url, left(html, 300), NULL, NULL, url
+  FROM (SELECT (page_id % 40)::VARCHAR AS query_id, url, html, row_number() OVER (PARTITION BY page_id % 40 ORDER BY page_id)::INT AS rank FROM pages) JOIN chosen USING (query_id)
+  WHERE web_on AND rank <= web_k),
+firsts AS (SELECT * FROM hits WHERE source = 'web' OR content <> '' QUALIFY row_number() OVER (PARTITION BY query_id, candidate_id ORDER BY side, rank) = 1),
+ups AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY side, rank) AS up FROM firsts),
+raw AS (SELECT *, concat_ws(E'\n', nullif({strip("display_title")}, ''), nullif({strip("content")}, '')) AS t FROM ups JOIN chosen USING (query_id)),
+fit AS (SELECT *, regexp_extract_all(t, '{_TOKENS}') AS tk, greatest(1, 512 - len(regexp_extract_all(question, '{_TOKENS}')) - 4) AS room FROM raw),
+wrd AS (
+  SELECT *, list_distinct(regexp_extract_all(lower(question), '[\p{{L}}\p{{N}}]+')) AS a,
+    list_distinct(regexp_extract_all(lower(CASE WHEN len(tk) <= room THEN t ELSE array_to_string(tk[1:room], ' ') END), '[\p{{L}}\p{{N}}]+')) AS b FROM fit),
+rated AS (SELECT *, CASE WHEN len(list_distinct(a || b)) = 0 THEN 0 ELSE round(len(list_intersect(a, b))::DOUBLE / len(list_distinct(a || b)), 9) END AS sc FROM wrd),
+placed AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY sc DESC, up) AS pos FROM rated),
+gaps AS (SELECT *, sc - lead(sc) OVER (PARTITION BY query_id ORDER BY pos) AS d, least(max_k, count(*) OVER (PARTITION BY query_id)) AS longest FROM placed),
+cuts AS (
+  SELECT *, coalesce(min(CASE WHEN pos >= min_k AND pos <= longest - 1 AND (d >= gap OR (sc > 0 AND d / sc >= gap)) THEN pos END) OVER (PARTITION BY query_id), longest) AS top_k FROM gaps),
+spread AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY query_id, coalesce(nullif(document_id, ''), candidate_id) ORDER BY pos) <= per_doc),
+final AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS final_rank FROM spread) WHERE final_rank <= top_k),
+sections AS (
+  SELECT *, {strip("""('来源标识：' || label || E'\n标题：' || display_title || E'\n来源：' || CASE WHEN source = 'web' THEN '网络搜索' ELSE '本地知识库' END || E'\n'
+    || CASE WHEN source = 'web' THEN 'URL：' || url ELSE '文档类型：' || document_type || '；地域：' || region || '；内容类型：text' END || E'\n内容：' || content)""")} AS section
+  FROM (SELECT *, CASE WHEN source = 'web' THEN '[网络搜索/' || url || ']' ELSE '[本地知识库/' || file_title || '/' || section_title || ']' END AS label FROM final)),
+used AS (SELECT *, sum(len(section)) OVER (PARTITION BY query_id ORDER BY final_rank) AS u FROM sections),
+told AS (
+  SELECT query_id, string_agg(CASE WHEN u > budget THEN left(section, budget) ELSE section END, E'\n\n' ORDER BY final_rank) AS context, count(*)::INT AS n_sections,
+    string_agg(label, '' ORDER BY final_rank) AS labels, string_agg(candidate_id, '+' ORDER BY final_rank) AS candidate_ids
+  FROM used WHERE u <= budget OR final_rank = 1 GROUP BY query_id)
+SELECT query_id, coalesce(context, '') AS context, coalesce(n_sections, 0) AS n_sections, coalesce(labels, '') AS labels, coalesce(candidate_ids, '') AS candidate_ids
+FROM chosen LEFT JOIN told USING (query_id)"""
+
+
+@query("answer_contexts", "P16,V5,V6,V7,V8,F1,F2,F3,F4,F5,F6,F8,F9", ANSWERS_SQL)
+def answer_contexts(spark, sf):
+    """The whole chain for queries of every mode, with pages as web hits."""
+    chunks = V.document_chunks(spark, sf).repartition("chunk_id").select(
+        "chunk_id", "document_id", "chunk_index", "file_title", F.col("lang").alias("section_title"), "content", F.lit("text").alias("context_type"),
+        F.array("region").alias("region_names"), "document_type", F.array("source").alias("topics"), F.array("lang").alias("keywords"), F.lit(0).alias("token_count"),
+    )
+    pages = table(spark, sf, "pages").select((F.col("page_id") % 40).cast("string").alias("query_id"), "page_id", "url", F.left("html", F.lit(300)).alias("content"))
+    web = ranked(pages, ["query_id"], [F.asc("page_id")]).withColumn("display_title", F.col("url"))
+    queries = queries_of_every_mode(spark, sf)
+    told = answering.answer_contexts(queries, answering.answer_evidence(queries, chunks, web))
+    return told.withColumns({"labels": F.array_join("labels", ""), "candidate_ids": F.array_join("candidate_ids", "+")})
+
+
 @query(
     "sparse_retrieval",
     "V6,J10",

@@ -76,6 +76,12 @@ def search_forms(forms: DataFrame, chunks: DataFrame, config: dict = BALANCED, e
     return R.weighted_hybrid(found, *weights).join(settings, "query_id")
 
 
+def stored_chunks(table: DataFrame) -> DataFrame:
+    """Rows of the chunk table with their stored vectors as a search takes them; nothing is encoded again."""
+    sparse = F.col("sparse_vector")
+    return table.withColumns({"dense": F.col("dense_vector"), "terms": F.map_keys(sparse), "weights": F.map_values(sparse)}).drop("dense_vector", "sparse_vector")
+
+
 def hybrid_retrieval(queries: DataFrame, chunks: DataFrame, config: dict = BALANCED) -> DataFrame:
     """Fused ranking per query. ``queries``: query_id, text, and optional filters and ``settings``, a struct as
     ``operators.config.resolve`` gives it, so that one batch serves queries of every mode; ``config`` holds for queries without.
