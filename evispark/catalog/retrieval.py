@@ -246,12 +246,15 @@ def answer_contexts(spark, sf):
     + " SELECT query_id, chunk_id, rank, score FROM sparse",
 )
 def sparse_retrieval(spark, sf):
+    """Two narrow passes over the chunks: one counts the terms of the queries, one searches."""
     chunks = V.document_chunks(spark, sf)
     forms = hybrid.query_forms(benchmark_queries(spark, sf))
-    postings = E.sparse_postings(chunks, "chunk_id", "content")
+    vectors = E.term_vectors(chunks.select("chunk_id", "content").repartition("chunk_id"), "chunk_id", "content")
     n_chunks = chunks.select(F.count("*").alias("n")).scalar()
-    weights = E.query_postings(forms, "query_id", "text", postings, n_chunks)
-    return R.sparse_top_k(weights, postings, 20)
+    # Outer, as the inner form adds a size test that would weigh every text twice.
+    terms = vectors.select(F.explode_outer("terms").alias("term"))
+    weights = E.query_postings(forms, "query_id", "text", terms, n_chunks)
+    return R.search(R.gathered(weights, "query_id"), vectors, 20, ("sparse",)).drop("arm")
 
 
 CENTRES_SQL = """centres AS (

@@ -15,6 +15,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as t
 
 from evispark.functions import text as T
 
@@ -53,8 +54,32 @@ def sparse_postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return l2_normalised(log_weights(term_counts(df, key, text)), key).select(key, "term", "weight")
 
 
+@F.arrow_udf(t.StructType([t.StructField("terms", t.ArrayType(t.StringType())), t.StructField("weights", t.ArrayType(t.DoubleType()))]))
+def _term_weights(texts: pa.Array) -> pa.Array:
+    word = regex.compile(WORD_PATTERN)
+    found = [word.findall((text or "").lower()) for text in texts.to_pylist()]
+    flat = pa.array([term for terms in found for term in terms], pa.string()).dictionary_encode()
+    n_terms = max(1, len(flat.dictionary))
+    row = np.repeat(np.arange(len(found)), [len(terms) for terms in found])
+    cell, count = np.unique(row * n_terms + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    row, term = cell // n_terms, cell % n_terms
+    weight = 1.0 + np.log(count)
+    weight /= np.sqrt(np.bincount(row, weight * weight, len(found)))[row]
+    bounds = pa.array(np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32))
+    terms = pa.ListArray.from_arrays(bounds, flat.dictionary.take(pa.array(term)))
+    return pa.StructArray.from_arrays([terms, pa.ListArray.from_arrays(bounds, pa.array(weight))], names=["terms", "weights"])
+
+
+def term_vectors(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, terms, weights): the postings of each text as one row, in one narrow step."""
+    return df.select(key, _term_weights(F.col(text)).alias("_v")).select(key, "_v.terms", "_v.weights")
+
+
 def query_postings(queries: DataFrame, key: str, text: str, corpus_postings: DataFrame, n_docs: Column) -> DataFrame:
-    """Query weights carry the inverse document frequency; only terms that occur in a query are counted."""
+    """Query weights carry the inverse document frequency; only terms that occur in a query are counted.
+
+    ``corpus_postings`` needs a row per text and term.
+    """
     counts = log_weights(term_counts(queries, key, text))
     terms = counts.select("term").distinct()
     df_counts = corpus_postings.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))

@@ -154,3 +154,12 @@ def test_queries_of_every_mode_in_one_batch(spark):
     assert {tuple(x) for r in by["d"] for x in [r.sources]} == {("embedding",)}
     alone = hybrid.hybrid_retrieval(asked.where("query_id = 'a'").select("query_id", "text"), chunks)
     assert {(r.chunk_id, r.rank, r.score) for r in by["a"]} == {(r.chunk_id, r.rank, r.score) for r in alone.collect()}
+
+
+def test_term_vectors_equal_postings(spark):
+    texts = [("a", "Zwei zwei Wörter, und noch ein Wort 12"), ("b", ""), ("c", None), ("d", "x x x y"), ("e", "...")]
+    df = spark.createDataFrame(texts, "k string, text string").coalesce(1)
+    want = {(r.k, r.term, round(r.weight, 12)) for r in E.sparse_postings(df, "k", "text").collect()}
+    rows = E.term_vectors(df, "k", "text").collect()
+    assert {(r.k, t, round(w, 12)) for r in rows for t, w in zip(r.terms, r.weights)} == want
+    assert {r.k: len(r.terms) for r in rows if r.k in "bce"} == {"b": 0, "c": 0, "e": 0}
