@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +38,18 @@ def request_rates(requests: DataFrame, slide_seconds: int = 1, seconds: int = WI
     )
 
 
+def _nodes_after(events: pd.DataFrame, done: list[str], running: list[str]) -> tuple[list[str], list[str]]:
+    """Done and running nodes after further events in order. A node runs when it was started after it was last done, and
+    stands where it was started; done nodes keep the order of their first completion."""
+    ends = events.loc[events["action"] == "done", "node"]
+    last_end = pd.Series(ends.index, index=ends).groupby(level=0).max()
+    starts = events.loc[events["action"] == "start", "node"]
+    live = starts[starts.index > starts.map(last_end).fillna(-1)].drop_duplicates()
+    kept = [n for n in running if n not in last_end.index]
+    ended = ends.drop_duplicates()
+    return [*done, *ended[~ended.isin(done)]], [*kept, *live[~live.isin(kept)]]
+
+
 def _advance(ttl_ms: int):
     """Fold the new events of one task into its running nodes, done nodes and status."""
 
@@ -46,20 +59,16 @@ def _advance(ttl_ms: int):
             return
         held = state.get if state.exists else ([], [], "", 0)
         running, done, status, last = list(held[0]), list(held[1]), held[2], held[3]
-        batch = pd.concat(list(frames)).sort_values("seq")
-        for seq, node, action, said in zip(batch["seq"], batch["node"], batch["action"], batch["status"]):
-            last = int(seq)
-            if action == "clear":
-                running, done, status = [], [], ""
-            elif action == "status":
-                status = said
-            elif action == "start" and node not in running:
-                running.append(node)
-            elif action == "done":
-                running = [n for n in running if n != node]
-                done = done if node in done else [*done, node]
+        batch = pd.concat(list(frames)).sort_values("seq").reset_index(drop=True)
+        last, newest = int(batch["seq"].iloc[-1]), int(batch["ts"].max().timestamp() * 1000)
+        cleared = np.flatnonzero(batch["action"] == "clear")
+        if len(cleared):
+            running, done, status = [], [], ""
+            batch = batch.iloc[cleared[-1] + 1 :]
+        said = batch.loc[batch["action"] == "status", "status"]
+        status = said.iloc[-1] if len(said) else status
+        done, running = _nodes_after(batch, done, running)
         state.update((running, done, status, last))
-        newest = int(batch["ts"].max().timestamp() * 1000)
         state.setTimeoutTimestamp(max(newest, state.getCurrentWatermarkMs()) + ttl_ms)
         yield pd.DataFrame(
             {"task_id": [key[0]], "running_list": [running], "done_list": [done], "status": [status], "last_seq": [last]}

@@ -144,3 +144,22 @@ def test_outlines_of_any_depth_in_one_scan(spark):
     assert {r.k for r in got} == {"a", "e"}
     plan = nodes._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+
+
+def test_nodes_after_events_equal_a_plain_fold():
+    import random
+
+    import pandas as pd
+
+    rng = random.Random(12)
+    for _ in range(300):
+        done, running = rng.sample("abcd", rng.randrange(4)), rng.sample("abcde", rng.randrange(4))
+        rows = [(rng.choice("abcdef"), rng.choice(["start", "done", "status"])) for _ in range(rng.randrange(12))]
+        want_done, want_running = list(done), list(running)
+        for node, action in rows:
+            if action == "start" and node not in want_running:
+                want_running.append(node)
+            elif action == "done":
+                want_running = [n for n in want_running if n != node]
+                want_done = want_done if node in want_done else [*want_done, node]
+        assert J._nodes_after(pd.DataFrame(rows, columns=["node", "action"]), done, running) == (want_done, want_running)
