@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of all lines, after which the later of two alike lines goes.
 
-A line's tokens are its distinct five-word shingles (a shorter line is one token). Tokens are ordered by rarity over all
-lines; two lines meet by a token that both have in their prefix (the first quarter for 75 percent), and length and position
-filters go before the exact comparison. Lines with equal sets are one node with many occurrences.
+A line's tokens are its distinct words (or shingles of more words, by parameter). Tokens are ordered by rarity over all
+lines; two lines meet by a token that both have in their prefix (the first quarter for 75 percent), and length, position
+and bitmap filters go before the exact comparison. Lines with equal sets are one node with many occurrences.
 """
 
 from __future__ import annotations
@@ -33,9 +33,10 @@ def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(later, earlier): for each node that is alike to a node with an earlier first occurrence, one or more such nodes.
 
-    ``index`` has token, node, n, place and first. Each node first meets, of its most common prefix token, the earlier node
-    with the fewest prefix tokens of its own: among edited copies that is the original or what is closest to it. Only nodes
-    without a match there meet all earlier nodes of their tokens, so a group of copies is not compared with itself.
+    ``index`` has token, node, low, high, n, place and first. Each node first meets, of its most common prefix token, the
+    earlier node with the fewest prefix tokens of its own: among edited copies that is the original or what is closest to
+    it. A node without a match there meets the earlier node whose bitmap is nearest to its own, and only one without a match
+    there too meets all earlier nodes that pass the filters, so a group of copies is not compared with itself.
     """
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = index.withColumn("own", prefix - F.count("*").over(W.partitionBy("node")))
@@ -45,17 +46,28 @@ def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     )
     best = met.filter("head IS NOT NULL").groupBy("node").agg(F.max(F.struct("many", "head")).alias("best"))
     found = durable(_compared(best.select(F.col("node").alias("later"), F.col("best.head").alias("earlier")), nodes, percent))
-    open_ = index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
-    # The position filter leaves no more than the first seventh of the shorter line (for 75 percent).
+    open_ = durable(index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti"))
+    near = _meetings(open_, index, percent).groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
+    nearest = durable(_compared(near, nodes, percent))
+    still = open_.join(nearest.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
+    rest = _compared(_meetings(still, index, percent).select("later", "earlier").distinct(), nodes, percent)
+    return found.union(nearest).union(rest)
+
+
+def _meetings(some: DataFrame, index: DataFrame, percent: int) -> DataFrame:
+    """(later, earlier, apart): nodes of ``some`` with all earlier ones that share a prefix token and pass the filters;
+    apart is the share of tokens that their bitmaps say they differ in at least."""
     n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
+    differ = sum(F.bit_count(F.col(f"x.{half}").bitwiseXOR(F.col(f"y.{half}"))) for half in ("low", "high"))
+    # The position filter leaves no more than the first seventh of the shorter line (for 75 percent).
     fits = (
         (F.col("y.first") < F.col("x.first"))
         & (100 * n >= percent * m) & (100 * m >= percent * n)
         & ((100 + percent) * F.least(n - p, m - q) >= percent * (n + m))
+        & ((100 + percent) * differ <= (100 - percent) * (n + m))
     )
-    met = open_.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & fits)
-    pairs = met.select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier")).distinct()
-    return found.union(_compared(pairs, nodes, percent))
+    met = some.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & fits)
+    return met.select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"), (differ / (n + m)).alias("apart"))
 
 
 def _key(id_col: str, text_col: str) -> Column:
@@ -64,7 +76,7 @@ def _key(id_col: str, text_col: str) -> Column:
     return F.encode(F.concat(F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8")), name), "utf-8")
 
 
-def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
+def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, percent: int = 75) -> DataFrame:
     """(_key, n_lines, removed): of each document its key, its number of lines and the numbers (from 0) of those to remove."""
     keyed = docs.select(_key(id_col, text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     items, postings = line_index(keyed, shingle=shingle, percent=percent)
@@ -99,12 +111,12 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     )
 
 
-def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 75) -> DataFrame:
+def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 1, percent: int = 75) -> DataFrame:
     """The documents, all columns kept, without their lines that match an earlier one; adds n_lines and n_removed (long).
 
     Lines end at line feeds; words are runs without ASCII blanks, A-Z lower-cased. Two lines match when the Jaccard
-    similarity of their sets of five-word shingles reaches ``percent`` / 100 (lines of fewer words: when all words are
-    equal). Lines are in order of (id, MD5 of the text, line number), null ids first; a line goes if an earlier line
+    similarity of their sets of distinct words (runs of ``shingle`` words; a line of fewer is one run) reaches
+    ``percent`` / 100. Lines are in order of (id, MD5 of the text, line number), null ids first; a line goes if an earlier line
     matches it, whether or not that one stays itself. Lines without words always stay.
 
     A null or empty text stays as it is. Rows that repeat id and text are one document and get the same result. A text

@@ -2,8 +2,10 @@
 
 Rarity comes from a counter table of fixed size: every token of every line is counted in the counter that its hash picks.
 Tokens are ordered by (counter, hash), one order for all lines; sharing a counter only makes a token look less rare, so the
-result does not depend on the table's size. Only each line's prefix crosses the shuffle, as packed arrays; tokens that a
-single distinct line has in its prefix end there. Whole token sets are made again only for lines that share a prefix token.
+result does not depend on the table's size. Only each line's prefix crosses the shuffle, as packed arrays with a bitmap of the
+whole line: 128 bits, each the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in
+tokens, so where a token's lines meet, length, position and bitmap tell most strangers apart. A prefix token stays only if some
+other line may match by it; whole token sets are made again only for lines that keep one.
 """
 
 from __future__ import annotations
@@ -25,6 +27,8 @@ PARTS = 16  # pieces of the counter table that are summed apart
 BLOCK_BYTES = 1 << 20
 _NODE_SEED = np.uint64(0x9E3779B97F4A7C15)
 _SIZE_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
+_BIT_SEED = np.uint64(0x165667B19E3779F9)
+PACKED = ("tokens", "nodes", "low", "high", "sizes", "places")
 
 
 def line_sets(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -70,28 +74,80 @@ def rarity_counters(texts: DataFrame, shingle: int) -> np.ndarray:
     return whole.ravel()
 
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, ...]:
-    return tuple(np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in (("tokens", np.uint64), ("nodes", np.int64), ("sizes", np.int32), ("places", np.int32)))
+def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two halves of each set's bitmap; 0 for empty sets."""
+    full = np.flatnonzero(np.diff(bounds))
+    place = mixed(tokens ^ _BIT_SEED) >> np.uint64(57)
+    bit = np.uint64(1) << (place & np.uint64(63))
+    out = []
+    for half in (0, 1):
+        sums = np.zeros(len(bounds) - 1, np.uint64)
+        if len(full):
+            sums[full] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), bounds[full])
+        out.append(sums)
+    return out[0], out[1]
 
 
-def _shared(table: pa.Table) -> pa.Table:
-    """Of a bin: the rows of documents as they are, and the postings of tokens that more than one node has."""
-    schema = pa.schema([("key", pa.binary()), ("item_nodes", pa.list_(pa.int64())), ("item_sizes", pa.list_(pa.int32())), ("token", pa.int64()), ("node", pa.int64()), ("n", pa.int32()), ("place", pa.int32())])
+def may_match(start: np.ndarray, many: np.ndarray, sizes: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
+    """Of postings in runs of one token each: whether another one of the run passes the length, position and bitmap filters.
+
+    ``start`` and ``many`` are those of a posting's run. A posting is compared until it has passed once, so that a run of
+    copies costs little more than its length. Nothing of the size of a run's pairs is held.
+    """
+    found = np.zeros(len(start), bool)
+    open_ = np.flatnonzero(many > 1)
+    step = 1
+    while len(open_):
+        other = start[open_] + (open_ - start[open_] + step) % many[open_]
+        n, m = sizes[open_], sizes[other]
+        differ = np.bitwise_count(low[open_] ^ low[other]).astype(np.int64) + np.bitwise_count(high[open_] ^ high[other])
+        near = np.flatnonzero((100 + percent) * differ <= (100 - percent) * (n + m))
+        i, j, n, m = open_[near], other[near], n[near], m[near]
+        room = np.minimum(n - places[i], m - places[j])
+        fits = (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * room >= percent * (n + m))
+        found[i[fits]] = True
+        found[j[fits]] = True
+        step += 1
+        open_ = open_[~found[open_] & (many[open_] > step)]
+    return found
+
+
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """As two bytes each where they fit, else four."""
+    return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 1 << 16 else np.int32)
+
+
+def _unpacked(table: pa.Table) -> list[np.ndarray]:
+    out = [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in zip(PACKED[:4], (np.uint64, np.int64, np.uint64, np.uint64), strict=True)]
+    rows = [len(t) // 8 for t in table["tokens"].to_pylist()]
+    for c in PACKED[4:]:
+        parts = [np.frombuffer(v, np.uint16 if len(v) == 2 * k else np.int32) for v, k in zip(table[c].to_pylist(), rows, strict=True)]
+        out.append(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64))
+    return out
+
+
+def _shared(table: pa.Table, *, percent: int) -> pa.Table:
+    """Of a bin: the rows of documents as they are, and the postings by which their lines may match another."""
+    schema = pa.schema(
+        [("key", pa.binary()), ("item_nodes", pa.list_(pa.int64())), ("item_sizes", pa.list_(pa.int32())), ("token", pa.int64()), ("node", pa.int64())]
+        + [("low", pa.int64()), ("high", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]
+    )
     heads = table.filter(pc.is_null(table["tokens"])).select(schema.names[:3])
     for field in list(schema)[3:]:
         heads = heads.append_column(field, pa.nulls(heads.num_rows, field.type))
-    tokens, nodes, sizes, places = _unpacked(table.filter(pc.is_valid(table["tokens"])))
-    order = np.lexsort((nodes, tokens))
-    tokens, nodes = tokens[order], nodes[order]
+    columns = _unpacked(table.filter(pc.is_valid(table["tokens"])))
+    order = np.lexsort((columns[1], columns[0]))
+    tokens, nodes = columns[0][order], columns[1][order]
     new = np.ones(len(tokens), bool)
     new[1:] = tokens[1:] != tokens[:-1]
     keep = new.copy()
     keep[1:] |= nodes[1:] != nodes[:-1]
-    order, tokens, nodes, starts = order[keep], tokens[keep], nodes[keep], np.flatnonzero(new[keep])
+    order, starts = order[keep], np.flatnonzero(new[keep])
+    tokens, nodes, low, high, sizes, places = (c[order] for c in columns)
     many = np.diff(np.r_[starts, len(tokens)])
-    some = np.repeat(many > 1, many)
+    some = may_match(np.repeat(starts, many), np.repeat(many, many), sizes, places, low, high, percent)
     n = int(some.sum())
-    found = [pa.array(tokens[some].view(np.int64)), pa.array(nodes[some]), pa.array(sizes[order[some]]), pa.array(places[order[some]])]
+    found = [pa.array(c[some].view(np.int64)) for c in (tokens, nodes, low, high)] + [pa.array(c[some].astype(np.int32)) for c in (sizes, places)]
     postings = pa.Table.from_arrays([pa.nulls(n, f.type) for f in list(schema)[:3]] + found, schema=schema)
     return pa.concat_tables([heads.cast(schema), postings])
 
@@ -100,12 +156,13 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
     """(items, postings) of ``texts``, which has key (binary) and text.
 
     ``items``: each row's key with the arrays item_nodes and item_sizes, one element a line; a line without words has size
-    0. ``postings``: (token, node, n, place) of the prefix tokens that more than one node has.
+    0. ``postings``: (token, node, low, high, n, place) of the prefix tokens by which a node may match another; low and high
+    are the halves of its bitmap.
     """
     bins = bins or max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     counters = rarity_counters(texts, shingle)
-    names = ["bin", "key", "item_nodes", "item_sizes", "tokens", "nodes", "sizes", "places"]
-    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    names = ["bin", "key", "item_nodes", "item_sizes", *PACKED]
+    kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), *(pa.binary() for _ in PACKED)]
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema(list(zip(names, kinds, strict=True)))
@@ -119,13 +176,14 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
                 tokens, bounds, rows = line_sets(column.slice(start, stop - start), shingle)
                 nodes, sizes = node_ids(tokens, bounds), np.diff(bounds)
                 lists = [pa.ListArray.from_arrays(pa.array(rows, pa.int32()), pa.array(v)) for v in (nodes, sizes.astype(np.int32))]
-                none = [pa.nulls(stop - start, pa.binary())] * 4
+                none = [pa.nulls(stop - start, pa.binary())] * len(PACKED)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(stop - start, turn % bins), pa.int32()), keys.slice(start, stop - start), *lists, *none], schema=schema)
                 # Of equal lines in the block, the first speaks for all.
                 full = np.flatnonzero(sizes)
                 first = np.zeros(len(sizes), bool)
                 first[full[np.unique(nodes[full], return_index=True)[1]]] = True
                 item = np.repeat(np.arange(len(sizes)), sizes)
+                low, high = bitmaps(tokens, bounds)
                 order = np.lexsort((tokens, counters[(tokens % np.uint64(COUNTERS)).astype(np.int64)], item))
                 place = np.arange(len(item)) - bounds[item]
                 kept = first[item] & (place < prefix_length(sizes, percent)[item])
@@ -133,16 +191,21 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
                 home = (tokens // np.uint64(COUNTERS) % np.uint64(bins)).astype(np.int32)
                 by = np.argsort(home, kind="stable")
                 cuts = np.searchsorted(home[by], np.arange(bins + 1))
-                packed = [v[by] for v in (tokens, nodes[item], sizes[item].astype(np.int32), place)]
+                packed = [v[by] for v in (tokens, nodes[item], low[item], high[item], _narrow(sizes[item]), _narrow(place))]
                 used = [b for b in range(bins) if cuts[b] < cuts[b + 1]]
                 columns = [pa.array([v[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()) for v in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.nulls(len(used), k) for k in kinds[1:4]), *columns], schema=schema)
 
-    packed = texts.select("key", "text").mapInArrow(prefixes, "bin int, key binary, item_nodes array<long>, item_sizes array<int>, tokens binary, nodes binary, sizes binary, places binary")
-    fields = "key binary, item_nodes array<long>, item_sizes array<int>, token long, node long, n int, place int"
-    reduced = durable(packed.groupBy("bin").applyInArrow(_shared, fields))
+    arrays = "item_nodes array<long>, item_sizes array<int>"
+    packed = texts.select("key", "text").mapInArrow(prefixes, f"bin int, key binary, {arrays}, " + ", ".join(f"{c} binary" for c in PACKED))
+    fields = f"key binary, {arrays}, token long, node long, low long, high long, n int, place int"
+
+    def shared(table: pa.Table) -> pa.Table:
+        return _shared(table, percent=percent)
+
+    reduced = durable(packed.groupBy("bin").applyInArrow(shared, fields))
     items = reduced.filter(F.col("token").isNull()).select("key", "item_nodes", "item_sizes")
-    return items, reduced.filter(F.col("token").isNotNull()).select("token", "node", "n", "place")
+    return items, reduced.filter(F.col("token").isNotNull()).select("token", "node", "low", "high", "n", "place")
 
 
 def squeezed(texts: DataFrame) -> DataFrame:

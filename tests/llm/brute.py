@@ -47,7 +47,7 @@ def dedup(rows):
     for key in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
         kept = []
         for line in (key[2] or "").split("\n"):
-            s = shingles(line)
+            s = shingles(line, 1)
             if not any(alike(s, t) for t in seen):
                 kept.append(line)
             if s:

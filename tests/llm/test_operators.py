@@ -9,6 +9,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,6 +18,7 @@ from evispark.llm.decontamination import contamination, decontaminate
 from evispark.llm.embedding_join import near_duplicates
 from evispark.llm.graph import components
 from evispark.llm.line_dedup import dedup_lines
+from evispark.llm.line_index import bitmaps, may_match
 from evispark.llm.ngram_join import ngram_jaccard_join
 from evispark.llm.sharding import assign_shards
 from evispark.llm.url_filter import judge_urls
@@ -89,6 +91,53 @@ def test_line_dedup(docs, rows, empty):
     assert dedup_lines(empty).collect() == []
 
 
+def test_edited_lines(spark):
+    """Lines with more and more words changed, around the threshold, some of them copies of copies."""
+    rng = random.Random(11)
+    lines = [text(rng, n, 10**6) for n in (4, 7, 30, 30, 90, 400)]
+    for _ in range(150):
+        base = rng.choice(lines)
+        lines.append(edited(rng, base, rng.choice([0.02, 0.05, 0.1, 0.14, 0.2])))
+    rows = [(i, "\n".join(rng.sample(lines, 3))) for i in range(60)] + [(100, "a b c d e f g"), (101, "g f e d c b a"), (102, "a b c d e f")]
+    left = dedup({(i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows})
+    got = dedup_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {r.doc_id: r.text for r in got.collect()} == {k[0]: t for k, t in left.items()}
+    one = text(rng, 30, 10**6)
+    pair = spark.createDataFrame([(1, one), (2, one.replace(one.split()[9], "other", 1))], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in dedup_lines(pair).collect()} == {1: 0, 2: 1}
+
+
+def test_postings_that_may_match():
+    """Against every pair of a run, with sets drawn close to each other and sizes beyond two bytes."""
+    rng = np.random.default_rng(3)
+    base = [rng.integers(0, 2**63, k, dtype=np.uint64) for k in (3, 12, 40, 70_000)]
+    sets = []
+    for _ in range(60):
+        own = base[rng.integers(len(base))].copy()
+        swap = rng.random(len(own)) < rng.choice([0.0, 0.1, 0.3])
+        own[swap] = rng.integers(0, 2**63, int(swap.sum()), dtype=np.uint64)
+        sets.append(np.unique(own))
+    bounds = np.cumsum([0, *map(len, sets)])
+    low, high = bitmaps(np.concatenate(sets), bounds)
+    sizes, places = np.diff(bounds), rng.integers(0, 3, len(sets))
+    many = np.array([1, 2, 7, 20, 30])
+    start = np.repeat(np.cumsum(many) - many, many)
+    got = may_match(start, np.repeat(many, many), sizes, places, low, high, 75)
+    want = []
+    for i in range(len(sets)):
+        passed = False
+        for j in range(len(sets)):
+            if i != j and start[i] == start[j]:
+                n, m = int(sizes[i]), int(sizes[j])
+                differ = (int(low[i]) ^ int(low[j])).bit_count() + (int(high[i]) ^ int(high[j])).bit_count()
+                common = len(np.intersect1d(sets[i], sets[j]))
+                assert differ <= n + m - 2 * common
+                room = min(n - places[i], m - places[j])
+                passed |= 175 * differ <= 25 * (n + m) and 100 * n >= 75 * m and 100 * m >= 75 * n and 175 * room >= 75 * (n + m)
+        want.append(passed)
+    assert got.tolist() == want and any(want) and not all(want)
+
+
 def test_decontamination(spark, empty):
     item = "the quick brown fox jumps over the lazy dog again and again until night"
     bench = spark.createDataFrame([(2, item), (10, "Tiny-item"), (3, None), (4, "!!"), (None, "nobody knows"), (2, item)], "item_id long, text string")
