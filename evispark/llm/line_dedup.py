@@ -33,30 +33,35 @@ def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(later, earlier): for each node that is alike to a node with an earlier first occurrence, one or more such nodes.
 
-    ``index`` has token, node, low, high, n, place and first. Each node first meets, of its most common prefix token, the
-    earlier node with the fewest prefix tokens of its own: among edited copies that is the original or what is closest to
-    it. A node without a match there meets the earlier node whose bitmap is nearest to its own, and only one without a match
-    there too meets all earlier nodes that pass the filters, so a group of copies is not compared with itself.
+    ``index`` has token, node, low, high, n, place and first. Of each of its prefix tokens a node is told three earlier
+    nodes: the very first, the one before it, and the one with the fewest prefix tokens of its own, which among edited
+    copies is the original or what is closest to it. The node first meets that of them whose bitmap is nearest to its own;
+    a node without a match there meets all of them, and only one without a match there too meets all earlier nodes that
+    pass the filters. So the first two rounds compare no more than three pairs a posting, and a group of copies is not
+    compared with itself.
     """
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = index.withColumn("own", prefix - F.count("*").over(W.partitionBy("node")))
-    before = W.partitionBy("token").orderBy("first", "node").rowsBetween(W.unboundedPreceding, -1)
-    met = ranked.select(
-        "node", F.min(F.struct("own", "node")).over(before)["node"].alias("head"), F.count("*").over(W.partitionBy("token")).alias("many")
-    )
-    best = met.filter("head IS NOT NULL").groupBy("node").agg(F.max(F.struct("many", "head")).alias("best"))
-    found = durable(_compared(best.select(F.col("node").alias("later"), F.col("best.head").alias("earlier")), nodes, percent))
-    open_ = durable(index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti"))
-    near = _meetings(open_, index, percent).groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
-    nearest = durable(_compared(near, nodes, percent))
-    still = open_.join(nearest.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
-    rest = _compared(_meetings(still, index, percent).select("later", "earlier").distinct(), nodes, percent)
-    return found.union(nearest).union(rest)
+    order = W.partitionBy("token").orderBy("first", "node")
+    before = order.rowsBetween(W.unboundedPreceding, -1)
+    who = F.struct("own", "node", "low", "high", "n")
+    told = ranked.select("node", "low", "high", "n", F.array(F.min(who).over(before), F.first(who).over(before), F.lag(who).over(order)).alias("told"))
+    told = told.select(*(F.col(c).alias(f"x_{c}") for c in ("node", "low", "high", "n")), F.explode("told").alias("y")).filter("y IS NOT NULL")
+    differ = F.bit_count(F.col("x_low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x_high").bitwiseXOR(F.col("y.high")))
+    n, m = F.col("x_n"), F.col("y.n")
+    near = told.filter((100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m)))
+    near = near.select(F.col("x_node").alias("later"), F.col("y.node").alias("earlier"), (differ / (n + m)).alias("apart"))
+    near = durable(near.groupBy("later", "earlier").agg(F.min("apart").alias("apart")))
+    nearest = near.groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
+    first = durable(_compared(nearest, nodes, percent))
+    more = near.join(first.select("later").distinct(), "later", "left_anti").select("later", "earlier")
+    found = first.union(durable(_compared(more, nodes, percent)))
+    open_ = index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
+    return found.union(_compared(_meetings(open_, index, percent).distinct(), nodes, percent))
 
 
 def _meetings(some: DataFrame, index: DataFrame, percent: int) -> DataFrame:
-    """(later, earlier, apart): nodes of ``some`` with all earlier ones that share a prefix token and pass the filters;
-    apart is the share of tokens that their bitmaps say they differ in at least."""
+    """(later, earlier): nodes of ``some`` with all earlier ones that share a prefix token and pass the filters."""
     n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
     differ = sum(F.bit_count(F.col(f"x.{half}").bitwiseXOR(F.col(f"y.{half}"))) for half in ("low", "high"))
     # The position filter leaves no more than the first seventh of the shorter line (for 75 percent).
@@ -67,7 +72,7 @@ def _meetings(some: DataFrame, index: DataFrame, percent: int) -> DataFrame:
         & ((100 + percent) * differ <= (100 - percent) * (n + m))
     )
     met = some.alias("x").join(index.alias("y"), (F.col("x.token") == F.col("y.token")) & fits)
-    return met.select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"), (differ / (n + m)).alias("apart"))
+    return met.select(F.col("x.node").alias("later"), F.col("y.node").alias("earlier"))
 
 
 def _key(id_col: str, text_col: str) -> Column:

@@ -95,21 +95,27 @@ def may_match(start: np.ndarray, many: np.ndarray, sizes: np.ndarray, places: np
     copies costs little more than its length. Nothing of the size of a run's pairs is held.
     """
     found = np.zeros(len(start), bool)
-    open_ = np.flatnonzero(many > 1)
+    at = np.argsort(-many, kind="stable")  # longest runs first, so that those still open begin the list
     step = 1
-    while len(open_):
-        other = start[open_] + (open_ - start[open_] + step) % many[open_]
-        n, m = sizes[open_], sizes[other]
-        differ = np.bitwise_count(low[open_] ^ low[other]).astype(np.int64) + np.bitwise_count(high[open_] ^ high[other])
-        near = np.flatnonzero((100 + percent) * differ <= (100 - percent) * (n + m))
-        i, j, n, m = open_[near], other[near], n[near], m[near]
-        room = np.minimum(n - places[i], m - places[j])
-        fits = (100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * room >= percent * (n + m))
-        found[i[fits]] = True
-        found[j[fits]] = True
+    while True:
+        at = at[: np.searchsorted(-many[at], -step)]  # runs of more than ``step``
+        at = at[~found[at]]
+        if not len(at):
+            return found
+        end, run, n, left, right = start[at] + many[at], many[at], sizes[at], low[at], high[at]
+        for step in range(step, min(step + 16, int(run[0]))):
+            k = int(np.searchsorted(-run, -step))
+            j = at[:k] + step
+            j -= np.where(j >= end[:k], run[:k], 0)
+            near = np.flatnonzero((100 + percent) * np.bitwise_count(left[:k] ^ low[j]).astype(np.int64) <= (100 - percent) * (n[:k] + sizes[j]))
+            i, j = at[near], j[near]
+            differ = np.bitwise_count(left[near] ^ low[j]).astype(np.int64) + np.bitwise_count(right[near] ^ high[j])
+            both, room = n[near] + sizes[j], np.minimum(n[near] - places[i], sizes[j] - places[j])
+            fits = ((100 + percent) * differ <= (100 - percent) * both) & ((100 + percent) * room >= percent * both)
+            fits &= (100 * n[near] >= percent * sizes[j]) & (100 * sizes[j] >= percent * n[near])
+            found[i[fits]] = True
+            found[j[fits]] = True
         step += 1
-        open_ = open_[~found[open_] & (many[open_] > step)]
-    return found
 
 
 def _narrow(numbers: np.ndarray) -> np.ndarray:
@@ -136,7 +142,10 @@ def _shared(table: pa.Table, *, percent: int) -> pa.Table:
     for field in list(schema)[3:]:
         heads = heads.append_column(field, pa.nulls(heads.num_rows, field.type))
     columns = _unpacked(table.filter(pc.is_valid(table["tokens"])))
-    order = np.lexsort((columns[1], columns[0]))
+    order = np.argsort(columns[0])
+    same = columns[0][order][1:] == columns[0][order][:-1]
+    order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # tokens of one posting end here
+    order = order[np.lexsort((columns[1][order], columns[0][order]))]
     tokens, nodes = columns[0][order], columns[1][order]
     new = np.ones(len(tokens), bool)
     new[1:] = tokens[1:] != tokens[:-1]
@@ -160,7 +169,7 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
     are the halves of its bitmap.
     """
     bins = bins or max(64, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    counters = rarity_counters(texts, shingle)
+    rarity = np.unique(rarity_counters(texts, shingle), return_inverse=True)[1].astype(np.int64)  # below COUNTERS
     names = ["bin", "key", "item_nodes", "item_sizes", *PACKED]
     kinds = [pa.int32(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), *(pa.binary() for _ in PACKED)]
 
@@ -184,7 +193,8 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
                 first[full[np.unique(nodes[full], return_index=True)[1]]] = True
                 item = np.repeat(np.arange(len(sizes)), sizes)
                 low, high = bitmaps(tokens, bounds)
-                order = np.lexsort((tokens, counters[(tokens % np.uint64(COUNTERS)).astype(np.int64)], item))
+                # Equally rare tokens of a line stay in order of their hashes.
+                order = np.argsort(item * COUNTERS + rarity[(tokens % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")
                 place = np.arange(len(item)) - bounds[item]
                 kept = first[item] & (place < prefix_length(sizes, percent)[item])
                 item, place, tokens = item[kept], place[kept].astype(np.int32), tokens[order][kept]
