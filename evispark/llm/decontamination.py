@@ -118,19 +118,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", remove: str = "documents", **options) -> DataFrame:
     """The documents, all columns kept, without those that hold a window (``remove='documents'``), or without the hit
-    words and what stands before each of them (``remove='spans'``). Clean documents, null and empty texts stay as they are.
+    words and what stands before each of them (``remove='spans'``). Clean documents, null and empty texts stay as they are;
+    repeated rows fare alike, and columns may have any names.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove must be 'documents' or 'spans'")
     found = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).filter("contaminated")
-    found = found.select(F.col(id_col).alias("_hit_id"), F.col("digest").alias("_hit_digest"), F.col("hits").alias("_hits")).dropDuplicates(["_hit_id", "_hit_digest"])
+    found = found.select(F.col(id_col).alias("hit_id"), F.col("digest").alias("hit_digest"), "hits").dropDuplicates(["hit_id", "hit_digest"])
     digest = F.md5(F.encode(F.coalesce(F.col(text_col), F.lit("")), "utf-8"))
-    marked = docs.withColumn("_own_digest", digest)
-    same = (F.col("_own_digest") == F.col("_hit_digest")) & F.col(id_col).eqNullSafe(F.col("_hit_id"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("own_id"), digest.alias("own_digest"))
+    same = (F.col("own_digest") == F.col("hit_digest")) & F.col("own_id").eqNullSafe(F.col("hit_id"))
     if remove == "documents":
-        return marked.join(found, same, "left_anti").select(*docs.columns)
-    pieces = F.regexp_extract_all(text_col, F.lit(PIECE), F.lit(0))
-    kept = F.filter(pieces, lambda piece, i: ~F.exists("_hits", lambda h: (h["start"] <= i) & (i < h["end"])))
-    cleaned = F.concat(F.array_join(kept, ""), F.regexp_extract(text_col, TAIL, 0))
-    text = F.when(F.col("_hits").isNotNull(), cleaned).otherwise(F.col(text_col))
-    return marked.join(found, same, "left").withColumn(text_col, text).select(*docs.columns)
+        return marked.join(found, same, "left_anti").select("row.*")
+    text = F.col("row").getField(text_col)
+    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
+    kept = F.filter(pieces, lambda piece, i: ~F.exists("hits", lambda h: (h["start"] <= i) & (i < h["end"])))
+    cleaned = F.when(F.col("hits").isNotNull(), F.concat(F.array_join(kept, ""), F.regexp_extract(text, TAIL, 0))).otherwise(text)
+    columns = (cleaned.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns)
+    return marked.join(found, same, "left").select(*columns)

@@ -29,13 +29,18 @@ def _digest(host: Column, path: Column) -> Column:
     return F.sha2(F.encode(F.concat_ws("\x00", host, path), "utf-8"), 256)
 
 
+def _labels(host: str) -> Column:
+    return F.length(F.regexp_replace(host, r"[^.]", "")) + 1
+
+
 def judge_urls(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", default: str = "allow", prefix_digits: int = 8) -> DataFrame:
     """``urls``, all columns kept, with host, path, rule and verdict (columns of these names are replaced).
 
     ``rules`` has host, path and verdict ('allow' or 'block'). A rule fits its host and all subdomains if the URL's path
     starts with the rule's path. The longest rule wins (host and path together, then the longer host, then 'block');
     without one the verdict is ``default`` and the rule null. The path lengths among the rules (no more numbers than the
-    longest path has characters) decide which prefixes a URL is expanded into.
+    longest path has characters) decide which prefixes a URL is expanded into, the numbers of labels in their hosts likewise
+    which suffixes. Other columns may have any names.
 
     A null URL or one without ``://`` has an empty host and path and no rule; an empty path starts with no rule's path
     but the empty one. Rules with a null in any column are ignored; rules that repeat count once. Repeated URLs give
@@ -46,18 +51,14 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", defau
         F.col("host").alias("_rule_host"), F.col("path").alias("_rule_path"), F.col("verdict").alias("_rule_verdict"),
         _digest(F.col("host"), F.col("path")).alias("_rule_digest"),
     ).withColumn("_rule_short", F.substring("_rule_digest", 1, prefix_digits))
-    size = good.agg(F.count("*"), F.collect_set(F.length("path"))).first()
+    size = good.agg(F.count("*"), F.collect_set(F.length("path")), F.collect_set(_labels("host"))).first()
     if size[0] <= MAX_BROADCAST_RULES:
         table = F.broadcast(table)
-    lengths = sorted(size[1])
-    split = urls.withColumn("_host", host_of(url_col)).withColumn("_path", path_of(url_col))
+    lengths, depths = sorted(size[1]), sorted(size[2])
+    split = urls.select(F.struct(*urls.columns).alias("row"), host_of(url_col).alias("_host"), path_of(url_col).alias("_path"))
     known = split.select("_host", "_path").filter("_host <> ''").distinct()
-    labels = known.withColumn("_labels", F.split("_host", r"\.", -1))
-    hosts = F.transform(
-        F.sequence(F.lit(1), F.size("_labels")),
-        lambda i: F.array_join(F.slice("_labels", i, F.size("_labels")), "."),
-    )
-    suffixed = labels.select("_host", "_path", F.explode(F.array_distinct(hosts)).alias("_suffix"))
+    suffixes = F.array(*(F.when(_labels("_host") >= n, F.substring_index("_host", ".", -n)) for n in depths)) if depths else F.array().cast("array<string>")
+    suffixed = known.select("_host", "_path", F.explode(F.array_compact(suffixes)).alias("_suffix"))
     prefixes = F.array(*(F.when(F.length("_path") >= n, F.substring("_path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
     expanded = suffixed.select("_host", "_path", "_suffix", F.explode(F.array_compact(prefixes)).alias("_prefix"))
     expanded = expanded.withColumn("_full", _digest(F.col("_suffix"), F.col("_prefix")))
@@ -71,6 +72,6 @@ def judge_urls(urls: DataFrame, rules: DataFrame, *, url_col: str = "url", defau
     best = hit.groupBy("_host", "_path").agg(F.max(rank).alias("_best"))
     kept = [c for c in urls.columns if c not in ("host", "path", "rule", "verdict")]
     return split.join(best, ["_host", "_path"], "left").select(
-        *kept, F.col("_host").alias("host"), F.col("_path").alias("path"),
+        *(F.col("row").getField(c).alias(c) for c in kept), F.col("_host").alias("host"), F.col("_path").alias("path"),
         F.col("_best.rule").alias("rule"), F.coalesce("_best.verdict", F.lit(default)).alias("verdict"),
     )

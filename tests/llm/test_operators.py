@@ -234,6 +234,23 @@ def test_url_filter(spark):
     assert judge_urls(frame.filter("false"), table).collect() == []
 
 
+def test_clashing_names(spark):
+    """Columns named as the operators' own ones come back as they were."""
+    names = ["_best", "_host", "_path", "row", "_hits", "_own_digest", "hits", "own_digest", "hit_id"]
+    item = "the quick brown fox jumps over the lazy dog again"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "clean", *names), (2, f"a {item} b", *names), (None, None, *names)], "doc_id long, text string, " + ", ".join(f"{c} string" for c in names))
+    kept = decontaminate(docs, bench)
+    assert kept.columns == docs.columns and counted(kept) == Counter([(1, "clean", *names), (None, None, *names)])
+    spans = decontaminate(docs, bench, remove="spans")
+    assert spans.columns == docs.columns and counted(spans) == Counter([(1, "clean", *names), (2, "a b", *names), (None, None, *names)])
+    urls = spark.createDataFrame([(1, "http://a.b.org/x", *names), (2, "http://" + "s." * 16_000 + "org/y", *names)], "page_id long, url string, " + ", ".join(f"{c} string" for c in names))
+    rules = spark.createDataFrame([("b.org", "/", "block"), ("org", "/y", "block")], "host string, path string, verdict string")
+    got = judge_urls(urls, rules).collect()
+    assert Counter((r.page_id, r.rule, r.verdict) for r in got) == Counter([(1, "b.org/", "block"), (2, "org/y", "block")])
+    assert all([r[c] for c in names] == names for r in got)
+
+
 def test_sharding(docs, rows, empty):
     got = assign_shards(docs, [1.0, 2.0, 0.0, 1.0]).collect()
     assert Counter((r.doc_id, r.size) for r in got) == Counter((i, len((t or "").encode()) + 16) for i, t in rows)

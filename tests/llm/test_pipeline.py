@@ -47,6 +47,17 @@ def test_near_duplicates_are_rows_not_ids(spark, sf):
     assert got == Counter([(None, first), (7, b + " y"), (1, c), (2, clean), (None, None), (None, ""), (9, "one two")])
 
 
+def test_stages_with_clashing_names_and_empty_tables(spark, sf):
+    """Extra columns named as working columns come back as they were; an empty table stays one."""
+    extra = ["_name", "name", "row", "_own_digest", "hits", "group"]
+    docs = frame(spark, planted()).select("*", *(F.lit(c).alias(c) for c in extra))
+    for stage in (pipeline.drop_repeated_lines, pipeline.drop_near_duplicates, pipeline.drop_contaminated):
+        kept = stage(spark, docs, sf)
+        assert kept.columns == docs.columns and {tuple(r[c] for c in extra) for r in kept.collect()} == {tuple(extra)}
+        assert stage(spark, docs.filter("false"), sf).collect() == []
+    assert pipeline.pack(spark, docs.filter("false"), sf).collect() == []
+
+
 def test_lines_that_repeat_go(spark, sf):
     rows = planted()
     left = {k[0]: v for k, v in dedup({(i, hashlib.md5((t or "").encode()).hexdigest(), t) for i, t in rows}).items()}
