@@ -45,29 +45,37 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Of each group of linked documents one row, the first by (id, MD5 of the text), null ids last; rows without words stay.
 
     Rows that share an id but not the text are judged one by one. Rows that repeat id and text are told by a 64-bit hash.
+    Extra columns may have any names; an empty table gives an empty one.
     """
     body = F.coalesce("text", F.lit(""))
-    named = docs.withColumn("_name", F.xxhash64("doc_id", body))
-    found = ngram_jaccard_join(named, id_col="_name").filter("n_shingles > 0")
-    groups = durable(found.groupBy("_name").agg(F.min("component_id").alias("group"), F.count("*").alias("many")))
-    names = named.select("_name", "doc_id", F.md5(F.encode(body, "utf-8")).alias("digest")).join(groups, "_name")
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "_name")
-    first = names.groupBy("group").agg(F.min(order)["_name"].alias("_name")).select("_name", F.lit(True).alias("stays"))
-    marks = durable(groups.join(first, "_name", "left").filter("stays IS NULL OR many > 1").select("_name", "stays"))
-    left = named.join(marks.select("_name"), "_name", "left_anti").select(*docs.columns)
-    repeated = marks.filter("stays").select("_name")
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", body).alias("name"), "doc_id", F.col("text"))
+    found = ngram_jaccard_join(named.select("name", "text"), id_col="name").filter("n_shingles > 0")
+    groups = durable(found.groupBy("name").agg(F.min("component_id").alias("group"), F.count("*").alias("many")))
+    names = named.select("name", "doc_id", F.md5(F.encode(body, "utf-8")).alias("digest")).join(groups, "name")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "digest", "name")
+    first = names.groupBy("group").agg(F.min(order)["name"].alias("name")).select("name", F.lit(True).alias("stays"))
+    marks = durable(groups.join(first, "name", "left").filter("stays IS NULL OR many > 1").select("name", "stays"))
+    left = named.join(marks.select("name"), "name", "left_anti").select("row.*")
+    repeated = marks.filter("stays").select("name")
     if repeated.isEmpty():
         return left
-    return left.union(named.join(repeated, "_name", "left_semi").dropDuplicates(["_name"]).select(*docs.columns))
+    return left.union(named.join(repeated, "name", "left_semi").dropDuplicates(["name"]).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
+    """Documents that hold no window of the benchmark; null and empty texts hold none, repeated rows fare alike.
+
+    Extra columns may have any names; an empty table gives an empty one.
+    """
     return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), remove="documents")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents with their bins and texts."""
+    """The pieces of all documents with their bins and texts, as ``pack_documents`` defines them.
+
+    A null or empty text is one piece of no words without a bin; repeated rows are packed one by one; extra columns are
+    not looked at; an empty table gives an empty one.
+    """
     return pack_documents(docs, texts=True)
 
 
