@@ -3,7 +3,7 @@
 Rarity comes from a counter table of fixed size: every token of every line is counted in the counter that its hash picks.
 Tokens are ordered by (counter, hash), one order for all lines; sharing a counter only makes a token look less rare, so the
 result does not depend on the table's size. Only each line's prefix crosses the shuffle, as packed arrays with a bitmap of the
-whole line: 128 bits, each the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in
+whole line: 96 bits, each the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in
 tokens, so where a token's lines meet, length, position and bitmap tell most strangers apart. A prefix token stays only if some
 other line may match by it; whole token sets are made again only for lines that keep one.
 """
@@ -75,9 +75,9 @@ def rarity_counters(texts: DataFrame, shingle: int) -> np.ndarray:
 
 
 def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two halves of each set's bitmap; 0 for empty sets."""
+    """The lower 64 and the upper 32 bits of each set's bitmap; 0 for empty sets."""
     full = np.flatnonzero(np.diff(bounds))
-    place = mixed(tokens ^ _BIT_SEED) >> np.uint64(57)
+    place = ((mixed(tokens ^ _BIT_SEED) >> np.uint64(32)) * np.uint64(96)) >> np.uint64(32)
     bit = np.uint64(1) << (place & np.uint64(63))
     out = []
     for half in (0, 1):
@@ -118,22 +118,38 @@ def may_match(start: np.ndarray, many: np.ndarray, sizes: np.ndarray, places: np
         step += 1
 
 
+def _packed5(numbers: np.ndarray) -> np.ndarray:
+    """The lower five bytes of each number, as an array whose rows are the numbers."""
+    return np.ascontiguousarray(numbers.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+
+
+def _unpacked5(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 5, 8), np.uint8)
+    out[:, :5] = np.frombuffer(data, np.uint8).reshape(-1, 5)
+    return out.view("<u8").ravel()
+
+
 def _narrow(numbers: np.ndarray) -> np.ndarray:
     """As two bytes each where they fit, else four."""
     return numbers.astype(np.uint16 if not len(numbers) or numbers.max() < 1 << 16 else np.int32)
 
 
 def _unpacked(table: pa.Table) -> list[np.ndarray]:
-    out = [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in zip(PACKED[:4], (np.uint64, np.int64, np.uint64, np.uint64), strict=True)]
-    rows = [len(t) // 8 for t in table["tokens"].to_pylist()]
+    out = [_unpacked5(b"".join(table["tokens"].to_pylist()))]
+    out += [np.frombuffer(b"".join(table[c].to_pylist()), kind) for c, kind in zip(PACKED[1:4], (np.int64, np.uint64, np.uint32), strict=True)]
+    out[3] = out[3].astype(np.uint64)
+    rows = [len(t) // 5 for t in table["tokens"].to_pylist()]
     for c in PACKED[4:]:
         parts = [np.frombuffer(v, np.uint16 if len(v) == 2 * k else np.int32) for v, k in zip(table[c].to_pylist(), rows, strict=True)]
         out.append(np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64))
     return out
 
 
-def _shared(table: pa.Table, *, percent: int) -> pa.Table:
-    """Of a bin: the rows of documents as they are, and the postings by which their lines may match another."""
+def _shared(table: pa.Table, *, percent: int, bins: int) -> pa.Table:
+    """Of a bin: the rows of documents as they are, and the postings by which their lines may match another.
+
+    Tokens come without their last bits; two that then look equal only let more lines meet. A line that has both keeps one.
+    """
     schema = pa.schema(
         [("key", pa.binary()), ("item_nodes", pa.list_(pa.int64())), ("item_sizes", pa.list_(pa.int32())), ("token", pa.int64()), ("node", pa.int64())]
         + [("low", pa.int64()), ("high", pa.int64()), ("n", pa.int32()), ("place", pa.int32())]
@@ -141,11 +157,14 @@ def _shared(table: pa.Table, *, percent: int) -> pa.Table:
     heads = table.filter(pc.is_null(table["tokens"])).select(schema.names[:3])
     for field in list(schema)[3:]:
         heads = heads.append_column(field, pa.nulls(heads.num_rows, field.type))
-    columns = _unpacked(table.filter(pc.is_valid(table["tokens"])))
+    packed = table.filter(pc.is_valid(table["tokens"]))
+    columns = _unpacked(packed)
+    if packed.num_rows:
+        columns[0] = columns[0] * np.uint64(bins) + np.uint64(packed["bin"][0].as_py())
     order = np.argsort(columns[0])
     same = columns[0][order][1:] == columns[0][order][:-1]
     order = order[np.r_[False, same] | np.r_[same, False]] if len(order) else order  # tokens of one posting end here
-    order = order[np.lexsort((columns[1][order], columns[0][order]))]
+    order = order[np.lexsort((columns[5][order], columns[1][order], columns[0][order]))]
     tokens, nodes = columns[0][order], columns[1][order]
     new = np.ones(len(tokens), bool)
     new[1:] = tokens[1:] != tokens[:-1]
@@ -201,7 +220,8 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
                 home = (tokens // np.uint64(COUNTERS) % np.uint64(bins)).astype(np.int32)
                 by = np.argsort(home, kind="stable")
                 cuts = np.searchsorted(home[by], np.arange(bins + 1))
-                packed = [v[by] for v in (tokens, nodes[item], low[item], high[item], _narrow(sizes[item]), _narrow(place))]
+                brief = _packed5(tokens // np.uint64(COUNTERS) // np.uint64(bins))
+                packed = [v[by] for v in (brief, nodes[item], low[item], high[item].astype(np.uint32), _narrow(sizes[item]), _narrow(place))]
                 used = [b for b in range(bins) if cuts[b] < cuts[b + 1]]
                 columns = [pa.array([v[cuts[b] : cuts[b + 1]].tobytes() for b in used], pa.binary()) for v in packed]
                 yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), *(pa.nulls(len(used), k) for k in kinds[1:4]), *columns], schema=schema)
@@ -211,7 +231,7 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
     fields = f"key binary, {arrays}, token long, node long, low long, high long, n int, place int"
 
     def shared(table: pa.Table) -> pa.Table:
-        return _shared(table, percent=percent)
+        return _shared(table, percent=percent, bins=bins)
 
     reduced = durable(packed.groupBy("bin").applyInArrow(shared, fields))
     items = reduced.filter(F.col("token").isNull()).select("key", "item_nodes", "item_sizes")
