@@ -1,7 +1,8 @@
 """Word and shingle hashes of whole Arrow string columns, without a Python object per word.
 
-A word's hash is a multilinear sum over its bytes, a shingle's hash a multilinear sum over its words, both modulo
-2**64 and mixed afterwards. Equal words always hash alike; two different ones do so with a chance of about 2**-64.
+A word is read as numbers of eight bytes; its hash is the mixed sum of these, each mixed with its place, and of the
+word's length. A shingle's hash is a multilinear sum over its words, mixed. All sums are modulo 2**64. Equal words always
+hash alike; two different ones do so with a chance of about 2**-64.
 """
 
 from __future__ import annotations
@@ -12,16 +13,9 @@ import numpy as np
 import pyarrow as pa
 
 _RANDOM = np.random.default_rng(20240229)
-_PERIOD = 4096
-_PLACE = _RANDOM.integers(1, 2**63, _PERIOD, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _STEP = _RANDOM.integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-# Of each byte: its value in a hash. A-Z count as a-z; blanks (space, tab to carriage return) count nothing.
-_SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_VALUE = _RANDOM.integers(1, 2**63, 256, dtype=np.uint64)
-_VALUE[ord("A") : ord("Z") + 1] = _VALUE[ord("a") : ord("z") + 1]
-_VALUE[_SPACE] = 0
+_PLACE, _LENGTH = (_RANDOM.integers(1, 2**63, 2, dtype=np.uint64) * np.uint64(2) + np.uint64(1)).tolist()
+_LOWER = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)  # the lower k bytes of a number
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -48,18 +42,36 @@ def word_hashes(texts: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     data, bounds = data[bounds[0] : bounds[-1]], bounds - bounds[0]
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), np.zeros(0, np.int64)
-    word = ~_SPACE[data]
-    first = word.copy()
+    word = ~((data == 0x20) | (data - np.uint8(0x09) <= 0x0D - 0x09))
+    first, last = word.copy(), word.copy()
     first[1:] &= ~word[:-1]
-    begin = bounds[:-1][bounds[:-1] < len(data)]
-    first[begin] = word[begin]
+    last[:-1] &= ~word[1:]
+    begin, end = bounds[:-1][bounds[:-1] < len(data)], bounds[1:][bounds[1:] > 0] - 1
+    first[begin], last[end] = word[begin], word[end]
     starts = np.flatnonzero(first)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64), starts
-    place = np.arange(starts[0], len(data)) - np.repeat(starts, np.diff(starts, append=len(data)))
-    terms = _VALUE[data[starts[0] :]]
-    terms *= _PLACE[place % _PERIOD]
-    return mixed(np.add.reduceat(terms, starts - starts[0])), np.searchsorted(starts, bounds), starts
+    sizes = np.flatnonzero(last) + 1 - starts
+    lowered = np.zeros((len(data) // 8 + 2) * 8, np.uint8)
+    lowered[: len(data)] = data | ((data - np.uint8(ord("A")) <= ord("Z") - ord("A")).view(np.uint8) << 5)
+    eights = lowered.view("<u8")
+
+    def read(at: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """The bytes from ``at``, eight at most, as a number."""
+        shift = (at & 7).astype(np.uint64) * np.uint64(8)
+        there = at >> 3
+        both = (eights[there] >> shift) | (eights[there + 1] << np.uint64(1) << (np.uint64(63) - shift))
+        return both & _LOWER[np.minimum(size, 8)]
+
+    sums = mixed(read(starts, sizes))
+    long = np.flatnonzero(sizes > 8)
+    if len(long):
+        more = (sizes[long] - 1) // 8  # numbers after the first
+        ends = np.cumsum(more)
+        place = np.arange(ends[-1]) - np.repeat(ends - more, more) + 1
+        rest = read(np.repeat(starts[long], more) + 8 * place, np.repeat(sizes[long], more) - 8 * place)
+        sums[long] += np.add.reduceat(mixed(rest + place.astype(np.uint64) * np.uint64(_PLACE)), ends - more)
+    return mixed(sums + sizes.astype(np.uint64) * np.uint64(_LENGTH)), np.searchsorted(starts, bounds), starts
 
 
 def blocks(texts: pa.Array | pa.ChunkedArray, max_bytes: int, max_rows: int = 60_000) -> Iterator[tuple[int, int]]:
@@ -73,8 +85,8 @@ def blocks(texts: pa.Array | pa.ChunkedArray, max_bytes: int, max_rows: int = 60
         start = stop
 
 
-def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ``size``-word shingles of each text: their hashes, sorted within a text, and where each text's begin.
+def shingle_runs(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(runs, item): hashes of all ``size``-word shingles, repeated ones included, and the number of each one's text.
 
     A text of fewer words makes one shingle of them all, a text without words none.
     """
@@ -85,13 +97,10 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarr
         runs += words[k : k + n] * _STEP[k]
     runs = mixed(runs)
     counts = np.diff(bounds)
-    item = np.repeat(np.arange(len(counts)), np.maximum(counts - size + 1, 0))
-    if len(item):
-        begin = np.repeat(bounds[:-1], np.maximum(counts - size + 1, 0))
-        rank = np.arange(len(item)) - np.searchsorted(item, item)
-        runs = runs[begin + rank]
-    else:
-        runs = runs[:0]
+    own = np.maximum(counts - size + 1, 0)
+    item = np.repeat(np.arange(len(counts)), own)
+    if size > 1:  # those that lie within a text
+        runs = runs[np.arange(len(item)) + np.repeat(bounds[:-1] - (np.cumsum(own) - own), own)]
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
         sums = np.zeros(len(short), np.uint64)
@@ -100,8 +109,25 @@ def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarr
             sums[has] += words[bounds[short[has]] + k] * _STEP[k]
         item = np.concatenate([item, short])
         runs = np.concatenate([runs, mixed(sums + _STEP[size + counts[short]])])
-    order = np.lexsort((runs, item))
-    item, runs = item[order], runs[order]
-    keep = np.ones(len(item), bool)
-    keep[1:] = (item[1:] != item[:-1]) | (runs[1:] != runs[:-1])
-    return runs[keep], np.searchsorted(item[keep], np.arange(len(counts) + 1))
+    return runs, item
+
+
+def shingle_sets(texts: pa.Array | pa.ChunkedArray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct shingles of each text, as in ``shingle_runs``: their hashes, sorted within a text, and where each text's
+    begin (one more than texts)."""
+    runs, item = shingle_runs(texts, size)
+    # Sorted by one number, the text's above the upper bits of the hash. Should that leave two hashes of a text tied, by both.
+    bits = np.uint64(max(1, len(texts).bit_length()))
+    both = (item.astype(np.uint64) << (np.uint64(64) - bits)) | (runs >> bits)
+    order = np.argsort(both)
+    both, sorted_ = both[order], runs[order]
+    new = np.ones(len(runs), bool)
+    new[1:] = sorted_[1:] != sorted_[:-1]
+    tied = both[1:] == both[:-1]
+    if (tied & new[1:]).any():
+        order = np.lexsort((runs, item))
+        sorted_ = runs[order]
+        new[1:] = sorted_[1:] != sorted_[:-1]
+    item = item[order]
+    new[1:] |= item[1:] != item[:-1]
+    return sorted_[new], np.searchsorted(item[new], np.arange(len(texts) + 1))

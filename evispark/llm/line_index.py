@@ -1,6 +1,7 @@
 """Prefix index of all lines, with line tokens in order of rarity.
 
-Rarity comes from a counter table of fixed size: every token of every line is counted in the counter that its hash picks.
+Rarity comes from a counter table of fixed size: every token of every line is counted, as often as it stands there, in the
+counter that its hash picks.
 Tokens are ordered by (counter, hash), one order for all lines; sharing a counter only makes a token look less rare, so the
 result does not depend on the table's size. Only each line's prefix crosses the shuffle, as packed arrays with a bitmap of the
 whole line: 96 bits, each the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in
@@ -19,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evispark.llm.durable import durable
-from evispark.llm.hashing import blocks, mixed, shingle_sets
+from evispark.llm.hashing import blocks, mixed, shingle_runs, shingle_sets
 from evispark.llm.rarity import prefix_length
 
 COUNTERS = 1 << 20
@@ -58,8 +59,9 @@ def rarity_counters(texts: DataFrame, shingle: int) -> np.ndarray:
         for batch in batches:
             column = batch.column(0)
             for start, stop in blocks(column, BLOCK_BYTES):
-                tokens, _, _ = line_sets(column.slice(start, stop - start), shingle)
-                own += np.bincount((tokens % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
+                lines = pc.split_pattern(column.slice(start, stop - start).fill_null(""), "\n").flatten()
+                runs, _ = shingle_runs(lines, shingle)
+                own += np.bincount((runs % np.uint64(COUNTERS)).astype(np.int64), minlength=COUNTERS)
         if own.any():
             yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([p.tobytes() for p in own.reshape(PARTS, -1)], pa.binary())], names=["part", "counts"])
 
@@ -74,6 +76,16 @@ def rarity_counters(texts: DataFrame, shingle: int) -> np.ndarray:
     return whole.ravel()
 
 
+def by_rarity(item: np.ndarray, rarity: np.ndarray) -> np.ndarray:
+    """The order of (item, rarity, place), for items that ascend and rarities below ``COUNTERS``."""
+    if not len(item):
+        return np.zeros(0, np.int64)
+    bits = len(item).bit_length()
+    if (int(item[-1]) + 1) * COUNTERS << bits > 1 << 63:
+        return np.argsort(item * COUNTERS + rarity, kind="stable")
+    return np.sort((item * COUNTERS + rarity << bits) + np.arange(len(item))) & ((1 << bits) - 1)
+
+
 def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The lower 64 and the upper 32 bits of each set's bitmap; 0 for empty sets."""
     full = np.flatnonzero(np.diff(bounds))
@@ -212,13 +224,12 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
                 first[full[np.unique(nodes[full], return_index=True)[1]]] = True
                 item = np.repeat(np.arange(len(sizes)), sizes)
                 low, high = bitmaps(tokens, bounds)
-                # Equally rare tokens of a line stay in order of their hashes.
-                order = np.argsort(item * COUNTERS + rarity[(tokens % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")
+                order = by_rarity(item, rarity[(tokens % np.uint64(COUNTERS)).astype(np.int64)])
                 place = np.arange(len(item)) - bounds[item]
                 kept = first[item] & (place < prefix_length(sizes, percent)[item])
                 item, place, tokens = item[kept], place[kept].astype(np.int32), tokens[order][kept]
-                home = (tokens // np.uint64(COUNTERS) % np.uint64(bins)).astype(np.int32)
-                by = np.argsort(home, kind="stable")
+                home = (tokens // np.uint64(COUNTERS) % np.uint64(bins)).astype(np.int64)
+                by = np.argsort(home.astype(np.uint16) if bins <= 1 << 16 else home, kind="stable")  # two bytes sort in linear time
                 cuts = np.searchsorted(home[by], np.arange(bins + 1))
                 brief = _packed5(tokens // np.uint64(COUNTERS) // np.uint64(bins))
                 packed = [v[by] for v in (brief, nodes[item], low[item], high[item].astype(np.uint32), _narrow(sizes[item]), _narrow(place))]

@@ -69,8 +69,8 @@ def _sets(batches: Iterator[pa.RecordBatch], *, shingle: int, bins: int) -> Iter
             item = np.repeat(np.arange(len(sizes)), sizes)
             keep = first[item]
             tokens, item = tokens[keep], item[keep]
-            home = (tokens % np.uint64(bins)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
+            home = (tokens % np.uint64(bins)).astype(np.int64)
+            order = np.argsort(home.astype(np.uint16) if bins <= 1 << 16 else home, kind="stable")
             tokens, item, home = tokens[order], item[order], home[order]
             cuts = np.searchsorted(home, np.arange(bins + 1))
             out: list[list] = [[], [], [], [], []]
