@@ -21,10 +21,25 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: worked out once, and it outlives any executor."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def durable(df: DataFrame, *, release: bool = False) -> DataFrame:
+    """A reliable checkpoint: worked out once, and it outlives any executor.
+
+    With ``release``, the shuffles that led to it are deleted as soon as it is written, not when the driver collects
+    garbage. Nothing reads them again: what follows begins at the checkpoint.
+    """
+    spark = df.sparkSession
+    shared_folder(spark)
+    if not release:
+        return df.checkpoint()
+    before = spark.conf.get(RELEASE, None)
+    spark.conf.set(RELEASE, "true")
+    try:
+        return df.select("*").checkpoint()  # a frame keeps the setting it was made under
+    finally:
+        spark.conf.unset(RELEASE) if before is None else spark.conf.set(RELEASE, before)
 
 
 def bucketed(df: DataFrame, column: str, buckets: int) -> DataFrame:

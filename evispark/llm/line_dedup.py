@@ -51,11 +51,11 @@ def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     n, m = F.col("x_n"), F.col("y.n")
     near = told.filter((100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m)))
     near = near.select(F.col("x_node").alias("later"), F.col("y.node").alias("earlier"), (differ / (n + m)).alias("apart"))
-    near = durable(near.groupBy("later", "earlier").agg(F.min("apart").alias("apart")))
+    near = durable(near.groupBy("later", "earlier").agg(F.min("apart").alias("apart")), release=True)
     nearest = near.groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
-    first = durable(_compared(nearest, nodes, percent))
+    first = durable(_compared(nearest, nodes, percent), release=True)
     more = near.join(first.select("later").distinct(), "later", "left_anti").select("later", "earlier")
-    found = first.union(durable(_compared(more, nodes, percent)))
+    found = first.union(durable(_compared(more, nodes, percent), release=True))
     open_ = index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
     return found.union(_compared(_meetings(open_, index, percent).distinct(), nodes, percent))
 
@@ -89,24 +89,26 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     # Rows that repeat both id and text are one document. Numbered in order, so that lines carry a number, not texts.
     name = F.when(F.length(key) > 32, F.substring(key, 34, 1 << 30)).cast(docs.schema[id_col].dataType)
     lines = durable(
-        items.dropDuplicates(["key"]).orderBy(name, F.substring(key, 1, 32)).withColumn("_doc", F.monotonically_increasing_id())
+        items.dropDuplicates(["key"]).orderBy(name, F.substring(key, 1, 32)).withColumn("_doc", F.monotonically_increasing_id()),
+        release=True,
     )
     each = (
         lines.select("key", "_doc", F.posexplode(F.arrays_zip("item_nodes", "item_sizes")).alias("_line", "item"))
         .filter("item.item_sizes > 0").select("_doc", "_line", F.col("item.item_nodes").alias("node"))
     )
-    firsts = durable(each.groupBy("node").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("many")))
-    index = durable(postings.join(firsts.select("node", "first"), "node"))
+    firsts = durable(each.groupBy("node").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("many")), release=True)
+    index = durable(postings.join(firsts.select("node", "first"), "node"), release=True)
     # The sets are made of each node's first occurrence; a document names no more lines than it has.
     held = index.select("node", "first").dropDuplicates(["node"])
     asked = held.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("first._line").alias("_line"), "node")).alias("lines"))
     wanted = lines.select("key", "_doc").join(asked, "_doc").select("key", "lines")
-    nodes = durable(token_sets(keyed, wanted, shingle=shingle))
+    nodes = durable(token_sets(keyed, wanted, shingle=shingle), release=True)
     gone = later_matches(index, nodes, percent).select(F.col("later").alias("node")).distinct()
     marked = durable(
         firsts.join(gone.withColumn("gone", F.lit(True)), "node", "left")
         .filter("gone OR many > 1")
-        .select("node", F.when(F.col("gone").isNull(), F.col("first")).alias("stays"))
+        .select("node", F.when(F.col("gone").isNull(), F.col("first")).alias("stays")),
+        release=True,
     )
     doomed = each.join(marked, "node").filter(~F.struct(*_ORDER).eqNullSafe(F.col("stays")))
     out = doomed.groupBy("_doc").agg(F.array_sort(F.collect_list("_line")).alias("removed"))

@@ -244,7 +244,7 @@ def line_index(texts: DataFrame, *, shingle: int, percent: int, bins: int = 0) -
     def shared(table: pa.Table) -> pa.Table:
         return _shared(table, percent=percent, bins=bins)
 
-    reduced = durable(packed.groupBy("bin").applyInArrow(shared, fields))
+    reduced = durable(packed.groupBy("bin").applyInArrow(shared, fields), release=True)
     items = reduced.filter(F.col("token").isNull()).select("key", "item_nodes", "item_sizes")
     return items, reduced.filter(F.col("token").isNotNull()).select("token", "node", "low", "high", "n", "place")
 

@@ -15,7 +15,7 @@ def with_sets(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     Few pairs go to the sets, so that only the sets that a pair names cross a shuffle, and those of b in one copy.
     """
-    pairs = durable(pairs.select("a", "b"))
+    pairs = durable(pairs.select("a", "b"), release=True)
     few = pairs.count() <= MAX_BROADCAST_PAIRS
     small = F.broadcast if few else (lambda df: df)
     x, y = (nodes.select(*(F.col(c).alias(f"{side}_{c}") for c in nodes.columns)) for side in "xy")

@@ -201,12 +201,12 @@ def rarity_index(texts: DataFrame, key: str, text: str, *, shingle: int, percent
     def shared(table: pa.Table) -> pa.Table:
         return _shared(table, bins=bins)
 
-    reduced = durable(packed.groupBy("bin").applyInArrow(shared, _REPLY))
+    reduced = durable(packed.groupBy("bin").applyInArrow(shared, _REPLY), release=True)
     items = reduced.filter(F.col("tokens").isNull()).select("key", "item_nodes", "item_sizes")
     replies = reduced.filter(F.col("tokens").isNotNull()).select("block", "tokens", "nodes", "sizes", "runs", "counts")
 
     def ordered(table: pa.Table) -> pa.Table:
         return _nodes(table, percent=percent)
 
-    nodes = durable(replies.groupBy("block").applyInArrow(ordered, _NODE))
+    nodes = durable(replies.groupBy("block").applyInArrow(ordered, _NODE), release=True)
     return items, nodes
