@@ -73,13 +73,15 @@ def arm_lists(spark, sf):
     from evispark.operators.ranking import ranked
 
     first = F.col("l_linestatus") == "F"
+    # Scaled before it is rounded, as the SQL does: rounding the decimal text of a price on a half goes the other way.
+    score = F.round(F.col("l_extendedprice") / 110000.0 * 1000) / 1000
     hits = table(spark, sf, "lineitem").select(
         F.col("l_suppkey").alias("query_id"),
         F.when(first, 0).otherwise(1).alias("list_no"),
         F.when(first, F.lit("embedding")).otherwise(F.lit("hyde")).alias("layer"),
         F.concat(F.lit("p"), F.col("l_partkey") % 97).alias("chunk_id"),
         F.concat(F.lit("d"), F.col("l_partkey") % 7).alias("document_id"),
-        F.round(F.col("l_extendedprice") / 110000.0, 3).alias("score"),
+        score.alias("score"),
         *"l_orderkey l_linenumber l_partkey l_quantity l_discount l_tax l_shipdate l_returnflag".split(),
     )
     order = [F.desc("score")] + [
