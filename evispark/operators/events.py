@@ -25,17 +25,21 @@ def sliding_counts(requests: DataFrame, seconds: int = WINDOW_SECONDS, limit: in
     """Requests in the last ``seconds`` at every moment with a request; the far edge is open.
 
     All requests form one stream, so it is cut into windows of that length: a moment is counted in its
-    own window and offered to the next one as history. Moments are added up first, so a hot window
-    holds distinct time stamps, not requests.
+    own window, where the moments of the window before leave one by one, each that length after it came.
+    So a running sum gives every count, however many moments a window holds. Moments are added up
+    first, so a hot window holds distinct time stamps, not requests.
     """
     width = seconds * 1_000_000
     moments = requests.groupBy(micros(ts).alias("us")).agg(F.count("*").alias("n"))
-    own = F.floor(F.col("us") / width).cast("long")
-    spread = moments.select("us", "n", own.alias("own"), F.explode(F.array(own, own + 1)).alias("slot"))
-    frame = Window.partitionBy("slot").orderBy("us").rangeBetween(-(width - 1), 0)
-    counted = spread.withColumn("in_window", F.sum("n").over(frame)).where("own = slot")
+    own, us, n = F.floor(F.col("us") / width).cast("long"), F.col("us"), F.col("n")
+    came = F.struct(own.alias("slot"), us.alias("us"), n.alias("change"))
+    left = F.struct((own + 1).alias("slot"), (us + width).alias("us"), (-n).alias("change"))
+    slot = Window.partitionBy("slot")
+    so_far = F.sum("change").over(slot.orderBy("us").rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    before = F.sum(F.when(F.col("change") < 0, -F.col("change")).otherwise(0)).over(slot)
+    counted = moments.select(F.inline(F.array(came, left))).withColumn("in_window", before + so_far).where("change > 0")
     return counted.select(
-        "us", F.col("n").alias("requests"), "in_window", (F.col("in_window") > limit).alias("over_limit")
+        "us", F.col("change").alias("requests"), "in_window", (F.col("in_window") > limit).alias("over_limit")
     )
 
 

@@ -38,3 +38,14 @@ HALF_PRICES = """SELECT * REPLACE (CASE WHEN (l_orderkey + l_linenumber) % 2 = 0
 @pytest.mark.parametrize("name", ["candidate_merge", "evaluation_trace", "retrieved_gold_semi_join"])
 def test_prices_on_a_half_keep_their_rank(name, same):
     same(name, lineitem=HALF_PRICES)
+
+
+# All events within four hours, with moments on both edges of the window.
+HOT_EVENTS = """SELECT * REPLACE (TIMESTAMP '2024-01-01 00:00:00' + to_microseconds((event_id * 7919 % 4) * 3600000000 + (event_id // 4 % 50) * 1000000 - event_id % 2) AS ts)
+  FROM '{sf}/events.parquet'"""
+
+
+def test_counts_in_a_hot_window_are_a_running_sum(spark, sf, same):
+    same("sliding_request_count", events=HOT_EVENTS)
+    plan = entry.queries()["sliding_request_count"](spark, sf)._jdf.queryExecution().analyzed().toString()
+    assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan
