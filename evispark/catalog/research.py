@@ -127,7 +127,7 @@ def outline_of_writes(spark, sf):
 )
 def section_rejects(spark, sf):
     flagged = R.in_outline(section_writes(spark, sf), outline_of_writes(spark, sf))
-    return rules.rejects(flagged, ["k"], R.section_rules(F.col("in_outline")))
+    return rules.rejects(R.with_evidence(flagged), ["k"], R.section_rules(F.col("in_outline")))
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import types as t
 
 from evispark.functions import text as T
 from evispark.operators.ranking import first_per_key, ranked, top_k
+from evispark.session import once
 
 # Fixed values.
 CONFIDENCE = ("high", "medium", "low")
@@ -112,13 +113,21 @@ def cited_ids(findings: Column, risks: Column) -> Column:
     return F.array_distinct(F.concat(of(findings), of(risks)))
 
 
+def with_evidence(sections: DataFrame) -> DataFrame:
+    """Add ``evidence``, the sources in normal form and the cited ids, which several of ``section_rules`` look at."""
+    found = F.struct(
+        normalise_sources(F.col("sources")).alias("sources"),
+        cited_ids(F.col("key_findings"), F.col("risks")).alias("cited"),
+    )
+    return once(sections, "evidence", found)
+
+
 def section_rules(in_outline: Column) -> list[tuple[str, Column]]:
-    """Every rule a section must pass before it is saved; all broken ones are reported."""
+    """Every rule a section must pass before it is saved; all broken ones are reported. On rows ``with_evidence``."""
     findings, risks = F.col("key_findings"), F.col("risks")
     body = T.first_text(F.col("body"))
-    sources = normalise_sources(F.col("sources"))
+    sources, cited = F.col("evidence.sources"), F.col("evidence.cited")
     known = F.coalesce(F.transform(sources, lambda s: s["source_id"]), F.array().cast("array<string>"))
-    cited = cited_ids(findings, risks)
     claim = lambda f: first_given(f["claim"], f["summary"], f["title"])
     told = lambda r: first_given(r["description"], r["summary"], r["title"])
     any_of = lambda items, test: F.coalesce(F.exists(items, test), F.lit(False))

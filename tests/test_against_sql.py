@@ -49,3 +49,9 @@ def test_counts_in_a_hot_window_are_a_running_sum(spark, sf, same):
     same("sliding_request_count", events=HOT_EVENTS)
     plan = entry.queries()["sliding_request_count"](spark, sf)._jdf.queryExecution().analyzed().toString()
     assert "RangeFrame, unboundedpreceding$(), currentrow$()" in plan and "RangeFrame, -" not in plan
+
+
+def test_sources_of_a_section_are_not_normalised_by_every_rule(spark, sf, same):
+    same("section_rejects")
+    plan = entry.queries()["section_rejects"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("concat(source-, cast(") <= 2
