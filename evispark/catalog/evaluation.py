@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from evispark.catalog import views as V
 from evispark.catalog.registry import query
 from evispark.catalog.retrieval import FULL_SQL, RRF_LISTS_SQL, benchmark_queries, rrf_of_lists
+from evispark.functions import arrays as A
 from evispark.functions import text as T
 from evispark.operators import evaluation as E
 from evispark.plans.hybrid import hybrid_retrieval
-from evispark.session import table
+from evispark.session import cut_lineage, table
 
 # Cases: one per supplier; gold ids come from its returned lines.
 CASES_SQL = """cases AS (SELECT s_suppkey AS case_id, s_suppkey % 5 <> 0 AS answerable, CASE s_nationkey % 3 WHEN 0 THEN 'dev' WHEN 1 THEN 'test' ELSE 'other' END AS split,
@@ -246,34 +247,35 @@ def evaluation_case_filter(spark, sf):
 
 
 GRAM = 10
-WORD_START = r"(?<=\s)"
 MAX_BROADCAST_ITEMS = 200_000  # of a few hundred bytes; more items are joined by a shuffle
+MAX_FIRST = 256  # first characters of items that a pattern names
 
 
 def documents_with_items(docs, items):
     """(case_id, document_id) where a document's text contains an item's text (of one character or more).
 
-    An item is anchored by the first ``GRAM`` characters from its second word on, which begin a word in the document as well;
-    an item of one word by its own first characters, which may begin anywhere. Whatever is shorter is taken whole. The
-    document's runs of each such kind and length are looked up as they are made; a hit is then tested in full.
+    An item is looked up by its first ``GRAM`` characters among the runs of that length that the document has; a shorter one,
+    as a whole, among the beginnings of these runs. Only the hits of longer items meet the texts again, to be tested in full.
     """
-    later = F.regexp_extract("item_text", r"(?s)\s(\S.*)", 1)
     anchored = items.where("length(item_text) > 0").select(
-        "case_id", "item_text", (later != "").alias("at_word"), F.left(F.when(later != "", later).otherwise(F.col("item_text")), F.lit(GRAM)).alias("anchor")
-    )
-    stats = anchored.agg(F.count("*").alias("n"), F.collect_set(F.struct("at_word", F.length("anchor").alias("k"))).alias("kinds")).first()
+        "case_id", "item_text", F.left("item_text", F.lit(GRAM)).alias("anchor"), (F.length("item_text") > GRAM).alias("long")
+    )
+    stats = anchored.agg(F.count("*").alias("n"), F.collect_set(F.length("anchor")).alias("sizes"), F.collect_set(F.left("anchor", F.lit(1))).alias("first")).first()
     table = F.broadcast(anchored) if stats["n"] <= MAX_BROADCAST_ITEMS else anchored
-    kinds = sorted((kind["at_word"], kind["k"]) for kind in stats["kinds"])  # no more than 2 x GRAM
-    runs = [
-        F.struct(F.lit(at_word).alias("at_word"), F.array_distinct(F.regexp_extract_all("text", F.lit(rf"(?s){at_word * WORD_START}(?=(.{{{k}}}))"), F.lit(1))).alias("grams"))
-        for at_word, k in kinds
-    ]
-    runs = F.array(*runs) if runs else F.array().cast("array<struct<at_word:boolean,grams:array<string>>>")
-    each = docs.select("document_id", "text", F.explode(runs).alias("run"))
-    # The runs are a column of their own, so that the explosion is compiled and does not copy the text for each run.
-    each = each.select("document_id", "text", F.col("run.at_word").alias("own"), F.explode("run.grams").alias("gram"))
-    same = (F.col("gram") == F.col("anchor")) & (F.col("own") == F.col("at_word")) & F.contains("text", F.col("item_text"))
-    return each.join(table, same).select("case_id", "document_id")
+    sizes = sorted(stats["sizes"])  # no more than GRAM
+    # A run begins as some item does.
+    first = "".join(rf"\x{{{ord(c):x}}}" for c in sorted(stats["first"])) if 0 < stats["n"] and len(stats["first"]) <= MAX_FIRST else ""
+    begin = f"(?=[{first}])" if first else ""
+    runs = F.regexp_extract_all("text", F.lit(rf"(?s){begin}(?=(.{{1,{GRAM}}}))"), F.lit(1))
+    beginnings = lambda found: F.array_distinct(F.flatten(F.array(*(F.transform(found, lambda run: F.left(run, F.lit(k))) for k in sizes))))  # noqa: B023, E731
+    grams = A.let(F.array_distinct(runs), beginnings) if sizes else F.array().cast("array<string>")
+    # Outer, as the inner form adds a size test that would search every text twice.
+    hits = docs.select("document_id", F.explode_outer(grams).alias("gram")).join(table, F.col("gram") == F.col("anchor"))
+    # Not worked out again for each length.
+    hits = cut_lineage(hits.select("document_id", "case_id", F.when(F.col("long"), F.col("item_text")).alias("item_text")))
+    told = hits.where("item_text IS NOT NULL").distinct().withColumnRenamed("document_id", "_id")
+    tested = docs.join(told, F.col("document_id").eqNullSafe(F.col("_id")) & F.contains("text", F.col("item_text")))
+    return hits.where("item_text IS NULL").select("case_id", "document_id").unionByName(tested.select("case_id", "document_id"))
 
 
 def gold_documents(spark, sf):
@@ -299,8 +301,10 @@ def gold_item_documents(spark, sf):
         F.concat_ws("-", F.col("item_id").cast("string"), F.col("k").cast("string")).alias("case_id"), "item_text"
     )
     docs = table(spark, sf, "documents").select(F.col("doc_id").alias("document_id"), "text").repartition("document_id")
-    found = documents_with_items(docs, items).groupBy("case_id").agg(F.count("*").alias("n"))
-    return items.join(found, "case_id", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
+    # Items that share a text are looked up once.
+    texts = items.select(F.col("item_text").alias("case_id"), "item_text").distinct()
+    found = documents_with_items(docs, texts).groupBy(F.col("case_id").alias("item_text")).agg(F.count("*").alias("n"))
+    return items.join(found, "item_text", "left").select("case_id", F.coalesce("n", F.lit(0)).alias("n_documents"))
 
 
 @query(

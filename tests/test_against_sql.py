@@ -55,3 +55,16 @@ def test_sources_of_a_section_are_not_normalised_by_every_rule(spark, sf, same):
     same("section_rejects")
     plan = entry.queries()["section_rejects"](spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("concat(source-, cast(") <= 2
+
+
+# A text of one word after another, one text twice, one document number twice; items at both ends, across words and within one.
+ITEM_DOCUMENTS = """SELECT * FROM '{sf}/documents.parquet'
+  UNION ALL SELECT x.* REPLACE (d AS doc_id, t AS text) FROM (SELECT * FROM '{sf}/documents.parquet' LIMIT 1) x,
+    (VALUES (900001, 'alpha beta'), (900001, 'xalpha' || chr(10) || 'beta'), (900002, 'alpha beta'), (900003, 'é[alphabetical] order'),
+            (900004, 'alpha  beta gamma delta epsilon'), (900005, ''), (900006, NULL)) v(d, t)"""
+ITEM_TEXTS = """SELECT * FROM '{sf}/benchmark.parquet' UNION ALL SELECT x.* REPLACE (900000 + row_number() OVER () AS item_id, t AS text) FROM (SELECT * FROM '{sf}/benchmark.parquet' LIMIT 1) x,
+    (VALUES ('alpha beta'), ('alphabetical order'), ('alphabetical] order'), ('alpha beta gamma'), ('alpha  beta gamma delta'), ('[alphabetical'), ('^ -'), ('a')) v(t)"""
+
+
+def test_items_in_documents_wherever_they_stand(same):
+    same("gold_item_documents", documents=ITEM_DOCUMENTS, benchmark=ITEM_TEXTS)
