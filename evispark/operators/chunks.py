@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evispark.functions import arrays as A
 from evispark.functions import text as T
 
 # Sizes in characters.
@@ -40,11 +41,16 @@ def fixed_windows(
     """One row per window of ``size`` characters, consecutive windows sharing ``overlap``; a narrow step."""
     step = size - overlap
     count = F.greatest(F.lit(1), F.ceil((F.length(text) - overlap) / step)).cast("int")
-    return (
-        df.withColumn("chunk_index", F.explode(F.sequence(F.lit(0), count - 1)))
-        .withColumn("content", F.substring(F.col(text), F.col("chunk_index") * step + 1, F.lit(size)))
-        .drop(text)
+    # The text is cut once into strides, of which windows are joined; neither is it walked nor copied for each window.
+    reach = -(-size // step)
+    strides = F.regexp_extract_all(text, F.lit(rf"(?s).{{1,{step}}}"), F.lit(0))
+    windows = A.let(
+        F.struct(strides.alias("strides"), count.alias("n")),
+        lambda own: F.transform(
+            F.sequence(F.lit(0), own["n"] - 1), lambda i: F.left(F.array_join(F.slice(own["strides"], i + 1, F.lit(reach)), ""), F.lit(size))
+        ),
     )
+    return df.select(*[c for c in df.columns if c != text], F.posexplode_outer(windows).alias("chunk_index", "content"))
 
 
 def embedding_text(file_title, section_title, document_type, regions, topics, keywords, content) -> Column:

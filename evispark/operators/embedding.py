@@ -7,7 +7,9 @@ dense side, either as columns or as a batch encoder. A real model plugs in as an
 from __future__ import annotations
 
 import hashlib
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -21,6 +23,7 @@ from evispark.functions import text as T
 
 HASH_DIM = 64
 MIN_NORM = 1e-9
+MAX_KNOWN = 200_000  # terms that an encoder remembers
 WORD_PATTERN = T.WORD_PATTERN
 
 
@@ -54,19 +57,27 @@ def sparse_postings(df: DataFrame, key: str, text: str) -> DataFrame:
     return l2_normalised(log_weights(term_counts(df, key, text)), key).select(key, "term", "weight")
 
 
+def _numbers() -> defaultdict:
+    """Terms to numbers, each new one getting the next."""
+    known: defaultdict = defaultdict()
+    known.default_factory = known.__len__
+    return known
+
+
 @F.arrow_udf(t.StructType([t.StructField("terms", t.ArrayType(t.StringType())), t.StructField("weights", t.ArrayType(t.DoubleType()))]))
 def _term_weights(texts: pa.Array) -> pa.Array:
     word = regex.compile(WORD_PATTERN)
     found = [word.findall((text or "").lower()) for text in texts.to_pylist()]
-    flat = pa.array([term for terms in found for term in terms], pa.string()).dictionary_encode()
-    n_terms = max(1, len(flat.dictionary))
-    row = np.repeat(np.arange(len(found)), [len(terms) for terms in found])
-    cell, count = np.unique(row * n_terms + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
+    sizes = [len(terms) for terms in found]
+    known = _numbers()
+    flat = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
+    n_terms = max(1, len(known))
+    cell, count = np.unique(np.repeat(np.arange(len(found)) * n_terms, sizes) + flat, return_counts=True)
     row, term = cell // n_terms, cell % n_terms
     weight = 1.0 + np.log(count)
     weight /= np.sqrt(np.bincount(row, weight * weight, len(found)))[row]
     bounds = pa.array(np.searchsorted(row, np.arange(len(found) + 1)).astype(np.int32))
-    terms = pa.ListArray.from_arrays(bounds, flat.dictionary.take(pa.array(term)))
+    terms = pa.ListArray.from_arrays(bounds, pa.array(list(known), pa.string()).take(pa.array(term)))
     return pa.StructArray.from_arrays([terms, pa.ListArray.from_arrays(bounds, pa.array(weight))], names=["terms", "weights"])
 
 
@@ -128,37 +139,34 @@ def csr_row(indices: Column, data: Column, start: Column, end: Column) -> Column
 def hashing_encoder(dim: int = HASH_DIM) -> Callable[[list[str]], tuple[list, list]]:
     """The offline encoder for one worker: same vectors as ``sparse_postings`` and ``hashed_dense``."""
     word = regex.compile(WORD_PATTERN)
-    known: dict[str, tuple[int, int, float]] = {}
-
-    def place(term: str) -> tuple[int, int, float]:
-        found = known.get(term)
-        if found is None:
-            digest = hashlib.sha256(term.encode()).hexdigest()
-            found = (int(digest[:8], 16) % dim, int(digest[:7], 16), -1.0 if int(digest[8], 16) % 2 else 1.0)
-            if len(known) < 200_000:
-                known[term] = found
-        return found
+    known = _numbers()
+    heads = np.zeros(0, np.int64)  # of known terms: the first nine hex digits of the digest
 
     def encode(texts: list[str]) -> tuple[list, list]:
+        nonlocal heads
+        if len(known) > MAX_KNOWN:
+            known.clear()
+            heads = heads[:0]
         found = [word.findall((text or "").lower()) for text in texts]
         sizes = [len(terms) for terms in found]
-        flat = pa.array([term for terms in found for term in terms], pa.string()).dictionary_encode()
-        places = [place(term) for term in flat.dictionary.to_pylist()]
-        bucket, slot = (np.array([p[i] for p in places], np.int64) for i in (0, 1))
-        sign = np.array([p[2] for p in places])
+        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(found)), np.int64, sum(sizes))
+        fresh = [int.from_bytes(hashlib.sha256(term.encode()).digest()[:5]) >> 4 for term in islice(known, len(heads), None)]
+        heads = np.concatenate([heads, np.array(fresh, np.int64)])
         # A cell is a term of a text.
-        n_terms = max(1, len(places))
-        cell, count = np.unique(np.repeat(np.arange(len(texts)), sizes) * n_terms + flat.indices.to_numpy(zero_copy_only=False), return_counts=True)
-        row, term = cell // n_terms, cell % n_terms
+        n_terms = max(1, len(known))
+        cell, count = np.unique(np.repeat(np.arange(len(texts)) * n_terms, sizes) + flat, return_counts=True)
+        row = cell // n_terms
+        head = heads[cell - row * n_terms]
         weight = 1.0 + np.log(count)
         length = np.sqrt(np.bincount(row, weight * weight, len(texts)))
-        dense = np.bincount(row * dim + bucket[term], sign[term] * weight, len(texts) * dim).reshape(len(texts), dim)
+        dense = np.bincount(row * dim + (head >> 4) % dim, (1.0 - 2.0 * (head & 1)) * weight, len(texts) * dim).reshape(len(texts), dim)
         size = np.linalg.norm(dense, axis=1, keepdims=True)
         dense = np.where(size >= MIN_NORM, dense / np.maximum(size, MIN_NORM), dense)
-        spot, at = np.unique(row << 28 | slot[term], return_inverse=True)
+        spot, at = np.unique(row << 28 | head >> 8, return_inverse=True)
         sums = np.bincount(at, weight / length[row], len(spot))
-        cuts = np.searchsorted(spot, np.arange(1, len(texts)) << 28)
-        return list(dense), list(zip(np.split(spot & ((1 << 28) - 1), cuts), np.split(sums, cuts), strict=True))
+        cuts = np.searchsorted(spot, np.arange(len(texts) + 1) << 28).tolist()
+        slots = spot & ((1 << 28) - 1)
+        return list(dense), [(slots[lo:hi], sums[lo:hi]) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
 
     return encode
 

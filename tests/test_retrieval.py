@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -163,3 +165,40 @@ def test_term_vectors_equal_postings(spark):
     rows = E.term_vectors(df, "k", "text").collect()
     assert {(r.k, t, round(w, 12)) for r in rows for t, w in zip(r.terms, r.weights)} == want
     assert {r.k: len(r.terms) for r in rows if r.k in "bce"} == {"b": 0, "c": 0, "e": 0}
+
+
+def test_items_of_many_lengths_are_searched_in_one_pass(spark):
+    """Eight megabytes, ten lengths: taken apart at every character once for each length, they would take a minute."""
+    from evispark.catalog.evaluation import documents_with_items
+
+    numbers = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(1_000_000)), lambda i: F.lpad(i.cast("string"), 7, "0")), " ")
+    docs = spark.range(1).select(F.lit("d").alias("document_id"), F.concat(numbers, F.lit(" Quickstep")).alias("text"))
+    items = spark.createDataFrame([(f"{n}", "Quickstepping"[:n]) for n in range(1, 11)], "case_id string, item_text string")
+    started = time.monotonic()
+    assert sorted(int(r.case_id) for r in documents_with_items(docs, items).collect()) == list(range(1, 10))
+    assert time.monotonic() - started < 40
+
+
+def test_windows_of_a_long_text_take_time_in_proportion(spark):
+    """Eight megabytes: neither copied for each window nor walked from its beginning."""
+    from evispark.operators.chunks import fixed_windows
+
+    digits = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(999_999)), lambda i: F.lpad(i.cast("string"), 7, "0")), "é")
+    docs = spark.range(1).select(F.lit("d").alias("document_id"), digits.alias("text"))
+    started = time.monotonic()
+    rows = fixed_windows(docs).select("chunk_index", "content").collect()
+    assert time.monotonic() - started < 20
+    text = "é".join(f"{i:07d}" for i in range(1_000_000))
+    assert len(rows) == -(-(len(text) - 30) // 570)
+    assert all(r.content == text[570 * r.chunk_index :][:600] for r in rows)
+
+
+@pytest.mark.parametrize("size, overlap", [(600, 30), (5, 4), (5, 0), (3, 1)])
+def test_windows_of_short_blank_and_missing_texts(spark, size, overlap):
+    from evispark.operators.chunks import fixed_windows
+
+    texts = ["", "a", "ab\ncdefgh\r\nij😀kl", "x" * 30, "y" * 31, "z" * 600, "z" * 601, None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    step = size - overlap
+    want = {(n, i, None if t is None else t[step * i :][:size]) for n, t in enumerate(texts) for i in range(max(1, -(-(len(t or "") - overlap) // step)))}
+    assert {(r.n, r.chunk_index, r.content) for r in fixed_windows(docs, size=size, overlap=overlap).collect()} == want
