@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 # The Unicode white space that Python's str methods recognise, as a regex class body.
 SPACE = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+# The same characters one by one.
+SPACE_CHARS = "\t\n\x0b\f\r \x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 # Patterns of headings, tags and titles.
 HEADING_CLOSING = rf"[{SPACE}]+#+[{SPACE}]*$"
@@ -36,7 +38,8 @@ CONFIDENCE_LABELS = {"high": "高置信度", "medium": "中置信度", "low": "
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^[{SPACE}]+|[{SPACE}]+$", "")
+    """A trim by characters: a pattern for both ends would be tried at every character between them."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
 
 
 def collapse(c: Column) -> Column:

@@ -189,3 +189,20 @@ def test_pieces_agree_with_a_plain_walk(spark):
                 else:
                     current = longer
             assert r.p == want + [current] * bool(current)
+
+
+def test_strip_removes_what_python_strips_in_linear_time(spark):
+    """A pattern for the end of a text is tried at every blank before it: hours for a long run of blanks inside."""
+    import time
+
+    from evispark.functions import text as T
+
+    blanks = [chr(i) for i in range(0x10000) if not 0xD800 <= i < 0xE000 and chr(i).isspace()]
+    assert sorted(T.SPACE_CHARS) == blanks
+    texts = ["", " ", "a", None, "᠎a​"] + [f"{c}\n{c}a{c}b{c} {c}" for c in blanks]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", T.strip(F.col("t")).alias("s")).collect()
+    assert all(r.s == (None if r.t is None else r.t.strip()) for r in rows)
+    started = time.monotonic()
+    long = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 400_000), F.lit("b ")).alias("t"))
+    assert long.select(F.length(T.strip(F.col("t")))).first()[0] == 400_002
+    assert time.monotonic() - started < 15
