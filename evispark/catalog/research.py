@@ -30,7 +30,16 @@ def dotted(p):
     )
 
 
+def section_id_of(p):
+    return F.when(p % 11 == 0, F.lit("")).otherwise(dotted(p))
+
+
 def section_writes(spark, sf):
+    return written(table(spark, sf, "part"))
+
+
+def written(parts):
+    """The section that each of ``parts`` writes."""
     p = F.col("p_partkey")
     none = F.lit(None).cast("string")
     ids = lambda *xs: F.array(*xs).cast("array<string>")
@@ -81,13 +90,13 @@ def section_writes(spark, sf):
     body = F.concat(
         F.trim(F.repeat(F.concat("p_name", F.lit(" ")), F.col("p_size"))), F.when(p % 17 == 0, F.lit(" TODO")).otherwise(F.lit(""))
     )
-    return table(spark, sf, "part").select(
+    return parts.select(
         p.alias("k"),
         p.alias("seq"),
         "p_type",
         F.col("p_brand").alias("project_id"),
         dotted(p).alias("dotted"),
-        F.when(p % 11 == 0, F.lit("")).otherwise(dotted(p)).alias("section_id"),
+        section_id_of(p).alias("section_id"),
         F.when(p % 13 == 0, F.lit("")).otherwise(F.col("p_name")).alias("title"),
         F.when(p % 2 == 0, F.concat(F.lit("about "), "p_type")).alias("summary"),
         body.alias("body"),
@@ -167,8 +176,12 @@ SAVED_SQL = "saved AS (SELECT * FROM writes WHERE section_id <> '' QUALIFY row_n
 
 
 def saved_sections(spark, sf):
-    writes = section_writes(spark, sf).where("section_id <> ''")
-    return S.upsert_sections(writes)
+    # The last writes are chosen before their texts are made, which are ten times as long as a part: the choice sorts all writes.
+    p = F.col("p_partkey")
+    keyed = table(spark, sf, "part").select(
+        "*", F.col("p_brand").alias("project_id"), section_id_of(p).alias("section_id"), p.alias("seq")
+    )
+    return written(S.upsert_sections(keyed.where("section_id <> ''")))
 
 
 def normal_sections(spark, sf):

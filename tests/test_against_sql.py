@@ -1,5 +1,6 @@
 """Queries against their SQL on small tables made for the case."""
 
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -68,3 +69,23 @@ ITEM_TEXTS = """SELECT * FROM '{sf}/benchmark.parquet' UNION ALL SELECT x.* REPL
 
 def test_items_in_documents_wherever_they_stand(same):
     same("gold_item_documents", documents=ITEM_DOCUMENTS, benchmark=ITEM_TEXTS)
+
+
+def sorted_columns(df):
+    """Names of the columns that some sort of the plan holds, joins being sorted."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    inputs = re.findall(r"\) Sort\nInput \[\d+\]: \[(.*)\]", text)
+    assert inputs
+    return {name.split("#")[0].strip() for line in inputs for name in line.split(",")}
+
+
+def test_the_choice_of_saved_sections_sorts_no_texts(spark, sf):
+    held = sorted_columns(entry.queries()["saved_section_gate"](spark, sf))
+    assert {"project_id", "section_id"} <= held
+    assert not {"body", "key_findings", "risks", "sources"} & held
