@@ -49,7 +49,7 @@ def parsed(rows: DataFrame) -> DataFrame:
 
 
 def gold_rules() -> list[tuple[str, Column]]:
-    """Rules on parsed rows."""
+    """Rules on parsed rows, each by itself."""
     text = lambda c: T.first_text(F.col(c))
     names = F.array(*[F.lit(f.name) for f in schemas.GOLD_CONTEXT.fields])
     is_list = lambda c: F.coalesce(F.startswith(text(c), F.lit("[")) & F.endswith(text(c), F.lit("]")), F.lit(False))
@@ -80,15 +80,17 @@ def gold_rules() -> list[tuple[str, Column]]:
             ~answerable & ((F.coalesce(F.size(contexts), F.lit(0)) > 0) | (F.coalesce(F.size(must), F.lit(0)) > 0)),
         ),
         ("unanswerable_without_reference", ~answerable & (reference == "")),
-        ("case_id_repeated", F.col("_times") > 1),
     ]
 
 
 def checked(rows: DataFrame) -> DataFrame:
-    key = T.first_text(F.col("case_id"))
-    repeated = rows.groupBy(key.alias("_key")).agg(F.count("*").alias("_times")).where("_times > 1")
-    counted = parsed(rows).withColumn("_key", key).join(repeated, "_key", "left").drop("_key")
-    return rules.check(counted.withColumn("_times", F.coalesce("_times", F.lit(1))), gold_rules())
+    """The parsed rows with their problems."""
+    # Judged before the join with the repeated ids, so that a reader of the problems alone sorts no texts there.
+    judged = rules.check(parsed(rows).withColumn("_key", T.first_text(F.col("case_id"))), gold_rules())
+    repeated = judged.groupBy("_key").agg(F.count("*").alias("_times")).where("_times > 1")
+    named = judged.join(repeated, "_key", "left").drop("_key")
+    again = F.when(F.col("_times").isNull(), F.col("problems")).otherwise(F.array_append("problems", F.lit("case_id_repeated")))
+    return named.withColumn("problems", again).withColumn("_times", F.coalesce("_times", F.lit(1)))
 
 
 def load_gold_cases(

@@ -89,3 +89,9 @@ def test_the_choice_of_saved_sections_sorts_no_texts(spark, sf):
     held = sorted_columns(entry.queries()["saved_section_gate"](spark, sf))
     assert {"project_id", "section_id"} <= held
     assert not {"body", "key_findings", "risks", "sources"} & held
+
+
+def test_the_join_with_repeated_gold_ids_sorts_no_texts(spark, sf):
+    held = sorted_columns(entry.queries()["gold_case_rejects"](spark, sf))
+    assert {"row_number", "_key", "problems"} <= held
+    assert not {"contexts", "gold_contexts_json", "context_keys", "must_ids"} & held
