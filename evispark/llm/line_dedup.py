@@ -1,8 +1,8 @@
 """Line dedup: an exact set-similarity join of all lines, after which the later of two alike lines goes.
 
 A line's tokens are its distinct words (or shingles of more words, by parameter). Tokens are ordered by rarity over all
-lines; two lines meet by a token that both have in their prefix (the first quarter for 75 percent), and length, position
-and bitmap filters go before the exact comparison. Lines with equal sets are one node with many occurrences.
+lines; two lines meet by a token that both have in their prefix (the first quarter for 75 percent), and length, position,
+bitmap and sketch filters go before the exact comparison. Lines with equal sets are one node with many occurrences.
 """
 
 from __future__ import annotations
@@ -15,16 +15,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from evispark.llm.durable import durable
-from evispark.llm.line_index import line_index, squeezed, token_sets, unsqueezed
+from evispark.llm.line_index import SKETCH, line_index, squeezed, token_sets, unsqueezed
 from evispark.llm.ngram_join import alike
 from evispark.llm.pairs import with_sets
 
 _ORDER = ("_doc", "_line")
 
 
+def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """Of (later, earlier) node pairs, those whose sketches leave a match possible, and the share ``apart`` of tokens that differ
+    at least. So few others move token sets, which are ten times as long as sketches or more."""
+    later, earlier = (nodes.select(F.col("node").alias(side), F.struct("n", *SKETCH).alias(at)) for side, at in (("later", "x"), ("earlier", "y")))
+    both = pairs.join(later, "later").join(earlier, "earlier")
+    differ = sum(F.bit_count(F.col(f"x.{word}").bitwiseXOR(F.col(f"y.{word}"))) for word in SKETCH)
+    total = F.col("x.n") + F.col("y.n")
+    near = both.filter((100 + percent) * differ <= (100 - percent) * total)
+    return near.select("later", "earlier", (differ / total).alias("apart"))
+
+
 def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Of (later, earlier) node pairs, those alike."""
-    both = with_sets(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")), nodes)
+    both = with_sets(pairs.select(F.col("later").alias("a"), F.col("earlier").alias("b")), nodes.select("node", "n", "tokens"))
     common = F.size(F.array_intersect("x_tokens", "y_tokens"))
     alike_ = both.withColumn("common", common).filter(alike(F.col("common"), F.col("x_n"), F.col("y_n"), percent))
     return alike_.select(F.col("a").alias("later"), F.col("b").alias("earlier"))
@@ -33,15 +44,15 @@ def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(later, earlier): for each node that is alike to a node with an earlier first occurrence, one or more such nodes.
 
-    ``index`` has token, node, low, high, n, place and first. Of each of its prefix tokens a node is told three earlier
-    nodes: the very first, the one before it, and the one with the fewest prefix tokens of its own, which among edited
-    copies is the original or what is closest to it. The node first meets that of them whose bitmap is nearest to its own;
-    a node without a match there meets all of them, and only one without a match there too meets all earlier nodes that
-    pass the filters. So the first two rounds compare no more than three pairs a posting, and a group of copies is not
-    compared with itself.
+    ``index`` has token, node, low, high, n, place, first and many, the node's number of rows. Of each of its prefix tokens a
+    node is told three earlier nodes: the very first, the one before it, and the one with the fewest prefix tokens of its own,
+    which among edited copies is the original or what is closest to it. The node first meets that of them whose sketch is
+    nearest to its own; a node without a match there meets all of them, and only one without a match there too meets all
+    earlier nodes that pass the filters. So the first two rounds compare no more than three pairs a posting, and a group of
+    copies is not compared with itself.
     """
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
-    ranked = index.withColumn("own", prefix - F.count("*").over(W.partitionBy("node")))
+    ranked = index.withColumn("own", prefix - F.col("many"))
     order = W.partitionBy("token").orderBy("first", "node")
     before = order.rowsBetween(W.unboundedPreceding, -1)
     who = F.struct("own", "node", "low", "high", "n")
@@ -49,15 +60,15 @@ def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame
     told = told.select(*(F.col(c).alias(f"x_{c}") for c in ("node", "low", "high", "n")), F.explode("told").alias("y")).filter("y IS NOT NULL")
     differ = F.bit_count(F.col("x_low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x_high").bitwiseXOR(F.col("y.high")))
     n, m = F.col("x_n"), F.col("y.n")
-    near = told.filter((100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m)))
-    near = near.select(F.col("x_node").alias("later"), F.col("y.node").alias("earlier"), (differ / (n + m)).alias("apart"))
-    near = durable(near.groupBy("later", "earlier").agg(F.min("apart").alias("apart")), release=True)
+    met = told.filter((100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m)))
+    met = met.select(F.col("x_node").alias("later"), F.col("y.node").alias("earlier")).distinct()
+    near = durable(_close(met, nodes, percent), release=True)
     nearest = near.groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
     first = durable(_compared(nearest, nodes, percent), release=True)
     more = near.join(first.select("later").distinct(), "later", "left_anti").select("later", "earlier")
     found = first.union(durable(_compared(more, nodes, percent), release=True))
     open_ = index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
-    return found.union(_compared(_meetings(open_, index, percent).distinct(), nodes, percent))
+    return found.union(_compared(_close(_meetings(open_, index, percent).distinct(), nodes, percent), nodes, percent))
 
 
 def _meetings(some: DataFrame, index: DataFrame, percent: int) -> DataFrame:
@@ -97,7 +108,8 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         .filter("item.item_sizes > 0").select("_doc", "_line", F.col("item.item_nodes").alias("node"))
     )
     firsts = durable(each.groupBy("node").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("many")), release=True)
-    index = durable(postings.join(firsts.select("node", "first"), "node"), release=True)
+    counted = postings.join(firsts.select("node", "first"), "node").withColumn("many", F.count("*").over(W.partitionBy("node")))
+    index = durable(counted, release=True)
     # The sets are made of each node's first occurrence; a document names no more lines than it has.
     held = index.select("node", "first").dropDuplicates(["node"])
     asked = held.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("first._line").alias("_line"), "node")).alias("lines"))
@@ -142,7 +154,7 @@ def dedup_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
             for i, numbers in enumerate(gone):
                 if numbers and texts[i] is not None:
                     out = set(numbers)
-                    texts[i] = "\n".join(line for k, line in enumerate(texts[i].split("\n")) if k not in out)
+                    texts[i] = b"\n".join(line for k, line in enumerate(texts[i].split(b"\n")) if k not in out)
             count = [0 if t is None else n for t, n in zip(texts, batch.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(texts, pa.string()), pa.array(count, pa.int64()), pa.array([len(g) for g in gone], pa.int64())], names=["rest", "text", "n_lines", "n_removed"]

@@ -6,7 +6,8 @@ Tokens are ordered by (counter, hash), one order for all lines; sharing a counte
 result does not depend on the table's size. Only each line's prefix crosses the shuffle, as packed arrays with a bitmap of the
 whole line: 96 bits, each the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in
 tokens, so where a token's lines meet, length, position and bitmap tell most strangers apart. A prefix token stays only if some
-other line may match by it; whole token sets are made again only for lines that keep one.
+other line may match by it; whole token sets are made again only for lines that keep one, and with them a sketch, which is a
+bitmap of 256 bits: it tells apart what 96 bits cannot before any set is moved.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ BLOCK_BYTES = 1 << 20
 _NODE_SEED = np.uint64(0x9E3779B97F4A7C15)
 _SIZE_SEED = np.uint64(0xC2B2AE3D27D4EB4F)
 _BIT_SEED = np.uint64(0x165667B19E3779F9)
+SKETCH = ("s0", "s1", "s2", "s3")
 PACKED = ("tokens", "nodes", "low", "high", "sizes", "places")
 
 
@@ -86,48 +88,73 @@ def by_rarity(item: np.ndarray, rarity: np.ndarray) -> np.ndarray:
     return np.sort((item * COUNTERS + rarity << bits) + np.arange(len(item))) & ((1 << bits) - 1)
 
 
-def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The lower 64 and the upper 32 bits of each set's bitmap; 0 for empty sets."""
+def parities(tokens: np.ndarray, bounds: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Each set's bitmap of so many bits, as 64-bit words from the lowest on; 0 for empty sets."""
     full = np.flatnonzero(np.diff(bounds))
-    place = ((mixed(tokens ^ _BIT_SEED) >> np.uint64(32)) * np.uint64(96)) >> np.uint64(32)
+    place = ((mixed(tokens ^ _BIT_SEED) >> np.uint64(32)) * np.uint64(bits)) >> np.uint64(32)
     bit = np.uint64(1) << (place & np.uint64(63))
     out = []
-    for half in (0, 1):
+    for word in range(-(-bits // 64)):
         sums = np.zeros(len(bounds) - 1, np.uint64)
         if len(full):
-            sums[full] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == half, bit, np.uint64(0)), bounds[full])
+            sums[full] = np.bitwise_xor.reduceat(np.where(place >> np.uint64(6) == word, bit, np.uint64(0)), bounds[full])
         out.append(sums)
-    return out[0], out[1]
+    return out
+
+
+def bitmaps(tokens: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The lower 64 and the upper 32 bits of each set's bitmap; 0 for empty sets."""
+    low, high = parities(tokens, bounds, 96)
+    return low, high
 
 
 def may_match(start: np.ndarray, many: np.ndarray, sizes: np.ndarray, places: np.ndarray, low: np.ndarray, high: np.ndarray, percent: int) -> np.ndarray:
     """Of postings in runs of one token each: whether another one of the run passes the length, position and bitmap filters.
 
-    ``start`` and ``many`` are those of a posting's run. A posting is compared until it has passed once, so that a run of
-    copies costs little more than its length. Nothing of the size of a run's pairs is held.
+    ``start`` and ``many`` are those of a posting's run. In order of size, length and a posting's own position leave it one
+    stretch of the run behind it, mostly a short one. A posting is compared with that until it has passed once, so that a run
+    of copies costs little more than its length; those left are then compared with the ones before them that stopped so.
+    Nothing of the size of a run's pairs is held.
     """
     found = np.zeros(len(start), bool)
-    at = np.argsort(-many, kind="stable")  # longest runs first, so that those still open begin the list
-    step = 1
-    while True:
-        at = at[: np.searchsorted(-many[at], -step)]  # runs of more than ``step``
-        at = at[~found[at]]
-        if not len(at):
-            return found
-        end, run, n, left, right = start[at] + many[at], many[at], sizes[at], low[at], high[at]
-        for step in range(step, min(step + 16, int(run[0]))):
-            k = int(np.searchsorted(-run, -step))
-            j = at[:k] + step
-            j -= np.where(j >= end[:k], run[:k], 0)
-            near = np.flatnonzero((100 + percent) * np.bitwise_count(left[:k] ^ low[j]).astype(np.int64) <= (100 - percent) * (n[:k] + sizes[j]))
-            i, j = at[near], j[near]
-            differ = np.bitwise_count(left[near] ^ low[j]).astype(np.int64) + np.bitwise_count(right[near] ^ high[j])
-            both, room = n[near] + sizes[j], np.minimum(n[near] - places[i], sizes[j] - places[j])
-            fits = ((100 + percent) * differ <= (100 - percent) * both) & ((100 + percent) * room >= percent * both)
-            fits &= (100 * n[near] >= percent * sizes[j]) & (100 * sizes[j] >= percent * n[near])
-            found[i[fits]] = True
-            found[j[fits]] = True
-        step += 1
+    some = np.flatnonzero(many > 1)
+    keys = (start[some] << 32) + sizes[some]
+    by = np.argsort(keys, kind="stable")
+    some, keys = some[by], keys[by]
+    run, n, place, left, right = start[some] << 32, *(c[some] for c in (sizes, places, low, high))
+    passed = np.zeros(len(some), bool)
+
+    def compare(own: np.ndarray, first: np.ndarray, end: np.ndarray, others: np.ndarray) -> None:
+        """Each of ``own`` with its stretch of ``others``."""
+        wide = end - first
+        at = np.argsort(-wide, kind="stable")  # longest stretches first, so that those still open begin the list
+        step = 0
+        while True:
+            at = at[: np.searchsorted(-wide[at], -step)]  # stretches that have this step
+            at = at[~passed[own[at]]]
+            if not len(at):
+                return
+            begin, reach, size, mine = first[at], wide[at], n[own[at]], left[own[at]]
+            for step in range(step, min(step + 16, int(reach[0]))):
+                k = int(np.searchsorted(-reach, -step))
+                j = others[begin[:k] + step]
+                near = np.flatnonzero((100 + percent) * np.bitwise_count(mine[:k] ^ left[j]).astype(np.int64) <= (100 - percent) * (size[:k] + n[j]))
+                i, j = own[at[near]], j[near]
+                differ = np.bitwise_count(left[i] ^ left[j]).astype(np.int64) + np.bitwise_count(right[i] ^ right[j])
+                both, room = n[i] + n[j], np.minimum(n[i] - place[i], n[j] - place[j])
+                fits = ((100 + percent) * differ <= (100 - percent) * both) & ((100 + percent) * room >= percent * both)
+                passed[i[fits]] = True
+                passed[j[fits]] = True
+            step += 1
+
+    own = np.arange(len(some))
+    most = np.minimum(100 * n // percent, ((100 + percent) * (n - place) - percent * n) // percent)
+    compare(own, own + 1, np.searchsorted(keys, run + np.maximum(most, 0), side="right"), own)
+    rest, stopped = np.flatnonzero(~passed), np.flatnonzero(passed)
+    least = np.searchsorted(keys, (run - (-percent * n // 100))[rest])
+    compare(rest, np.searchsorted(stopped, least), np.searchsorted(stopped, rest), stopped)
+    found[some] = passed
+    return found
 
 
 def _packed5(numbers: np.ndarray) -> np.ndarray:
@@ -256,7 +283,8 @@ def squeezed(texts: DataFrame) -> DataFrame:
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec("zstd", compression_level=3)
         for batch in batches:
-            bodies = [None if t is None else t.encode() for t in batch.column(1).to_pylist()]
+            column = batch.column(1)
+            bodies = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
             packed = [None if b is None else len(b).to_bytes(8, "little") + codec.compress(b, asbytes=True) for b in bodies]
             columns = [pa.array(packed, pa.binary()) if k == 1 else c for k, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=names)
@@ -265,14 +293,15 @@ def squeezed(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(squeeze, ", ".join(f"`{n}` {k}" for n, k in zip(names, kinds, strict=True)))
 
 
-def unsqueezed(column: pa.Array) -> list[str | None]:
+def unsqueezed(column: pa.Array) -> list[bytes | None]:
+    """The texts in UTF-8."""
     codec = pa.Codec("zstd")
-    return [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True).decode() for p in column.to_pylist()]
+    return [None if p is None else codec.decompress(p[8:], int.from_bytes(p[:8], "little"), asbytes=True) for p in column.to_pylist()]
 
 
 def token_sets(texts: DataFrame, wanted: DataFrame, *, shingle: int) -> DataFrame:
-    """(node, n, tokens) of the lines that ``wanted`` (key, lines: array of struct<_line, node>) names in ``texts``; a node
-    twice where a key is."""
+    """(node, n, tokens, and the words of the sketch) of the lines that ``wanted`` (key, lines: array of struct<_line, node>)
+    names in ``texts``; a node twice where a key is."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -283,7 +312,8 @@ def token_sets(texts: DataFrame, wanted: DataFrame, *, shingle: int) -> DataFram
                 flat = asked.flatten()
                 at = rows[:-1][np.asarray(pc.list_parent_indices(asked))] + np.asarray(flat.field("_line"))
                 lists = pa.array([tokens[bounds[i] : bounds[i + 1]].view(np.int64) for i in at], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([flat.field("node"), pa.array(np.diff(bounds)[at], pa.int32()), lists], names=["node", "n", "tokens"])
+                sketch = [pa.array(words[at].view(np.int64)) for words in parities(tokens, bounds, 64 * len(SKETCH))]
+                yield pa.RecordBatch.from_arrays([flat.field("node"), pa.array(np.diff(bounds)[at], pa.int32()), lists, *sketch], names=["node", "n", "tokens", *SKETCH])
 
     once = squeezed(texts.select("key", "text")).join(wanted, "key").dropDuplicates(["key"])
-    return once.select("packed", "lines").mapInArrow(sets, "node long, n int, tokens array<long>")
+    return once.select("packed", "lines").mapInArrow(sets, "node long, n int, tokens array<long>, " + ", ".join(f"{c} long" for c in SKETCH))

@@ -13,13 +13,14 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evispark.llm import packing, secrets, toxicity, warc
+from evispark.llm import line_dedup, packing, secrets, toxicity, warc
 from evispark.llm.decontamination import contamination, decontaminate
 from evispark.llm.embedding_join import near_duplicates
 from evispark.llm.graph import components
 from evispark.llm.line_dedup import dedup_lines
 from evispark.llm.line_index import bitmaps, may_match
 from evispark.llm.ngram_join import ngram_jaccard_join
+from evispark.llm.pairs import with_sets
 from evispark.llm.sharding import assign_shards
 from evispark.llm.url_filter import judge_urls
 from tests.llm.brute import alike, dedup, segments, shingles, smallest_reachable, words
@@ -138,6 +139,35 @@ def test_postings_that_may_match():
     assert got.tolist() == want and any(want) and not all(want)
 
 
+def test_a_run_of_many_sizes_is_not_compared_with_itself(monkeypatch):
+    """Length and position alone tell almost all of these apart; their bitmaps are not even read."""
+    rng = np.random.default_rng(5)
+    sizes = np.arange(100, 4100)
+    low, high = (rng.integers(0, 2**bits, len(sizes), dtype=np.uint64) for bits in (63, 32))
+    read, count = [], np.bitwise_count
+    monkeypatch.setattr(np, "bitwise_count", lambda x: read.append(x.size) or count(x))
+    may_match(np.zeros(len(sizes), np.int64), np.full(len(sizes), len(sizes)), sizes, sizes // 7 + 1, low, high, 75)
+    assert sum(read) < len(sizes) ** 2 / 20
+
+
+def test_unlike_lines_of_near_bitmaps_move_no_token_sets(spark, monkeypatch):
+    rng = random.Random(13)
+    bases = [text(rng, 110, 10**6).split(" ") for _ in range(20)]
+    lines = [" ".join(w for w in base if not k or rng.random() >= 0.34) for base in bases for k in range(12)]
+    rows = list(enumerate(lines))
+    compared = []
+
+    def counting(pairs, nodes):
+        compared.append(pairs.count())
+        return with_sets(pairs, nodes)
+
+    monkeypatch.setattr(line_dedup, "with_sets", counting)
+    got = {r.doc_id: r.text for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    left = dedup({(i, hashlib.md5(t.encode()).hexdigest(), t) for i, t in rows})
+    assert got == {k[0]: t for k, t in left.items()}
+    assert sum(compared) < 20  # 40 by bitmaps of 96 bits alone
+
+
 def test_decontamination(spark, empty):
     item = "the quick brown fox jumps over the lazy dog again and again until night"
     bench = spark.createDataFrame([(2, item), (10, "Tiny-item"), (3, None), (4, "!!"), (None, "nobody knows"), (2, item)], "item_id long, text string")
