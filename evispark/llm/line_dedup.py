@@ -22,15 +22,9 @@ from evispark.llm.pairs import with_sets
 _ORDER = ("_doc", "_line")
 
 
-def _close(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Of (later, earlier) node pairs, those whose sketches leave a match possible, and the share ``apart`` of tokens that differ
-    at least. So few others move token sets, which are ten times as long as sketches or more."""
-    later, earlier = (nodes.select(F.col("node").alias(side), F.struct("n", *SKETCH).alias(at)) for side, at in (("later", "x"), ("earlier", "y")))
-    both = pairs.join(later, "later").join(earlier, "earlier")
-    differ = sum(F.bit_count(F.col(f"x.{word}").bitwiseXOR(F.col(f"y.{word}"))) for word in SKETCH)
-    total = F.col("x.n") + F.col("y.n")
-    near = both.filter((100 + percent) * differ <= (100 - percent) * total)
-    return near.select("later", "earlier", (differ / total).alias("apart"))
+def _differ(x: str, y: str) -> Column:
+    """Of how many bits the sketches differ; the token sets differ in as many tokens at least."""
+    return sum(F.bit_count(F.col(f"{x}{word}").bitwiseXOR(F.col(f"{y}{word}"))) for word in SKETCH)
 
 
 def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -44,37 +38,36 @@ def _compared(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 def later_matches(index: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """(later, earlier): for each node that is alike to a node with an earlier first occurrence, one or more such nodes.
 
-    ``index`` has token, node, low, high, n, place, first and many, the node's number of rows. Of each of its prefix tokens a
-    node is told three earlier nodes: the very first, the one before it, and the one with the fewest prefix tokens of its own,
-    which among edited copies is the original or what is closest to it. The node first meets that of them whose sketch is
-    nearest to its own; a node without a match there meets all of them, and only one without a match there too meets all
-    earlier nodes that pass the filters. So the first two rounds compare no more than three pairs a posting, and a group of
-    copies is not compared with itself.
+    ``index`` has token, node, n, place, first, many, which is the node's number of rows, and the words of its sketch. Of each
+    of its prefix tokens a node is told three earlier nodes: the very first, the one before it, and the one with the fewest
+    prefix tokens of its own, which among edited copies is the original or what is closest to it. The node first meets that of
+    them whose sketch is nearest to its own; a node without a match there meets all of them, and only one without a match there
+    too meets all earlier nodes that pass the filters. So the first two rounds compare no more than three pairs a posting, and
+    a group of copies is not compared with itself.
     """
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
     ranked = index.withColumn("own", prefix - F.col("many"))
     order = W.partitionBy("token").orderBy("first", "node")
     before = order.rowsBetween(W.unboundedPreceding, -1)
-    who = F.struct("own", "node", "low", "high", "n")
-    told = ranked.select("node", "low", "high", "n", F.array(F.min(who).over(before), F.first(who).over(before), F.lag(who).over(order)).alias("told"))
-    told = told.select(*(F.col(c).alias(f"x_{c}") for c in ("node", "low", "high", "n")), F.explode("told").alias("y")).filter("y IS NOT NULL")
-    differ = F.bit_count(F.col("x_low").bitwiseXOR(F.col("y.low"))) + F.bit_count(F.col("x_high").bitwiseXOR(F.col("y.high")))
-    n, m = F.col("x_n"), F.col("y.n")
-    met = told.filter((100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m)))
-    met = met.select(F.col("x_node").alias("later"), F.col("y.node").alias("earlier")).distinct()
-    near = durable(_close(met, nodes, percent), release=True)
+    who = F.struct("own", "node", "n", *SKETCH)
+    told = ranked.select("node", "n", *SKETCH, F.array(F.min(who).over(before), F.first(who).over(before), F.lag(who).over(order)).alias("told"))
+    told = told.select(*(F.col(c).alias(f"x_{c}") for c in ("node", "n", *SKETCH)), F.explode("told").alias("y")).filter("y IS NOT NULL")
+    n, m, differ = F.col("x_n"), F.col("y.n"), _differ("x_", "y.")
+    near = told.filter((100 * n >= percent * m) & (100 * m >= percent * n) & ((100 + percent) * differ <= (100 - percent) * (n + m)))
+    near = near.select(F.col("x_node").alias("later"), F.col("y.node").alias("earlier"), (differ / (n + m)).alias("apart"))
+    near = durable(near.distinct(), release=True)
     nearest = near.groupBy("later").agg(F.min(F.struct("apart", "earlier"))["earlier"].alias("earlier"))
     first = durable(_compared(nearest, nodes, percent), release=True)
     more = near.join(first.select("later").distinct(), "later", "left_anti").select("later", "earlier")
     found = first.union(durable(_compared(more, nodes, percent), release=True))
     open_ = index.join(found.select(F.col("later").alias("node")).distinct(), "node", "left_anti")
-    return found.union(_compared(_close(_meetings(open_, index, percent).distinct(), nodes, percent), nodes, percent))
+    return found.union(_compared(_meetings(open_, index, percent).distinct(), nodes, percent))
 
 
 def _meetings(some: DataFrame, index: DataFrame, percent: int) -> DataFrame:
     """(later, earlier): nodes of ``some`` with all earlier ones that share a prefix token and pass the filters."""
     n, m, p, q = F.col("x.n"), F.col("y.n"), F.col("x.place"), F.col("y.place")
-    differ = sum(F.bit_count(F.col(f"x.{half}").bitwiseXOR(F.col(f"y.{half}"))) for half in ("low", "high"))
+    differ = _differ("x.", "y.")
     # The position filter leaves no more than the first seventh of the shorter line (for 75 percent).
     fits = (
         (F.col("y.first") < F.col("x.first"))
@@ -108,13 +101,15 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
         .filter("item.item_sizes > 0").select("_doc", "_line", F.col("item.item_nodes").alias("node"))
     )
     firsts = durable(each.groupBy("node").agg(F.min(F.struct(*_ORDER)).alias("first"), F.count("*").alias("many")), release=True)
-    counted = postings.join(firsts.select("node", "first"), "node").withColumn("many", F.count("*").over(W.partitionBy("node")))
+    counted = postings.drop("low", "high").join(firsts.select("node", "first"), "node").withColumn("many", F.count("*").over(W.partitionBy("node")))
     index = durable(counted, release=True)
     # The sets are made of each node's first occurrence; a document names no more lines than it has.
     held = index.select("node", "first").dropDuplicates(["node"])
     asked = held.groupBy(F.col("first._doc").alias("_doc")).agg(F.collect_list(F.struct(F.col("first._line").alias("_line"), "node")).alias("lines"))
     wanted = lines.select("key", "_doc").join(asked, "_doc").select("key", "lines")
     nodes = durable(token_sets(keyed, wanted, shingle=shingle), release=True)
+    # The sketch has the place of the bitmap, which cannot tell lines of some hundred words apart.
+    index = durable(index.join(nodes.select("node", *SKETCH), "node"), release=True)
     gone = later_matches(index, nodes, percent).select(F.col("later").alias("node")).distinct()
     marked = durable(
         firsts.join(gone.withColumn("gone", F.lit(True)), "node", "left")

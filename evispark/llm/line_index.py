@@ -7,7 +7,7 @@ result does not depend on the table's size. Only each line's prefix crosses the
 whole line: 96 bits, each the parity of the tokens that fall on it. Two bitmaps differ in no more bits than the sets differ in
 tokens, so where a token's lines meet, length, position and bitmap tell most strangers apart. A prefix token stays only if some
 other line may match by it; whole token sets are made again only for lines that keep one, and with them a sketch, which is a
-bitmap of 256 bits: it tells apart what 96 bits cannot before any set is moved.
+bitmap of 256 bits: it tells apart what 96 bits cannot before pairs are made.
 """
 
 from __future__ import annotations
