@@ -281,7 +281,7 @@ def squeezed(texts: DataFrame) -> DataFrame:
     names = ["packed" if c == "text" else c for c in texts.columns]
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = pa.Codec("zstd", compression_level=3)
+        codec = pa.Codec("zstd", compression_level=1)
         for batch in batches:
             column = batch.column(1)
             bodies = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()
